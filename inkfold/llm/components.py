@@ -1,0 +1,40 @@
+"""Connected components of a table of links, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from inkfold.llm.common import materialize
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    both = links.union(links.select("b", "a"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    moved = down.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links(a, b): long ids. Returns (node, root): every id that has a link to another one, with its component's smallest id.
+
+    Each round is two shuffles of the links by id, with partial minima before; the number of rounds grows with the
+    logarithm of the longest path. Links of an id with itself and repeated links change nothing; no link, no row.
+    """
+    links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = None
+    while True:
+        links = materialize(_small_star(_large_star(links)))
+        # Links only ever move to smaller ids, so equal counts and sums mean that nothing moved.
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == mark:
+            break
+        mark = now
+    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
