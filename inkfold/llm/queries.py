@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import exact_dedup, quality_rules, simhash, substring_dedup
+from inkfold.llm import bpe, exact_dedup, packing, quality_rules, simhash, substring_dedup
+
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +47,29 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def _bpe_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = [np.array(x or (), "<u4") for x in batch.column("ids").to_pylist()]
+        cols = {
+            "doc_id": batch.column("doc_id"),
+            "n_tokens": pa.array(map(len, ids), pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in batch.column("text").to_pylist()], pa.string()),
+        }
+        yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return bpe.decode(encoded, BYTE_BPE).mapInArrow(_bpe_digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
 def queries() -> dict:
-    return {"op5_quality_rules": op5_quality_rules, "op7_substring_dedup": op7_substring_dedup, "op2_exact_dedup": op2_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup}
+    return {"op8_best_fit_packing": op8_best_fit_packing, "op10_bpe": op10_bpe, "op5_quality_rules": op5_quality_rules, "op7_substring_dedup": op7_substring_dedup, "op2_exact_dedup": op2_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup}
 
 
 def oracle_sql() -> dict:
