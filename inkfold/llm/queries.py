@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import bpe, exact_dedup, packing, quality_rules, simhash, substring_dedup
+from inkfold.llm import bpe, chat, exact_dedup, packing, quality_rules, simhash, substring_dedup
 
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _chat_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each conversation; its turns come one after another, possibly over several batches."""
+    state: list = []
+
+    def done() -> list[tuple]:
+        return [(state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5])] if state else []
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) if out else [()] * 6
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    for batch in batches:
+        out: list[tuple] = []
+        for conv, turn, role, text, loss, formatted in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn_no", "role", "text", "loss_text", "formatted")), strict=True):
+            if turn == 0:
+                out += done()
+                state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            state[1] += 1
+            state[2].update(f"{role}\n{text}\n".encode())
+            state[3] += len(loss)
+            state[4].update(loss.encode())
+            state[5] += len(formatted)
+        yield rows(out)
+    yield rows(done())
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "conv_id bigint, turn bigint, role string, text string"
+    extra = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], own)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    formatted = chat.format_conversations(rows, BYTE_BPE)
+    out = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    return chat.read_back(formatted, BYTE_BPE).mapInArrow(_chat_digests, out)
+
+
+#: The template adds <s>, and [INST] [/INST] </s> to each turn; an escape is one character for each mark in a text.
+OP1_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, length(role) + length(text) + 17
+    + len(regexp_extract_all(role || chr(10) || text, '<\\*/?s>|\[\\*/?INST\]')) AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) + 3 AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -69,8 +123,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op8_best_fit_packing": op8_best_fit_packing, "op10_bpe": op10_bpe, "op5_quality_rules": op5_quality_rules, "op7_substring_dedup": op7_substring_dedup, "op2_exact_dedup": op2_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup}
+    return {"op1_chat_formatting": op1_chat_formatting, "op8_best_fit_packing": op8_best_fit_packing, "op10_bpe": op10_bpe, "op5_quality_rules": op5_quality_rules, "op7_substring_dedup": op7_substring_dedup, "op2_exact_dedup": op2_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup}
 
 
 def oracle_sql() -> dict:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_exact_dedup": OP2_SQL}
