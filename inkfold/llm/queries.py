@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import bpe, chat, exact_dedup, packing, quality_rules, simhash, substring_dedup
+from inkfold.llm import bpe, chat, exact_dedup, packing, quality_rules, simhash, substring_dedup, warc
+from inkfold.llm.common import materialize
 
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -92,6 +93,28 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = materialize(warc.bundles(table(spark, sf_dir, "pages")))
+    return warc.records(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: DuckDB has no base32: the digest's 160 bits, 5 at a time.
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, min(page_id) AS f FROM p GROUP BY h),
+d AS (
+  SELECT h, f, octet_length(encode(h)) AS n,
+    list_aggregate(list_transform(string_split_regex(sha1(h), ''), lambda x: lpad(bin(instr('0123456789abcdef', x) - 1), 4, '0')), 'string_agg', '') AS b
+  FROM g)
+SELECT page_id, n AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(list_sum(list_transform(range(0, 5), lambda j: CAST(substr(b, i * 5 + j + 1, 1) AS INTEGER) * CAST(pow(2, 4 - j) AS INTEGER))) AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to
+FROM p JOIN d USING (h)
+"""
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.measure(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -123,8 +146,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_chat_formatting": op1_chat_formatting, "op8_best_fit_packing": op8_best_fit_packing, "op10_bpe": op10_bpe, "op5_quality_rules": op5_quality_rules, "op7_substring_dedup": op7_substring_dedup, "op2_exact_dedup": op2_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup}
+    return {"op3_warc": op3_warc, "op1_chat_formatting": op1_chat_formatting, "op8_best_fit_packing": op8_best_fit_packing, "op10_bpe": op10_bpe, "op5_quality_rules": op5_quality_rules, "op7_substring_dedup": op7_substring_dedup, "op2_exact_dedup": op2_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup}
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_formatting": OP1_SQL, "op2_exact_dedup": OP2_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL}
