@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import bpe, chat, exact_dedup, packing, quality_rules, simhash, substring_dedup, warc
+from inkfold.llm import bpe, chat, classifier, exact_dedup, packing, quality_rules, simhash, substring_dedup, warc
 from inkfold.llm.common import materialize
 
 
@@ -128,6 +128,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = classifier.fit(docs, labels.where(~held_out))
+    found = classifier.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def _bpe_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = [np.array(x or (), "<u4") for x in batch.column("ids").to_pylist()]
@@ -146,7 +154,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_warc": op3_warc, "op1_chat_formatting": op1_chat_formatting, "op8_best_fit_packing": op8_best_fit_packing, "op10_bpe": op10_bpe, "op5_quality_rules": op5_quality_rules, "op7_substring_dedup": op7_substring_dedup, "op2_exact_dedup": op2_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup}
+    return {"op9_quality_classifier": op9_quality_classifier, "op3_warc": op3_warc, "op1_chat_formatting": op1_chat_formatting, "op8_best_fit_packing": op8_best_fit_packing, "op10_bpe": op10_bpe, "op5_quality_rules": op5_quality_rules, "op7_substring_dedup": op7_substring_dedup, "op2_exact_dedup": op2_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup}
 
 
 def oracle_sql() -> dict:
