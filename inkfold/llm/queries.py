@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import bpe, chat, classifier, exact_dedup, packing, quality_rules, simhash, substring_dedup, warc
+from inkfold.llm import bpe, chat, classifier, exact_dedup, html_extraction, packing, quality_rules, simhash, substring_dedup, warc
 from inkfold.llm.common import materialize
 
 
@@ -115,6 +115,10 @@ FROM p JOIN d USING (h)
 """
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.measure(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -154,7 +158,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op9_quality_classifier": op9_quality_classifier, "op3_warc": op3_warc, "op1_chat_formatting": op1_chat_formatting, "op8_best_fit_packing": op8_best_fit_packing, "op10_bpe": op10_bpe, "op5_quality_rules": op5_quality_rules, "op7_substring_dedup": op7_substring_dedup, "op2_exact_dedup": op2_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup}
+    return {"op4_html_extraction": op4_html_extraction, "op9_quality_classifier": op9_quality_classifier, "op3_warc": op3_warc, "op1_chat_formatting": op1_chat_formatting, "op8_best_fit_packing": op8_best_fit_packing, "op10_bpe": op10_bpe, "op5_quality_rules": op5_quality_rules, "op7_substring_dedup": op7_substring_dedup, "op2_exact_dedup": op2_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup}
 
 
 def oracle_sql() -> dict:
