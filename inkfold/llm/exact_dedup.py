@@ -144,3 +144,13 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == 1))
         .select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
     )
+
+
+def keep_one(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows and columns of docs without those that dedup drops: one row of each group of equal texts stays."""
+    kept = dedup(docs, block_bytes).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    # The same normal form as in the blocks; with the doc_id it names a row, and repeated rows are one.
+    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    rows = docs.withColumns({"__row_id": F.col("doc_id").cast("long"), "__row_sha": F.sha2(text, 256)})
+    same = F.col("__row_id").eqNullSafe(F.col("__id")) & (F.col("__row_sha") == F.col("__sha"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["__row_id", "__row_sha"]).select(*(F.col(f"`{c}`") for c in docs.columns))

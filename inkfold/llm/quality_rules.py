@@ -149,3 +149,15 @@ def measure(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id bigint, {MEASURES}")
+
+
+def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """The rows and columns of docs that the rules keep; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            measured = _measure(pa.RecordBatch.from_arrays([batch.column("text")], names=["text"]), rules)
+            yield batch.filter(measured.column("kept"))
+
+    tune(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

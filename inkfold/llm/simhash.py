@@ -194,3 +194,10 @@ def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: in
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = placed.join(least, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows and columns of docs whose doc_id is the smallest of its component; rows that share that doc_id all stay."""
+    found = near_dedup(docs, shingle_words, max_bits)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_semi")

@@ -324,13 +324,14 @@ def _cut(window: int, texts: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False, anchor: int = ANCHOR) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each word under a window whose words also start earlier: at a smaller doc_id, or before in the same row.
 
     A row for each row of docs: doc_id, n_words, n_removed, kept_sha256 of the kept words joined by one space and, if
     texts, kept_text: a text that loses nothing stays as it is. Windows are judged on the input. Null texts have no words.
     A null doc_id counts as the largest. Rows that agree in doc_id and text are one document and get one result; rows
-    with one doc_id and different texts are ordered by a hash of the text. Other columns are ignored; an empty table gives no rows.
+    with one doc_id and different texts are ordered by a hash of the text. The columns of docs named in carry come out in the
+    struct `row`, others are ignored; an empty table gives no rows.
     """
     if not 1 <= anchor <= window or window > 48 + anchor:
         raise ValueError("anchor must be between window - 48 and window")
@@ -338,8 +339,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False,
     tune(spark)
     n = partitions(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("tag"))
+    kept = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *kept)
+    rows = rows.select(*rows.columns, F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("tag"))
     anchors = rows.select("doc", "tag", "text").mapInArrow(_anchors(window, anchor), _ANCHORS_SQL)
     dealt = anchors.repartition(n, "anchor").sortWithinPartitions("anchor", "context", "doc", "tag", "lo")
     found = materialize(dealt.mapInArrow(_repeated, "doc bigint, tag bigint, lo bigint, n bigint, kind int, anchor bigint"))
@@ -352,5 +354,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False,
 
     spans = found.where(F.col("kind") == COPY).select("doc", "tag", "lo", "n").unionByName(matched)
     spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    out = by_doc.join(spans.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc_id", "text", "spans")
-    return out.mapInArrow(_cut(window, texts), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts)
+    out = by_doc.join(spans.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc_id", *["row"] * bool(carry), "text", "spans")
+    row = f"row {rows.schema['row'].dataType.simpleString()}, " if carry else ""
+    return out.mapInArrow(_cut(window, texts), f"doc_id bigint, {row}n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts)
+
+
+def cut_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows and columns of docs with what substring_dedup leaves as text, and n_chars, if it's there, as its length.
+
+    A text that loses words is its kept words joined by one space, possibly empty; a null text is empty.
+    """
+    others = tuple(c for c in docs.columns if c != "text")
+    found = substring_dedup(docs, window, texts=True, carry=others)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    return found.select(*(new.get(f.name, F.col(f"row.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema))
