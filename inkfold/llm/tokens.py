@@ -7,8 +7,9 @@ special token, is one chunk.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,11 @@ import pyarrow.compute as pc
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WHITE_RE2 = r"^([\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|$)"
 
-#: A task remembers the ids of so many short chunks and those of one batch, then starts anew.
-KNOWN = 200_000
+#: Chunks encoded as one string.
+JOINED = 256
 
 #: Bytes of text tokenized at a time: the more, the more often a chunk occurs in them.
-TOKEN_SLICE = 8 << 20
+TOKEN_SLICE = 16 << 20
 
 Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -68,7 +69,11 @@ def encode_texts(texts: pa.Array, encode: Encoder, special: tuple[str, ...] = ()
 
 
 def library_encoder(path: str) -> tuple[Encoder, tuple[str, ...]]:
-    """The tokenizers library with a file of its format, truncation and padding off; and its added tokens."""
+    """The tokenizers library with a byte-level vocabulary in its format, truncation and padding off; and its added tokens.
+
+    Chunks that begin with a space are encoded many to a string, as no token spans the place where one begins; the bytes
+    of the tokens tell which are whose.
+    """
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -77,17 +82,31 @@ def library_encoder(path: str) -> tuple[Encoder, tuple[str, ...]]:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    added = {i: x.content for i, x in tokenizer.get_added_tokens_decoder().items()}
+    vocabulary = tokenizer.get_vocab()
+    n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        n_bytes[i] = len(added[i].encode()) if i in added else len(token)  # a letter stands for a byte
+    begins = re.compile(f" [^{WHITE}]")
 
-    known: dict[str, list[int]] = {}
+    def flat(strings: list[str]) -> list[list[int]]:
+        return [x.ids for x in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(known) > KNOWN:
-            known.clear()
-        new = [x for x in texts if x not in known]
-        fresh = dict(zip(new, (x.ids for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        found = [known[x] if x in known else fresh[x] for x in texts]
-        known.update((x, ids) for x, ids in fresh.items() if len(x) <= 32)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
-
-    return encode, tuple(x.content for x in tokenizer.get_added_tokens_decoder().values())
+        spaced = np.fromiter((begins.match(x) is not None for x in texts), bool, len(texts))
+        together, alone = list(compress(texts, spaced)), flat(list(compress(texts, ~spaced)))
+        strings = ["".join(together[i : i + JOINED]) for i in range(0, len(together), JOINED)]
+        ids = np.fromiter(chain.from_iterable(flat(strings)), np.int64)
+        ends = np.cumsum(np.fromiter((len(x.encode("utf-8", "surrogatepass")) for x in together), np.int64, len(together)))
+        cuts = np.searchsorted(np.cumsum(n_bytes[ids]), ends, side="right")
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[spaced] = np.diff(cuts, prepend=0)
+        sizes[~spaced] = [len(x) for x in alone]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty(bounds[-1], np.int64)
+        own = np.repeat(spaced, sizes)
+        out[own] = ids
+        out[~own] = np.fromiter(chain.from_iterable(alone), np.int64)
+        return out, bounds
+
+    return encode, tuple(added.values())
