@@ -116,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
     tune(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ratios = _log_count_ratios(rows.join(known, "doc_id").select("text", "label"))
+    # Labels grow with the documents, so they meet by a shuffle at every size.
+    ratios = _log_count_ratios(rows.join(known.hint("merge"), "doc_id").select("text", "label"))
     sample = known.withColumn("pick", F.xxhash64("doc_id", "label")).orderBy("pick", "doc_id", "label").limit(fit_rows)  # ids alone
     texts = rows.join(F.broadcast(sample), "doc_id").select("pick", "text", "label")
     found = texts.repartition(1).mapInArrow(_fitted(ratios), "feature bigint, weight double").toPandas()
