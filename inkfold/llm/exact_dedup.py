@@ -136,7 +136,8 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     An empty table gives no rows.
     """
     rows = identities(docs, block_bytes)
-    groups = rows.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # Written, so that the join has an exchange on either side and a hot group's rows can be split.
+    groups = materialize(rows.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
     row = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("row")
     return (
         rows.join(groups, ["level", "name"])
