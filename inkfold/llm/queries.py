@@ -124,6 +124,30 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: A repeat of k words is a window of k words found twice: five for the covered share, one more than both limits for the longest.
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+n AS (SELECT *, len(w) AS n_words, greatest(50, len(w) * 15 // 100) + 1 AS beyond FROM d),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+win AS (
+  SELECT doc_id, k, i, md5(array_to_string(w[i:i + k - 1], ' ')) AS h
+  FROM (SELECT doc_id, w, k, unnest(range(1, n_words - k + 2)) AS i FROM (SELECT *, unnest([3, 5, beyond]) AS k FROM n))),
+twice AS (SELECT doc_id, k, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k, h) AS c FROM win) WHERE c > 1),
+words AS (SELECT doc_id, k, count(DISTINCT p) AS covered FROM (SELECT doc_id, k, unnest(range(i, i + k)) AS p FROM twice WHERE k <= 5) GROUP BY ALL),
+far AS (SELECT DISTINCT doc_id FROM twice WHERE k > 5),
+m AS (
+  SELECT n.doc_id, n.n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(a.covered, 0) AS n_repeat_words,
+    coalesce(b.covered, 0) AS covered, far.doc_id IS NOT NULL AS too_long
+  FROM n LEFT JOIN lines USING (doc_id) LEFT JOIN words a ON a.doc_id = n.doc_id AND a.k = 3 LEFT JOIN words b ON b.doc_id = n.doc_id AND b.k = 5 LEFT JOIN far ON far.doc_id = n.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * covered <= 50 * n_words AND NOT too_long AS kept
+FROM m
+"""
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -162,4 +186,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_formatting": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_quality_rules": OP5_SQL}

@@ -120,7 +120,7 @@ _COLS = ("anchor", "context", "doc", "tag", "lo", "n")
 COPY, COLD, SPLIT = 0, 1, 2
 
 
-def _found(cols: dict[str, np.ndarray], more: pa.Array, before: tuple, hot: int | None) -> pa.RecordBatch:
+def _found(cols: dict[str, np.ndarray], more: pa.Array, before: tuple, hot: int | None, most: int) -> pa.RecordBatch:
     """Whole anchors, or parts of the hot one, sorted. before: the last row of the part before, of the hot anchor."""
     anchor, context = cols["anchor"], cols["context"]
     new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
@@ -131,7 +131,7 @@ def _found(cols: dict[str, np.ndarray], more: pa.Array, before: tuple, hot: int
         same[0] = (cols["doc"][0], cols["tag"][0], cols["lo"][0]) == before[2:5]
     run = np.cumsum(new_anchor) - 1
     contexts = np.bincount(run, weights=new_context).astype(np.int64)[run]
-    split = (contexts > HOT) | ((anchor == hot) if hot is not None else False)
+    split = (contexts > most) | ((anchor == hot) if hot is not None else False)
     kind = np.where(new_context, np.where(split, SPLIT, np.where(contexts > 1, COLD, -1)), np.where(same, -1, COPY))
     keep = np.flatnonzero(kind >= 0)
     flat = more.flatten()
@@ -143,42 +143,47 @@ def _found(cols: dict[str, np.ndarray], more: pa.Array, before: tuple, hot: int
     return pa.RecordBatch.from_arrays([*outs, pa.array(kinds), pa.array(keys)], names=["doc", "tag", "lo", "n", "kind", "anchor"])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor, context, doc, tag, lo."""
-    held: list[pa.RecordBatch] = []
-    rows, before, hot = 0, (), None
-
-    def taken(table: pa.Table) -> tuple[dict[str, np.ndarray], pa.Array]:
-        return {c: table.column(c).to_numpy() for c in _COLS}, table.column("more").combine_chunks()
-
-    def last(cols: dict[str, np.ndarray]) -> tuple:
-        return tuple(int(cols[c][-1]) for c in ("anchor", "context", "doc", "tag", "lo"))
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < 50_000:
-            continue
-        table = pa.Table.from_batches(held)
-        anchor = table.column("anchor").to_numpy()
-        cut = int(np.searchsorted(anchor, anchor[-1]))
-        if cut == 0 and rows >= HELD_ROWS:
-            cut, now = rows, int(anchor[-1])
-            cols, more = taken(table)
-            yield _found(cols, more, before, now)
-            before, hot = last(cols), now
-        elif cut:
-            cols, more = taken(table.slice(0, cut))
-            yield _found(cols, more, before, hot)
-            before = ()
-            hot = None if hot is not None and int(anchor[-1]) != hot else hot
-        held = table.slice(cut).to_batches()
-        rows -= cut
-    if rows:
-        cols, more = taken(pa.Table.from_batches(held))
-        yield _found(cols, more, before, hot)
+def _taken(table: pa.Table) -> tuple[dict[str, np.ndarray], pa.Array]:
+    return {c: table.column(c).to_numpy() for c in _COLS}, table.column("more").combine_chunks()
+
+
+def _last(cols: dict[str, np.ndarray]) -> tuple:
+    return tuple(int(cols[c][-1]) for c in ("anchor", "context", "doc", "tag", "lo"))
+
+
+def _repeated(most: int, held_rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by anchor, context, doc, tag, lo."""
+        held: list[pa.RecordBatch] = []
+        rows, before, hot = 0, (), None
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < min(50_000, held_rows):
+                continue
+            table = pa.Table.from_batches(held)
+            anchor = table.column("anchor").to_numpy()
+            cut = int(np.searchsorted(anchor, anchor[-1]))
+            if cut == 0 and rows >= held_rows:
+                cut, now = rows, int(anchor[-1])
+                cols, more = _taken(table)
+                yield _found(cols, more, before, now, most)
+                before, hot = _last(cols), now
+            elif cut:
+                cols, more = _taken(table.slice(0, cut))
+                yield _found(cols, more, before, hot, most)
+                before = ()
+                hot = None if hot is not None and int(anchor[-1]) != hot else hot
+            held = table.slice(cut).to_batches()
+            rows -= cut
+        if rows:
+            cols, more = _taken(pa.Table.from_batches(held))
+            yield _found(cols, more, before, hot, most)
+
+    return run
 
 
 def _contexts(window: int):
@@ -324,7 +329,7 @@ def _cut(window: int, texts: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False, anchor: int = ANCHOR, carry: tuple[str, ...] = (), hot: int = HOT, held_rows: int = HELD_ROWS) -> DataFrame:
     """Remove each word under a window whose words also start earlier: at a smaller doc_id, or before in the same row.
 
     A row for each row of docs: doc_id, n_words, n_removed, kept_sha256 of the kept words joined by one space and, if
@@ -344,7 +349,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False,
     rows = rows.select(*rows.columns, F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("tag"))
     anchors = rows.select("doc", "tag", "text").mapInArrow(_anchors(window, anchor), _ANCHORS_SQL)
     dealt = anchors.repartition(n, "anchor").sortWithinPartitions("anchor", "context", "doc", "tag", "lo")
-    found = materialize(dealt.mapInArrow(_repeated, "doc bigint, tag bigint, lo bigint, n bigint, kind int, anchor bigint"))
+    found = materialize(dealt.mapInArrow(_repeated(hot, held_rows), "doc bigint, tag bigint, lo bigint, n bigint, kind int, anchor bigint"))
 
     by_doc = rows.repartition(n, "doc", "tag")
     places = found.where(F.col("kind") != COPY).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "n", "kind", "anchor")).alias("places"))

@@ -140,9 +140,9 @@ def brute_cut(rows, window):
     return sorted(str((i, *out[2**63 - 1 if i is None else i, t or ""])) for i, t in rows)
 
 
-@pytest.mark.parametrize(("window", "anchor", "hot"), [(20, 8, 256), (20, 8, 2), (5, 2, 1), (6, 6, 256), (3, 1, 4)])
-def test_substrings(spark, monkeypatch, window, anchor, hot):
-    """Few words make many repeats within and across documents; a low limit sends anchors to the split of hot ones."""
+@pytest.mark.parametrize(("window", "anchor", "hot", "held"), [(20, 8, 256, 1 << 18), (20, 8, 2, 1 << 18), (5, 2, 1, 3), (6, 6, 256, 2), (3, 1, 4, 5)])
+def test_substrings(spark, window, anchor, hot, held):
+    """Few words make many repeats within and across documents; low limits send anchors to the split of hot ones."""
     r = random.Random(window + hot)
     passages = [[f"w{r.randrange(60)}" for _ in range(r.randint(15, 70))] for _ in range(8)]
     rows = []
@@ -154,11 +154,7 @@ def test_substrings(spark, monkeypatch, window, anchor, hot):
         rows.append((i, " ".join(words)))
     rows += [(70, "x y " * 300), (71, "x y " * 100), (72, "z " * 90), (73, None), (74, ""), (75, " \t "), (5, rows[5][1]), (None, rows[6][1]), (None, "y x " * 40), (-1, rows[7][1])]
 
-    def found(module):
-        return module.substring_dedup(frame(spark, rows), window, anchor=anchor).collect()
-
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
-    got = found(substring_dedup)
+    got = substring_dedup.substring_dedup(frame(spark, rows), window, anchor=anchor, hot=hot, held_rows=held).collect()
     assert sorted(str(tuple(x)) for x in got) == brute_cut(rows, window)
 
 
