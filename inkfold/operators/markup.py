@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from inkfold.constants import PIXELS_PER_UNIT, SVG_NAMESPACE, XHTML_NAMESPACE, XLINK_NAMESPACE
 
 ELEMENTS = "doc_id string, elem_seq int, local_name string, namespace string, attrs array<struct<name:string,ns:string,value:string>>, style_text string, pis array<string>, entity_ns boolean, doc_pis array<string>, error string"
+#: Documents whose elements are one frame.
+DOCUMENTS = 200
 #: Bytes that entities may expand to, for each byte of a document.
 EXPANSION = 100
 
@@ -72,8 +74,10 @@ def tokenize_markup(markup: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for doc_id, content in zip(pdf.doc_id, pdf.content, strict=True):
-                yield pd.DataFrame(_parse(doc_id, bytes(content or b"")), columns=names)
+            for at in range(0, len(pdf), DOCUMENTS):
+                part = pdf.iloc[at : at + DOCUMENTS]
+                rows = [row for doc_id, content in zip(part.doc_id, part.content, strict=True) for row in _parse(doc_id, bytes(content or b""))]
+                yield pd.DataFrame(rows, columns=names).astype({"doc_pis": object, "attrs": object})
 
     return markup.select(F.col("doc_id").cast("string"), "content").mapInPandas(run, ELEMENTS)
 
