@@ -152,6 +152,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+dup AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM dup),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -182,8 +193,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_html_extraction": op4_html_extraction, "op9_quality_classifier": op9_quality_classifier, "op3_warc": op3_warc, "op1_chat_formatting": op1_chat_formatting, "op8_best_fit_packing": op8_best_fit_packing, "op10_bpe": op10_bpe, "op5_quality_rules": op5_quality_rules, "op7_substring_dedup": op7_substring_dedup, "op2_exact_dedup": op2_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup}
+    own = (op1_chat_formatting, op2_exact_dedup, op3_warc, op4_html_extraction, op5_quality_rules, op6_simhash_near_dedup, op7_substring_dedup, op8_best_fit_packing, op9_quality_classifier, op10_bpe)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_formatting": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_quality_rules": OP5_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_substring_dedup": OP7_SQL}

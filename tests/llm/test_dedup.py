@@ -181,3 +181,4 @@ def test_suffix_automaton():
 def test_sql(spark):
     con = tables(SF)
     assert_same(queries.op2_exact_dedup(spark, SF), con, queries.OP2_SQL)
+    assert_same(queries.op7_substring_dedup(spark, SF), con, queries.OP7_SQL)
