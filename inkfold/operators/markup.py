@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,16 +70,20 @@ def _parse(doc_id: str, content: bytes) -> list[tuple]:
 
 def tokenize_markup(markup: DataFrame) -> DataFrame:
     """markup(doc_id, content BINARY) -> elements in document order; a document that isn't well-formed is one row with its error."""
-    names = [c.strip().split(" ")[0] for c in "doc_id,elem_seq,local_name,namespace,attrs,style_text,pis,entity_ns,doc_pis,error".split(",")]
+    text, texts = pa.string(), pa.list_(pa.string())
+    attrs = pa.list_(pa.struct([("name", text), ("ns", text), ("value", text)]))
+    kinds = (text, pa.int32(), text, text, attrs, text, texts, pa.bool_(), texts, text)
+    names = [c.split(" ")[0] for c in ELEMENTS.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), DOCUMENTS):
-                part = pdf.iloc[at : at + DOCUMENTS]
-                rows = [row for doc_id, content in zip(part.doc_id, part.content, strict=True) for row in _parse(doc_id, bytes(content or b""))]
-                yield pd.DataFrame(rows, columns=names).astype({"doc_pis": object, "attrs": object})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), DOCUMENTS):
+                part = batch.slice(at, DOCUMENTS)
+                rows = [row for doc_id, content in zip(part.column("doc_id").to_pylist(), part.column("content").to_pylist(), strict=True) for row in _parse(doc_id, content or b"")]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return markup.select(F.col("doc_id").cast("string"), "content").mapInPandas(run, ELEMENTS)
+    return markup.select(F.col("doc_id").cast("string"), "content").mapInArrow(run, ELEMENTS)
 
 
 def _attribute(name: str) -> Column:
@@ -112,26 +116,37 @@ def _length(name: str) -> tuple[Column, Column]:
     return F.when(F.coalesce(unit != "%", F.lit(False)), value * factor), F.when(bad, F.concat(F.lit(f"{name} must be an absolute length or a percentage: "), raw))
 
 
-def board_size(elements: DataFrame) -> DataFrame:
-    """doc_id, width, height, error of each well-formed document, from its root."""
-    root = elements.where("elem_seq = 0 AND error IS NULL")
+def _sized(elements: DataFrame) -> DataFrame:
+    """The elements with width, height and size_error, which only the roots of well-formed documents have."""
+    root = (F.col("elem_seq") == 0) & F.col("error").isNull()
     (w, w_error), (h, h_error) = _length("width"), _length("height")
     raw = _attribute("viewBox")
     parts = F.filter(F.split(raw, r"[, \t\n\r]"), lambda p: p != "")
     numbers = F.transform(parts, lambda p: F.struct(svg_number(p)[0].alias("v"), svg_number(p)[1].alias("rest")))
     four = (F.size(parts) == 4) & F.coalesce(F.forall(numbers, lambda n: n["v"].isNotNull() & (n["rest"] == "")), F.lit(False))
-    rows = root.select("doc_id", w.alias("w"), h.alias("h"), F.coalesce(w_error, h_error).alias("e"), raw.alias("box"), F.when(four, numbers).alias("n"))
-    boxed = F.col("w").isNull() & F.col("h").isNull()
+    own = F.struct(w.alias("w"), h.alias("h"), F.coalesce(w_error, h_error).alias("e"), raw.alias("box"), F.when(four, numbers).alias("n"))
+    rows = elements.withColumn("_s", F.when(root, own))
+    s = F.col("_s")
+    boxed = s["w"].isNull() & s["h"].isNull()
     error = (
-        F.when(F.col("e").isNotNull(), F.col("e"))
-        .when(F.col("w").isNull() != F.col("h").isNull(), "width and height must both be absolute lengths, or neither")
-        .when(boxed & F.col("box").isNull(), "an SVG without an absolute width and height needs a viewBox")
-        .when(boxed & F.col("n").isNull(), F.concat(F.lit("viewBox must contain four numbers: "), "box"))
+        F.when(s["e"].isNotNull(), s["e"])
+        .when(s["w"].isNull() != s["h"].isNull(), "width and height must both be absolute lengths, or neither")
+        .when(boxed & s["box"].isNull(), "an SVG without an absolute width and height needs a viewBox")
+        .when(boxed & s["n"].isNull(), F.concat(F.lit("viewBox must contain four numbers: "), s["box"]))
     )
-    sized = rows.select("doc_id", error.alias("error"), F.when(boxed, F.try_element_at("n", F.lit(3))["v"]).otherwise(F.col("w")).alias("width"), F.when(boxed, F.try_element_at("n", F.lit(4))["v"]).otherwise(F.col("h")).alias("height"))
-    fine = (F.col("width") > 0) & (F.col("height") > 0) & (F.col("width") < float("inf")) & (F.col("height") < float("inf"))
-    error = F.coalesce("error", F.when(~F.coalesce(fine, F.lit(False)), "the board width and height must be finite and positive"))
-    return sized.select("doc_id", F.when(error.isNull(), F.col("width")).alias("width"), F.when(error.isNull(), F.col("height")).alias("height"), error.alias("error"))
+    side = lambda name, place: F.when(boxed, F.try_element_at(s["n"], F.lit(place))["v"]).otherwise(s[name])
+    rows = rows.withColumns({"_w": side("w", 3), "_h": side("h", 4), "_e": error})
+    fine = (F.col("_w") > 0) & (F.col("_h") > 0) & (F.col("_w") < float("inf")) & (F.col("_h") < float("inf"))
+    error = F.coalesce("_e", F.when(~F.coalesce(fine, F.lit(False)), "the board width and height must be finite and positive"))
+    rows = rows.withColumn("size_error", F.when(s.isNotNull(), error))
+    good = s.isNotNull() & F.col("size_error").isNull()
+    return rows.withColumns({"width": F.when(good, F.col("_w")), "height": F.when(good, F.col("_h"))}).drop("_s", "_w", "_h", "_e")
+
+
+def board_size(elements: DataFrame) -> DataFrame:
+    """doc_id, width, height, error of each well-formed document, from its root."""
+    roots = elements.where("elem_seq = 0 AND error IS NULL")
+    return _sized(roots).select("doc_id", "width", "height", F.col("size_error").alias("error"))
 
 
 def css_targets(css: Column) -> Column:
@@ -162,38 +177,51 @@ def _attribute_error(a: Column) -> Column:
     )
 
 
+def _marked(elements: DataFrame) -> DataFrame:
+    """The sized elements, each with `found`: what it violates. One pass over the elements, however many rules there are."""
+    rows = _sized(elements)
+    ok = F.col("error").isNull()
+
+    def violation(rank: int, step: int, kind: str, message: Column, place: Column = F.lit(0), seq: Column = F.col("elem_seq")) -> Column:  # noqa: B008
+        return F.struct(F.lit(rank).alias("rank"), seq.alias("elem_seq"), F.lit(step).alias("step"), place.alias("place"), F.lit(kind).alias("kind"), message.alias("message"))
+
+    def rule(condition: Column, rank: int, step: int, message: Column, kind: str = "unsupported_svg", **place: Column) -> Column:
+        return F.when(condition, violation(rank, step, kind, message, **place))
+
+    banned = F.element_at(F.create_map(*(F.lit(x) for kv in BANNED.items() for x in kv)), F.col("local_name"))
+    style = ok & (F.col("local_name") == "style")
+    target = F.when(style, _first_error(css_targets(F.col("style_text"))))
+    single = [
+        rule(~ok, 0, 0, F.col("error"), "invalid_svg"),
+        rule(ok & F.col("entity_ns"), 1, 0, F.lit(ENTITY_NS), "invalid_svg", seq=F.lit(0)),
+        rule(ok & (F.col("elem_seq") == 0) & ~((F.col("local_name") == "svg") & F.col("namespace").eqNullSafe(SVG_NAMESPACE)), 2, 0, F.lit(NO_SVG), "invalid_svg"),
+        rule(F.col("size_error").isNotNull(), 3, 0, F.col("size_error"), "invalid_svg"),
+        rule(ok & F.array_contains("doc_pis", "xml-stylesheet"), 4, 0, F.lit(STYLESHEET)),
+        rule(ok & (F.col("namespace") == XHTML_NAMESPACE), 5, 0, F.lit(XHTML)),
+        rule(ok & F.col("local_name").isin(*BANNED), 5, 1, banned),
+        rule(style & F.contains(F.lower("style_text"), F.lit("@import")), 5, 3, F.lit(IMPORT)),
+        rule(target.isNotNull(), 5, 4, target),
+        rule(ok & F.array_contains("pis", "xml-stylesheet"), 5, 5, F.lit(STYLESHEET)),
+    ]
+    messages = F.transform(F.coalesce(F.when(ok, F.col("attrs")), F.array().cast("array<struct<name:string,ns:string,value:string>>")), _attribute_error)
+    named = F.filter(F.transform(messages, lambda m, i: violation(5, 2, "unsupported_svg", m, place=i)), lambda v: v["message"].isNotNull())
+    return rows.withColumn("found", F.concat(F.array_compact(F.array(*single)), named))
+
+
 def violations(elements: DataFrame) -> DataFrame:
     """doc_id, rank, elem_seq, step, place, kind, message: every violation; the least (rank, elem_seq, step, place) is first."""
-    ok = elements.where("error IS NULL")
-    row = lambda rank, step, kind, message: (F.lit(rank).alias("rank"), F.col("elem_seq"), F.lit(step).alias("step"), F.lit(0).alias("place"), F.lit(kind).alias("kind"), message.alias("message"))
-    parts = [
-        elements.where("error IS NOT NULL").select("doc_id", *row(0, 0, "invalid_svg", F.col("error"))),
-        ok.where("entity_ns").select("doc_id", F.lit(1).alias("rank"), F.lit(0).alias("elem_seq"), F.lit(0).alias("step"), F.lit(0).alias("place"), F.lit("invalid_svg").alias("kind"), F.lit(ENTITY_NS).alias("message")),
-        ok.where((F.col("elem_seq") == 0) & ~((F.col("local_name") == "svg") & F.col("namespace").eqNullSafe(SVG_NAMESPACE))).select("doc_id", *row(2, 0, "invalid_svg", F.lit(NO_SVG))),
-        board_size(elements).where("error IS NOT NULL").select("doc_id", F.lit(3).alias("rank"), F.lit(0).alias("elem_seq"), F.lit(0).alias("step"), F.lit(0).alias("place"), F.lit("invalid_svg").alias("kind"), F.col("error").alias("message")),
-        ok.where(F.array_contains("doc_pis", "xml-stylesheet")).select("doc_id", *row(4, 0, "unsupported_svg", F.lit(STYLESHEET))),
-        ok.where(F.col("namespace") == XHTML_NAMESPACE).select("doc_id", *row(5, 0, "unsupported_svg", F.lit(XHTML))),
-        ok.where(F.col("local_name").isin(*BANNED)).select("doc_id", *row(5, 1, "unsupported_svg", F.element_at(F.create_map(*(F.lit(x) for kv in BANNED.items() for x in kv)), F.col("local_name")))),
-        ok.where((F.col("local_name") == "style") & F.contains(F.lower("style_text"), F.lit("@import"))).select("doc_id", *row(5, 3, "unsupported_svg", F.lit(IMPORT))),
-        ok.where(F.array_contains("pis", "xml-stylesheet")).select("doc_id", *row(5, 5, "unsupported_svg", F.lit(STYLESHEET))),
-    ]
-    styles = ok.where("local_name = 'style'").withColumn("message", _first_error(css_targets(F.col("style_text")))).where("message IS NOT NULL")
-    parts.append(styles.select("doc_id", *row(5, 4, "unsupported_svg", F.col("message"))))
-    named = ok.select("doc_id", "elem_seq", F.posexplode(F.transform("attrs", _attribute_error)).alias("place", "message")).where("message IS NOT NULL")
-    parts.append(named.select("doc_id", F.lit(5).alias("rank"), "elem_seq", F.lit(2).alias("step"), "place", F.lit("unsupported_svg").alias("kind"), "message"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return _marked(elements).select("doc_id", F.explode("found").alias("v")).select("doc_id", "v.*")
 
 
 def audit_markup(elements: DataFrame) -> DataFrame:
-    """doc_id, status, error_kind, error_message, width, height, n_violations of each document."""
-    found = violations(elements)
-    first = found.groupBy("doc_id").agg(F.min(F.struct("rank", "elem_seq", "step", "place", "kind", "message")).alias("f"), F.count("*").alias("n"))
-    docs = elements.where("elem_seq = 0").select("doc_id").join(first, "doc_id", "left").join(board_size(elements).drop("error"), "doc_id", "left")
+    """doc_id, status, error_kind, error_message, width, height, n_violations of each document.
+
+    Rows that share a doc_id, null included, are one document. Elements are aggregated before the shuffle.
+    """
+    marked = _marked(elements).select("doc_id", "width", "height", F.array_min("found").alias("f"), F.size("found").alias("n"))
+    docs = marked.groupBy("doc_id").agg(F.min("f").alias("f"), F.sum("n").alias("n"), F.max("width").alias("width"), F.max("height").alias("height"))
     ok = F.col("f").isNull()
-    return docs.select("doc_id", F.when(ok, "ok").otherwise("error").alias("status"), F.col("f.kind").alias("error_kind"), F.col("f.message").alias("error_message"), F.when(ok, F.col("width")).alias("width"), F.when(ok, F.col("height")).alias("height"), F.coalesce("n", F.lit(0)).alias("n_violations"))
+    return docs.select("doc_id", F.when(ok, "ok").otherwise("error").alias("status"), F.col("f.kind").alias("error_kind"), F.col("f.message").alias("error_message"), F.when(ok, F.col("width")).alias("width"), F.when(ok, F.col("height")).alias("height"), F.col("n").alias("n_violations"))
 
 
 def rule_counts(elements: DataFrame) -> DataFrame:

@@ -149,21 +149,30 @@ def covers_board(nodes: DataFrame, margin: float = 1e-6) -> DataFrame:
 
 
 def violations(boards: DataFrame, assets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """board_id, rule (from 1), n: every check that fails, with how often."""
-    sides = [boards.where(~(finite(F.col(c)) & (F.col(c) > 0))).select("board_id", F.lit(i).alias("rule")) for i, c in ((1, "width"), (2, "height"))]
-    images = nodes.where("kind = 'image'").select("board_id", "asset_id")
-    double = assets.groupBy("board_id", "asset_id").count().where("count > 1").select("board_id", F.lit(3).alias("rule"))
-    flat = assets.where("width <= 0 OR height <= 0").select("board_id", F.lit(4).alias("rule"))
-    missing = images.join(assets, ["board_id", "asset_id"], "left_anti").select("board_id", F.lit(5).alias("rule"))
-    unused = assets.join(images, ["board_id", "asset_id"], "left_anti").select("board_id", F.lit(6).alias("rule"))
-    checked = nodes.select("board_id", F.array_compact(F.array(F.when(~node_is_finite(), 7), F.when(~node_is_valid(), 8))).alias("rules"))
-    ranges = checked.select("board_id", F.explode("rules").alias("rule"))
-    placed = nodes.where("kind = 'image'").select("board_id", "matrix").join(boards.select("board_id", F.col("width").alias("bw"), F.col("height").alias("bh")), "board_id")
-    full = covers_board(placed).where("covers").select("board_id", F.lit(9).alias("rule"))
-    found = sides[0]
-    for part in (sides[1], double, flat, missing, unused, ranges, full):
-        found = found.unionByName(part)
-    return found.groupBy("board_id", "rule").agg(F.count("*").alias("n"))
+    """board_id, rule (from 1), n: every check that fails, with how often.
+
+    Each table is counted before it meets another: assets and image references by asset, nodes by board.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def told(rows: DataFrame, **counts: Column) -> DataFrame:
+        pairs = F.array(*(F.struct(F.lit(int(rule[1:])).alias("rule"), F.coalesce(n, none).alias("n")) for rule, n in counts.items()))
+        return rows.select("board_id", F.explode(F.filter(pairs, lambda p: p["n"] > 0)).alias("p")).select("board_id", "p.*")
+
+    def bad(side: str) -> Column:
+        return F.when(~(finite(F.col(side)) & (F.col(side) > 0)), one)
+
+    sizes = told(boards, r1=bad("width"), r2=bad("height"))
+    images = nodes.where("kind = 'image'")
+    held = assets.groupBy("board_id", "asset_id").agg(F.count("*").alias("held"), F.count_if((F.col("width") <= 0) | (F.col("height") <= 0)).alias("flat"))
+    used = images.groupBy("board_id", "asset_id").agg(F.count("*").alias("used"))
+    double = F.when(F.col("held") > 1, one)
+    by_asset = told(held.join(used, ["board_id", "asset_id"], "full"), r3=double, r4=F.col("flat"), r5=F.when(F.col("held").isNull(), F.col("used")), r6=F.when(F.col("used").isNull(), F.col("held")))
+    ranges = told(nodes, r7=F.when(~node_is_finite(), one), r8=F.when(~node_is_valid(), one))
+    placed = images.select("board_id", "matrix").join(boards.select("board_id", F.col("width").alias("bw"), F.col("height").alias("bh")), "board_id")
+    full = covers_board(placed).where("covers").select("board_id", F.lit(9).alias("rule"), one.alias("n"))
+    found = sizes.unionByName(by_asset).unionByName(ranges).unionByName(full)
+    return found.groupBy("board_id", "rule").agg(F.sum("n").alias("n"))
 
 
 def validate_scenes(boards: DataFrame, assets: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -602,21 +602,21 @@ _SAYS = "CASE CAST(doc_id AS BIGINT) % 12 " + " ".join(f"WHEN {i} THEN '{m}'" fo
 SELECT doc_id, CASE WHEN m IS NULL THEN 'ok' ELSE 'error' END AS status, CASE WHEN m = 'malformed' THEN 'invalid_svg' WHEN m IS NOT NULL THEN 'unsupported_svg' END AS error_kind, m AS message,
   CASE WHEN m IS NULL THEN CAST(p_size AS DOUBLE) * (CAST(96 AS DOUBLE) / 72) END AS width, CASE WHEN m IS NULL THEN CAST(96 AS DOUBLE) END AS height FROM s""")
 def audit_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = markup.audit_markup(components.cut(markup.tokenize_markup(_svgs(spark, sf_dir))))
+    found = markup.audit_markup(markup.tokenize_markup(_svgs(spark, sf_dir)))
     message = F.when(F.col("error_kind") == "invalid_svg", "malformed").otherwise(F.col("error_message"))
     return found.select("doc_id", "status", "error_kind", message.alias("message"), "width", "height")
 
 
 @query(f"""WITH d AS (SELECT CAST(p_partkey AS VARCHAR) AS doc_id FROM part), s AS (SELECT {_SAYS} AS m FROM d WHERE {_SAYS} <> 'malformed') SELECT 'unsupported_svg' AS kind, m AS message, count(*) AS n, count(*) AS docs FROM s GROUP BY m""")
 def markup_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.rule_counts(components.cut(markup.tokenize_markup(_svgs(spark, sf_dir)))).where("kind = 'unsupported_svg'")
+    return markup.rule_counts(markup.tokenize_markup(_svgs(spark, sf_dir))).where("kind = 'unsupported_svg'")
 
 
 @query()
 def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as markup: hardly any is well-formed XML, and each gets its own status."""
     docs = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.encode("html", "UTF-8").alias("content"))
-    return markup.audit_markup(components.cut(markup.tokenize_markup(docs)))
+    return markup.audit_markup(markup.tokenize_markup(docs))
 
 
 @query("""SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)url\\([^)]*\\)')) AS INTEGER) AS urls, contains(lower(html), '@import') AS imports FROM pages""")
@@ -627,4 +627,4 @@ def page_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT CAST(p_partkey AS VARCHAR) AS board_id, 'data:image/svg+xml;base64,' || to_base64(encode({_SVG.format(w="p_size || 'pt'", body=_BODY)})) AS href FROM part WHERE p_partkey % 12 IN (0, 5)""")
 def svg_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _svgs(spark, sf_dir)
-    return markup.svg_nodes(docs, markup.audit_markup(components.cut(markup.tokenize_markup(docs)))).select("board_id", "href")
+    return markup.svg_nodes(docs, markup.audit_markup(markup.tokenize_markup(docs))).select("board_id", "href")
