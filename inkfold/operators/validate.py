@@ -6,8 +6,6 @@ matrix, opacity, clips, commands, style, shapes, text, target, bounds, href), pa
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +13,9 @@ from pyspark.sql import functions as F
 from inkfold.constants import COVERAGE_TOLERANCE
 from inkfold.functions import geometry
 
+#: The tolerance of a board's cover is one of so many parts of an image's side.
+PARTS = round(1 / COVERAGE_TOLERANCE)
+
 POINT = "struct<x:double,y:double>"
 COMMANDS = f"array<struct<kind:string,first:{POINT},second:{POINT},end:{POINT}>>"
 COLOR = "struct<r:double,g:double,b:double>"
@@ -113,18 +114,20 @@ def _unit_corners(m: Column, width: Column, height: Column) -> list[Column]:
 
 
 def _covers_exactly(m: pd.DataFrame, width: pd.Series, height: pd.Series) -> pd.Series:
-    """In exact rational numbers."""
+    """In whole numbers: doubles are fractions of powers of two, and the largest of them makes all of a row's whole."""
 
-    def covers(row, w: float, h: float) -> bool:
-        a, b, c, d, e, f, w, h = map(Fraction, (*row, w, h))
+    def covers(*values: float) -> bool:
+        ratios = [v.as_integer_ratio() for v in values]
+        unit = max(below for _, below in ratios)
+        a, b, c, d, e, f, w, h = (above * (unit // below) for above, below in ratios)
         det = a * d - b * c
-        if not det:
-            return False
-        low, high = -Fraction(1, 10**9), 1 + Fraction(1, 10**9)
+        sign = 1 if det > 0 else -1
+        low, high = -abs(det), abs(det) * (PARTS + 1)
         corners = [(x - e, y - f) for x in (0, w) for y in (0, h)]
-        return all(low <= u <= high for x, y in corners for u in ((d * x - c * y) / det, (a * y - b * x) / det))
+        return det != 0 and all(low <= PARTS * sign * u <= high for x, y in corners for u in (d * x - c * y, a * y - b * x))
 
-    return pd.Series([covers(r, w, h) for r, w, h in zip(m[list("abcdef")].itertuples(index=False), width, height, strict=True)], dtype=bool)
+    columns = [m[c].to_numpy(float).tolist() for c in "abcdef"] + [x.to_numpy(float).tolist() for x in (width, height)]
+    return pd.Series([covers(*row) for row in zip(*columns, strict=True)], dtype=bool)
 
 
 def covers_board(nodes: DataFrame, margin: float = 1e-6) -> DataFrame:
@@ -133,18 +136,16 @@ def covers_board(nodes: DataFrame, margin: float = 1e-6) -> DataFrame:
     Doubles decide where they're clear of every bound; the rest, few, are decided exactly.
     """
     m, bw, bh = F.col("matrix"), F.col("bw"), F.col("bh")
-    corners = _unit_corners(m, bw, bh)
+    corners = F.array(*_unit_corners(m, bw, bh))
     low, high = -COVERAGE_TOLERANCE, 1 + COVERAGE_TOLERANCE
     scale = F.greatest(F.abs(m["a"] * m["d"]), F.abs(m["b"] * m["c"]))
-    sound = F.lit(True)
-    for u in corners:
-        sound = sound & F.coalesce((F.abs(u) < 1e12) & (F.abs(u - low) > margin) & (F.abs(u - high) > margin), F.lit(False))
-    sound = sound & (F.abs(geometry.determinant(m)) > scale * 1e-9) & (scale > 1e-290) & (scale < 1e290)
-    inside = _all([(u >= low) & (u <= high) for u in corners])
-    rows = nodes.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    clear = rows.where("sound").withColumn("covers", inside).drop("sound")
+    apart = F.forall(corners, lambda u: F.coalesce((F.abs(u) < 1e12) & (F.abs(u - low) > margin) & (F.abs(u - high) > margin), F.lit(False)))
+    sound = apart & (F.abs(geometry.determinant(m)) > scale * 1e-9) & (scale > 1e-290) & (scale < 1e290)
+    inside = F.forall(corners, lambda u: (u >= low) & (u <= high))
+    rows = nodes.withColumn("covers", F.when(sound, inside))
+    clear = rows.where("covers IS NOT NULL")
     usable = _fields(m, "a b c d e f") & finite(bw) & finite(bh)
-    doubtful = rows.where(~F.col("sound") & usable).withColumn("covers", F.pandas_udf(_covers_exactly, "boolean")("matrix", "bw", "bh")).drop("sound")
+    doubtful = rows.where(F.col("covers").isNull() & usable).withColumn("covers", F.pandas_udf(_covers_exactly, "boolean")("matrix", "bw", "bh"))
     return clear.unionByName(doubtful)
 
 

@@ -195,3 +195,32 @@ def test_planes(spark):
     pixels, errors = images.decode(spark.createDataFrame(rows, "image_id string, width int, height int, components int, color binary, alpha binary"))
     assert sorted(tuple(r) for r in pixels.collect()) == [("gray", 0, 0, 7, 7, 7, 1), ("gray", 1, 0, 8, 8, 8, 95)]
     assert {r.image_id for r in errors.collect()} == {"short", "mask", "four"}
+
+
+def test_cover_against_fractions(spark):
+    import random
+    from fractions import Fraction
+
+    def covers(a, b, c, d, e, f, w, h):
+        det, slack = a * d - b * c, Fraction(1, 10**9)
+        corners = [(x - e, y - f) for x in (0, w) for y in (0, h)]
+        return det != 0 and all(-slack <= u <= 1 + slack for x, y in corners for u in ((d * x - c * y) / det, (a * y - b * x) / det))
+
+    pick, rows = random.Random(3), []
+    for _ in range(300):
+        w, h = pick.choice([1.0, 3.0, 0.1]), pick.choice([1.0, 0.3])
+        a, d = pick.choice([w, w * (1 + 1e-9), w / (1 + 1e-9), 2 * w, 0.0, -w]), pick.choice([h, 3 * h, h * 0.999])
+        rows.append((a, pick.choice([0.0, 1e-12, 0.5]), pick.choice([0.0, -1e-10]), d, pick.choice([0.0, w, -1e-9]), pick.choice([0.0, -1e-9 * h]), w, h))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, a double, b double, c double, d double, e double, f double, bw double, bh double")
+    got = {r.id: r.covers for r in validate.covers_board(df.selectExpr("id", "struct(a, b, c, d, e, f) AS matrix", "bw", "bh")).collect()}
+    want = {i: covers(*map(Fraction, r)) for i, r in enumerate(rows)}
+    assert got == want
+    assert 0 < sum(want.values()) < len(want)
+
+
+def test_documents_that_share_an_id_are_audited_as_one(spark):
+    good, bad = b'<svg xmlns="http://www.w3.org/2000/svg" width="1" height="2"/>', b"<svg"
+    docs = spark.createDataFrame([("x", good), ("x", good), ("y", good), ("y", bad), (None, good), ("z", None)], "doc_id string, content binary")
+    got = {r.doc_id: (r.status, r.width, r.n_violations) for r in markup.audit_markup(markup.tokenize_markup(docs)).collect()}
+    assert got == {"x": ("ok", 1.0, 0), "y": ("error", None, 1), None: ("ok", 1.0, 0), "z": ("error", None, 1)}
+    assert markup.audit_markup(markup.tokenize_markup(docs.limit(0))).count() == 0
