@@ -14,9 +14,9 @@ from __future__ import annotations
 import html
 import json
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -49,6 +49,10 @@ ENDS = {
 }
 #: Elements nested deeper count as their ancestor's; no text is lost.
 DEPTH = 150
+#: Lists of siblings with more pairs than this are halved to be aligned.
+COMPARED = 40_000
+#: Percent of a host's pages that have a slot with one text, from which it is the host's.
+NEARLY_ALL = 90
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -58,12 +62,13 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Node:
     """An element, a group of elements or, without children, a text slot `#`."""
 
-    __slots__ = ("label", "children", "repeated", "optional", "into", "low", "high")
+    __slots__ = ("label", "children", "repeated", "optional", "into", "low", "high", "pages")
 
     def __init__(self, label: str, children: list[Node] | None = None, low: int = 0, high: int = 0):
         self.label, self.children, self.low, self.high = label, children if children is not None else [], low, high
         self.repeated = self.optional = False
         self.into: Node | None = None
+        self.pages = 0
 
     def found(self) -> Node:
         node = self
@@ -170,6 +175,7 @@ def merge(a: Node, b: Node) -> None:
     a.repeated |= b.repeated
     a.optional |= b.optional
     a.low, a.high = min(a.low, b.low), max(a.high, b.high)
+    a.pages += b.pages
     if b.children:
         a.children = align(a.children, b.children)
     elif a.label != "#":
@@ -177,20 +183,34 @@ def merge(a: Node, b: Node) -> None:
             x.optional = True
 
 
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of a longest common subsequence of a and each prefix of b; a bit of one number for each place of b."""
+    at: dict[str, list[int]] = {}
+    for j, x in enumerate(b):
+        at.setdefault(x, []).append(j)
+    places: dict[str, int] = {}
+    for x in set(a) & at.keys():
+        bits = np.zeros(len(b), np.uint8)
+        bits[at[x]] = 1
+        places[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    every = row = (1 << len(b)) - 1
+    for x in a:
+        if x in places:
+            hit = row & places[x]
+            row = ((row + hit) | (row - hit)) & every
+    size = (len(b) + 7) // 8
+    ones = np.unpackbits(np.frombuffer(row.to_bytes(size, "little"), np.uint8), count=len(b), bitorder="little")
+    return np.concatenate([[0], np.cumsum(1 - ones.astype(np.int64))])
+
+
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a common subsequence: a longest one, or, of very long lists, the one found from the left."""
-    if len(a) * len(b) > 40_000:
-        where: dict[str, list[int]] = {}
-        for i, x in enumerate(a):
-            where.setdefault(x, []).append(i)
-        out, low = [], 0
-        for j, x in enumerate(b):
-            places = where.get(x, [])
-            k = bisect_left(places, low)
-            if k < len(places):
-                out.append((places[k], j))
-                low = places[k] + 1
-        return out
+    """Places of a longest common subsequence. Long lists are halved where the lengths of both halves add up to the most."""
+    if len(a) * len(b) > COMPARED:
+        if len(a) == 1:
+            return [(0, b.index(a[0]))] if a[0] in b else []
+        half = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        return _common(a[:half], b[:cut]) + [(half + i, cut + j) for i, j in _common(a[half:], b[cut:])]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -267,10 +287,12 @@ def dump(node: Node) -> str:
     return json.dumps(_dump(node), ensure_ascii=False, separators=(",", ":"))
 
 
-def load(text: str, low: list[int], high: list[int]) -> Node:
+def load(text: str, low: list[int], high: list[int], pages: list[int] | None = None) -> Node:
+    """pages: how many pages have each slot; without it, none that aren't counted elsewhere."""
     root = _load(json.loads(text))
-    for slot, a, b in zip(slots(root), low, high, strict=True):
-        slot.low, slot.high = a, b
+    own = slots(root)
+    for slot, a, b, n in zip(own, low, high, pages or [0] * len(own), strict=True):
+        slot.low, slot.high, slot.pages = a, b, n
     return root
 
 
@@ -296,23 +318,25 @@ def _texts(node: Node, inside: bool) -> Iterator[Node]:
 def article_slots(stream: Node, wrapper: Node, pages: int) -> list[int]:
     """Numbers of the stream's slots that are article text, after it's aligned with its host's wrapper.
 
-    That is an article's text or, where a page marks none, what is in no part marked as something else and, if the host
-    has several pages whose texts vary, isn't the same on all of them.
+    That is an article's text or, where a page marks none, what is in no part marked as something else and whose place in
+    the wrapper hasn't one text on nearly all of the host's several pages; a page of which that leaves nothing keeps all.
+    pages are those with texts.
     """
     own = slots(stream)
     merge(wrapper, stream)
     mains = list(_mains(stream))
     if any(m.label.split(".")[0] == "article" for m in mains):
         mains = [m for m in mains if m.label.split(".")[0] == "article"]
-    if mains:
-        kept = {id(x) for m in mains for x in _texts(m, True)}
-    else:
-        some = list(_texts(stream, False))
-        varies = [x for x in some if x.found().low != x.found().high]
-        kept = {id(x) for x in (varies if pages > 1 and varies else some)}
+    some = [x for m in mains for x in _texts(m, True)] if mains else list(_texts(stream, False))
+    left = [x for x in some if mains or not _constant(x.found(), pages)]
+    kept = {id(x) for x in left or some}
     return [i for i, x in enumerate(own) if id(x) in kept]
 
 
+def _constant(slot: Node, pages: int) -> bool:
+    return pages > 1 and slot.low == slot.high and 100 * slot.pages >= NEARLY_ALL * pages
+
+
 _STREAM = "host string, stream bigint, tree string, low array<bigint>, high array<bigint>, pages bigint"
 _STREAM_TYPES = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
 
@@ -347,19 +371,20 @@ def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if wrapper is None:
             return []
         own = slots(wrapper)
-        return [(host, dump(wrapper), [x.low for x in own], [x.high for x in own], pages)]
+        return [(host, dump(wrapper), [x.low for x in own], [x.high for x in own], [x.pages for x in own], pages)]
 
-    names, kinds = ["host", "wrapper", "w_low", "w_high", "w_pages"], (_STREAM_TYPES[0], *_STREAM_TYPES[2:])
+    names, kinds = ["host", "wrapper", "w_low", "w_high", "w_count", "w_pages"], (_STREAM_TYPES[0], *_STREAM_TYPES[2:5], *_STREAM_TYPES[4:])
     for batch in batches:
         out: list[tuple] = []
         for row in batch.to_pylist():
-            root = load(row["tree"], row["low"], row["high"])
+            root = load(row["tree"], row["low"], row["high"], [row["pages"]] * len(row["low"]))
+            some = row["pages"] if row["low"] else 0
             if row["host"] != host or wrapper is None:
                 out += done()
-                host, wrapper, pages = row["host"], root, row["pages"]
+                host, wrapper, pages = row["host"], root, some
             else:
                 merge(wrapper, root)
-                pages += row["pages"]
+                pages += some
         yield _rows(out, names, kinds)
     yield _rows(done(), names, kinds)
 
@@ -368,7 +393,7 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for x in batch.to_pylist():
-            stream, wrapper = load(x["tree"], x["low"], x["high"]), load(x["wrapper"], x["w_low"], x["w_high"])
+            stream, wrapper = load(x["tree"], x["low"], x["high"]), load(x["wrapper"], x["w_low"], x["w_high"], x["w_count"])
             out.append((x["host"], x["stream"], article_slots(stream, wrapper, x["w_pages"])))
         yield _rows(out, ["host", "stream", "kept"], (pa.string(), pa.int64(), pa.list_(pa.int64())))
 
@@ -391,7 +416,7 @@ def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Few rows, used twice: written, so that the pages aren't parsed again for them.
     streams = materialize(_hosted(pages).select("host", "html").mapInArrow(_streams, _STREAM))
     dealt = streams.repartition(n, "host").sortWithinPartitions("host", "stream")
-    return streams, dealt.mapInArrow(_wrappers, "host string, wrapper string, w_low array<bigint>, w_high array<bigint>, w_pages bigint")
+    return streams, dealt.mapInArrow(_wrappers, "host string, wrapper string, w_low array<bigint>, w_high array<bigint>, w_count array<bigint>, w_pages bigint")
 
 
 def _hosted(pages: DataFrame) -> DataFrame:

@@ -116,6 +116,41 @@ def test_html(spark):
     assert html_extraction.extract(pages.limit(0)).count() == 0
 
 
+def html_of(spark, bodies):
+    pages = spark.createDataFrame([(i, "http://h.org/", b) for i, b in enumerate(bodies)], "page_id bigint, url string, html string")
+    return {r.page_id: r.text for r in html_extraction.extract(pages).collect()}
+
+
+def test_html_keeps_rare_optional_slots(spark):
+    """What one page alone has is no boilerplate; what all have is, also where a page is empty or of another kind."""
+    bodies = [f"<div><p>text {i}</p><h4>same</h4></div>" for i in range(10)]
+    bodies[3] = "<div><p>text 3</p><blockquote>quoted once</blockquote><h4>same</h4></div>"
+    got = html_of(spark, [*bodies, "", "<pre>alone</pre>"])
+    assert got == {**{i: f"text {i}" for i in range(10)}, 3: "text 3\n\nquoted once", 10: "", 11: "alone"}
+
+
+@pytest.mark.parametrize("least", [1, 30, 40_000])
+def test_common_is_longest(monkeypatch, least):
+    monkeypatch.setattr(html_extraction, "COMPARED", least)
+    r = random.Random(least)
+    for _ in range(40):
+        a, b = ([r.choice(letters) for _ in range(r.randint(0, 40))] for letters in ("abcdef", "abcdxy"))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        got = html_extraction._common(a, b)
+        assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:], strict=False))
+
+
+def test_common_of_long_lists():
+    """From the left, the x at b's end would be met first, and nothing after it."""
+    assert len(html_extraction._common(["p", "q"] * 200, ["q", *["p"] * 200])) == 200
+    assert len(html_extraction._common(["x", *map(str, range(400)), "x"], [*map(str, range(400)), "x"])) == 401
+    assert len(html_extraction._common([*map(str, range(400)), "x"], ["x", *map(str, range(400))])) == 400
+
+
 def test_wrapper_is_one_expression(spark):
     """Optional and repeated parts of a host's pages."""
     pages = spark.createDataFrame([(1, "http://h.org/1", "<div><p>a</p><p>b</p></div>"), (2, "http://h.org/2", "<div><h1>t</h1><p>c</p></div>")], "page_id bigint, url string, html string")
