@@ -318,9 +318,9 @@ def _texts(node: Node, inside: bool) -> Iterator[Node]:
 def article_slots(stream: Node, wrapper: Node, pages: int) -> list[int]:
     """Numbers of the stream's slots that are article text, after it's aligned with its host's wrapper.
 
-    That is an article's text or, where a page marks none, what is in no part marked as something else and whose place in
-    the wrapper hasn't one text on nearly all of the host's several pages; a page of which that leaves nothing keeps all.
-    pages are those with texts.
+    That is an article's text or, where a page marks none, what is in no part marked as something else. Aligned nodes have
+    equal labels, so these are the same parts of the wrapper. Of them, slots go whose place in the wrapper has one text on
+    nearly all of the host's several pages; a page of which that leaves nothing keeps all. pages are those with texts.
     """
     own = slots(stream)
     merge(wrapper, stream)
@@ -328,7 +328,7 @@ def article_slots(stream: Node, wrapper: Node, pages: int) -> list[int]:
     if any(m.label.split(".")[0] == "article" for m in mains):
         mains = [m for m in mains if m.label.split(".")[0] == "article"]
     some = [x for m in mains for x in _texts(m, True)] if mains else list(_texts(stream, False))
-    left = [x for x in some if mains or not _constant(x.found(), pages)]
+    left = [x for x in some if not _constant(x.found(), pages)]
     kept = {id(x) for x in left or some}
     return [i for i, x in enumerate(own) if id(x) in kept]
 

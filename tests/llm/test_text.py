@@ -121,6 +121,16 @@ def html_of(spark, bodies):
     return {r.page_id: r.text for r in html_extraction.extract(pages).collect()}
 
 
+def test_html_wrapper_decides_inside_articles(spark):
+    """A page's result changes with its host's other pages; a name says nothing of the box."""
+    body = "<article><h1>title {0}</h1><p>text {0}</p><section class='zz'><b>Read our guide</b></section></article>".format
+    alone = "title 0\n\ntext 0\n\nRead our guide"
+    assert html_of(spark, [body(0)])[0] == html_of(spark, [body(0)] * 3)[0] == alone
+    assert html_of(spark, [body(i) for i in range(4)]) == {i: f"title {i}\n\ntext {i}" for i in range(4)}
+    other = [body(i).replace("guide", f"guide {i}") if i else body(i) for i in range(4)]
+    assert html_of(spark, other)[0] == alone
+
+
 def test_html_keeps_rare_optional_slots(spark):
     """What one page alone has is no boilerplate; what all have is, also where a page is empty or of another kind."""
     bodies = [f"<div><p>text {i}</p><h4>same</h4></div>" for i in range(10)]
