@@ -85,6 +85,21 @@ def _roots(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, ties: list[str] | None = None, first: int = 0) -> DataFrame:
+    """rows with `name`: the number of each among those of its keys, by the order and then the ties, from `first` on.
+
+    Rows are dealt out by ranges of the order and counted by range; no task has all rows of a large key.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.repartitionByRange(n, *keys, *order).withColumn("__range", F.spark_partition_id()))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = dealt.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
+    offsets = counts.select(*keys, "__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order, *(ties or [])))
+    found = dealt.withColumn(name, own).join(offsets, [*keys, "__range"])
+    return found.withColumn(name, (F.col(name) + F.col("__before") + (first - 1)).cast("int")).drop("__range", "__before")
+
+
 def label_components(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     """Visible pixels with `label`: 8-connected components of an image, numbered from 1 by their first pixel in row order."""
     seen = pixels.where("a > 0").select("image_id", "x", "y", "r", "g", "b", "a")
@@ -98,8 +113,7 @@ def label_components(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     links = reach.join(edge.withColumnRenamed("n", "b"), ["image_id", "x", "y"]).where("a <> b").select("a", "b").distinct()
     roots = _roots(links)
     nodes = local.select(node.alias("node")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    order = Window.partitionBy("image_id").orderBy("ly", "lx")
-    numbers = nodes.select("root.*").distinct().withColumn("label", F.row_number().over(order))
+    numbers = numbered(nodes.select("root.*").distinct(), ["image_id"], ["ly", "lx"], "label", first=1)
     named = nodes.join(numbers.select(F.struct("image_id", "ly", "lx").alias("root"), "label"), "root").select("node.*", "label")
     return local.join(named, ["image_id", "ly", "lx"]).select("image_id", "x", "y", "r", "g", "b", "a", "label")
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.constants import BIN_WIDTH, FAINT_OPACITY, FIELD_MARGIN, FIELD_TILE, HISTOGRAM_BINS, NORMALIZATION_RADIUS, NORMALIZED_FLOOR, POINT_LIMIT, RECONSTRUCTION_LEVEL, SUPERSAMPLING, TRACEABLE_ALPHA, VECTOR_FLOOR_ALPHA
 from inkfold.operators import contours
+from inkfold.operators.components import cut, numbered
 from inkfold.operators.groups import map_groups
 
 TILE = 256
@@ -242,24 +243,51 @@ def close_contours(edges: DataFrame, sizes: DataFrame, curved: bool) -> DataFram
     return map_groups(sized, ["image_id", "label", "style"], _closed(curved), schema)
 
 
-def _shapes(found: DataFrame, by: str, empty: str, images: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Shapes of each image in the order of `by`, contours by their start; and errors of empty or too complex images."""
-    parts = found.groupBy("image_id", by).agg(F.array_sort(F.collect_list(F.struct("start_x", "start_y", "contour"))).alias("c"), F.max("packed").alias("packed"), F.max("opacity").alias("opacity"))
-    order = F.row_number().over(Window.partitionBy("image_id").orderBy(by)) - 1
+def _channels() -> Column:
     channel = lambda shift: F.shiftright("packed", shift).bitwiseAND(255) / 255.0
-    shapes = parts.select("image_id", order.alias("shape_seq"), F.struct(channel(16).alias("r"), channel(8).alias("g"), channel(0).alias("b")).alias("color"), (F.col("opacity") / 255.0).alias("opacity"), F.transform("c", lambda x: x["contour"]).alias("path"))
+    return F.struct(channel(16).alias("r"), channel(8).alias("g"), channel(0).alias("b")).alias("color")
+
+
+def _within_limit(found: DataFrame, empty: str, images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Contours of images that have any and are below the point limit; and errors of the other images. Nothing is collected."""
     points = images.select("image_id").distinct().join(found.groupBy("image_id").agg(F.sum("n_points").alias("points")), "image_id", "left")
     error = F.when(F.col("points").isNull(), empty).when(F.col("points") > POINT_LIMIT, "vector artwork exceeds the point complexity limit")
     errors = points.select("image_id", error.alias("error")).where("error IS NOT NULL")
-    return shapes.join(errors, "image_id", "left_anti"), errors
+    return found.join(errors, "image_id", "left_anti"), errors
 
 
-def trace_pixels(labeled: DataFrame, sizes: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """(shapes, errors) of the pixel parts: polygons of each quantized style, in the order of styles."""
+def _shapes(found: DataFrame, by: str, empty: str, images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Shapes of each image in the order of `by`, contours by their start; and errors of empty or too complex images."""
+    found, errors = _within_limit(found, empty, images)
+    parts = found.groupBy("image_id", by).agg(F.array_sort(F.collect_list(F.struct("start_x", "start_y", "contour"))).alias("c"), F.max("packed").alias("packed"), F.max("opacity").alias("opacity"))
+    order = F.row_number().over(Window.partitionBy("image_id").orderBy(by)) - 1
+    shapes = parts.select("image_id", order.alias("shape_seq"), _channels(), (F.col("opacity") / 255.0).alias("opacity"), F.transform("c", lambda x: x["contour"]).alias("path"))
+    return shapes, errors
+
+
+def _pixel_contours(labeled: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
     found = close_contours(pixel_edges(labeled, sizes, tile), sizes, False)
     own = F.col("style").cast("long") + (1 << 31)
-    found = found.withColumns({"style": own, "packed": F.shiftright(own, 8), "opacity": own.bitwiseAND(255)})
-    return _shapes(found, "style", "vector artwork contains no visible shapes", labeled)
+    return found.withColumns({"style": own, "packed": F.shiftright(own, 8), "opacity": own.bitwiseAND(255)})
+
+
+_NO_SHAPES = "vector artwork contains no visible shapes"
+
+
+def trace_contours(labeled: DataFrame, sizes: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(contours, errors) like trace_pixels, with a row for each contour: its shape and its number in the shape, from 0.
+
+    For large images: no row or task holds all contours of an image or of a style.
+    """
+    found, errors = _within_limit(cut(_pixel_contours(labeled, sizes, tile)), _NO_SHAPES, labeled)
+    shapes = numbered(found.select("image_id", "style").distinct(), ["image_id"], ["style"], "shape_seq")
+    contours = numbered(found, ["image_id", "style"], ["start_x", "start_y"], "contour_seq", ["contour"]).join(shapes, ["image_id", "style"])
+    return contours.select("image_id", "shape_seq", "contour_seq", _channels(), (F.col("opacity") / 255.0).alias("opacity"), "contour"), errors
+
+
+def trace_pixels(labeled: DataFrame, sizes: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(shapes, errors) of the pixel parts: polygons of each quantized style, in the order of styles."""
+    return _shapes(_pixel_contours(labeled, sizes, tile), "style", _NO_SHAPES, labeled)
 
 
 def _curves(edges: DataFrame, sizes: DataFrame, color: DataFrame, empty: str, images: DataFrame) -> tuple[DataFrame, DataFrame]:

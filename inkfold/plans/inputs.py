@@ -46,12 +46,12 @@ PIXELS_SQL = f"""px AS (
 
 
 def large_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One image of 100 pixels in width, a pixel for each order; its key gives the place."""
+    """Images of 100 x 500 pixels, a pixel for each order; its key gives the image and the place."""
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     alpha = F.when((key * 7 + F.floor(key / 100) * 3) % 11 < 5, 0).otherwise((F.col("o_custkey") * 37) % 256)
     shade = (F.floor("o_totalprice") % 4 * 64).cast("int")
-    return o.select(F.lit("orders").alias("image_id"), (key % 100).cast("int").alias("x"), F.floor(key / 100).cast("int").alias("y"), shade.alias("r"), shade.alias("g"), F.lit(0).alias("b"), alpha.cast("int").alias("a"))
+    return o.select(F.floor(key / 50_000).cast("string").alias("image_id"), (key % 100).cast("int").alias("x"), F.floor(key % 50_000 / 100).cast("int").alias("y"), shade.alias("r"), shade.alias("g"), F.lit(0).alias("b"), alpha.cast("int").alias("a"))
 
 
 def image_sizes(pixels: DataFrame) -> DataFrame:

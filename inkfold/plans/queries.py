@@ -235,10 +235,12 @@ def trace_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def trace_large_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One large image in tiles of 32."""
+    """Large images in tiles of 32: a row for each contour, or for an image's error."""
     pixels = inputs.large_pixels(spark, sf_dir)
-    labeled = components.label_components(pixels, 32)
-    return _shape_rows(tracing.trace_pixels(labeled, inputs.image_sizes(pixels), 32)[0])
+    labeled = components.cut(components.label_components(pixels, 32))
+    contours, errors = tracing.trace_contours(labeled, inputs.image_sizes(pixels), 32)
+    points = F.size("contour.segments") + 1
+    return contours.withColumn("points", points).unionByName(errors, allowMissingColumns=True)
 
 
 @query()

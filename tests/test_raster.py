@@ -122,6 +122,36 @@ def test_tiled_trace_is_whole_trace(spark, tile):
     assert whole == tiled
 
 
+def test_contours_are_the_shapes_paths(spark):
+    random = np.random.default_rng(6)
+    images = {i: {(x, y): (int(random.integers(0, 3)) * 100, 0, 0, int(random.choice([0, 0, 120, 255]))) for x in range(17) for y in range(11)} for i in "ij"}
+    labeled = components.label_components(frame(spark, images | {"empty": {(0, 0): gray(50)}})).cache()
+    side = sizes(spark, i=(17, 11), j=(17, 11), empty=(1, 1))
+    shapes, errors = tracing.trace_pixels(labeled, side, 4)
+    found, found_errors = tracing.trace_contours(labeled, side, 4)
+    assert found_errors.collect() == errors.collect() and errors.count() == 1
+    want = [(r.image_id, r.shape_seq, i, r.color, r.opacity, c) for r in shapes.collect() for i, c in enumerate(r.path)]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in found.collect()) and len(want) > 20
+
+
+def test_large_images(spark, monkeypatch):
+    """Images grow in number, and one beyond the point limit is an error, not nothing."""
+    from inkfold.plans import inputs, queries
+
+    assert inputs.image_sizes(inputs.large_pixels(spark, "/root/testdata/sf0.1")).where("width <= 100 AND height <= 500").count() > 1
+    run = queries.trace_large_image
+    assert {r.error for r in run(spark, "/root/testdata/sf0.001").collect()} == {None}
+    monkeypatch.setattr(tracing, "POINT_LIMIT", 10)
+    (row,) = run(spark, "/root/testdata/sf0.001").collect()
+    assert (row.image_id, row.error, row.contour) == ("0", "vector artwork exceeds the point complexity limit", None)
+
+
+def test_numbers_over_ranges(spark):
+    rows = [("a", (i * 7919) % 501) for i in range(501)] + [("b", 3), ("b", 1)]
+    got = components.numbered(spark.createDataFrame(rows, "k string, v int").repartition(5), ["k"], ["v"], "n", first=1).collect()
+    assert sorted((r.k, r.v, r.n) for r in got) == sorted([("a", i, i + 1) for i in range(501)] + [("b", 1, 1), ("b", 3, 2)])
+
+
 def test_smooth_line(spark):
     labeled = components.label_components(frame(spark, {"line": {(x, 2): gray(255) for x in range(2, 10)}}))
     kinds = components.component_kinds(labeled)
