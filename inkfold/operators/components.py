@@ -5,37 +5,20 @@ Pixels are labeled in tiles of bounded size; only the pixels along tile borders
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.constants import HALF_COVERAGE, RECONSTRUCTION_PEAK, THIN_WIDTH, UNTRACED_INK, VECTOR_FLOOR_ALPHA
 from inkfold.functions import colors
+from inkfold.operators.connected import roots
 from inkfold.operators.groups import map_groups
+from inkfold.tables import materialize as cut
 
 TILE = 256
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that executors share; one for this machine only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='inkfold-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder, which lost executors don't lose."""
-    path = f"{_shared(df.sparkSession)}/inkfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _local_labels(tile: int):
     def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         """The first pixel of each 8-connected component within its tile, for many tiles at once."""
@@ -67,24 +50,6 @@ def _local_labels(tile: int):
     return run
 
 
-def _roots(links: DataFrame) -> DataFrame:
-    """links(a, b) of orderable ids -> (node, root), the least id of each component, by large-star and small-star rounds."""
-    links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
-    mark = None
-    while True:
-        both = links.union(links.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, ties: list[str] | None = None, first: int = 0) -> DataFrame:
     """rows with `name`: the number of each among those of its keys, by the order and then the ties, from `first` on.
 
@@ -111,8 +76,8 @@ def label_components(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     near = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (0, 1), (1, 1), (-1, 1))))
     reach = edge.withColumn("d", F.explode(near)).select("image_id", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), F.col("n").alias("a"))
     links = reach.join(edge.withColumnRenamed("n", "b"), ["image_id", "x", "y"]).where("a <> b").select("a", "b").distinct()
-    roots = _roots(links)
-    nodes = local.select(node.alias("node")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    joined = roots(links)
+    nodes = local.select(node.alias("node")).distinct().join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     numbers = numbered(nodes.select("root.*").distinct(), ["image_id"], ["ly", "lx"], "label", first=1)
     named = nodes.join(numbers.select(F.struct("image_id", "ly", "lx").alias("root"), "label"), "root").select("node.*", "label")
     return local.join(named, ["image_id", "ly", "lx"]).select("image_id", "x", "y", "r", "g", "b", "a", "label")

@@ -13,21 +13,24 @@ ROWS = 50_000
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Frames of many rows that end where a group ends. Rows come sorted by the keys."""
+    """Frames of many rows that end where a group ends. Rows come sorted by the keys; each is copied once.
+
+    Only a batch's own rows are looked at, so the time is linear however long a group is.
+    """
     held: list[pd.DataFrame] = []
-    rows = 0
+    rows, last = 0, None
     for batch in batches:
-        if len(batch):
-            held.append(batch)
-            rows += len(batch)
-        if rows < ROWS:
+        if not len(batch):
             continue
-        frame = pd.concat(held, ignore_index=True)
-        same = np.logical_and.reduce([(frame[k] == frame[k].iloc[-1]).to_numpy() for k in keys])
-        cut = len(frame) - int(np.argmin(same[::-1])) if not same.all() else 0
-        if cut:
-            yield frame.iloc[:cut]
-        held, rows = [frame.iloc[cut:]], len(frame) - cut
+        now = tuple(batch[k].iloc[-1] for k in keys)
+        if rows + len(batch) >= ROWS:
+            same = np.logical_and.reduce([(batch[k] == v).to_numpy() for k, v in zip(keys, now, strict=True)])
+            cut = len(batch) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut or last not in (None, now):
+                yield pd.concat([*held, batch.iloc[:cut]], ignore_index=True)
+                held, rows, batch = [], 0, batch.iloc[cut:]
+        held.append(batch)
+        rows, last = rows + len(batch), now
     if rows:
         yield pd.concat(held, ignore_index=True)
 
