@@ -1,7 +1,6 @@
 """Quality classifier: Naive Bayes support vectors.
 
-Features are indicators of the byte bigrams and trigrams in a text, and of words that come three times at an even distance
-of up to LAGS words. Each is scaled by its class log-count ratio, counted
+Features are indicators of the byte bigrams and trigrams in a text. Each is scaled by its class log-count ratio, counted
 over all training rows; a linear hinge-loss model is then fitted to the scaled, normalised indicators by dual coordinate
 descent, in one task on a bounded sample of the training rows.
 """
@@ -19,8 +18,7 @@ from inkfold.llm.common import slices, texts_of, tune
 
 #: Bigrams have a feature each; trigrams share 2 ** TRIGRAM_BITS by a hash.
 TRIGRAM_BITS = 18
-LAGS = 4
-FEATURES = (1 << 16) + (1 << TRIGRAM_BITS) + LAGS
+FEATURES = (1 << 16) + (1 << TRIGRAM_BITS)
 #: Rows that the hinge-loss model is fitted to, at most: those with the least hashes.
 FIT_ROWS = 4000
 #: Added to each count, the loss's weight, and the passes over the sample.
@@ -29,19 +27,14 @@ SMOOTHING, COST, PASSES = 1.0, 10.0, 20
 
 def features(text: str) -> np.ndarray:
     """The distinct features of a whole text, sorted."""
-    whole = text.encode("utf-8", "surrogatepass")
-    raw = np.frombuffer(whole, np.uint8).astype(np.uint32)
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
     pairs = raw[:-1] << 8 | raw[1:]
     triples = (pairs[:-1] << 8 | raw[2:]) * np.uint32(2654435761) >> np.uint32(32 - TRIGRAM_BITS)
-    words = whole.split()
-    again = [lag for lag in range(1, LAGS + 1) if any(a == b == c for a, b, c in zip(words, words[lag:], words[2 * lag :], strict=False))]
-    lags = np.array(again, np.uint32) + np.uint32(FEATURES - LAGS - 1)
     if len(raw) < 20_000:
-        return np.concatenate([np.unique(np.concatenate([pairs, triples + np.uint32(1 << 16)])), lags])
+        return np.unique(np.concatenate([pairs, triples + np.uint32(1 << 16)]))
     seen = np.zeros(FEATURES, bool)
     seen[pairs] = True
     seen[triples + (1 << 16)] = True
-    seen[lags] = True
     return np.flatnonzero(seen).astype(np.uint32)
 
 
@@ -94,12 +87,22 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], si
     return weights
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        found = [features(text) for text in texts_of(batch).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("pick"), batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["pick", "label", "features"])
+
+
 def _fitted(ratios: np.ndarray):
+    """The sample comes as features, at most FEATURES numbers a row, sorted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = sorted((x["pick"], x["text"] or "", x["label"]) for batch in batches for x in batch.to_pylist())
-        rows = [features(text) for _, text, _ in sample]
+        rows, signs = [], []
+        for batch in batches:
+            rows += [np.array(x.values.to_numpy(zero_copy_only=False), np.uint32) for x in batch.column("features")]
+            signs += [1.0 if label else -1.0 for label in batch.column("label").to_pylist()]
         values = [scaled(own, ratios) for own in rows]
-        weights = dual_coordinate_descent(rows, values, np.array([1.0 if label else -1.0 for *_, label in sample]), FEATURES)
+        weights = dual_coordinate_descent(rows, values, np.array(signs), FEATURES)
         some = np.flatnonzero(weights)
         for at in range(0, len(some), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(some[at : at + 50_000]), pa.array(weights[some[at : at + 50_000]])], names=["feature", "weight"])
@@ -120,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
     ratios = _log_count_ratios(rows.join(known.hint("merge"), "doc_id").select("text", "label"))
     sample = known.withColumn("pick", F.xxhash64("doc_id", "label")).orderBy("pick", "doc_id", "label").limit(fit_rows)  # ids alone
     texts = rows.join(F.broadcast(sample), "doc_id").select("pick", "text", "label")
-    found = texts.repartition(1).mapInArrow(_fitted(ratios), "feature bigint, weight double").toPandas()
+    featured = texts.mapInArrow(_featured, "pick bigint, label int, features array<int>")
+    found = featured.repartition(1).sortWithinPartitions("pick", "label", "features").mapInArrow(_fitted(ratios), "feature bigint, weight double").toPandas()
     weights = np.zeros(FEATURES + 1)
     weights[found.feature] = found.weight
     return ratios, weights

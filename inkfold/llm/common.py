@@ -1,15 +1,17 @@
-"""Helpers that the corpus operators share: tables kept in the shared folder, words of a batch, row-sized batches."""
+"""Helpers that the corpus operators share: words of a batch, batches of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from inkfold.tables import materialize
+
+__all__ = ["materialize", "partitions", "slices", "sums", "texts_of", "tune", "words_of"]
 
 #: Rows of one Arrow batch between the JVM and Python. Documents can be long, so it's well below Spark's own default.
 BATCH_ROWS = 2000
@@ -24,23 +26,6 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the cluster names none, a temporary one (local mode)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='inkfold-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back. Cuts the lineage; lost executors don't lose it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/inkfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

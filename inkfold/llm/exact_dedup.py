@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.llm.common import materialize, partitions, slices, texts_of, tune
@@ -148,10 +148,15 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows and columns of docs without those that dedup drops: one row of each group of equal texts stays."""
+    """The rows and columns of docs without those that dedup drops: one row of each group of equal texts stays.
+
+    Of rows that agree in the doc_id that stays and in the normalised text, the one whose columns have the least hash stays.
+    """
     kept = dedup(docs, block_bytes).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    # The same normal form as in the blocks; with the doc_id it names a row, and repeated rows are one.
+    # The same normal form as in the blocks; with the doc_id it names a row.
     text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    rows = docs.withColumns({"__row_id": F.col("doc_id").cast("long"), "__row_sha": F.sha2(text, 256)})
+    hashed = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not f.dataType.simpleString().count("map<")))
+    rows = docs.withColumns({"__row_id": F.col("doc_id").cast("long"), "__row_sha": F.sha2(text, 256), "__row_hash": hashed})
     same = F.col("__row_id").eqNullSafe(F.col("__id")) & (F.col("__row_sha") == F.col("__sha"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["__row_id", "__row_sha"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    first = F.row_number().over(Window.partitionBy("__row_id", "__row_sha").orderBy("__row_hash"))
+    return rows.join(kept, same, "left_semi").withColumn("__row_no", first).where("__row_no = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

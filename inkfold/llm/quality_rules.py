@@ -28,13 +28,13 @@ class Rules:
 
     least_words and repeat_percent are the base rules: words in three-word windows found twice. least_repeat is the
     number of words from which a repeated substring counts; covered_percent limits the share of words under such
-    substrings; longest_percent and longest_words limit the longest one, which fails only beyond both.
+    substrings, and must be below repeat_percent to say more than the base rules; longest_percent and longest_words limit the longest one, which fails only beyond both.
     """
 
     least_words: int = 50
     repeat_percent: int = 50
     least_repeat: int = 5
-    covered_percent: int = 50
+    covered_percent: int = 30
     longest_percent: int = 15
     longest_words: int = 50
 

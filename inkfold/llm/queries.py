@@ -90,7 +90,7 @@ FROM d JOIN g USING (t)
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,7 @@ m AS (
     coalesce(b.covered, 0) AS covered, far.doc_id IS NOT NULL AS too_long
   FROM n LEFT JOIN lines USING (doc_id) LEFT JOIN words a ON a.doc_id = n.doc_id AND a.k = 3 LEFT JOIN words b ON b.doc_id = n.doc_id AND b.k = 5 LEFT JOIN far ON far.doc_id = n.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * covered <= 50 * n_words AND NOT too_long AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * covered <= 30 * n_words AND NOT too_long AS kept
 FROM m
 """
 

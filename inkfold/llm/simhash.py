@@ -7,10 +7,14 @@ needs no variants: if all the others differ by two bits, it is equal.
 
 The index holds distinct fingerprints, so copies never meet pairwise. What shares a variant is linked by a spanning
 forest, not by all its pairs: a variant adds fewer links than it has rows, however dense a group is.
+
+One fingerprint finds copies with small changes. For a similarity of 0.8, a text has several fingerprints of independent
+hashes, each with its own index; texts are linked where any of them are near.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,13 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.llm.common import materialize, partitions, slices, texts_of, tune
-from inkfold.llm.components import components
+from inkfold.operators.connected import roots
 
 SEED = 42
 SHINGLE_WORDS = 3
 MAX_BITS = 2
-#: Beyond so many fingerprints under one variant, neighbours are looked up by their differing bits, not by comparing rows.
+#: For texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+SIMILAR = {"shingle_words": 5, "max_bits": 5, "prints": 4}
+#: Beyond so many fingerprints under one variant, rows are no longer compared in step; links are the same.
 COMPARED = 64
+#: Up to so many sets of differing bits, neighbours are looked up by them; beyond, components are grown row by row.
+LOOKED_UP = 1000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -44,8 +52,7 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """A bit is set if it's set in over half the hashes; signed."""
+def _counted(hashes: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         lanes = hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8)
@@ -53,17 +60,31 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): a fingerprint for each row; nulls and texts without words have 0."""
+def fingerprint(hashes: np.ndarray, number: int = 0) -> int:
+    """A bit is set if it's set in over half the hashes; signed. Further fingerprints are of the hashes mixed with their number."""
+    if number:
+        with np.errstate(over="ignore"):
+            hashes = hashes + np.uint64(number * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            hashes = hashes ^ (hashes >> np.uint64(31))
+    return _counted(hashes)
+
+
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, prints: int = 1) -> DataFrame:
+    """(doc_id, fps): each row's fingerprints; nulls and texts without words have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [fingerprint(shingle_hashes(x, shingle_words)) for x in texts_of(batch).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            found = []
+            for text in texts_of(batch).to_pylist():
+                hashes = shingle_hashes(text, shingle_words)
+                found.append([fingerprint(hashes, n) for n in range(prints)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "fps"])
 
     tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    return rows.mapInArrow(run, "doc_id bigint, fps array<bigint>")
 
 
 def segments(max_bits: int) -> list[tuple[int, int, list[int]]]:
@@ -74,15 +95,20 @@ def segments(max_bits: int) -> list[tuple[int, int, list[int]]]:
     return [(a, b - a, [-1] if exact_last and b == 64 else list(range(a, b))) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _keys(max_bits: int) -> list[tuple[int, int]]:
+    """(bit left out or -1, the other bits of the segment) of each variant."""
+    return [(bit, ((1 << width) - 1) << low) for low, width, bits in segments(max_bits) for bit in bits]
+
+
 def _variants(max_bits: int):
-    keys = [(number, bit, ((1 << width) - 1) << low) for number, (low, width, bits) in enumerate(segments(max_bits)) for bit in bits]
+    keys = _keys(max_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = np.array([m & ~(1 << bit) if bit >= 0 else m for _, bit, m in keys], np.uint64)
+        masks = np.array([m & ~(1 << bit) if bit >= 0 else m for bit, m in keys], np.uint64)
         for batch in batches:
-            fp = batch.column("fp").to_numpy().view(np.uint64)
+            fp, number = batch.column("fp").to_numpy().view(np.uint64), batch.column("number").to_numpy()
             rest = (fp[:, None] & masks[None, :]).ravel().view(np.int64)
-            kind = np.tile(np.arange(len(keys), dtype=np.int16), len(fp))
+            kind = (number[:, None] * len(keys) + np.arange(len(keys))[None, :]).ravel().astype(np.int16)
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(rest), pa.array(np.repeat(fp.view(np.int64), len(keys)))], names=["kind", "rest", "fp"])
 
     return run
@@ -115,8 +141,25 @@ def _near(fp: np.ndarray, free: int, max_bits: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate(a), np.concatenate(b)
 
 
+def _grown(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest: a component grows from its first row; what has joined isn't compared with what comes later."""
+    pool, a, b = np.arange(len(fp)), [], []
+    while len(pool):
+        front, pool = [int(pool[0])], pool[1:]
+        while front and len(pool):
+            at = front.pop()
+            near = np.bitwise_count(fp[pool] ^ fp[at]) <= max_bits
+            if near.any():
+                own = pool[near]
+                a.append(own)
+                b.append(np.full(len(own), at))
+                front += own.tolist()
+                pool = pool[~near]
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
+
+
 def _links(max_bits: int):
-    keys = [(bit, ((1 << width) - 1) << low) for low, width, bits in segments(max_bits) for bit in bits]
+    keys = _keys(max_bits)
 
     def linked(kind: np.ndarray, rest: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         """Rows of whole variants, sorted: a link from each fingerprint to its root within the variant."""
@@ -132,16 +175,22 @@ def _links(max_bits: int):
             a.append(hit)
             b.append(hit + step)
         for at, size in zip(starts[sizes > COMPARED].tolist(), sizes[sizes > COMPARED].tolist(), strict=True):
-            bit, mask = keys[kind[at]]
+            bit, mask = keys[kind[at] % len(keys)]
             free = (1 << 64) - 1 & ~(mask & ~(1 << bit) if bit >= 0 else mask)
             own = fp[at : at + size]
+            if sum(math.comb(free.bit_count(), n) for n in range(1, max_bits + 1)) > LOOKED_UP:
+                x, y = _grown(own, max_bits)
+                a.append(at + x)
+                b.append(at + y)
+                continue
             order = np.argsort(own)
             x, y = _near(own[order], free, max_bits)
             a.append(at + order[x])
             b.append(at + order[y])
         root = _forest(np.concatenate(a), np.concatenate(b), len(fp))
         away = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[away].view(np.int64)), pa.array(fp[root[away]].view(np.int64))], names=["a", "b"])
+        number = pa.array((kind[away] // len(keys)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([number, pa.array(fp[away].view(np.int64)), pa.array(fp[root[away]].view(np.int64))], names=["number", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -169,35 +218,44 @@ def _links(max_bits: int):
 
 
 def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """prints(fp): distinct fingerprints. Links (a, b) that join all fingerprints which differ by at most max_bits, and no others.
+    """prints(number, fp), distinct. Links (number, a, b) that join all fingerprints of a number which differ by at most max_bits, and no others.
 
-    Each link is a chain of verified pairs within one variant.
+    Each link is a chain of verified pairs within one variant. The fingerprints under one variant, 8 bytes each, are held
+    in a task's memory together.
     """
     n = partitions(prints.sparkSession)
-    kept = prints.select("fp").mapInArrow(_variants(max_bits), "kind smallint, rest bigint, fp bigint")
+    kept = prints.select("number", "fp").mapInArrow(_variants(max_bits), "kind smallint, rest bigint, fp bigint")
     dealt = kept.repartition(n, "kind", "rest").sortWithinPartitions("kind", "rest")
-    return dealt.mapInArrow(_links(max_bits), "a bigint, b bigint")
+    return dealt.mapInArrow(_links(max_bits), "number int, a bigint, b bigint")
 
 
-def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """A row for each row of docs: doc_id, fp (signed), component_id.
+def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, prints: int = 1) -> DataFrame:
+    """A row for each row of docs: doc_id, fps (signed fingerprints), component_id.
 
     Texts with A-Z in lower case are cut into words `[^\\x20\\x09-\\x0D]+` and shingles, repeats included; a text of fewer
-    words is one shingle; without words, or null, it has fingerprint 0 and is linked like any other. Rows are linked
-    where fingerprints differ in at most max_bits bits; component_id is the smallest doc_id reachable, null only where
-    all of them are null. Repeated rows and ids stay rows. An empty table gives no rows.
+    words is one shingle; without words, or null, it has fingerprints 0 and is linked like any other. Rows are linked
+    where fingerprints of one number differ in at most max_bits bits; component_id is the smallest doc_id reachable, null
+    only where all of them are null. Repeated rows and ids stay rows. An empty table gives no rows.
     """
-    rows = materialize(fingerprints(docs, shingle_words))
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(near_links(prints, max_bits))
-    placed = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rows = materialize(fingerprints(docs, shingle_words, prints))
+    nodes = rows.groupBy("fps").agg(F.min("doc_id").alias("least"))
+    each = nodes.select("fps", F.posexplode("fps").alias("number", "fp"))
+    # Of texts that share a fingerprint the least node stands for all; near fingerprints link such nodes.
+    stands = each.groupBy("number", "fp").agg(F.min("fps").alias("stand"))
+    stands = materialize(stands) if prints > 1 else stands
+    near = near_links(stands, max_bits)
+    ends = [stands.select("number", F.col("fp").alias(c), F.col("stand").alias(f"{c}_node")) for c in "ab"]
+    links = near.join(ends[0], ["number", "a"]).join(ends[1], ["number", "b"]).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    if prints > 1:
+        links = links.unionByName(each.join(stands, ["number", "fp"]).where("fps <> stand").select(F.col("fps").alias("a"), F.col("stand").alias("b")))
+    placed = nodes.join(roots(links), F.col("fps") == F.col("node"), "left").select("fps", "least", F.coalesce("root", "fps").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = placed.join(least, "root").select("fps", "component_id")
+    return rows.join(classes, "fps").select("doc_id", "fps", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, prints: int = 1) -> DataFrame:
     """The rows and columns of docs whose doc_id is the smallest of its component; rows that share that doc_id all stay."""
-    found = near_dedup(docs, shingle_words, max_bits)
+    found = near_dedup(docs, shingle_words, max_bits, prints)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_semi")

@@ -30,18 +30,21 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: When the records were made, unless the caller says.
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_PAGE = re.compile(rb"<urn:page:(-?\d*)>")
+#: What a row's record is: too small to be compared, the response of its payload, a revisit.
+SMALL, FIRST, AGAIN = 0, 1, 2
+_PAGE = re.compile(rb"<urn:page:(-?\d*):[^<>]*>")
 
 
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _page_urn(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def record_id(page_id: int | None, what: str) -> str:
+    """`what` tells a page's records apart: a payload's digest for its one response, and a place in the bundles for others."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{what}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False, date: str = DATE) -> bytes:
+def record(what: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False, date: str = DATE) -> bytes:
     """A response record, or a revisit of another page's. A revisit keeps the HTTP head, which has the payload's length."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
@@ -49,14 +52,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_page_urn(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, what)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {uri}",
         "Content-Type: application/http;msgtype=response",
         f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
     ]
     if revisit:
-        head += [f"WARC-Refers-To: {_page_urn(refers_to)}", f"WARC-Profile: {REVISIT}"]
+        head += [f"WARC-Refers-To: {record_id(refers_to, payload_digest(payload))}", f"WARC-Profile: {REVISIT}"]
     return ("\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode("utf-8", "replace") + block + b"\r\n\r\n"
 
 
@@ -69,10 +72,10 @@ class BundleWriter:
         self.table: list[tuple[int, int]] = []
         self.open, self.size, self.index = bytearray(), 0, []
 
-    def add(self, page_id: int | None, raw: bytes) -> None:
+    def add(self, page_id: int | None, what: str, raw: bytes) -> None:
         if self.open and len(self.open) + len(raw) > self.frame_bytes:
             self._close()
-        self.index.append({"page_id": page_id, "frame": len(self.frames), "offset": len(self.open), "length": len(raw)})
+        self.index.append({"page_id": page_id, "what": what, "frame": len(self.frames), "offset": len(self.open), "length": len(raw)})
         self.open += raw
         self.size += len(raw)
 
@@ -131,26 +134,28 @@ def parse(frame: bytes) -> Iterator[tuple[dict[str, bytes], bytes, bytes]]:
 
 def _bundles(frame_bytes: int, bundle_bytes: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, writer = TaskContext.get().partitionId(), 0, BundleWriter(frame_bytes)
-        index = pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())]))
+        part, number, at, writer = TaskContext.get().partitionId(), 0, 0, BundleWriter(frame_bytes)
+        index = pa.list_(pa.struct([("page_id", pa.int64()), ("what", pa.string()), ("frame", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())]))
 
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}-{number:06d}.warc.zst"]), pa.array([writer.finish()], pa.binary()), pa.array([writer.index], index)], names=["bundle", "content", "records"])
 
         for batch in batches:
-            for page, url, html, first, revisit in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id", "revisit")), strict=True):
-                raw = record(page, url, html.encode("utf-8", "surrogatepass"), first, revisit, date)
+            for page, url, html, first, role in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id", "role")), strict=True):
+                payload, at = html.encode("utf-8", "surrogatepass"), at + 1
+                what = payload_digest(payload) if role == FIRST else f"{part}.{at}"
+                raw = record(what, page, url, payload, first, role == AGAIN, date)
                 if writer.size and writer.size + len(raw) > bundle_bytes:
                     yield done()
                     number, writer = number + 1, BundleWriter(frame_bytes)
-                writer.add(page, raw)
+                writer.add(page, what, raw)
         if writer.size:
             yield done()
 
     return run
 
 
-BUNDLES = "bundle string, content binary, records array<struct<page_id:bigint,frame:bigint,offset:bigint,length:bigint>>"
+BUNDLES = "bundle string, content binary, records array<struct<page_id:bigint,what:string,frame:bigint,offset:bigint,length:bigint>>"
 
 
 def bundles(pages: DataFrame, least_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, date: str = DATE) -> DataFrame:
@@ -158,23 +163,27 @@ def bundles(pages: DataFrame, least_bytes: int = 0, frame_bytes: int = FRAME_BYT
 
     pages: page_id, url, html; other columns are ignored. Null html is an empty payload, a null url is `urn:none`. Of equal
     payloads of at least least_bytes, the row with the smallest page_id is written as a response and the others as its
-    revisits; rows that repeat that page_id and payload are responses too. A null page_id counts as the largest: of rows
-    that all have none, each is a response. An empty table gives no bundle.
+    revisits; a null page_id counts as the largest. Of rows that repeat that page_id and payload, the one with the smallest
+    url, and of those one of the table's, is the response. Every record has an identifier of its own. An empty table gives
+    no bundle.
     """
     tune(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("same", F.sha2("html", 256))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     # Written, so that the join has an exchange on either side and the copies of one payload can be split.
-    first = materialize(rows.groupBy("same").agg(F.min("page_id").alias("first_id")))
-    revisit = (F.octet_length("html") >= least_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    told = rows.join(first.hint("merge"), "same").select("page_id", "url", "html", "first_id", revisit.alias("revisit"))
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "row")
+    first = materialize(rows.groupBy("same").agg(F.min(order).alias("first")).select("same", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row")))
+    role = F.when(F.octet_length("html") < least_bytes, SMALL).when(F.col("row") == F.col("first_row"), FIRST).otherwise(AGAIN)
+    told = rows.join(first.hint("merge"), "same").select("page_id", "url", "html", "first_id", role.alias("role"))
     return told.mapInArrow(_bundles(frame_bytes, bundle_bytes, date), BUNDLES)
 
 
 def index(found: DataFrame) -> DataFrame:
     """record_id, page_id, bundle, frame, offset, length: where each record is, offset within its frame's records."""
     rows = found.select("bundle", F.explode("records").alias("r")).select("r.*", "bundle")
-    return rows.select(F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")).alias("record_id"), "page_id", "bundle", "frame", "offset", "length")
+    name = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), "what", F.lit(">"))
+    return rows.select(name.alias("record_id"), "page_id", "bundle", "frame", "offset", "length")
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -79,7 +79,7 @@ def brute_components(prints, bits):
     return [find(i) for i in range(len(prints))]
 
 
-@pytest.mark.parametrize("bits", [1, 2, 3])
+@pytest.mark.parametrize("bits", [1, 2, 3, 5])
 def test_links_join_all_near_fingerprints(spark, bits):
     """Random ones, dense balls with far more members than are compared pairwise, and chains."""
     r = random.Random(bits)
@@ -92,8 +92,8 @@ def test_links_join_all_near_fingerprints(spark, bits):
             prints.add(chain)
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    df = spark.createDataFrame([(p,) for p in signed], "fp bigint")
-    roots = dict(map(tuple, simhash.components(simhash.near_links(df, bits)).collect()))
+    df = spark.createDataFrame([(0, p) for p in signed], "number int, fp bigint")
+    roots = dict(map(tuple, simhash.roots(simhash.near_links(df, bits).select("a", "b")).collect()))
     got, want = {}, {}
     for p, b in zip(signed, brute_components(prints, bits), strict=True):
         got.setdefault(roots.get(p, p), set()).add(p)
@@ -118,12 +118,36 @@ def test_near_against_brute_force(spark):
         if i is not None:
             least[root] = min(least.get(root, i), i)
     want = sorted(str((i, f"{p:016x}", least.get(root))) for (i, _), p, root in zip(rows, prints, roots, strict=True))
-    got = simhash.near_dedup(frame(spark, rows)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id").collect()
+    got = simhash.near_dedup(frame(spark, rows)).select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")), "component_id").collect()
     assert sorted(str(tuple(r)) for r in got) == want
     kept = simhash.keep_one(frame(spark, rows))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
 
 
+def test_similar_texts_are_found(spark):
+    """Several fingerprints against brute force on them, and against the similarity of five-word shingles."""
+    r = random.Random(4)
+    rows = []
+    for family in range(12):
+        base = [f"w{r.randrange(3000)}" for _ in range(300)]
+        for copy in range(6):
+            words = base[:]
+            for _ in range(copy):
+                words[r.randrange(300)] = f"x{r.randrange(3000)}"
+            rows.append((family * 10 + copy, " ".join(words)))
+    prints = [[simhash.fingerprint(simhash.shingle_hashes(t, 5), n) for n in range(4)] for _, t in rows]
+    near = lambda a, b: any(((x ^ y) & (1 << 64) - 1).bit_count() <= 5 for x, y in zip(a, b, strict=True))
+    least = {i: i for i, _ in rows}
+    for _ in range(6):
+        for (i, _), a in zip(rows, prints, strict=True):
+            for (j, _), b in zip(rows, prints, strict=True):
+                if near(a, b):
+                    least[i] = least[j] = min(least[i], least[j])
+    got = {x.doc_id: x.component_id for x in simhash.near_dedup(frame(spark, rows), **simhash.SIMILAR).collect()}
+    assert got == least
+    assert all(got[i] // 10 == i // 10 for i in got) and sum(got[i] != i for i in got) >= 48
+
+
 def brute_cut(rows, window):
     """Distinct (doc_id, text) rows in order; every row gets its own result."""
     order = sorted({(2**63 - 1 if i is None else i, t or "") for i, t in rows})

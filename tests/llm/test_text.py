@@ -4,9 +4,11 @@ import base64
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from inkfold.llm import classifier, html_extraction, quality_rules, queries, warc
@@ -51,6 +53,18 @@ def test_rules(spark):
     assert quality_rules.measure(docs.limit(0)).count() == 0
 
 
+def test_covered_share_decides_alone(spark):
+    """Passages of six words, each twice: 30 % of the words are under repeats in one text, and 31 % in the other."""
+    texts = []
+    for single in (140, 132):
+        passages = [" ".join(f"p{k}x{i}" for i in range(6)) for k in range(5)]
+        texts.append(" ".join([*passages, *(f"u{i}" for i in range(single)), *reversed(passages)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    a, b = sorted(quality_rules.measure(docs).collect(), key=lambda r: r.doc_id)
+    assert (a.n_covered_words, a.n_words, b.n_covered_words, b.n_words) == (60, 200, 60, 192)
+    assert not a.base_failed and not b.base_failed and b.longest_repeat < 50 and a.kept and not b.kept
+
+
 def test_rules_sql(spark):
     assert_same(queries.op5_quality_rules(spark, SF), tables(SF), queries.OP5_SQL)
 
@@ -67,6 +81,43 @@ def test_dual_coordinate_descent_separates():
     assert np.mean([np.sign(w[x].sum() + w[-1]) == s for x, s in zip(rows, signs, strict=True)]) > 0.98
 
 
+def test_log_count_ratios_against_counts(spark):
+    import numpy as np
+
+    r = random.Random(3)
+    rows = [(i, "".join(r.choices("abcé ", k=r.randint(0, 30)))) for i in range(60)] + [(90, None), (91, "")]
+    labels = [(i, int(i % 3 == 0)) for i, _ in rows] + [(0, 1), (1, None), (999, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ratios, _ = classifier.fit(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    text, counts = dict(rows), {0: collections.Counter(), 1: collections.Counter()}
+    for i, label in labels:
+        if label is not None and i in text:
+            counts[label].update(classifier.features(text[i] or "").tolist())
+    one, zero = (np.array([counts[k][f] + classifier.SMOOTHING for f in range(classifier.FEATURES)]) for k in (1, 0))
+    assert np.allclose(ratios, np.log(one / one.sum()) - np.log(zero / zero.sum()))
+
+
+def test_dual_coordinate_descent_reaches_the_primal_optimum():
+    """No step away from the weights lowers half their square plus the cost of the hinge losses; the dual gap closes."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    rows = [np.sort(r.choice(20, 6, replace=False)) for _ in range(120)]
+    values = [r.normal(size=6) for _ in rows]
+    signs = np.where(r.random(120) < 0.5, 1.0, -1.0)
+    w = classifier.dual_coordinate_descent(rows, values, signs, 20, cost=0.7, passes=4000)
+
+    def primal(w):
+        return w @ w / 2 + 0.7 * sum(max(0.0, 1 - s * (w[x] @ v + w[-1])) for x, v, s in zip(rows, values, signs, strict=True))
+
+    best = primal(w)
+    for size in (1e-3, 1e-2, 0.1):
+        for _ in range(300):
+            step = r.normal(size=21)
+            assert primal(w + size * step / np.linalg.norm(step)) >= best * (1 - 1e-4)  # it stops at steps below 1e-3
+    assert best < primal(np.zeros(21))
+
+
 def test_classifier_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries.op9_quality_classifier(spark, sf).collect()}
@@ -180,27 +231,31 @@ def test_warc(spark):
     for i, _, h in rows:
         if i is not None:
             least[h or ""] = min(least.get(h or "", i), i)
-    want = collections.Counter()
+    want, responses = collections.Counter(), set()
     for i, _, h in rows:
         raw, first = (h or "").encode(), least.get(h or "")
-        revisit = first is not None and i != first
+        revisit = i != first or h in responses
+        if not revisit:
+            responses.add(h)
         want[i, "revisit" if revisit else "response", first if revisit else None, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode()] += 1
     assert got == want
     contents = {r.bundle: r.content for r in found}
     for r in warc.index(made).collect():
         raw = warc.read_record(bytes(contents[r.bundle]), r.frame, r.offset, r.length)
         assert f"WARC-Record-ID: {r.record_id}".encode() in raw and raw.endswith(b"\r\n\r\n")
+    ids = [r.record_id for r in warc.index(made).collect()]
+    assert len(set(ids)) == len(ids) == len(rows)
+    referred = {x for c in contents.values() for x in re.findall(r"WARC-Refers-To: (\S+)", zstandard.ZstdDecompressor().stream_reader(bytes(c), read_across_frames=True).read().decode())}
+    assert referred and referred <= set(ids)
     assert warc.bundles(pages.limit(0)).count() == 0
     few = warc.records(warc.bundles(pages, least_bytes=5)).where("record_type = 'revisit'").count()
     assert few == 0
 
 
 def test_warc_bundle_is_plain_zstandard(spark):
-    import zstandard
-
     writer = warc.BundleWriter(50)
     for i in range(5):
-        writer.add(i, warc.record(i, "u", b"x" * 30))
+        writer.add(i, str(i), warc.record(str(i), i, "u", b"x" * 30))
     raw = writer.finish()
     plain = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read()
     assert plain.count(b"WARC/1.1") == 5 and sum(s for *_, s in warc.seek_table(raw)) == len(plain)
@@ -238,9 +293,17 @@ def test_pipeline_stages(stages):
     from inkfold.llm import simhash
 
     ordered = sorted(exact, key=lambda r: r["doc_id"])
-    prints = [simhash.fingerprint(simhash.shingle_hashes(r["text"], 3)) for r in ordered]
-    roots = brute_components(prints, 2)
-    assert ids(near) == sorted(ordered[i]["doc_id"] for i, root in enumerate(roots) if i == root)
+    least = {r["doc_id"]: r["doc_id"] for r in ordered}
+    prints = [[simhash.fingerprint(simhash.shingle_hashes(r["text"], 5), n) for r in ordered] for n in range(4)]
+    for _ in range(3):  # components of the union of four graphs
+        for own in prints:
+            groups = {}
+            for r, root in zip(ordered, brute_components(own, 5), strict=True):
+                groups.setdefault(root, []).append(r["doc_id"])
+            for group in groups.values():
+                low = min(least[i] for i in group)
+                least |= {i: low for i in group}
+    assert ids(near) == sorted(i for i, low in least.items() if i == low)
     by = {r["doc_id"]: r for r in cut}
     wanted = {}
     for line in brute_cut([(r["doc_id"], r["text"]) for r in near], 20):
