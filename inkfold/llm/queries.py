@@ -177,12 +177,14 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bpe_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = [np.array(x or (), "<u4") for x in batch.column("ids").to_pylist()]
+        lists, texts = batch.column("ids"), batch.column("text").cast(pa.binary())
+        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, ends = memoryview(lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()), 4 * np.cumsum(n)
         cols = {
             "doc_id": batch.column("doc_id"),
-            "n_tokens": pa.array(map(len, ids), pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
-            "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in batch.column("text").to_pylist()], pa.string()),
+            "n_tokens": pa.array(n),
+            "ids_sha256": pa.array([hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip((ends - 4 * n).tolist(), ends.tolist(), strict=True)], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in texts], pa.string()),
         }
         yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
