@@ -164,8 +164,8 @@ def brute_cut(rows, window):
     return sorted(str((i, *out[2**63 - 1 if i is None else i, t or ""])) for i, t in rows)
 
 
-@pytest.mark.parametrize(("window", "anchor", "hot", "held"), [(20, 8, 256, 1 << 18), (20, 8, 2, 1 << 18), (5, 2, 1, 3), (6, 6, 256, 2), (3, 1, 4, 5)])
-def test_substrings(spark, window, anchor, hot, held):
+@pytest.mark.parametrize(("window", "anchor", "hot", "held", "hot_rows"), [(20, 8, 256, 1 << 18, 256), (20, 8, 2, 1 << 18, 2), (5, 2, 1, 3, 2), (6, 6, 256, 2, 3), (3, 1, 4, 5, 1), (3, 1, 4, 5, 999)])
+def test_substrings(spark, window, anchor, hot, held, hot_rows):
     """Few words make many repeats within and across documents; low limits send anchors to the split of hot ones."""
     r = random.Random(window + hot)
     passages = [[f"w{r.randrange(60)}" for _ in range(r.randint(15, 70))] for _ in range(8)]
@@ -178,7 +178,7 @@ def test_substrings(spark, window, anchor, hot, held):
         rows.append((i, " ".join(words)))
     rows += [(70, "x y " * 300), (71, "x y " * 100), (72, "z " * 90), (73, None), (74, ""), (75, " \t "), (5, rows[5][1]), (None, rows[6][1]), (None, "y x " * 40), (-1, rows[7][1])]
 
-    got = substring_dedup.substring_dedup(frame(spark, rows), window, anchor=anchor, hot=hot, held_rows=held).collect()
+    got = substring_dedup.substring_dedup(frame(spark, rows), window, anchor=anchor, hot=hot, held_rows=held, hot_rows=hot_rows).collect()
     assert sorted(str(tuple(x)) for x in got) == brute_cut(rows, window)
 
 
