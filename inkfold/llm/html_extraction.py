@@ -5,8 +5,9 @@ streams of a host are then aligned one after another into its wrapper, a union-f
 merged, what only one has becomes optional, and texts become slots that are constant or vary. A page's stream is aligned
 with its host's wrapper once more to tell which of its slots are the article's.
 
-Only streams and wrappers meet by host. They are small, and a wrapper is made by merging streams as they come, so a host
-may have any number of pages; the texts are dealt out by host and stream, and a large host's rows can be split.
+Only streams and wrappers meet by host. They are small, and wrappers are made by merging streams as they come: first of
+each of `PARTS` parts of a host's streams, then of the parts, so that no task reads all streams of a host. The texts are
+dealt out by host and stream, and a large host's rows can be split. All walks over trees are loops: depth has no limit.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,11 @@ from pyspark.sql import functions as F
 
 from inkfold.llm.common import materialize, partitions, slices, texts_of, tune
 
-# The elements of HTML that begin a block, that have no end tag, whose content isn't markup, and whose
-# content isn't article text; roles and name parts that say the same of an element.
+# The elements of HTML that begin a block, that have no end tag, and whose content isn't markup.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head".split())
 VOID = frozenset("area base basefont br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+# Choices: the elements, roles and name parts whose content isn't article text.
 OUTSIDE = frozenset("nav header footer aside form head dialog menu noscript template svg math button select object audio video canvas map fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note".split())
 NAMES = frozenset(
@@ -47,15 +48,18 @@ ENDS = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
 }
-#: Elements nested deeper count as their ancestor's; no text is lost.
-DEPTH = 150
-#: Lists of siblings with more pairs than this are halved to be aligned.
+#: Parts of a host's streams that are merged apart before they meet.
+PARTS = 64
+#: Lists of siblings with more pairs than this are halved to be aligned; both ways find a longest common subsequence.
 COMPARED = 40_000
 #: Percent of a host's pages that have a slot with one text, from which it is the host's.
 NEARLY_ALL = 90
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|[^<]+|<""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)(>?)")
+#: The end of a tag, or its next attribute. A quote that never closes isn't one; only a page's last can be such.
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)|(?=>)))?+)""")
+_COMMENT_END = re.compile(r"--!?>")
+_NAMED = frozenset({"class", "id", "role", "itemprop", "hidden"})
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -77,12 +81,23 @@ class Node:
         return node
 
 
-def _label(tag: str, attributes: str) -> str:
-    """Tag and class; `!` marks what isn't article text, `?` what isn't unless it's in an article, `*` an article's body."""
+def _attributes(text: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes that matter of a tag whose name ends at `at`, and where the tag ends; -1: nowhere. Each place is read once."""
     values: dict[str, str] = {}
-    if attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    while m := _ATTRIBUTE.match(text, at):
+        at = m.end()
+        if m[1]:
+            return values, at
+        name = m[2].lower()
+        if name in _NAMED:
+            values.setdefault(name, m[3] or m[4] or m[5] or "")
+    return values, -1
+
+
+def _label(tag: str, values: dict[str, str]) -> str:
+    """Tag and class; `!` marks what isn't article text, `?` what isn't unless it's in an article, `*` an article's body."""
+    if not values and tag not in OUTSIDE:
+        return tag
     named = {p.lower() for key in ("class", "id") for p in _PARTS.findall(values.get(key, ""))}
     role = values.get("role", "").lower()
     mark = ""
@@ -97,10 +112,45 @@ def _label(tag: str, attributes: str) -> str:
     return f"{tag}.{re.sub(r'\\d+', '0', values.get('class', '').strip())}{mark}" if values.get("class") or mark else tag
 
 
+_RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
+
+
+class _Open:
+    """The open elements of a page, with the places of each name, so that finding one takes no walk."""
+
+    def __init__(self, root: Node):
+        self.stack: list[tuple[str, Node]] = [("", root)]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, node: Node) -> None:
+        self.stack[-1][1].children.append(node)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def _nearest(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def close(self, names, until=()) -> None:
+        """Close the nearest element of one of the names, and all in it, unless one of `until` is nearer."""
+        at = self._nearest(names)
+        if at and at > self._nearest(until):
+            for tag, _ in self.stack[at:]:
+                self.places[tag].pop()
+            del self.stack[at:]
+
+    def close_paragraph(self) -> None:
+        """A paragraph that no other block is in ends before a block."""
+        for tag, _ in reversed(self.stack):
+            if tag in BLOCKS:
+                if tag == "p":
+                    self.close({"p"})
+                return
+
+
 def parse(text: str) -> tuple[Node, list[tuple[Node, str]]]:
-    """The tree of a page's blocks, and its texts in order, each with its slot."""
+    """The tree of a page's blocks, and its texts in order, each with its slot. Time is in proportion to the page."""
     root = Node("")
-    stack: list[tuple[str, Node]] = [("", root)]
+    opened = _Open(root)
     texts: list[tuple[Node, str]] = []
     held: list[str] = []
 
@@ -111,41 +161,52 @@ def parse(text: str) -> tuple[Node, list[tuple[Node, str]]]:
             block = " ".join(words)
             hashed = xxhash.xxh64_intdigest(block) >> 1
             slot = Node("#", None, hashed, hashed)
-            stack[-1][1].children.append(slot)
+            opened.stack[-1][1].children.append(slot)
             texts.append((slot, block))
 
-    def close(names: set[str], until: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in until:
-                return
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-
-    at = 0
-    while m := _TOKEN.match(text, at):
-        at = m.end()
-        end, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
-            if m[0][0] != "<" or m[0] == "<":
-                held.append(html.unescape(m[0]))
+    at, size = 0, len(text)
+    while at < size:
+        begin = text.find("<", at)
+        if begin < 0:
+            begin = size
+        if begin > at:
+            held.append(html.unescape(text[at:begin]))
+        if begin == size:
+            break
+        m = _TAG.match(text, begin)
+        if m is None:
+            if text.startswith("<!--", begin):
+                # An empty comment may be cut short.
+                short = next((len(x) for x in ("<!-->", "<!--->") if text.startswith(x, begin)), 0)
+                over = _COMMENT_END.search(text, begin + 4)
+                at = begin + short if short else over.end() if over else size
+            elif text[begin + 1 : begin + 2] in ("!", "?", "/"):
+                at = text.find(">", begin) + 1 or size
+            else:
+                held.append("<")
+                at = begin + 1
             continue
-        tag = name.lower()
-        if end:
-            if tag in BLOCKS or any(n == tag for n, _ in stack):
+        values: dict[str, str] = {}
+        at = m.end()
+        if not m[3]:
+            values, at = _attributes(text, at)
+            if at < 0:
+                break  # a tag that never ends
+        tag = m[2].lower()
+        if m[1]:
+            if tag in BLOCKS or opened.places.get(tag):
                 flush()
-                close({tag}, {"article", "main"} - {tag} if tag == "p" else set())
+                opened.close({tag}, {"article", "main"} if tag == "p" else ())
             continue
         if tag == "br":
             held.append(" ")
             continue
         if tag in RAW:
-            over = re.compile(rf"</{tag}[\s/>]", re.I).search(text, at)
-            inner = over.start() if over else len(text)
-            closing = text.find(">", inner)
-            at = len(text) if closing < 0 else closing + 1
+            over = _RAW_END[tag].search(text, at)
+            closing = text.find(">", over.start()) if over else -1
+            at = size if closing < 0 else closing + 1
             continue
-        label = _label(tag, attributes)
+        label = _label(tag, values)
         if tag in BLOCKS or label[-1] in "!?*":
             if tag in VOID:
                 if tag in BLOCKS:
@@ -153,17 +214,12 @@ def parse(text: str) -> tuple[Node, list[tuple[Node, str]]]:
                 continue
             flush()
             if tag in BLOCKS:
-                close({"p"}, BLOCKS - {"p"} if tag not in ENDS else set(BLOCKS) - {"p"})
+                opened.close_paragraph()
             if tag in ENDS:
-                close(*ENDS[tag])
-            if attributes.endswith("/") and tag in ("svg", "math"):
+                opened.close(*ENDS[tag])
+            if text[at - 2] == "/" and tag in ("svg", "math"):
                 continue
-            node = Node(label)
-            if len(stack) < DEPTH or label[-1] in "!?*":
-                stack[-1][1].children.append(node)
-            else:
-                node = stack[-1][1]
-            stack.append((tag, node))
+            opened.push(tag, Node(label))
     flush()
     fold(root)
     return root, texts
@@ -171,16 +227,20 @@ def parse(text: str) -> tuple[Node, list[tuple[Node, str]]]:
 
 def merge(a: Node, b: Node) -> None:
     """b's pages, too, now match a."""
-    b.into = a
-    a.repeated |= b.repeated
-    a.optional |= b.optional
-    a.low, a.high = min(a.low, b.low), max(a.high, b.high)
-    a.pages += b.pages
-    if b.children:
-        a.children = align(a.children, b.children)
-    elif a.label != "#":
-        for x in a.children:
-            x.optional = True
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        b.into = a
+        a.repeated |= b.repeated
+        a.optional |= b.optional
+        a.low, a.high = min(a.low, b.low), max(a.high, b.high)
+        a.pages += b.pages
+        if b.children:
+            a.children, pairs = align(a.children, b.children)
+            todo += pairs
+        elif a.label != "#":
+            for x in a.children:
+                x.optional = True
 
 
 def _lengths(a: list[str], b: list[str]) -> np.ndarray:
@@ -227,26 +287,32 @@ def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def align(a: list[Node], b: list[Node]) -> list[Node]:
-    """Siblings of two streams: what both have is merged, what one has is optional."""
+def align(a: list[Node], b: list[Node]) -> tuple[list[Node], list[tuple[Node, Node]]]:
+    """Siblings of two streams, and the pairs of them to merge: what both have; what one has is optional."""
     out: list[Node] = []
+    pairs: list[tuple[Node, Node]] = []
     i = j = 0
     for x, y in [*_common([n.label for n in a], [n.label for n in b]), (len(a), len(b))]:
         for node in [*a[i:x], *b[j:y]]:
             node.optional = True
             out.append(node)
         if x < len(a):
-            merge(a[x], b[y])
+            pairs.append((a[x], b[y]))
             out.append(a[x])
         i, j = x + 1, y + 1
-    return out
+    return out, pairs
+
 
+def fold(root: Node) -> None:
+    """Fold siblings that repeat with a period of one, two or three into a repeated element or group, from the leaves up."""
+    order = [root]
+    for node in order:
+        order += [x for x in node.children if x.children]
+    for node in reversed(order):
+        _fold(node)
 
-def fold(node: Node) -> None:
-    """Fold siblings that repeat with a period of one, two or three into a repeated element or group."""
-    for child in node.children:
-        if child.children:
-            fold(child)
+
+def _fold(node: Node) -> None:
     for period in (1, 2, 3):
         out: list[Node] = []
         rest, at = node.children, 0
@@ -269,18 +335,38 @@ def fold(node: Node) -> None:
         node.children = out
 
 
+def _walk(node: Node, into: Callable[[Node], bool] = lambda _: True) -> Iterator[Node]:
+    """The nodes below, in page order, but for those below a node that isn't to be gone into."""
+    todo = node.children[::-1]
+    while todo:
+        node = todo.pop()
+        yield node
+        if node.children and into(node):
+            todo += reversed(node.children)
+
+
 def slots(node: Node) -> list[Node]:
-    return [node] if node.label == "#" else [x for child in node.children for x in slots(child)]
+    return [node] if node.label == "#" else [x for x in _walk(node) if x.label == "#"]
 
 
 def _dump(node: Node) -> list:
-    return [node.label, int(node.repeated) | int(node.optional) << 1, [_dump(x) for x in node.children]]
+    """Label, marks and number of children of each node, parents before children."""
+    return [x for n in (node, *_walk(node)) for x in (n.label, int(n.repeated) | int(n.optional) << 1, len(n.children))]
 
 
 def _load(data: list) -> Node:
-    node = Node(data[0], [_load(x) for x in data[2]])
-    node.repeated, node.optional = bool(data[1] & 1), bool(data[1] & 2)
-    return node
+    root, todo = Node(""), []
+    for at in range(0, len(data), 3):
+        node = root if at == 0 else Node("")
+        node.label, node.repeated, node.optional = data[at], bool(data[at + 1] & 1), bool(data[at + 1] & 2)
+        if at:
+            todo[-1][0].children.append(node)
+            todo[-1][1] -= 1
+        if data[at + 2]:
+            todo.append([node, data[at + 2]])
+        while todo and not todo[-1][1]:
+            todo.pop()
+    return root
 
 
 def dump(node: Node) -> str:
@@ -296,23 +382,17 @@ def load(text: str, low: list[int], high: list[int], pages: list[int] | None = N
     return root
 
 
+def _is_main(node: Node) -> bool:
+    return node.label[-1:] not in ("!", "?") and (node.label.split(".")[0].rstrip("*") in ("article", "main") or node.label.endswith("*"))
+
+
 def _mains(node: Node) -> Iterator[Node]:
     """The outermost articles, or else bodies of text, that nothing marks as something else."""
-    if node.label and node.label[-1] in "!?":
-        return
-    if node.label.split(".")[0].rstrip("*") in ("article", "main") or node.label.endswith("*"):
-        yield node
-        return
-    for child in node.children:
-        yield from _mains(child)
+    return (x for x in _walk(node, lambda x: x.label[-1:] not in ("!", "?") and not _is_main(x)) if _is_main(x))
 
 
 def _texts(node: Node, inside: bool) -> Iterator[Node]:
-    for child in node.children:
-        if child.label == "#":
-            yield child
-        elif child.label[-1] != "!" and (inside or child.label[-1] != "?"):
-            yield from _texts(child, inside)
+    return (x for x in _walk(node, lambda x: x.label[-1] != "!" and (inside or x.label[-1] != "?")) if x.label == "#")
 
 
 def article_slots(stream: Node, wrapper: Node, pages: int) -> list[int]:
@@ -363,30 +443,36 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows([(*k, *v) for k, v in found.items()], ["host", "stream", "tree", "low", "high", "pages"], _STREAM_TYPES)
 
 
-def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams come sorted by host; each is merged into the host's wrapper as it comes."""
-    host, wrapper, pages = None, None, 0
+_WRAPPER = "host string, wrapper string, w_low array<bigint>, w_high array<bigint>, w_count array<bigint>, w_pages bigint"
 
-    def done() -> list[tuple]:
-        if wrapper is None:
-            return []
-        own = slots(wrapper)
-        return [(host, dump(wrapper), [x.low for x in own], [x.high for x in own], [x.pages for x in own], pages)]
 
-    names, kinds = ["host", "wrapper", "w_low", "w_high", "w_count", "w_pages"], (_STREAM_TYPES[0], *_STREAM_TYPES[2:5], *_STREAM_TYPES[4:])
-    for batch in batches:
-        out: list[tuple] = []
-        for row in batch.to_pylist():
-            root = load(row["tree"], row["low"], row["high"], [row["pages"]] * len(row["low"]))
-            some = row["pages"] if row["low"] else 0
-            if row["host"] != host or wrapper is None:
-                out += done()
-                host, wrapper, pages = row["host"], root, some
-            else:
-                merge(wrapper, root)
-                pages += some
-        yield _rows(out, names, kinds)
-    yield _rows(done(), names, kinds)
+def _merged(key: tuple[str, ...]):
+    """Rows come sorted by the key; a key's trees are merged into one as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, host, wrapper, pages = None, None, None, 0
+
+        def done() -> list[tuple]:
+            if wrapper is None:
+                return []
+            own = slots(wrapper)
+            return [(host, dump(wrapper), [x.low for x in own], [x.high for x in own], [x.pages for x in own], pages)]
+
+        names, kinds = ["host", "wrapper", "w_low", "w_high", "w_count", "w_pages"], (_STREAM_TYPES[0], *_STREAM_TYPES[2:5], *_STREAM_TYPES[4:])
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                root, now = load(row["wrapper"], row["w_low"], row["w_high"], row["w_count"]), tuple(row[k] for k in key)
+                if now != last or wrapper is None:
+                    out += done()
+                    last, host, wrapper, pages = now, row["host"], root, row["w_pages"]
+                else:
+                    merge(wrapper, root)
+                    pages += row["w_pages"]
+            yield _rows(out, names, kinds)
+        yield _rows(done(), names, kinds)
+
+    return run
 
 
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,8 +501,11 @@ def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = partitions(pages.sparkSession)
     # Few rows, used twice: written, so that the pages aren't parsed again for them.
     streams = materialize(_hosted(pages).select("host", "html").mapInArrow(_streams, _STREAM))
-    dealt = streams.repartition(n, "host").sortWithinPartitions("host", "stream")
-    return streams, dealt.mapInArrow(_wrappers, "host string, wrapper string, w_low array<bigint>, w_high array<bigint>, w_count array<bigint>, w_pages bigint")
+    counted = F.transform("low", lambda _: F.col("pages"))
+    rows = streams.select("host", "stream", F.col("tree").alias("wrapper"), F.col("low").alias("w_low"), F.col("high").alias("w_high"), counted.alias("w_count"), F.when(F.size("low") > 0, F.col("pages")).otherwise(0).alias("w_pages"))
+    parts = rows.withColumn("part", F.pmod("stream", F.lit(PARTS))).repartition(n, "host", "part").sortWithinPartitions("host", "part", "stream").mapInArrow(_merged(("host", "part")), _WRAPPER)
+    whole = parts.repartition(n, "host").sortWithinPartitions("host", "wrapper").mapInArrow(_merged(("host",)), _WRAPPER)
+    return streams, whole
 
 
 def _hosted(pages: DataFrame) -> DataFrame:

@@ -190,6 +190,63 @@ def test_html_keeps_rare_optional_slots(spark):
     assert got == {**{i: f"text {i}" for i in range(10)}, 3: "text 3\n\nquoted once", 10: "", 11: "alone"}
 
 
+def test_html_hostile_pages_take_linear_time():
+    import time
+
+    n = 100_000
+    pages = {
+        "nested": ("<div>" * n + "x" + "</div>" * n, ["x"]),
+        "marked": ("<div class=comment>" * n + "x", ["x"]),
+        "lists": ("<div>" * n + "<dt>a</dt>" * n, None),
+        "items": ("<li><ul>" + "<div>" * n + "<li></li>" * n, None),
+        "paragraphs": ("<p>a" * n, None),
+        "open tags": ("<b <i " * n, []),
+        "open tags that end": ("<b <i " * n + ">y", ["y"]),
+        "open quotes": ("<a x=\"" * n + ">y", None),
+        "one quote": ("<a x=\">" + "<b y='1'>z</b>" * n, None),
+        "comments": ("<!--" * n, []),
+        "ends": ("<p>x" + "</q>" * n, ["x"]),
+        "less": ("<" * n, None),
+        "scripts": ("<script>" * n, []),
+    }
+    for name, (text, want) in pages.items():
+        began = time.time()
+        root, texts = html_extraction.parse(text)
+        again = html_extraction.load(html_extraction.dump(root), [x.low for x in html_extraction.slots(root)], [x.high for x in html_extraction.slots(root)])
+        html_extraction.article_slots(html_extraction._load(html_extraction._dump(root)), again, 1)
+        assert time.time() - began < 15, name
+        assert want is None or [t for _, t in texts] == want, name
+
+
+def test_html_tags_and_attributes():
+    def text(body):
+        root, texts = html_extraction.parse(body)
+        kept = set(html_extraction.article_slots(html_extraction._load(html_extraction._dump(root)), html_extraction._load(html_extraction._dump(root)), 1))
+        number = {id(x): i for i, x in enumerate(html_extraction.slots(root))}
+        return [t for slot, t in texts if number[id(slot.found())] in kept]
+
+    for kept in ('style="overflow:hidden"', 'title="hidden gem"', 'aria-hidden="false"', 'data-id="share"', "title='class=nav'", "data-class=menu", 'title="a > b"', "x=a'b", "data-role='navigation'"):
+        assert text(f"<p>a</p><div {kept}>b</div><p>c</p>") == ["a", "b", "c"], kept
+    for gone in ("hidden", "HIDDEN=''", "class='x nav'", "id=share", "role = 'navigation'", "data-x='1'class=menu"):
+        assert text(f"<p>a</p><div {gone}>b</div><p>c</p>") == ["a", "c"], gone
+    assert text("<p>a<!-->b--><p>c<!--->d<!-- e --!>f<!x>g<?y>h</ z>i") == ["ab-->", "cdfghi"]
+    assert text("a < b <3 <article>x</article>") == ["x"] and text("a < b <3") == ["a < b <3"]
+    # Nested far down, an article is still one, and what is beside it still isn't.
+    deep = "<div>" * 400 + "<p>out</p><article><p>in</p></article>" + "</div>" * 400
+    assert text(deep) == ["in"]
+
+
+def test_html_wrapper_of_many_streams(spark):
+    """Every page of a host has a structure of its own; the parts of the host meet in one wrapper."""
+    bodies = ["<article>" + "<p>t</p><ul><li>u</li></ul>" * (i % 7) + f"<h2>v{i}</h2>" * (1 + i // 7) + "<b>Follow us</b></article>" for i in range(70)]
+    pages = spark.createDataFrame([(i, "http://h.org/", b) for i, b in enumerate(bodies)], "page_id bigint, url string, html string")
+    streams, found = html_extraction.wrappers(pages)
+    (row,) = found.collect()
+    assert row.w_pages == 70 and streams.select("stream").distinct().count() > 5
+    texts = {r.page_id: r.text.split("\n\n") for r in html_extraction.extract(pages).collect()}
+    assert all(f"v{i}" in t and "Follow us" not in t for i, t in texts.items())
+
+
 @pytest.mark.parametrize("least", [1, 30, 40_000])
 def test_common_is_longest(monkeypatch, least):
     monkeypatch.setattr(html_extraction, "COMPARED", least)
