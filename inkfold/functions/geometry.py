@@ -52,6 +52,13 @@ def rect_to_board(corners: Column, height: Column) -> Column:
     return F.struct(F.least(x1, x2).alias("x"), (height - (F.least(y1, y2) + high)).alias("y"), F.abs(x2 - x1).alias("width"), high.alias("height"))
 
 
+def page_size(corners: Column) -> Column:
+    """(width, height, error) of a page from the corners [x1, y1, x2, y2] of its box, in this order."""
+    width, height = corners[2] - corners[0], corners[3] - corners[1]
+    error = F.when(F.coalesce((width <= 0) | (height <= 0), F.lit(True)), "page dimensions must be positive")
+    return F.struct(F.when(error.isNull(), width).alias("width"), F.when(error.isNull(), height).alias("height"), error.alias("error"))
+
+
 def command(kind: str, end: Column | None = None, first: Column | None = None, second: Column | None = None) -> Column:
     none = F.lit(None).cast("struct<x:double,y:double>")
     return F.struct(F.lit(kind).alias("kind"), *((none if p is None else p).alias(n) for n, p in (("first", first), ("second", second), ("end", end))))

@@ -307,3 +307,26 @@ def trace_strokes(labeled: DataFrame, sizes: DataFrame, strokes: DataFrame) -> t
     color = strokes.where("stroke_color IS NOT NULL").select("image_id", "label", F.col("stroke_color").cast("long").alias("packed"))
     own = labeled.join(color.select("image_id", "label"), ["image_id", "label"], "left_semi")
     return _curves(field_edges(own, sizes), sizes, color, "reconstructed artwork contains no visible shapes", labeled)
+
+
+def prepare_artwork(parts: DataFrame, kinds: DataFrame, sizes: DataFrame, images: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(shapes, prepared) of images whose pixels, as parts, have the kinds of their components.
+
+    shapes: those of the traced, the smoothed and the reconstructed part, in this order, with numbers from 0. prepared:
+    image_id, prepared, error: vector, mixed where a residual is left beside shapes, raster where it's all there is; an
+    image of which a part can't be traced has the first part's error and no shapes.
+    """
+    of = lambda kind: parts.where(F.col("kind") == kind)
+    traced = [trace_pixels(of("pixel"), sizes, tile), trace_smooth(of("smooth"), sizes, kinds), trace_strokes(of("reconstructed"), sizes, kinds)]
+    numbered_ = [[df.withColumn("part", F.lit(i)) for df in pair] for i, pair in enumerate(traced)]
+    shapes, errors = (a.unionByName(b).unionByName(c) for a, b, c in zip(*numbered_, strict=True))
+    none = images.select("image_id").distinct().join(parts.select("image_id").distinct(), "image_id", "left_anti")
+    errors = errors.unionByName(none.select("image_id", F.lit(_NO_SHAPES).alias("error"), F.lit(0).alias("part")))
+    first = errors.groupBy("image_id").agg(F.min_by("error", "part").alias("error"))
+    united = cut(shapes.join(first, "image_id", "left_anti"))
+    order = F.row_number().over(Window.partitionBy("image_id").orderBy("part", "shape_seq")) - 1
+    drawn = united.select("image_id").distinct().withColumn("drawn", F.lit(True))
+    left = of("residual").select("image_id").distinct().withColumn("residual", F.lit(True))
+    told = images.select("image_id").distinct().join(first, "image_id", "left").join(drawn, "image_id", "left").join(left, "image_id", "left")
+    what = F.when(F.col("error").isNotNull(), None).when(F.col("residual").isNull(), "vector").when(F.col("drawn").isNull(), "raster").otherwise("mixed")
+    return united.withColumn("shape_seq", order), told.select("image_id", what.alias("prepared"), "error")

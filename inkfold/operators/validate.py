@@ -103,14 +103,22 @@ def node_is_valid() -> Column:
     return F.coalesce(by_kind, F.lit(False))
 
 
-def _unit_corners(m: Column, width: Column, height: Column) -> list[Column]:
-    """Coordinates of the board's corners in the image's unit square."""
-    det = F.nullif(geometry.determinant(m), F.lit(0.0))
-    out = []
-    for x, y in ((F.lit(0.0), F.lit(0.0)), (width, F.lit(0.0)), (F.lit(0.0), height), (width, height)):
+def _clearly_apart(m: Column, width: Column, height: Column, margin: float) -> Column:
+    """Some corner of the board is outside the image's unit square by more than doubles can err: plain comparisons only.
+
+    The determinant is good to 1e-7 and a coordinate's terms are below 1e9 determinants, so that it's good to the margin.
+    """
+    det = geometry.determinant(m)
+    scale = F.greatest(F.abs(m["a"] * m["d"]), F.abs(m["b"] * m["c"]))
+    low, high = (-COVERAGE_TOLERANCE - margin) * F.abs(det), (1 + COVERAGE_TOLERANCE + margin) * F.abs(det)
+    sign = F.when(det < 0, -1.0).otherwise(1.0)
+    out = F.lit(False)
+    for x, y in ((F.lit(0.0), F.lit(0.0)), (width, height), (width, F.lit(0.0)), (F.lit(0.0), height)):
         ox, oy = x - m["e"], y - m["f"]
-        out += [(m["d"] * ox - m["c"] * oy) / det, (m["a"] * oy - m["b"] * ox) / det]
-    return out
+        for one, two in ((m["d"] * ox, m["c"] * oy), (m["a"] * oy, m["b"] * ox)):
+            u = sign * (one - two)
+            out = out | (((u < low) | (u > high)) & (F.abs(one) + F.abs(two) < 1e9 * F.abs(det)))
+    return F.coalesce(out & (F.abs(det) > scale * 1e-9) & (scale > 1e-290) & (scale < 1e290), F.lit(False))
 
 
 def _covers_exactly(m: pd.DataFrame, width: pd.Series, height: pd.Series) -> pd.Series:
@@ -131,22 +139,14 @@ def _covers_exactly(m: pd.DataFrame, width: pd.Series, height: pd.Series) -> pd.
 
 
 def covers_board(nodes: DataFrame, margin: float = 1e-6) -> DataFrame:
-    """Image nodes (with board width and height as bw, bh) and `covers`.
+    """The image nodes (with board width and height as bw, bh) that cover their board, in one pass.
 
-    Doubles decide where they're clear of every bound; the rest, few, are decided exactly.
+    Doubles rule out what is clear of a bound; the rest, few, is decided exactly.
     """
     m, bw, bh = F.col("matrix"), F.col("bw"), F.col("bh")
-    corners = F.array(*_unit_corners(m, bw, bh))
-    low, high = -COVERAGE_TOLERANCE, 1 + COVERAGE_TOLERANCE
-    scale = F.greatest(F.abs(m["a"] * m["d"]), F.abs(m["b"] * m["c"]))
-    apart = F.forall(corners, lambda u: F.coalesce((F.abs(u) < 1e12) & (F.abs(u - low) > margin) & (F.abs(u - high) > margin), F.lit(False)))
-    sound = apart & (F.abs(geometry.determinant(m)) > scale * 1e-9) & (scale > 1e-290) & (scale < 1e290)
-    inside = F.forall(corners, lambda u: (u >= low) & (u <= high))
-    rows = nodes.withColumn("covers", F.when(sound, inside))
-    clear = rows.where("covers IS NOT NULL")
-    usable = _fields(m, "a b c d e f") & finite(bw) & finite(bh)
-    doubtful = rows.where(F.col("covers").isNull() & usable).withColumn("covers", F.pandas_udf(_covers_exactly, "boolean")("matrix", "bw", "bh"))
-    return clear.unionByName(doubtful)
+    usable = _fields(m, "a b c d e f") & finite(bw) & finite(bh) & m.isNotNull()
+    doubtful = nodes.where(usable & ~_clearly_apart(m, bw, bh, margin))
+    return doubtful.where(F.pandas_udf(_covers_exactly, "boolean")("matrix", "bw", "bh"))
 
 
 def violations(boards: DataFrame, assets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def violations(boards: DataFrame, assets: DataFrame, nodes: DataFrame) -> DataFr
     by_asset = told(held.join(used, ["board_id", "asset_id"], "full"), r3=double, r4=F.col("flat"), r5=F.when(F.col("held").isNull(), F.col("used")), r6=F.when(F.col("used").isNull(), F.col("held")))
     ranges = told(nodes, r7=F.when(~node_is_finite(), one), r8=F.when(~node_is_valid(), one))
     placed = images.select("board_id", "matrix").join(boards.select("board_id", F.col("width").alias("bw"), F.col("height").alias("bh")), "board_id")
-    full = covers_board(placed).where("covers").select("board_id", F.lit(9).alias("rule"), one.alias("n"))
+    full = covers_board(placed).select("board_id", F.lit(9).alias("rule"), one.alias("n"))
     found = sizes.unionByName(by_asset).unionByName(ranges).unionByName(full)
     return found.groupBy("board_id", "rule").agg(F.sum("n").alias("n"))
 

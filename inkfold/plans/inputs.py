@@ -59,45 +59,55 @@ def image_sizes(pixels: DataFrame) -> DataFrame:
 
 
 def renderings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(reference, generated): boards of 100 pixels in width, a pixel for each line of lineitem by its place in the order of
-    all columns; at 72 DPI the generated side departs further."""
+    """(reference, generated): a board for each hundred order keys, a row of pixels for each order, and a pixel for each of its
+    lines in the order of all columns; at 72 DPI the generated side departs further. Boards and pixels grow with lineitem."""
     line = table(spark, sf_dir, "lineitem")
-    board = (F.col("l_orderkey") % 16).alias("board")
-    place = ["l_partkey", "l_suppkey", "l_linenumber"]
-    # A pixel's place is made of its keys; where several lines fall on one pixel the darkest counts.
-    x, y = (F.col("l_partkey") % 100).cast("int").alias("x"), (F.col("l_suppkey") % 90).cast("int").alias("y")
+    order = Window.partitionBy("l_orderkey").orderBy(*(c for c in line.columns if c != "l_orderkey"))
     ink = (255 - F.floor(F.col("l_quantity") * 5)).cast("int")
-    base = line.select(board, x, y, ink.alias("ink"), (F.col("l_linenumber") % 5).alias("k"), *place).groupBy("board", "x", "y").agg(F.min("ink").alias("ink"), F.max("k").alias("k"))
-    both = base.crossJoin(F.broadcast(spark.createDataFrame([(18,), (72,)], "dpi int")))
+    board = F.floor(F.col("l_orderkey") / 100)
+    base = line.select(board.alias("board"), (F.row_number().over(order) - 1).alias("x"), (F.col("l_orderkey") % 100).cast("int").alias("y"), ink.alias("ink"), (F.col("l_linenumber") % 5).alias("k"))
+    both = base.withColumn("dpi", F.explode(F.array(F.lit(18), F.lit(72))))
     tint = F.when(F.col("k") == 4, 40).otherwise(0)
     ref = both.select(F.col("board").cast("string").alias("board_id"), "dpi", "x", "y", F.col("ink").alias("r"), F.col("ink").alias("g"), F.greatest(F.lit(0), F.col("ink") - tint).alias("b"))
-    drift = (F.col("board") * F.col("k") / F.when(F.col("dpi") == 18, 4).otherwise(2)).cast("int")
+    drift = (F.col("board") % 16 * F.col("k") / F.when(F.col("dpi") == 18, 4).otherwise(2)).cast("int")
     gen = both.select(F.col("board").cast("string").alias("board_id"), "dpi", "x", "y", F.least(F.lit(255), F.col("ink") + drift).alias("r"), F.col("ink").alias("g"), F.greatest(F.lit(0), F.col("ink") - tint).alias("b"))
     return ref, gen
 
 
 RENDERINGS_SQL = """base AS (
-  SELECT l_orderkey % 16 AS board, CAST(l_partkey % 100 AS INTEGER) AS x, CAST(l_suppkey % 90 AS INTEGER) AS y,
-    min(CAST(255 - floor(l_quantity * 5) AS INTEGER)) AS ink, max(l_linenumber % 5) AS k FROM lineitem GROUP BY ALL),
+  SELECT l_orderkey // 100 AS board, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS INTEGER) AS x,
+    CAST(l_orderkey % 100 AS INTEGER) AS y, CAST(255 - floor(l_quantity * 5) AS INTEGER) AS ink, l_linenumber % 5 AS k FROM lineitem),
 pairs AS (
   SELECT CAST(board AS VARCHAR) AS board_id, dpi, x, y, ink AS r, ink AS g, greatest(0, ink - CASE WHEN k = 4 THEN 40 ELSE 0 END) AS b,
-    least(255, ink + CAST(board * k // CASE WHEN dpi = 18 THEN 4 ELSE 2 END AS INTEGER)) AS gr, ink AS gg,
+    least(255, ink + CAST(board % 16 * k // CASE WHEN dpi = 18 THEN 4 ELSE 2 END AS INTEGER)) AS gr, ink AS gg,
     greatest(0, ink - CASE WHEN k = 4 THEN 40 ELSE 0 END) AS gb
   FROM base, (VALUES (18), (72)) AS d(dpi))"""
 
 
 def operator_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operators of a board for each user: five for each event, in the order of time and key."""
+    """Operators of a board for each user: eight for each event, in the order of time and key. The
+    last two set the state that stays: opacity, color spaces, width, dash and miter limit; and leave a curve in the path."""
     e = table(spark, sf_dir, "events")
     order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     v = F.floor(F.abs(F.col("value"))).cast("double")
     rows = e.select(F.col("user_id").cast("string").alias("board_id"), (order * 8).cast("long").alias("base"), "event_id", v.alias("v"))
 
-    def op(i: int, name: Column, nums: list[Column], label: Column | None = None) -> Column:
+    def op(i: int, name: Column, nums: list[Column], label: Column | None = None, dash: list[Column] | None = None) -> Column:
         none = F.lit(None).cast("string")
-        return F.struct(F.lit(i).alias("i"), name.alias("op"), F.array(*nums).cast("array<double>").alias("nums"), (none if label is None else label).alias("name"), F.lit(None).cast("array<double>").alias("dash"))
-
-    k = F.col("event_id") % 23
+        pattern = F.array(*dash) if dash else F.lit(None)
+        return F.struct(F.lit(i).alias("i"), name.alias("op"), F.array(*nums).cast("array<double>").alias("nums"), (none if label is None else label).alias("name"), pattern.cast("array<double>").alias("dash"))
+
+    k, s = F.col("event_id") % 23, F.col("event_id") % 8
+    sets = (
+        F.when(s == 0, op(6, F.lit("gs"), [], F.lit("GS0")))
+        .when(s == 1, op(6, F.lit("cs"), [], F.lit("CS0")))
+        .when(s == 2, op(6, F.lit("w"), [F.col("v") % 4 + 1]))
+        .when(s == 3, op(6, F.lit("d"), [F.col("v") % 3], dash=[F.col("v") % 3 + 1, F.lit(2)]))
+        .when(s == 4, op(6, F.lit("M"), [F.col("v") % 5 + 1]))
+        .when(s == 5, op(6, F.lit("CS"), [], F.lit("DeviceCMYK")))
+        .when(s == 6, op(6, F.lit("rg"), [F.lit(0.5), F.lit(0.25), F.lit(1)]))
+        .otherwise(op(6, F.lit("K"), [F.lit(0), F.lit(1), F.lit(0), F.lit(0.5)]))
+    )
     opener = F.when(F.col("event_id") % 1150 == 22, "Q").when(k < 11, "q").otherwise("n")
     ops = F.array(
         op(0, opener, []),
@@ -106,17 +116,19 @@ def operator_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
         op(3, F.when(k % 3 == 0, "S").when(k % 3 == 1, "f").otherwise("W"), []),
         op(4, F.when(k < 11, "Q").otherwise("n"), []),
         op(5, F.when(k == 5, "Do").otherwise("n"), [], F.when(k == 5, F.concat(F.lit("Im"), (F.col("event_id") % 4).cast("string")))),
+        sets,
+        F.when(s % 3 == 0, op(7, F.lit("c"), [F.col("v") % 9] * 6)).otherwise(op(7, F.when(s % 3 == 1, "v").otherwise("y"), [F.col("v") % 9] * 4)),
     )
     return rows.select("board_id", "base", F.explode(ops).alias("o")).select("board_id", (F.col("base") + F.col("o.i")).alias("seq"), "o.op", "o.nums", "o.name", "o.dash")
 
 
 STREAMS_SQL = """e AS (SELECT CAST(user_id AS VARCHAR) AS board_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 8 AS base,
-  event_id % 23 AS k, event_id % 1150 = 22 AS extra FROM events),
+  event_id, event_id % 23 AS k, event_id % 8 AS s, event_id % 1150 = 22 AS extra, floor(abs(value)) AS v FROM events),
 ops AS (
   SELECT board_id, base + i AS seq, CASE i WHEN 0 THEN CASE WHEN extra THEN 'Q' WHEN k < 11 THEN 'q' ELSE 'n' END WHEN 1 THEN 'cm' WHEN 2 THEN 're'
     WHEN 3 THEN CASE WHEN k % 3 = 0 THEN 'S' WHEN k % 3 = 1 THEN 'f' ELSE 'W' END WHEN 4 THEN CASE WHEN k < 11 THEN 'Q' ELSE 'n' END
-    ELSE CASE WHEN k = 5 THEN 'Do' ELSE 'n' END END AS op
-  FROM e, (SELECT unnest(range(6)) AS i))"""
+    WHEN 5 THEN CASE WHEN k = 5 THEN 'Do' ELSE 'n' END WHEN 6 THEN ['gs', 'cs', 'w', 'd', 'M', 'CS', 'rg', 'K'][s + 1] ELSE ['c', 'v', 'y'][s % 3 + 1] END AS op
+  FROM e, (SELECT unnest(range(8)) AS i))"""
 
 
 def stream_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -172,5 +184,6 @@ assets AS (
   SELECT CAST(k AS VARCHAR) AS board_id, CAST(p AS VARCHAR) AS asset_id, CASE WHEN p % 41 = 0 THEN 0 ELSE 8 END AS width, k % 53 = 0 AS twice FROM held),
 nodes AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS board_id, CASE WHEN l_linenumber % 4 = 0 THEN 'link' ELSE 'image' END AS kind, CAST(l_partkey AS VARCHAR) AS asset_id,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS node_seq,
     l_quantity * 8192 AS a, CASE WHEN l_quantity = 50 THEN 1000000 ELSE l_quantity END AS d, CASE WHEN l_tax > 0.079 THEN 1.5 ELSE 1 END AS opacity,
     floor(l_discount * 1024) AS w, l_quantity AS h FROM lineitem)"""

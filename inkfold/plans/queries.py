@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkfold import sinks
@@ -14,6 +14,7 @@ from inkfold.operators import links as link_nodes
 from inkfold.plans import inputs
 from inkfold.plans.inputs import PIXELS_SQL, RENDERINGS_SQL, SCENES_SQL, STREAMS_SQL, table
 from inkfold.sources import discovery, images
+from inkfold.tables import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -126,11 +127,11 @@ def clipped_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Images
 
-_CLASS_SQL = f"""WITH {PIXELS_SQL},
-c AS (SELECT image_id, max(a) AS high, CAST(count(*) FILTER (a < 255) AS DOUBLE) / count(*) AS share FROM px GROUP BY image_id),
+_DISPOSITION_SQL = """c AS (SELECT image_id, max(a) AS high, CAST(count(*) FILTER (a < 255) AS DOUBLE) / count(*) AS share FROM px GROUP BY image_id),
 d AS (SELECT image_id, CASE WHEN high = 0 THEN 'soft mask contains no visible artwork' WHEN high >= 96 AND share > 0.01 AND share < 0.02 THEN 'soft-masked image is too opaque to classify safely' END AS error,
   CASE WHEN high < 96 THEN 'low_alpha_raster' WHEN share <= 0.01 THEN 'raster' ELSE 'trace' END AS kind FROM c),
 disp AS (SELECT image_id, CASE WHEN error IS NULL THEN kind END AS disposition, error FROM d)"""
+_CLASS_SQL = f"WITH {PIXELS_SQL},\n{_DISPOSITION_SQL}"
 _PROFILE_SQL = """prof AS (SELECT image_id, count(*) AS visible, count(*) FILTER (greatest(r, g, b) - least(r, g, b) >= 28) AS chromatic, min(x) AS "left", min(y) AS top,
   max(x) + 1 AS "right", max(y) + 1 AS bottom, bool_or(a < 255) AS translucent FROM px WHERE a > 0 GROUP BY image_id)"""
 
@@ -255,6 +256,19 @@ def trace_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shape_rows(tracing.trace_strokes(parts.where("kind = 'reconstructed'"), sizes, kinds)[0])
 
 
+@query(_STATS_SQL + f""", {_DISPOSITION_SQL},
+own AS (SELECT image_id FROM disp WHERE disposition = 'trace'),
+p AS (SELECT image_id, count(kind) AS n, count(*) FILTER (kind = 'residual') AS residual FROM own LEFT JOIN kinds USING (image_id) GROUP BY image_id)
+SELECT image_id, CASE WHEN n > 0 THEN CASE WHEN residual = 0 THEN 'vector' WHEN residual = n THEN 'raster' ELSE 'mixed' END END AS prepared,
+  CASE WHEN n = 0 THEN 'vector artwork contains no visible shapes' END AS error FROM p""")
+def prepared_artwork(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that are classified to be traced, from pixels to the union of their parts' shapes."""
+    pixels = inputs.pixels(spark, sf_dir)
+    own = components.cut(pixels.join(_dispositions(pixels).where("disposition = 'trace'").select("image_id"), "image_id", "left_semi"))
+    parts, kinds, sizes = _parts(spark, own)
+    return tracing.prepare_artwork(parts, kinds, sizes, own)[1]
+
+
 @query()
 def area_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts, _, _ = _parts(spark, inputs.pixels(spark, sf_dir))
@@ -272,6 +286,16 @@ def decode_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.groupBy("image_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in "rgba"))
 
 
+@query(f"""WITH {RENDERINGS_SQL} SELECT board_id, count(*) AS n, CAST(sum(x * 1000003 + y * 7919 + r) AS BIGINT) AS placed FROM pairs WHERE dpi = 18 GROUP BY board_id""")
+def stitched_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference at 18 DPI cut into tiles of 4 x 16, and put together again."""
+    whole = inputs.renderings(spark, sf_dir)[0].where("dpi = 18")
+    tiled = whole.withColumns({"tile_x": (F.floor(F.col("x") / 4) * 4).cast("int"), "tile_y": (F.floor(F.col("y") / 16) * 16).cast("int")})
+    found = evaluate.stitch(tiled.withColumns({"x": F.col("x") - F.col("tile_x"), "y": F.col("y") - F.col("tile_y")}))
+    placed = F.col("x").cast("long") * 1000003 + F.col("y").cast("long") * 7919 + F.col("r")
+    return found.groupBy("board_id").agg(F.count("*").alias("n"), F.sum(placed).alias("placed"))
+
+
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN o_orderkey % 5 = 0 THEN 'PNG header is incomplete' WHEN o_orderkey % 5 = 1 THEN 'image does not have a PNG signature'
     WHEN o_orderkey % 5 = 2 THEN 'PNG does not start with an IHDR chunk' WHEN o_custkey % 10 = 0 THEN 'PNG dimensions must be positive' END AS error,
   CASE WHEN o_orderkey % 5 > 2 AND o_custkey % 10 > 0 THEN o_custkey % 10 END AS width, CASE WHEN o_orderkey % 5 > 2 AND o_custkey % 10 > 0 THEN o_orderkey + 1 END AS height FROM orders""")
@@ -342,11 +366,60 @@ def publishable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.publishable(nodes, gate).groupBy("board_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_VIOLATIONS_SQL + " SELECT board_id, count(*) AS n FROM nodes WHERE board_id IN (SELECT board_id FROM boards) AND board_id NOT IN (SELECT board_id FROM viol) GROUP BY board_id")
+def published_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boards that pass, written as JSON in folders, and read back."""
+    boards, assets, nodes = inputs.scenes(spark, sf_dir)
+    gate = validate.validate_scenes(boards, assets, nodes).select("board_id", (F.col("status") == "ok").alias("passed"))
+    path = new_path(spark)
+    sinks.publish(sinks.publishable(nodes, gate), path, buckets=8)
+    written = spark.read.schema("board_id string, node_seq bigint, json string, bucket int").parquet(path)
+    return written.where("json LIKE '{%}'").groupBy("board_id").agg(F.count("*").alias("n"))
+
+
+_SCENE_JSON_SQL = f"""WITH {SCENES_SQL},
+num AS (SELECT board_id, kind, asset_id, a, CAST(d AS DOUBLE) AS d, CAST(opacity AS DOUBLE) AS opacity, CAST(w AS DOUBLE) AS w, h, node_seq FROM nodes),
+txt AS (SELECT board_id, node_seq, CASE WHEN kind = 'image' THEN '{{{{"kind":"image","asset_id":"' || asset_id || '","matrix":{{{{"a":' || a || ',"b":0.0,"c":0.0,"d":' || d || ',"e":-1.0,"f":-1.0}}}},"opacity":' || opacity || '}}}}'
+  ELSE '{{{{"kind":"link","bounds":{{{{"x":0.0,"y":0.0,"width":' || w || ',"height":' || h || '}}}}}}}}' END AS j FROM num),
+c AS (SELECT board_id, string_agg(j, ',' ORDER BY node_seq) AS content FROM txt GROUP BY board_id),
+twice AS (SELECT board_id, asset_id, width FROM assets, range(CASE WHEN twice THEN 2 ELSE 1 END)),
+f AS (SELECT board_id, string_agg('{{{{"asset_id":"' || asset_id || '","file":"assets/' || asset_id || '.png","width":' || width || ',"height":8}}}}', ',' ORDER BY asset_id) AS files FROM twice GROUP BY board_id)
+SELECT board_id, '{{{{"width":' || CAST(width AS DOUBLE) || ',"height":' || CAST(height AS DOUBLE) || ',"assets":[' || coalesce(files, '') || '],"content":[' || coalesce(content, '') || ']}}}}' AS json
+FROM boards LEFT JOIN f USING (board_id) LEFT JOIN c USING (board_id)""".replace("{{", "{").replace("}}", "}")
+
+
+@query(_SCENE_JSON_SQL)
 def scene_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.scene_json(*inputs.scenes(spark, sf_dir))
 
 
+# URLs of pages, most of them replaced by ones of each kind
+
+_URLS = {
+    0: "'https://games.example.org/arcade/#/games/a-b%20' || k", 1: "'https://youtu.be/' || lpad(k, 11, 'x')", 2: "'https://www.youtube.com/watch?a=1&v=' || lpad(k, 11, '_') || '&v=z'",
+    3: "'http://m.YouTube.com/shorts/' || lpad(k, 10, 'y')", 4: "'https://youtube.com/embed/' || lpad(k, 11, '-') || '/x'", 5: "'ftp://example.org/' || k", 6: "'/relative/' || k",
+    7: "'https://example.org/%zz' || k", 8: "'https://example.org/a b' || k", 9: "'https://games.example.org:443/arcade/#/games/' || k",
+}
+_URL = "CASE page_id % 12 " + " ".join(f"WHEN {i} THEN {u}" for i, u in _URLS.items()) + " ELSE url END"
+
+
+#: What each URL is, by its text alone.
+_PARTS_SQL = f"""urls AS (SELECT page_id, {_URL} AS url FROM (SELECT page_id, url, CAST(page_id AS VARCHAR) AS k FROM pages)),
+cut AS (
+  SELECT *, regexp_full_match(url, '[A-Za-z][A-Za-z0-9+.-]*:([A-Za-z0-9._~:/?#@!$&()*+,;=-]|%[0-9A-Fa-f][0-9A-Fa-f])*') AS legal, regexp_extract(url, '^([^:]*):', 1) AS scheme,
+    lower(regexp_extract(url, '^[^:]*://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) AS pairs, regexp_extract(url, '#(.*)$', 1) AS fragment FROM urls),
+vid AS (
+  SELECT *, CASE WHEN NOT legal THEN 'invalid URI: ' || url WHEN scheme NOT IN ('http', 'https') THEN 'unsupported URI scheme: ' || url END AS error,
+    scheme = 'https' AND host = 'games.example.org' AND path = '/arcade/' AND fragment LIKE '/games/_%' AS game,
+    CASE WHEN host = 'youtu.be' THEN regexp_extract(path, '^/*([^/]*)', 1) WHEN host NOT IN ('youtube.com', 'www.youtube.com', 'm.youtube.com') THEN ''
+      WHEN path = '/watch' THEN regexp_extract('&' || pairs, '&v=([^&]*)', 1) ELSE regexp_extract(path, '^/(shorts|embed)/([^/]*)', 2) END AS v FROM cut),
+told AS (
+  SELECT page_id, url, error, CASE WHEN error IS NOT NULL THEN NULL WHEN game THEN 'game' WHEN regexp_full_match(v, '[A-Za-z0-9_-]{{{{11}}}}') THEN 'video' ELSE 'external' END AS kind, v, fragment FROM vid)""".replace("{{", "{").replace("}}", "}")
+_LINKS_SQL = f"""{_PARTS_SQL},
+good AS (SELECT CAST(page_id % 40 AS VARCHAR) AS board_id, page_id, kind FROM told
+  WHERE page_id % 9 <> 0 AND page_id % 19 <> 0 AND page_id % 17 <> 0 AND error IS NULL AND page_id % 40 IN (SELECT user_id FROM events))"""
+
+
 # Operator streams
 
 @query(f"""WITH {STREAMS_SQL},
@@ -370,9 +443,34 @@ def _interpreted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return interpret.interpret(inputs.operator_streams(spark, sf_dir), boards, *rest)
 
 
-@query()
+#: Boards with an error have no nodes; the state that stays is counted before each event of the others.
+_NODES_SQL = f"""WITH {STREAMS_SQL}, named AS (
+  SELECT board_id, seq, op, sum(CASE op WHEN 'q' THEN 1 WHEN 'Q' THEN -1 ELSE 0 END) OVER (PARTITION BY board_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS depth FROM ops),
+ids AS (SELECT CAST(user_id AS VARCHAR) AS board_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 8 + 5 AS seq, event_id, user_id FROM events),
+bad AS (
+  SELECT board_id, seq, 'graphics_state' AS error_kind, 'Q tried to restore an empty graphics-state stack' AS error_message FROM named WHERE depth < 0
+  UNION ALL SELECT board_id, seq, 'invalid_structure', 'missing image resource Im3' FROM ids WHERE user_id % 13 = 0 AND event_id % 23 = 5 AND event_id % 4 = 3
+  UNION ALL SELECT board_id, 9223372036854775807, 'graphics_state', 'content stream ended before every q had a matching Q' FROM named GROUP BY board_id HAVING arg_max(depth, seq) <> 0),
+st AS (
+  SELECT *, coalesce(sum(CASE WHEN k >= 11 THEN 1 ELSE 0 END) OVER b, 0) AS steps, coalesce(sum(CASE WHEN s = 0 THEN 1 ELSE 0 END) OVER b, 0) > 0 AS half,
+    last_value(CASE WHEN s = 2 THEN v % 4 + 1 END IGNORE NULLS) OVER b AS w, last_value(CASE WHEN s = 3 THEN v % 3 + 1 END IGNORE NULLS) OVER b AS dash,
+    last_value(CASE WHEN s = 4 THEN v % 5 + 1 END IGNORE NULLS) OVER b AS miter
+  FROM e WHERE board_id NOT IN (SELECT board_id FROM bad)
+  WINDOW b AS (PARTITION BY board_id ORDER BY base ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+n AS (
+  SELECT board_id, base + 3 AS op_seq, 0 AS sub_seq, 'path' AS kind, CAST(NULL AS VARCHAR) AS asset_id, CAST(NULL AS VARCHAR) AS href, CASE WHEN k % 3 = 0 THEN pow(2, steps + 1) ELSE 1 END AS grown, half, w, dash, miter
+  FROM st WHERE k % 3 < 2
+  UNION ALL SELECT board_id, base + 5, 0, CASE WHEN event_id % 4 IN (1, 2) THEN 'vector-artwork' ELSE 'image' END, CASE WHEN event_id % 4 IN (0, 3) THEN 'Im' || event_id % 4 END, CASE WHEN event_id % 4 IN (1, 2) THEN 'Im' || event_id % 4 END, NULL, half, NULL, NULL, NULL FROM st WHERE k = 5
+  UNION ALL SELECT board_id, base + 5, 1, 'image', 'Im2', NULL, NULL, half, NULL, NULL, NULL FROM st WHERE k = 5 AND event_id % 4 = 2)"""
+
+
+@query(_NODES_SQL + """ SELECT board_id, op_seq, sub_seq, kind, asset_id, href, CASE WHEN half THEN CAST(0.5 AS DOUBLE) ELSE 1 END AS opacity,
+  CASE WHEN kind = 'path' THEN CAST(grown * coalesce(w, 1) AS DOUBLE) END AS line_width, CASE WHEN kind = 'path' THEN CAST(coalesce(miter, 10) AS DOUBLE) END AS miter_limit,
+  CASE WHEN kind = 'path' AND dash IS NOT NULL THEN CAST(grown * dash AS DOUBLE) END AS dash FROM n""")
 def interpret_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _interpreted(spark, sf_dir)[0]
+    nodes, style = _interpreted(spark, sf_dir)[0], F.col("style")
+    own = {"opacity": F.coalesce(style["opacity"], "opacity"), "line_width": style["line_width"], "miter_limit": style["miter_limit"], "dash": F.try_element_at(style["dash"], F.lit(1))}
+    return nodes.select("board_id", "op_seq", "sub_seq", "kind", "asset_id", "href", *(c.alias(n) for n, c in own.items()))
 
 
 @query(f"""WITH {STREAMS_SQL}, named AS (
@@ -387,15 +485,14 @@ def interpret_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _interpreted(spark, sf_dir)[1]
 
 
-@query()
+@query(_NODES_SQL + """ SELECT board_id, op_seq, sub_seq, kind, CASE WHEN kind = 'vector-artwork' THEN 1 END AS shapes, CASE WHEN kind = 'vector-artwork' THEN CAST(pow(2, steps) AS DOUBLE) END AS across
+  FROM n JOIN (SELECT board_id AS sb, base, steps FROM st) ON sb = board_id AND base = op_seq // 8 * 8""")
 def place_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector or mixed placement gets a copy of the traced shapes of one image."""
-    pixels = inputs.pixels(spark, sf_dir)
-    traced = tracing.trace_pixels(components.label_components(pixels), inputs.image_sizes(pixels))[0]
-    boards, resources, *_ = inputs.stream_inputs(spark, sf_dir)
-    picked = resources.where("kind <> 'raster'").withColumn("image_id", (F.col("board_id").cast("long") % 500).cast("string"))
-    shapes = picked.join(traced, "image_id").select("board_id", F.col("name").alias("resource"), "shape_seq", "path", "color", "opacity")
-    return interpret.place_shapes(_interpreted(spark, sf_dir)[0], shapes)
+    """Every vector or mixed placement gets a copy of its resource's triangle, as wide as the matrix says."""
+    _, resources, *_ = inputs.stream_inputs(spark, sf_dir)
+    found = interpret.place_shapes(_interpreted(spark, sf_dir)[0], _unit_shapes(resources))
+    first = F.col("shapes")[0]["path"]
+    return found.select("board_id", "op_seq", "sub_seq", "kind", F.when(F.col("shapes").isNotNull(), F.size("shapes")).alias("shapes"), F.abs(first[1]["end"]["x"] - first[0]["end"]["x"]).alias("across"))
 
 
 @query()
@@ -411,6 +508,21 @@ def build_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.join(errors.select("board_id", F.col("error_message").alias("stream_error")), "board_id", "left").join(summary.scene_summary(boards, used, scene), "board_id")
 
 
+@query(f"""WITH u AS (SELECT DISTINCT user_id FROM events), r AS (SELECT user_id, unnest(range(4)) AS i FROM u)
+SELECT CAST(user_id AS VARCHAR) AS board_id, 'Im' || i AS name, CAST(row_number() OVER (PARTITION BY user_id ORDER BY i) AS INTEGER) AS position FROM r WHERE NOT (user_id % 13 = 0 AND i = 3)""")
+def resource_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each resource among its board's as they're written."""
+    found = sinks.by_name(inputs.stream_inputs(spark, sf_dir)[1])
+    return found.withColumn("position", F.row_number().over(Window.partitionBy("board_id").orderBy("name"))).select("board_id", "name", "position")
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN w > 0 AND h > 0 THEN w END AS width, CASE WHEN w > 0 AND h > 0 THEN h END AS height, CASE WHEN NOT (w > 0 AND h > 0) THEN 'page dimensions must be positive' END AS error
+FROM (SELECT *, CAST(l_partkey % 700 - l_suppkey AS DOUBLE) AS w, l_quantity - l_linenumber AS h FROM lineitem)""")
+def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = F.array(F.col("l_suppkey").cast("double"), F.col("l_linenumber").cast("double"), (F.col("l_partkey") % 700).cast("double"), F.col("l_quantity"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", geometry.page_size(box).alias("p")).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "p.*")
+
+
 def _unit_shapes(resources: DataFrame) -> DataFrame:
     """A triangle for each traced resource."""
     at = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
@@ -422,48 +534,38 @@ def _unit_shapes(resources: DataFrame) -> DataFrame:
 
 
 @query(f"""WITH {STREAMS_SQL}, o AS (SELECT board_id, count(*) AS operators FROM ops GROUP BY ALL),
-u AS (SELECT DISTINCT user_id FROM events), r AS (SELECT user_id, CASE WHEN user_id % 13 = 0 THEN 3 ELSE 4 END AS images, 2 AS vectors, CASE WHEN user_id % 13 = 0 THEN 2 ELSE 3 END AS rasters FROM u)
-SELECT CAST(user_id AS VARCHAR) AS board_id, CASE WHEN user_id % 10 = 0 THEN 2 ELSE 1 END AS pages, operators, CAST(images AS BIGINT) AS images, CAST(vectors AS BIGINT) AS vectors, CAST(rasters AS BIGINT) AS rasters, CAST(0 AS BIGINT) AS links,
-  CASE WHEN user_id % 10 = 0 THEN 'PDF must contain exactly one page, found 2' END AS error FROM r JOIN o ON o.board_id = CAST(user_id AS VARCHAR)""")
+u AS (SELECT DISTINCT user_id FROM events), {_LINKS_SQL}, k AS (SELECT board_id, count(*) AS links FROM good GROUP BY board_id),
+r AS (SELECT user_id, CASE WHEN user_id % 13 = 0 THEN 3 ELSE 4 END AS images, 2 AS vectors, CASE WHEN user_id % 13 = 0 THEN 2 ELSE 3 END AS rasters FROM u)
+SELECT CAST(user_id AS VARCHAR) AS board_id, CASE WHEN user_id % 10 = 0 THEN 2 ELSE 1 END AS pages, operators, CAST(images AS BIGINT) AS images, CAST(vectors AS BIGINT) AS vectors, CAST(rasters AS BIGINT) AS rasters, coalesce(links, 0) AS links,
+  CASE WHEN user_id % 10 <> 0 THEN printf('File: %d.pdf\nFormat: PDF\nPages: 1\nBoard: 200.0 x 100.0 pt\nOperators: %d\nImages: %d\nVector artworks: 2\nRaster images: %d\nLinks: %d\n', user_id, operators, images, rasters, coalesce(links, 0)) END AS summary,
+  CASE WHEN user_id % 10 = 0 THEN 'PDF must contain exactly one page, found 2' END AS error FROM r JOIN o ON o.board_id = CAST(user_id AS VARCHAR) LEFT JOIN k ON k.board_id = o.board_id""")
 def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     boards, resources, *_ = inputs.stream_inputs(spark, sf_dir)
     docs = boards.withColumns({"file": F.concat("board_id", F.lit(".pdf")), "pages": F.when(F.col("board_id").cast("long") % 10 == 0, 2).otherwise(1)})
-    none = boards.limit(0).select("board_id")
-    return summary.document_summary(docs, inputs.operator_streams(spark, sf_dir), resources, none).drop("summary")
+    found, _ = link_nodes.extract_links(_annotations(spark, sf_dir), boards, RULE)
+    return summary.document_summary(docs, inputs.operator_streams(spark, sf_dir), resources, found)
 
 
 # Links, texts and sources
 
-_URLS = {
-    0: "'https://games.example.org/arcade/#/games/a-b%20' || k", 1: "'https://youtu.be/' || lpad(k, 11, 'x')", 2: "'https://www.youtube.com/watch?a=1&v=' || lpad(k, 11, '_') || '&v=z'",
-    3: "'http://m.YouTube.com/shorts/' || lpad(k, 10, 'y')", 4: "'https://youtube.com/embed/' || lpad(k, 11, '-') || '/x'", 5: "'ftp://example.org/' || k", 6: "'/relative/' || k",
-    7: "'https://example.org/%zz' || k", 8: "'https://example.org/a b' || k", 9: "'https://games.example.org:443/arcade/#/games/' || k",
-}
-_URL = "CASE page_id % 12 " + " ".join(f"WHEN {i} THEN {u}" for i, u in _URLS.items()) + " ELSE url END"
-
-
 def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").selectExpr("page_id", "url", "CAST(page_id AS STRING) AS k").select("page_id", F.expr(_URL).alias("url"))
 
 
-@query(f"""WITH u AS (SELECT page_id, {_URL} AS url, k FROM (SELECT page_id, url, CAST(page_id AS VARCHAR) AS k FROM pages)),
-c AS (SELECT *, CASE page_id % 12 WHEN 5 THEN 'unsupported URI scheme: ' || url WHEN 6 THEN 'invalid URI: ' || url WHEN 7 THEN 'invalid URI: ' || url WHEN 8 THEN 'invalid URI: ' || url END AS error,
-  CASE page_id % 12 WHEN 0 THEN 'game' WHEN 1 THEN 'video' WHEN 2 THEN 'video' WHEN 4 THEN 'video' ELSE 'external' END AS kind FROM u)
-SELECT page_id, CASE WHEN error IS NULL THEN kind END AS kind, CASE page_id % 12 WHEN 1 THEN lpad(k, 11, 'x') WHEN 2 THEN lpad(k, 11, '_') WHEN 4 THEN lpad(k, 11, '-') END AS video_id,
-  CASE WHEN error IS NULL AND kind <> 'video' THEN url END AS url, error FROM c""")
+@query(f"""WITH {_PARTS_SQL} SELECT page_id, kind, CASE WHEN kind = 'video' THEN v END AS video_id, CASE WHEN kind <> 'video' THEN url END AS url, error FROM told""")
 def classify_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _urls(spark, sf_dir).select("page_id", links.classify(F.col("url"), RULE).alias("t")).select("page_id", "t.*")
 
 
-@query("SELECT page_id, 'Play a b ' || page_id || ' in Example Arcade' AS label FROM pages WHERE page_id % 12 = 0")
+@query(f"""WITH {_PARTS_SQL} SELECT page_id, 'Play ' || replace(replace(substr(fragment, 8), '%20', ' '), '-', ' ') || ' in Example Arcade' AS label FROM told WHERE kind = 'game'""")
 def game_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _urls(spark, sf_dir).where(links.is_game(F.col("url"), RULE)).select("page_id", links.game_label(F.col("url"), RULE).alias("label"))
 
 
-@query("SELECT page_id, 'https://www.youtube-nocookie.com/embed/' || lpad(CAST(page_id AS VARCHAR), 11, 'x') || '?autoplay=1' AS embed FROM pages WHERE page_id % 12 = 1")
+@query(f"""WITH {_PARTS_SQL} SELECT page_id, 'https://www.youtube-nocookie.com/embed/' || v || '?autoplay=1' AS embed FROM told WHERE kind = 'video'""")
 def video_embeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _urls(spark, sf_dir).where(F.col("page_id") % 12 == 1)
-    return rows.select("page_id", links.embed_url(links.video_id(F.col("url"))).alias("embed"))
+    rows = _urls(spark, sf_dir).withColumn("video", links.video_id(F.col("url"))).where("video IS NOT NULL")
+    return rows.select("page_id", links.embed_url(F.col("video")).alias("embed"))
 
 
 def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -473,20 +575,17 @@ def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select((k % 40).cast("string").alias("board_id"), k.alias("annot_seq"), F.when(k % 9 == 0, "Text").otherwise("Link").alias("subtype"), F.when(k % 19 == 0, "GoTo").otherwise("URI").alias("action"), F.encode("url", "UTF-8").alias("uri"), rect.alias("rect"))
 
 
-@query(f"""WITH u AS (SELECT page_id, {_URL} AS url FROM (SELECT page_id, url, CAST(page_id AS VARCHAR) AS k FROM pages))
-SELECT CAST(page_id % 40 AS VARCHAR) AS board_id, page_id AS annot_seq, CASE page_id % 12 WHEN 0 THEN 'game' WHEN 1 THEN 'video' WHEN 2 THEN 'video' WHEN 4 THEN 'video' ELSE 'external' END AS kind,
-  CAST(least(page_id % 90, 10) AS DOUBLE) AS x, 30.0 AS y, CAST(abs(page_id % 90 - 10) AS DOUBLE) AS width, 30.0 AS height FROM u
-WHERE page_id % 9 <> 0 AND page_id % 19 <> 0 AND page_id % 17 <> 0 AND page_id % 12 NOT IN (5, 6, 7, 8) AND page_id % 40 IN (SELECT user_id FROM events)""".replace("30.0", "CAST(30 AS DOUBLE)"))
+@query(f"""WITH {_LINKS_SQL} SELECT board_id, page_id AS annot_seq, kind, CAST(least(page_id % 90, 10) AS DOUBLE) AS x, CAST(30 AS DOUBLE) AS y, CAST(abs(page_id % 90 - 10) AS DOUBLE) AS width, CAST(30 AS DOUBLE) AS height FROM good""")
 def link_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     boards, *_ = inputs.stream_inputs(spark, sf_dir)
     found, _ = link_nodes.extract_links(_annotations(spark, sf_dir), boards, RULE)
     return found.select("board_id", "annot_seq", "target.kind", "bounds.x", "bounds.y", "bounds.width", "bounds.height")
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_replace(CASE doc_id % 5 WHEN 0 THEN ' ' || chr(10) || chr(9) WHEN 1 THEN ' a' || chr(9) || 'b ' ELSE '  ' || left(text, 20) || chr(10) END, '^[\\t-\\r\\p{Zs}]+|[\\t-\\r\\p{Zs}]+$', '', 'g') AS title FROM documents)
+@query("""WITH t AS (SELECT doc_id, regexp_replace('  ' || text || chr(10), '^[\\t-\\r\\p{Zs}]+|[\\t-\\r\\p{Zs}]+$', '', 'g') AS title FROM documents)
 SELECT doc_id, title, CASE WHEN title = '' THEN 'site title must not be empty' WHEN regexp_matches(title, '\\p{Cc}') THEN 'site title must not contain control characters' END AS error FROM t""")
 def site_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.expr("CASE doc_id % 5 WHEN 0 THEN concat(' ', char(10), char(9)) WHEN 1 THEN concat(' a', char(9), 'b ') ELSE concat('  ', left(text, 20), char(10)) END")
+    raw = F.concat(F.lit("  "), "text", F.lit("\n"))
     rows = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
     return rows.select("doc_id", text.trimmed(F.col("raw")).alias("title"), text.title_error(F.col("raw")).alias("error"))
 
@@ -507,7 +606,8 @@ def render_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", page.alias("page"))
 
 
-@query("""SELECT page_id, page_id % 3 = 0 AS ready FROM pages""")
+@query("""SELECT page_id, contains(regexp_extract(marked, '(?s)<body([^>]*)', 1), 'data-ready="true"') AS ready
+FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN replace(html, '<body>', '<body class="x" data-ready="true">') WHEN 1 THEN replace(html, '<body>', '<body><i data-ready="true">') ELSE html END AS marked FROM pages)""")
 def ready_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third page's body tag gets the mark; in every other third the mark comes after the tag."""
     k = F.col("page_id") % 3
@@ -517,13 +617,13 @@ def ready_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey - 1000) / 512.0 AS x, l_suppkey / 8.0 AS y FROM lineitem),
 r AS (SELECT *, round_even(x * 1000, 0) / 1000 AS rx, round_even(y * 1000, 0) / 1000 AS ry FROM v)
-SELECT l_orderkey, l_partkey, l_suppkey, 'M' || CASE WHEN rx = 0 THEN '0' ELSE rtrim(rtrim(printf('%.3f', CAST(rx AS DOUBLE)), '0'), '.') END || ',' || CASE WHEN ry = 0 THEN '0' ELSE rtrim(rtrim(printf('%.3f', CAST(ry AS DOUBLE)), '0'), '.') END || 'L1,2Z' AS path
-FROM r WHERE l_linenumber = 1""")
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 'M' || CASE WHEN rx = 0 THEN '0' ELSE rtrim(rtrim(printf('%.3f', CAST(rx AS DOUBLE)), '0'), '.') END || ',' || CASE WHEN ry = 0 THEN '0' ELSE rtrim(rtrim(printf('%.3f', CAST(ry AS DOUBLE)), '0'), '.') END || 'L1,2Z' AS path
+FROM r""")
 def path_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    rows = table(spark, sf_dir, "lineitem")
     start = geometry.point((F.col("l_partkey") - 1000) / 512.0, F.col("l_suppkey") / 8.0)
     path = F.array(geometry.command("move", start), geometry.command("line", geometry.point(F.lit(1), F.lit(2))), geometry.command("close"))
-    return rows.select("l_orderkey", "l_partkey", "l_suppkey", text.path_data(path).alias("path"))
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", text.path_data(path).alias("path"))
 
 
 _SOURCES_SQL = """m AS (SELECT p_brand AS root, '/boards/' || p_brand || CASE WHEN p_partkey % 7 = 0 THEN '/build/' ELSE '/notes/' END || p_partkey ||
@@ -550,10 +650,10 @@ def single_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Geometry and colors
 
-@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity * 2 AS a, l_quantity * 3 + l_linenumber AS d, l_quantity * 5 * 2 + l_suppkey AS e, l_linenumber * 3 + 7 * l_suppkey * 0 + 1 AS f,
-  2 * l_partkey + 4.0 AS px, 100 - (3 * l_suppkey + 5.0) AS py FROM lineitem WHERE l_linenumber = 2""".replace("l_quantity * 3 + l_linenumber AS d", "CAST(l_linenumber * 3 AS DOUBLE) AS d").replace("l_quantity * 5 * 2 + l_suppkey AS e", "CAST(l_suppkey * 2 + 4 AS DOUBLE) AS e").replace("l_linenumber * 3 + 7 * l_suppkey * 0 + 1 AS f", "CAST(l_partkey * 3 + 5 AS DOUBLE) AS f").replace("2 * l_partkey + 4.0 AS px", "CAST(2 * l_partkey + 4 AS DOUBLE) AS px").replace("100 - (3 * l_suppkey + 5.0) AS py", "CAST(95 - 3 * l_suppkey AS DOUBLE) AS py"))
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity * 2 AS a, CAST(l_linenumber * 3 AS DOUBLE) AS d, CAST(l_suppkey * 2 + 4 AS DOUBLE) AS e, CAST(l_partkey * 3 + 5 AS DOUBLE) AS f,
+  CAST(2 * l_partkey + 4 AS DOUBLE) AS px, CAST(95 - 3 * l_suppkey AS DOUBLE) AS py FROM lineitem""")
 def matrix_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 2")
+    rows = table(spark, sf_dir, "lineitem")
     m = geometry.matrix(F.col("l_quantity"), F.lit(0), F.lit(0), F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_partkey"))
     n = geometry.matrix(F.lit(2), F.lit(0), F.lit(0), F.lit(3), F.lit(4), F.lit(5))
     p = geometry.to_board(geometry.apply(n, geometry.point(F.col("l_partkey"), F.col("l_suppkey"))), F.lit(100.0))

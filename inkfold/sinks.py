@@ -32,6 +32,11 @@ def used_assets(assets: DataFrame, nodes: DataFrame) -> DataFrame:
     return assets.join(nodes.where("kind = 'image'").select("board_id", "asset_id"), ["board_id", "asset_id"], "left_semi")
 
 
+def by_name(resources: DataFrame) -> DataFrame:
+    """Resources in the order in which they are written: by board and name, names by code point."""
+    return resources.orderBy("board_id", "name")
+
+
 def publishable(nodes: DataFrame, *gates: DataFrame) -> DataFrame:
     """Nodes of boards that every gate(board_id, passed) passes."""
     for gate in gates:

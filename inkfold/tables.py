@@ -24,10 +24,15 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/inkfold-{spark.sparkContext.applicationId}"
 
 
+def new_path(spark: SparkSession) -> str:
+    """Where a table of this application can be written."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """Write a table and read it back. instead_of: a table from here that this one replaces, removed once this one is written."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     if old := getattr(instead_of, "_table", None):
         _remove(spark, old)
