@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,27 +69,36 @@ def _turns(template: Template, path: str):
         turn = at = 0
         for batch in batches:
             convs = batch.column("conv_id").to_pylist()
-            roles = [template.escape(x or "") for x in batch.column("role").to_pylist()]
             texts = [template.escape(x or "") for x in batch.column("text").to_pylist()]
-            ids = [x.ids for x in tokenizer.encode_batch_fast(roles + texts, add_special_tokens=False)]
-            out: dict[str, list] = {c: [] for c in ("turn_no", "first_token", "ids", "mask", "formatted")}
-            for i, conv in enumerate(convs):
-                head = [] if conv == last else [begin]
-                if head:
+            roles = [x or "" for x in batch.column("role").to_pylist()]
+            known = {r: (escaped := template.escape(r), tokenizer.encode(escaped, add_special_tokens=False).ids, r in template.trained) for r in set(roles)}
+            named = [known[r] for r in roles]
+            ids = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            heads, turns, firsts, segments = [], [], [], []
+            for conv, (_, role_ids, _), own in zip(convs, named, ids, strict=True):
+                heads.append(conv != last)
+                if conv != last:
                     last, turn, at = conv, 0, 0
-                own = [*head, role_mark, *ids[i], text_mark, *ids[len(convs) + i], end]
-                step = np.zeros(len(own) + 1, np.int8)
-                if template.unescape(roles[i]) in template.trained:
-                    step[len(own) - 1 - len(ids[len(convs) + i])] += 1
-                    step[len(own) - 1] -= 1
-                out["ids"].append(own)
-                out["mask"].append(np.cumsum(step[:-1], dtype=np.int8))
-                out["formatted"].append((template.begin if head else "") + template.role + roles[i] + template.text + texts[i] + template.end)
-                out["turn_no"].append(turn)
-                out["first_token"].append(at)
-                turn, at = turn + 1, at + len(own)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True))], names=["conv_id", *out])
+                    segments.append((begin,))
+                segments += [(role_mark,), role_ids, (text_mark,), own, (end,)]
+                turns.append(turn)
+                firsts.append(at)
+                turn, at = turn + 1, at + heads[-1] + 3 + len(role_ids) + len(own)
+            size = np.array([h + 3 + len(n[1]) + len(own) for h, n, own in zip(heads, named, ids, strict=True)], np.int64)
+            ends = np.cumsum(size)
+            step = np.zeros(int(size.sum()) + 1, np.int8)
+            trained = np.flatnonzero([n[2] for n in named])
+            text_size = np.array([len(own) for own in ids], np.int64)[trained]
+            np.add.at(step, ends[trained] - 1 - text_size, 1)
+            np.add.at(step, ends[trained] - 1, -1)
+            offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+            flat = pa.array(np.fromiter(chain.from_iterable(segments), np.int32, int(size.sum())))
+            mask = pa.array(np.cumsum(step[:-1], dtype=np.int8))
+            formatted = [(template.begin if h else "") + template.role + n[0] + template.text + text + template.end for h, n, text in zip(heads, named, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("conv_id"), pa.array(turns, pa.int64()), pa.array(firsts, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.ListArray.from_arrays(offsets, mask), pa.array(formatted, pa.string())],
+                names=["conv_id", "turn_no", "first_token", "ids", "mask", "formatted"],
+            )
 
     return run
 
@@ -114,17 +124,21 @@ def _read(template: Template, path: str):
         tokenizer = Tokenizer.from_file(path)
         low = template.first_id
         for batch in batches:
-            segments: list[list[int]] = []
-            where: list[tuple[int, int, list[int]]] = []
-            for ids, mask in zip(batch.column("ids").to_pylist(), batch.column("mask").to_pylist(), strict=True):
-                ids, mask = np.array(ids, np.int64), np.array(mask, np.int8)
-                role, text, end = (int(np.flatnonzero(ids == low + k)[0]) for k in (1, 2, 3))
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]])))
-                where.append((len(segments), len(segments) + 1, list(range(len(segments) + 2, len(segments) + 2 + len(edges) // 2))))
-                segments += [ids[role + 1 : text].tolist(), ids[text + 1 : end].tolist()]
-                segments += [ids[a:b].tolist() for a, b in zip(edges[::2], edges[1::2], strict=True)]
-            texts = [template.unescape(x) for x in tokenizer.decode_batch(segments, skip_special_tokens=False)]
-            cols = {"role": [texts[r] for r, _, _ in where], "text": [texts[t] for _, t, _ in where], "loss_text": ["".join(texts[i] for i in m) for _, _, m in where]}
+            n, lists, masks = batch.num_rows, batch.column("ids"), batch.column("mask")
+            ids, mask = lists.flatten().to_numpy(zero_copy_only=False), masks.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            role, text, end = (np.flatnonzero(ids == low + k) for k in (1, 2, 3))  # one of each in a row
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]])))
+            low_edge, high_edge = edges[::2], edges[1::2]  # no row ends under the mask
+            cuts = [*zip((role + 1).tolist(), text.tolist(), strict=True), *zip((text + 1).tolist(), end.tolist(), strict=True), *zip(low_edge.tolist(), high_edge.tolist(), strict=True)]
+            # Equal segments are decoded once: a role occurs in many rows, and a trained text is also its row's text.
+            number: dict[bytes, int] = {}
+            places = [number.setdefault(ids[a:b].tobytes(), len(number)) for a, b in cuts]
+            told = [template.unescape(x) for x in tokenizer.decode_batch([np.frombuffer(x, ids.dtype).tolist() for x in number], skip_special_tokens=False)]
+            loss = [""] * n
+            for row, place in zip(np.searchsorted(ends, low_edge, side="right").tolist(), places[2 * n :], strict=True):
+                loss[row] += told[place]
+            cols = {"role": [told[p] for p in places[:n]], "text": [told[p] for p in places[n : 2 * n]], "loss_text": loss}
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn_no"), *(pa.array(x, pa.string()) for x in cols.values()), batch.column("formatted")], names=["conv_id", "turn_no", *cols, "formatted"])
 
     return run
