@@ -21,6 +21,8 @@ _WHITE_RE2 = r"^([\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{
 
 #: Chunks encoded as one string.
 JOINED = 256
+#: Chunks whose ids a task remembers; with more, it forgets them all.
+REMEMBERED = 400_000
 
 #: Bytes of text tokenized at a time: the more, the more often a chunk occurs in them.
 TOKEN_SLICE = 16 << 20
@@ -92,15 +94,34 @@ def library_encoder(path: str) -> tuple[Encoder, tuple[str, ...]]:
     def flat(strings: list[str]) -> list[list[int]]:
         return [x.ids for x in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        spaced = np.fromiter((begins.match(x) is not None for x in texts), bool, len(texts))
-        together, alone = list(compress(texts, spaced)), flat(list(compress(texts, ~spaced)))
+    known: dict[str, int] = {}
+    kept, kept_bounds = np.empty(0, np.int64), np.zeros(1, np.int64)
+
+    def spaced_chunks(together: list[str]) -> tuple[np.ndarray, np.ndarray]:
         strings = ["".join(together[i : i + JOINED]) for i in range(0, len(together), JOINED)]
         ids = np.fromiter(chain.from_iterable(flat(strings)), np.int64)
         ends = np.cumsum(np.fromiter((len(x.encode("utf-8", "surrogatepass")) for x in together), np.int64, len(together)))
-        cuts = np.searchsorted(np.cumsum(n_bytes[ids]), ends, side="right")
+        return ids, np.searchsorted(np.cumsum(n_bytes[ids]), ends, side="right")
+
+    def remembered(together: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal kept, kept_bounds
+        new = [x for x in together if x not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            kept, kept_bounds, new = kept[:0], kept_bounds[:1], together
+        if new:
+            ids, cuts = spaced_chunks(new)
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            kept, kept_bounds = np.concatenate([kept, ids]), np.concatenate([kept_bounds, kept_bounds[-1] + cuts])
+        rows = np.fromiter(map(known.__getitem__, together), np.int64, len(together))
+        return ragged(kept, kept_bounds, rows)
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        spaced = np.fromiter((begins.match(x) is not None for x in texts), bool, len(texts))
+        ids, ends = remembered(list(compress(texts, spaced)))
+        alone = flat(list(compress(texts, ~spaced)))
         sizes = np.zeros(len(texts), np.int64)
-        sizes[spaced] = np.diff(cuts, prepend=0)
+        sizes[spaced] = np.diff(ends, prepend=0)
         sizes[~spaced] = [len(x) for x in alone]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         out = np.empty(bounds[-1], np.int64)
