@@ -236,7 +236,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(path)
         own = encoder(vocabulary)
-        for batch in slices(batches, "text", TOKEN_SLICE):
+        for batch in slices(batches, "text", TOKEN_SLICE // 2):
             ids, bounds = encode_texts(texts_of(batch), own, tuple(vocabulary.special))
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"])
