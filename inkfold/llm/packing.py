@@ -93,44 +93,48 @@ class _Left:
         return min(int(self.counts[x]) // lengths.count(x) for x in lengths)
 
 
+def _dominating(left: _Left, long: int, size: int) -> list[int] | None:
+    """A set with a piece of this length that dominates every other set with one, of the pieces that are left; None: undecided."""
+    left.counts[long] -= 1
+    room = size - long
+    partner = left.largest(room)
+    two, three = left.smallest(2), left.smallest(3)
+    pair = sum(two) if len(two) == 2 and sum(two) <= room else 0
+    if pair and len(three) == 3 and sum(three) <= room and partner < room:
+        pair = room + 1  # three may fit: not decided here
+    elif pair:  # the best two that fit
+        at = np.arange(size + 1)
+        largest = np.maximum.accumulate(np.where(left.counts > 0, at, 0))
+        one = np.flatnonzero(left.counts[: room + 1])
+        other = largest[room - one]
+        alone = (other == one) & (left.counts[one] < 2)
+        other = np.where(alone, largest[one - 1], other)
+        pair = int((one + other)[other > 0].max(initial=0))
+    left.counts[long] += 1
+    if pair and partner < pair:
+        return None
+    return [long, partner] if partner else [long]
+
+
 def reduce(left: _Left, size: int) -> list[tuple[list[int], int]]:
-    """Fix sets that dominate every other set with the same longest piece; they leave `left`.
+    """Fix sets that dominate every other set with one of their pieces; they leave `left`. Longer pieces come first.
 
-    A set dominates another if the other's pieces can be dealt out among its own without exceeding any. For a longest
-    piece that is one partner which fills the sequence; the largest fitting partner if two more never fit, or if it's at
-    least as long as any two that do; and no partner if none fits.
+    A set dominates another if the other's pieces can be dealt out among its own without exceeding any. For a piece that is
+    one partner which fills the sequence; the largest fitting partner if two more never fit, or if it's at least as long as
+    any two that do; and no partner if none fits. An undecided piece stays, and the next is tried; what was fixed may
+    decide it later.
     """
     fixed: list[tuple[list[int], int]] = []
-
-    def fix(lengths: list[int]) -> None:
-        n = left.fits(lengths)
-        for x in lengths:
-            left.counts[x] -= n
-        fixed.append((lengths, n))
-
-    for long in range(size, (size - 1) // 2, -1):  # a full sequence is right for any piece, not for the longest alone
-        partner = size - long
-        if left.counts[long] and (not partner or left.counts[partner]) and left.fits([long, partner] if partner else [long]):
-            fix([long, partner] if partner else [long])
-    while long := left.largest(size):
-        left.counts[long] -= 1
-        room = size - long
-        partner = left.largest(room)
-        two = left.smallest(2)
-        pair = sum(two) if len(two) == 2 and sum(two) <= room else 0
-        if pair and len(x := left.smallest(3)) == 3 and sum(x) <= room:
-            pair = room + 1  # three may fit: not decided here
-        elif pair:  # the best two that fit
-            lengths = np.flatnonzero(left.counts[: room + 1])
-            for a in lengths.tolist():
-                left.counts[a] -= 1
-                b = left.largest(room - a)
-                left.counts[a] += 1
-                pair = max(pair, a + b if b else 0)
-        left.counts[long] += 1
-        if pair and partner < pair:
-            break
-        fix([long, partner] if partner else [long])
+    again = True
+    while again:
+        again = False
+        for long in np.flatnonzero(left.counts)[::-1].tolist():
+            while left.counts[long] and (found := _dominating(left, long, size)):
+                n = left.fits(found)
+                for x in found:
+                    left.counts[x] -= n
+                fixed.append((found, n))
+                again = True
     return fixed
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from inkfold.llm import bpe, chat, packing, queries
+from inkfold.llm import bpe, chat, packing, queries, tokens
 from tests.compare import assert_same, tables
 
 SF = "/root/testdata/sf0.001"
@@ -49,6 +49,20 @@ def test_bpe_digests(spark, library):
         assert got[d.doc_id].decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
 
 
+@pytest.mark.parametrize("most", [0, 3, 50, 400_000])
+def test_remembered_chunks(monkeypatch, library, most):
+    """Ids are the library's, whatever a task has met before and has forgotten."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "REMEMBERED", most)
+    encode, special = tokens.library_encoder(queries.BYTE_BPE)
+    for seed in range(4):
+        values = [t or "" for t in texts(60, seed)] + ["word " * 50, " a the  It"]
+        ids, bounds = tokens.encode_texts(pa.array(values), encode, special)
+        for text, a, b in zip(values, bounds[:-1], bounds[1:], strict=True):
+            assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_trees_agree():
     vocabulary = bpe.Vocabulary(queries.BYTE_BPE)
     r = random.Random(5)
@@ -103,6 +117,14 @@ def test_reduction_keeps_an_optimum():
         assert sum(n for _, n in fixed) + optimum(rest, size) == optimum(lengths, size)
 
 
+def test_reduction_goes_on_after_an_undecided_piece():
+    """The 6 may go with 2 and 2, or with 3; the 5 after it is decided, as nothing but the other 5 fills it."""
+    left = packing._Left({6: 1, 5: 2, 3: 1, 2: 2}, 10)
+    fixed = packing.reduce(left, 10)
+    assert ([5, 5], 1) in fixed
+    assert left.counts[5] == 0
+
+
 def test_packing(spark, library):
     rows, docs = frame(spark, texts(120) + ["word " * 3000])
     got = packing.pack(docs, queries.BYTE_BPE, ids=True).collect()
