@@ -6,12 +6,15 @@ matrix, opacity, clips, commands, style, shapes, text, target, bounds, href), pa
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.constants import COVERAGE_TOLERANCE
-from inkfold.functions import geometry
 
 #: The tolerance of a board's cover is one of so many parts of an image's side.
 PARTS = round(1 / COVERAGE_TOLERANCE)
@@ -103,39 +106,34 @@ def node_is_valid() -> Column:
     return F.coalesce(by_kind, F.lit(False))
 
 
-def _clearly_apart(m: Column, width: Column, height: Column, margin: float) -> Column:
-    """Some corner of the board is outside the image's unit square by more than doubles can err: plain comparisons only.
+def _clearly_apart(m: list[np.ndarray], width: np.ndarray, height: np.ndarray, margin: float) -> np.ndarray:
+    """Some corner of the board is outside the image's unit square by more than doubles can err.
 
     The determinant is good to 1e-7 and a coordinate's terms are below 1e9 determinants, so that it's good to the margin.
     """
-    det = geometry.determinant(m)
-    scale = F.greatest(F.abs(m["a"] * m["d"]), F.abs(m["b"] * m["c"]))
-    low, high = (-COVERAGE_TOLERANCE - margin) * F.abs(det), (1 + COVERAGE_TOLERANCE + margin) * F.abs(det)
-    sign = F.when(det < 0, -1.0).otherwise(1.0)
-    out = F.lit(False)
-    for x, y in ((F.lit(0.0), F.lit(0.0)), (width, height), (width, F.lit(0.0)), (F.lit(0.0), height)):
-        ox, oy = x - m["e"], y - m["f"]
-        for one, two in ((m["d"] * ox, m["c"] * oy), (m["a"] * oy, m["b"] * ox)):
-            u = sign * (one - two)
-            out = out | (((u < low) | (u > high)) & (F.abs(one) + F.abs(two) < 1e9 * F.abs(det)))
-    return F.coalesce(out & (F.abs(det) > scale * 1e-9) & (scale > 1e-290) & (scale < 1e290), F.lit(False))
-
-
-def _covers_exactly(m: pd.DataFrame, width: pd.Series, height: pd.Series) -> pd.Series:
+    a, b, c, d, e, f = m
+    with np.errstate(all="ignore"):
+        det, scale = a * d - b * c, np.maximum(np.abs(a * d), np.abs(b * c))
+        low, high = (-COVERAGE_TOLERANCE - margin) * np.abs(det), (1 + COVERAGE_TOLERANCE + margin) * np.abs(det)
+        out = np.zeros(len(a), bool)
+        for x, y in ((0.0, 0.0), (width, 0.0), (0.0, height), (width, height)):
+            ox, oy = x - e, y - f
+            for one, two in ((d * ox, c * oy), (a * oy, b * ox)):
+                u = np.sign(det) * (one - two)
+                out |= ((u < low) | (u > high)) & (np.abs(one) + np.abs(two) < 1e9 * np.abs(det))
+        return out & (np.abs(det) > scale * 1e-9) & (scale > 1e-290) & (scale < 1e290)
+
+
+def _covers(a: float, b: float, c: float, d: float, e: float, f: float, w: float, h: float) -> bool:
     """In whole numbers: doubles are fractions of powers of two, and the largest of them makes all of a row's whole."""
-
-    def covers(*values: float) -> bool:
-        ratios = [v.as_integer_ratio() for v in values]
-        unit = max(below for _, below in ratios)
-        a, b, c, d, e, f, w, h = (above * (unit // below) for above, below in ratios)
-        det = a * d - b * c
-        sign = 1 if det > 0 else -1
-        low, high = -abs(det), abs(det) * (PARTS + 1)
-        corners = [(x - e, y - f) for x in (0, w) for y in (0, h)]
-        return det != 0 and all(low <= PARTS * sign * u <= high for x, y in corners for u in (d * x - c * y, a * y - b * x))
-
-    columns = [m[c].to_numpy(float).tolist() for c in "abcdef"] + [x.to_numpy(float).tolist() for x in (width, height)]
-    return pd.Series([covers(*row) for row in zip(*columns, strict=True)], dtype=bool)
+    ratios = [v.as_integer_ratio() for v in (a, b, c, d, e, f, w, h)]
+    unit = max(below for _, below in ratios)
+    a, b, c, d, e, f, w, h = (above * (unit // below) for above, below in ratios)
+    det = a * d - b * c
+    sign = 1 if det > 0 else -1
+    low, high = -abs(det), abs(det) * (PARTS + 1)
+    corners = [(x - e, y - f) for x in (0, w) for y in (0, h)]
+    return det != 0 and all(low <= PARTS * sign * u <= high for x, y in corners for u in (d * x - c * y, a * y - b * x))
 
 
 def covers_board(nodes: DataFrame, margin: float = 1e-6) -> DataFrame:
@@ -143,10 +141,18 @@ def covers_board(nodes: DataFrame, margin: float = 1e-6) -> DataFrame:
 
     Doubles rule out what is clear of a bound; the rest, few, is decided exactly.
     """
-    m, bw, bh = F.col("matrix"), F.col("bw"), F.col("bh")
-    usable = _fields(m, "a b c d e f") & finite(bw) & finite(bh) & m.isNotNull()
-    doubtful = nodes.where(usable & ~_clearly_apart(m, bw, bh, margin))
-    return doubtful.where(F.pandas_udf(_covers_exactly, "boolean")("matrix", "bw", "bh"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.column("matrix")
+            columns = [*(pc.struct_field(m, c) for c in "abcdef"), batch.column("bw"), batch.column("bh")]
+            values = [pc.fill_null(x.cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False) for x in columns]
+            usable = np.logical_and.reduce([np.isfinite(x) for x in values])
+            doubtful = np.flatnonzero(usable & ~_clearly_apart(values[:6], *values[6:], margin))
+            rows = zip(*(x[doubtful].tolist() for x in values), strict=True)
+            yield batch.take(pa.array([i for i, row in zip(doubtful.tolist(), rows, strict=True) if _covers(*row)], pa.int64()))
+
+    return nodes.mapInArrow(run, nodes.schema)
 
 
 def violations(boards: DataFrame, assets: DataFrame, nodes: DataFrame) -> DataFrame:
