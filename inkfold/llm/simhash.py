@@ -8,8 +8,9 @@ needs no variants: if all the others differ by two bits, it is equal.
 The index holds distinct fingerprints, so copies never meet pairwise. What shares a variant is linked by a spanning
 forest, not by all its pairs: a variant adds fewer links than it has rows, however dense a group is.
 
-One fingerprint finds copies with small changes. For a similarity of 0.8, a text has several fingerprints of independent
-hashes, each with its own index; texts are linked where any of them are near.
+Fingerprints of 64 bits find copies with small changes. For a similarity of 0.8, similar_dedup takes four fingerprints
+of independent hashes as one of 256 bits in twelve segments, indexes each segment under variants without two neighbouring
+bits, and verifies candidates by the Jaccard similarity of the texts' shingles.
 """
 
 from __future__ import annotations
@@ -31,7 +32,13 @@ SEED = 42
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 #: For texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
-SIMILAR = {"shingle_words": 5, "max_bits": 5, "prints": 4}
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+PRINTS = 4
+#: Candidates differ in at most so many of the 256 bits; of a similarity of 0.8, 39 bits are expected, 52 exceeded by 1 in 100.
+CANDIDATE_BITS = 52
+#: Spanning forests of candidates that each variant gives.
+FORESTS = 3
 #: Beyond so many fingerprints under one variant, rows are no longer compared in step; links are the same.
 COMPARED = 64
 #: Up to so many sets of differing bits, neighbours are looked up by them; beyond, components are grown row by row.
@@ -71,14 +78,15 @@ def fingerprint(hashes: np.ndarray, number: int = 0) -> int:
     return _counted(hashes)
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, prints: int = 1) -> DataFrame:
-    """(doc_id, fps): each row's fingerprints; nulls and texts without words have 0."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, prints: int = 1, distinct: bool = False) -> DataFrame:
+    """(doc_id, fps): each row's fingerprints; nulls and texts without words have 0. distinct: repeats of a shingle don't count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = []
             for text in texts_of(batch).to_pylist():
                 hashes = shingle_hashes(text, shingle_words)
+                hashes = np.unique(hashes) if distinct else hashes
                 found.append([fingerprint(hashes, n) for n in range(prints)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "fps"])
 
@@ -106,9 +114,9 @@ def _variants(max_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = np.array([m & ~(1 << bit) if bit >= 0 else m for bit, m in keys], np.uint64)
         for batch in batches:
-            fp, number = batch.column("fp").to_numpy().view(np.uint64), batch.column("number").to_numpy()
+            fp = batch.column("fp").to_numpy().view(np.uint64)
             rest = (fp[:, None] & masks[None, :]).ravel().view(np.int64)
-            kind = (number[:, None] * len(keys) + np.arange(len(keys))[None, :]).ravel().astype(np.int16)
+            kind = np.tile(np.arange(len(keys), dtype=np.int16), len(fp))
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(rest), pa.array(np.repeat(fp.view(np.int64), len(keys)))], names=["kind", "rest", "fp"])
 
     return run
@@ -141,6 +149,12 @@ def _near(fp: np.ndarray, free: int, max_bits: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate(a), np.concatenate(b)
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits rows differ; a row has one fingerprint or several."""
+    bits = np.bitwise_count(a ^ b)
+    return bits if bits.ndim == 1 else bits.sum(1, dtype=np.int16)
+
+
 def _grown(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest: a component grows from its first row; what has joined isn't compared with what comes later."""
     pool, a, b = np.arange(len(fp)), [], []
@@ -148,7 +162,7 @@ def _grown(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
         front, pool = [int(pool[0])], pool[1:]
         while front and len(pool):
             at = front.pop()
-            near = np.bitwise_count(fp[pool] ^ fp[at]) <= max_bits
+            near = _apart(fp[pool], fp[at]) <= max_bits
             if near.any():
                 own = pool[near]
                 a.append(own)
@@ -175,7 +189,7 @@ def _links(max_bits: int):
             a.append(hit)
             b.append(hit + step)
         for at, size in zip(starts[sizes > COMPARED].tolist(), sizes[sizes > COMPARED].tolist(), strict=True):
-            bit, mask = keys[kind[at] % len(keys)]
+            bit, mask = keys[kind[at]]
             free = (1 << 64) - 1 & ~(mask & ~(1 << bit) if bit >= 0 else mask)
             own = fp[at : at + size]
             if sum(math.comb(free.bit_count(), n) for n in range(1, max_bits + 1)) > LOOKED_UP:
@@ -189,73 +203,175 @@ def _links(max_bits: int):
             b.append(at + order[y])
         root = _forest(np.concatenate(a), np.concatenate(b), len(fp))
         away = np.flatnonzero(root != np.arange(len(fp)))
-        number = pa.array((kind[away] // len(keys)).astype(np.int32))
-        return pa.RecordBatch.from_arrays([number, pa.array(fp[away].view(np.int64)), pa.array(fp[root[away]].view(np.int64))], names=["number", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(fp[away].view(np.int64)), pa.array(fp[root[away]].view(np.int64))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kind, rest, fp = (batch.column(c).to_numpy() for c in ("kind", "rest", "fp"))
-            change = np.flatnonzero((kind != kind[-1]) | (rest != rest[-1]))
-            if held and (len(change) or (held[0][0][-1], held[0][1][-1]) != (kind[-1], rest[-1])):
-                cut = int(change[-1]) + 1 if len(change) else 0
-                whole = [np.concatenate(x) for x in zip(*held, (kind[:cut], rest[:cut], fp[:cut]), strict=True)]
-                yield linked(whole[0], whole[1], whole[2].view(np.uint64))
-                held = []
-            elif not held and len(change):
-                cut = int(change[-1]) + 1
-                yield linked(kind[:cut], rest[:cut], fp[:cut].view(np.uint64))
-            else:
-                cut = 0
-            held.append((kind[cut:], rest[cut:], fp[cut:]))
-        if held:
-            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-            yield linked(whole[0], whole[1], whole[2].view(np.uint64))
+        for kind, rest, fp in _whole_variants(batches, ["kind", "rest"]):
+            yield linked(kind, rest, fp.view(np.uint64))
 
     return run
 
 
+def _whole_variants(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted rows in pieces that end where a variant ends."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy() for c in batch.columns]
+        own = [cols[batch.schema.get_field_index(k)] for k in keys]
+        if held:
+            before = [held[-1][batch.schema.get_field_index(k)][-1] for k in keys]
+        else:
+            before = [k[0] for k in own]
+        change = np.flatnonzero(np.logical_or.reduce([np.concatenate([[b], k[:-1]]) != k for b, k in zip(before, own, strict=True)]))
+        if len(change):
+            cut = int(change[-1])
+            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in cols], strict=True)]
+            held, cols = [], [c[cut:] for c in cols]
+        held.append(cols)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """prints(number, fp), distinct. Links (number, a, b) that join all fingerprints of a number which differ by at most max_bits, and no others.
+    """prints(fp), distinct. Links (a, b) that join all fingerprints which differ by at most max_bits, and no others.
 
     Each link is a chain of verified pairs within one variant. The fingerprints under one variant, 8 bytes each, are held
     in a task's memory together.
     """
     n = partitions(prints.sparkSession)
-    kept = prints.select("number", "fp").mapInArrow(_variants(max_bits), "kind smallint, rest bigint, fp bigint")
+    kept = prints.select("fp").mapInArrow(_variants(max_bits), "kind smallint, rest bigint, fp bigint")
     dealt = kept.repartition(n, "kind", "rest").sortWithinPartitions("kind", "rest")
-    return dealt.mapInArrow(_links(max_bits), "number int, a bigint, b bigint")
+    return dealt.mapInArrow(_links(max_bits), "a bigint, b bigint")
 
 
-def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, prints: int = 1) -> DataFrame:
-    """A row for each row of docs: doc_id, fps (signed fingerprints), component_id.
+def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """A row for each row of docs: doc_id, fp (signed fingerprint), component_id.
 
     Texts with A-Z in lower case are cut into words `[^\\x20\\x09-\\x0D]+` and shingles, repeats included; a text of fewer
-    words is one shingle; without words, or null, it has fingerprints 0 and is linked like any other. Rows are linked
-    where fingerprints of one number differ in at most max_bits bits; component_id is the smallest doc_id reachable, null
-    only where all of them are null. Repeated rows and ids stay rows. An empty table gives no rows.
+    words is one shingle; without words, or null, it has fingerprint 0 and is linked like any other. Rows are linked
+    where fingerprints differ in at most max_bits bits; component_id is the smallest doc_id reachable, null only where
+    all of them are null. Repeated rows and ids stay rows. An empty table gives no rows.
     """
-    rows = materialize(fingerprints(docs, shingle_words, prints))
-    nodes = rows.groupBy("fps").agg(F.min("doc_id").alias("least"))
-    each = nodes.select("fps", F.posexplode("fps").alias("number", "fp"))
-    # Of texts that share a fingerprint the least node stands for all; near fingerprints link such nodes.
-    stands = each.groupBy("number", "fp").agg(F.min("fps").alias("stand"))
-    stands = materialize(stands) if prints > 1 else stands
-    near = near_links(stands, max_bits)
-    ends = [stands.select("number", F.col("fp").alias(c), F.col("stand").alias(f"{c}_node")) for c in "ab"]
-    links = near.join(ends[0], ["number", "a"]).join(ends[1], ["number", "b"]).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    if prints > 1:
-        links = links.unionByName(each.join(stands, ["number", "fp"]).where("fps <> stand").select(F.col("fps").alias("a"), F.col("stand").alias("b")))
-    placed = nodes.join(roots(links), F.col("fps") == F.col("node"), "left").select("fps", "least", F.coalesce("root", "fps").alias("root"))
+    rows = materialize(fingerprints(docs, shingle_words).select("doc_id", F.col("fps")[0].alias("fp")))
+    return _components(rows, near_links(rows.select("fp").distinct(), max_bits), "fp")
+
+
+def _components(rows: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """rows with component_id: the smallest doc_id of the rows whose nodes the links join."""
+    nodes = rows.groupBy(node).agg(F.min("doc_id").alias("least"))
+    placed = nodes.join(roots(links).withColumnRenamed("node", node), node, "left").select(node, "least", F.coalesce("root", node).alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(least, "root").select("fps", "component_id")
-    return rows.join(classes, "fps").select("doc_id", "fps", "component_id")
+    classes = placed.join(least, "root").select(node, "component_id")
+    return rows.join(classes, node).select("doc_id", node, "component_id")
+
+
+def _wide_keys() -> list[tuple[int, int, int]]:
+    """(number of the fingerprint, lowest bit, mask above it) of each variant: a third of a fingerprint without two neighbouring bits."""
+    cuts = [64 * i // 3 for i in range(4)]
+    return [(n, a, (1 << b - a) - 1 & ~(3 << at)) for n in range(PRINTS) for a, b in zip(cuts, cuts[1:], strict=False) for at in range(0, b - a, 2)]
+
+
+def _wide_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys = _wide_keys()
+    for batch in batches:
+        fps = np.stack([c.to_numpy() for c in batch.columns], 1)
+        bits = fps.view(np.uint64)
+        key = np.stack([(bits[:, n] >> np.uint64(low) & np.uint64(mask)).astype(np.int32) | i << 22 for i, (n, low, mask) in enumerate(keys)], 1)
+        each = [pa.array(np.repeat(fps[:, n], len(keys))) for n in range(PRINTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int32)), *each], names=["key", *(f"f{n}" for n in range(PRINTS))])
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, n: int) -> np.ndarray:
+    """Places of those of the links a, b that form a spanning forest of the least sum of distances: in each round, each tree takes its shortest link."""
+    order = np.lexsort((b, a, apart))
+    a, b, tree, taken = a[order], b[order], np.arange(n), []
+    left = np.arange(len(a))
+    while len(left):
+        x, y = tree[a[left]], tree[b[left]]
+        left, x, y = left[x != y], x[x != y], y[x != y]
+        best = np.full(n, len(a))
+        np.minimum.at(best, x, left)
+        np.minimum.at(best, y, left)
+        own = np.unique(best[best < len(a)])
+        taken.append(own)
+        tree = _forest(tree[a[own]], tree[b[own]], n)[tree]
+    return order[np.concatenate(taken)] if taken else left
+
+
+def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates under each variant: a spanning forest by the shortest distances, so that a pair which isn't linked has a path
+    of nearer ones; then others of what is left, as similarities differ from what distances say."""
+    for key, *cols in _whole_variants(batches, ["key"]):
+        fps = np.stack(cols, 1)
+        bits = fps.view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        left = np.repeat(np.where(sizes <= COMPARED, starts + sizes, 0), sizes)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        at = np.arange(len(key))
+        for step in range(1, COMPARED):
+            at = at[at + step < left[at]]
+            if not len(at):
+                break
+            hit = at[_apart(bits[at], bits[at + step]) <= CANDIDATE_BITS]
+            a.append(hit)
+            b.append(hit + step)
+        for start, size in zip(starts[sizes > COMPARED].tolist(), sizes[sizes > COMPARED].tolist(), strict=True):
+            with np.errstate(over="ignore"):  # an order of its own for each variant, so that trees have different centers
+                order = start + np.argsort(bits[start : start + size, 0] * np.uint64(2 * int(key[start]) + 1))
+            x, y = _grown(bits[order], CANDIDATE_BITS)
+            a.append(order[x])
+            b.append(order[y])
+        both = np.unique(np.sort(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=1), axis=0)
+        apart = _apart(bits[both[:, 0]], bits[both[:, 1]])
+        for _ in range(FORESTS):
+            own = _nearest(both[:, 0], both[:, 1], apart, len(key))
+            if not len(own):
+                break
+            ends = [pa.FixedSizeListArray.from_arrays(pa.array(fps[x].ravel()), PRINTS).cast(pa.list_(pa.int64())) for x in both[own].T]
+            yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+            both, apart = np.delete(both, own, 0), np.delete(apart, own)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        found = [np.unique(shingle_hashes(t, SIMILAR_WORDS)) for t in texts_of(batch).to_pylist()]
+        prints = pa.array([[fingerprint(h, n) for n in range(PRINTS)] for h in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([prints, pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], names=["fps", "shingles"])
 
 
-def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, prints: int = 1) -> DataFrame:
-    """The rows and columns of docs whose doc_id is the smallest of its component; rows that share that doc_id all stay."""
-    found = near_dedup(docs, shingle_words, max_bits, prints)
+def similar_dedup(docs: DataFrame) -> DataFrame:
+    """A row for each row of docs: doc_id, fps (four signed fingerprints), component_id.
+
+    Texts are linked if the Jaccard similarity of their five-word shingles (of the words of near_dedup; XXH64 stands for a
+    shingle) is 0.8 or more. Candidates share a variant and differ in at most CANDIDATE_BITS bits, so that some links aren't
+    seen; no link is less similar. Texts with the same 256 bits are copies, texts without words and nulls too.
+    component_id, repeated rows, nulls and empty tables are as in near_dedup.
+    """
+    rows = materialize(fingerprints(docs, SIMILAR_WORDS, PRINTS, distinct=True))
+    names = [f"f{n}" for n in range(PRINTS)]
+    prints = rows.select("fps").distinct().select(*(F.col("fps")[n].alias(f"f{n}") for n in range(PRINTS)))
+    kept = prints.mapInArrow(_wide_variants, "key int, " + ", ".join(f"{n} bigint" for n in names))
+    dealt = kept.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", *names)
+    pairs = dealt.mapInArrow(_wide_links, "a array<bigint>, b array<bigint>").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = materialize(pairs.distinct())
+    ends = pairs.select(F.col("a").alias("fps")).union(pairs.select("b")).distinct()
+    # Of the rows with the same bits one stands for all; only texts of candidates are read again.
+    stands = rows.join(ends, "fps", "left_semi").groupBy("fps").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = texts.join(stands, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
+    sets = materialize(own.mapInArrow(_sets, "fps array<bigint>, shingles array<bigint>").groupBy("fps").agg(F.min("shingles").alias("shingles")))
+    sides = [sets.select(F.col("fps").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("n", F.size(F.array_intersect("a_set", "b_set")))
+    # n / (|a| + |b| - n) >= 0.8 in whole numbers
+    links = both.where(F.col("n") * 100 >= int(SIMILARITY * 100) * (F.size("a_set") + F.size("b_set") - F.col("n"))).select("a", "b")
+    return _components(rows, links, "fps")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows and columns of docs whose doc_id is the smallest of its similar ones; rows that share that doc_id all stay."""
+    found = similar_dedup(docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_semi")

@@ -92,8 +92,8 @@ def test_links_join_all_near_fingerprints(spark, bits):
             prints.add(chain)
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    df = spark.createDataFrame([(0, p) for p in signed], "number int, fp bigint")
-    roots = dict(map(tuple, simhash.roots(simhash.near_links(df, bits).select("a", "b")).collect()))
+    df = spark.createDataFrame([(p,) for p in signed], "fp bigint")
+    roots = dict(map(tuple, simhash.roots(simhash.near_links(df, bits)).collect()))
     got, want = {}, {}
     for p, b in zip(signed, brute_components(prints, bits), strict=True):
         got.setdefault(roots.get(p, p), set()).add(p)
@@ -118,34 +118,86 @@ def test_near_against_brute_force(spark):
         if i is not None:
             least[root] = min(least.get(root, i), i)
     want = sorted(str((i, f"{p:016x}", least.get(root))) for (i, _), p, root in zip(rows, prints, roots, strict=True))
-    got = simhash.near_dedup(frame(spark, rows)).select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")), "component_id").collect()
+    got = simhash.near_dedup(frame(spark, rows)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id").collect()
     assert sorted(str(tuple(r)) for r in got) == want
-    kept = simhash.keep_one(frame(spark, rows))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_similar(rows):
+    """The smallest id that each id reaches through texts whose shingles have a Jaccard similarity of 0.8 or more, in whole numbers."""
+    sets = [shingle_set(t) for _, t in rows]
+    least = {i: i for i, _ in rows}
+    pairs = []
+    for (i, _), a in zip(rows, sets, strict=True):
+        for (j, _), b in zip(rows, sets, strict=True):
+            if i < j and 5 * len(a & b) >= 4 * len(a | b):
+                pairs.append((i, j))
+    while True:
+        before = dict(least)
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+        if before == least:
+            return least
+
+
+def edited(r, base, changes):
+    words = base[:]
+    for _ in range(changes):
+        words[r.randrange(len(words))] = f"x{r.randrange(3000)}"
+    return " ".join(words)
 
 
 def test_similar_texts_are_found(spark):
-    """Several fingerprints against brute force on them, and against the similarity of five-word shingles."""
+    """Families of nearly equal texts as by brute force; texts that are less similar than 0.8 aren't linked."""
     r = random.Random(4)
-    rows = []
+    rows = [(900, None), (901, ""), (902, "Foo BAR"), (903, "foo bar"), (904, "a a a a a a a a"), (905, "a a a a a b")]
     for family in range(12):
         base = [f"w{r.randrange(3000)}" for _ in range(300)]
-        for copy in range(6):
-            words = base[:]
-            for _ in range(copy):
-                words[r.randrange(300)] = f"x{r.randrange(3000)}"
-            rows.append((family * 10 + copy, " ".join(words)))
-    prints = [[simhash.fingerprint(simhash.shingle_hashes(t, 5), n) for n in range(4)] for _, t in rows]
-    near = lambda a, b: any(((x ^ y) & (1 << 64) - 1).bit_count() <= 5 for x, y in zip(a, b, strict=True))
-    least = {i: i for i, _ in rows}
-    for _ in range(6):
-        for (i, _), a in zip(rows, prints, strict=True):
-            for (j, _), b in zip(rows, prints, strict=True):
-                if near(a, b):
-                    least[i] = least[j] = min(least[i], least[j])
-    got = {x.doc_id: x.component_id for x in simhash.near_dedup(frame(spark, rows), **simhash.SIMILAR).collect()}
-    assert got == least
-    assert all(got[i] // 10 == i // 10 for i in got) and sum(got[i] != i for i in got) >= 48
+        rows += [(family * 10 + copy, edited(r, base, copy)) for copy in range(5)]
+        rows += [(family * 10 + 5 + copy, edited(r, base, 12 + copy)) for copy in range(3)]
+    want = brute_similar(rows)
+    got = {x.doc_id: x.component_id for x in simhash.similar_dedup(frame(spark, rows)).collect()}
+    assert got == want and got[901] == 900 and got[903] == 902 and got[905] == 905 and sum(i != low for i, low in got.items()) >= 48
+    docs = frame(spark, [*rows, (None, rows[-1][1]), (0, rows[6][1])])
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(x.doc_id for x in kept.collect()) == sorted([*set(want.values()), 0])
+
+
+def test_similar_texts_in_hot_variants(spark):
+    """A group with far more texts than are compared pairwise, beside others; no text is linked that brute force doesn't link."""
+    r = random.Random(5)
+    base = [f"w{n}" for n in range(200)]
+    rows = [(i, edited(r, base, r.randrange(6))) for i in range(300)] + [(1000 + i, edited(r, base[::-1], 40)) for i in range(30)]
+    want = brute_similar(rows)
+    got = {x.doc_id: x.component_id for x in simhash.similar_dedup(frame(spark, rows)).collect()}
+    assert all(want[low] == want[i] for i, low in got.items())
+    gone, found = sum(i != low for i, low in want.items()), sum(i != low for i, low in got.items())
+    assert gone >= 250 and found >= 0.98 * gone
+
+
+def test_similar_empty(spark):
+    assert simhash.similar_dedup(frame(spark, []).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_nearest_is_a_least_forest(seed):
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    a, b, apart = r.integers(0, 30, 60), r.integers(0, 30, 60), r.integers(0, 9, 60)
+    tree, cost, links = list(range(30)), 0, 0
+    for w, x, y in sorted(zip(apart.tolist(), a.tolist(), b.tolist(), strict=True)):
+        if tree[x] != tree[y]:
+            old, new = tree[x], tree[y]
+            tree = [new if t == old else t for t in tree]
+            cost, links = cost + w, links + 1
+    at = simhash._nearest(a, b, apart, 30)
+    assert len(at) == links and apart[at].sum() == cost
 
 
 def brute_cut(rows, window):

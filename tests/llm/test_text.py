@@ -337,7 +337,7 @@ def stages(spark):
 
 
 def test_pipeline_stages(stages):
-    from tests.llm.test_dedup import brute_components, brute_cut, norm
+    from tests.llm.test_dedup import brute_cut, brute_similar, norm
 
     (docs, good, exact, near, cut, packed), columns = stages
     assert all(set(c) == set(columns[0]) for c in columns[:5])
@@ -347,20 +347,10 @@ def test_pipeline_stages(stages):
     for r in sorted(good, key=lambda r: r["doc_id"]):
         first.setdefault(norm(r["text"]), r["doc_id"])
     assert ids(exact) == sorted(first.values())
-    from inkfold.llm import simhash
-
-    ordered = sorted(exact, key=lambda r: r["doc_id"])
-    least = {r["doc_id"]: r["doc_id"] for r in ordered}
-    prints = [[simhash.fingerprint(simhash.shingle_hashes(r["text"], 5), n) for r in ordered] for n in range(4)]
-    for _ in range(3):  # components of the union of four graphs
-        for own in prints:
-            groups = {}
-            for r, root in zip(ordered, brute_components(own, 5), strict=True):
-                groups.setdefault(root, []).append(r["doc_id"])
-            for group in groups.values():
-                low = min(least[i] for i in group)
-                least |= {i: low for i in group}
-    assert ids(near) == sorted(i for i, low in least.items() if i == low)
+    least = brute_similar([(r["doc_id"], r["text"]) for r in exact])
+    away = set(ids(exact)) - set(ids(near))  # each of them has a similar one with a smaller id; few of these are missed
+    similar = {i for i, low in least.items() if i != low}
+    assert away <= similar and len(away) >= 0.9 * len(similar)
     by = {r["doc_id"]: r for r in cut}
     wanted = {}
     for line in brute_cut([(r["doc_id"], r["text"]) for r in near], 20):
