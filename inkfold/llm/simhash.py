@@ -35,8 +35,8 @@ MAX_BITS = 2
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
 PRINTS = 4
-#: Candidates differ in at most so many of the 256 bits; of a similarity of 0.8, 39 bits are expected, 52 exceeded by 1 in 100.
-CANDIDATE_BITS = 52
+#: Candidates differ in at most so many of the 256 bits; of a similarity of 0.8, 39 bits are expected, 45 exceeded by 1 in 7.
+CANDIDATE_BITS = 45
 #: Spanning forests of candidates that each variant gives.
 FORESTS = 3
 #: Beyond so many fingerprints under one variant, rows are no longer compared in step; links are the same.
