@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import bpe, chat, classifier, exact_dedup, html_extraction, packing, quality_rules, simhash, substring_dedup, warc
+from inkfold.llm import bpe, chat, classifier, collocations, concatenation, exact_dedup, html_extraction, packing, quality_rules, simhash, spelling, substring_dedup, warc
 from inkfold.llm.common import materialize
 
 
@@ -194,10 +194,49 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, BYTE_BPE).mapInArrow(_bpe_digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, k, phrase, count(*) AS f
+  FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, unnest([1, 2, 3, 4]) AS k FROM w)))
+  GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT lang, phrase, k AS n_words, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS k FROM f WHERE k > 1),
+s AS (
+  SELECT c.lang, c.phrase, c.n_words, c.a, c.k, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS f
+  FROM (SELECT *, unnest(range(1, n_words - m + 2)) AS i FROM (SELECT lang, string_split(phrase, ' ') AS w, n_words, a, unnest(range(2, n_words)) AS m FROM best))
+  GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_ USING (lang, phrase) WHERE inner_.f IS NULL OR 100 * CAST(inner_.f AS HUGEINT) < 80 * CAST(b.a AS HUGEINT))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+
+def op13_concatenation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concatenation.pieces(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def queries() -> dict:
-    own = (op1_chat_formatting, op2_exact_dedup, op3_warc, op4_html_extraction, op5_quality_rules, op6_simhash_near_dedup, op7_substring_dedup, op8_best_fit_packing, op9_quality_classifier, op10_bpe)
+    own = (op1_chat_formatting, op2_exact_dedup, op3_warc, op4_html_extraction, op5_quality_rules, op6_simhash_near_dedup, op7_substring_dedup, op8_best_fit_packing, op9_quality_classifier, op10_bpe, op11_spelling_variants, op12_phrase_collocations, op13_concatenation_packing)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_formatting": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_substring_dedup": OP7_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op12_phrase_collocations": OP12_SQL}
