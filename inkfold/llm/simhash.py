@@ -8,9 +8,10 @@ needs no variants: if all the others differ by two bits, it is equal.
 The index holds distinct fingerprints, so copies never meet pairwise. What shares a variant is linked by a spanning
 forest, not by all its pairs: a variant adds fewer links than it has rows, however dense a group is.
 
-Fingerprints of 64 bits find copies with small changes. For a similarity of 0.8, similar_dedup takes four fingerprints
-of independent hashes as one of 256 bits in twelve segments, indexes each segment under variants without two neighbouring
-bits, and verifies candidates by the Jaccard similarity of the texts' shingles.
+Fingerprints of 64 bits find copies with small changes. For a similarity of 0.8, similar_dedup takes several fingerprints
+of independent hashes, each in three segments, indexes each segment under variants without two neighbouring bits, and
+verifies candidates by the Jaccard similarity of the texts' shingles: in rounds, each text its nearest ones that still lie
+in another component, until no candidate joins two components.
 """
 
 from __future__ import annotations
@@ -34,11 +35,13 @@ MAX_BITS = 2
 #: For texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
-PRINTS = 4
-#: Candidates differ in at most so many of the 256 bits; of a similarity of 0.8, 39 bits are expected, 45 exceeded by 1 in 7.
-CANDIDATE_BITS = 45
-#: Spanning forests of candidates that each variant gives.
-FORESTS = 3
+#: Fingerprints that are indexed, and the first of them, by which candidates are compared.
+PRINTS = 6
+COMPARED_PRINTS = 2
+#: Candidates differ in at most so many of the 128 bits compared; of a similarity of 0.8, 19 are expected, 36 exceeded by 1 in 30,000.
+CANDIDATE_BITS = 36
+#: How much farther than its nearest candidate a text's candidates are that a round verifies; the last round takes all.
+SLACK = (0, 8, 64 * COMPARED_PRINTS)
 #: Beyond so many fingerprints under one variant, rows are no longer compared in step; links are the same.
 COMPARED = 64
 #: Up to so many sets of differing bits, neighbours are looked up by them; beyond, components are grown row by row.
@@ -276,11 +279,11 @@ def _wide_keys() -> list[tuple[int, int, int]]:
 def _wide_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = _wide_keys()
     for batch in batches:
-        fps = np.stack([c.to_numpy() for c in batch.columns], 1)
+        fps = np.stack([batch.column(f"f{n}").to_numpy() for n in range(PRINTS)], 1)
         bits = fps.view(np.uint64)
         key = np.stack([(bits[:, n] >> np.uint64(low) & np.uint64(mask)).astype(np.int32) | i << 22 for i, (n, low, mask) in enumerate(keys)], 1)
-        each = [pa.array(np.repeat(fps[:, n], len(keys))) for n in range(PRINTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int32)), *each], names=["key", *(f"f{n}" for n in range(PRINTS))])
+        each = [np.repeat(x, len(keys)) for x in (batch.column("size").to_numpy(), *fps[:, :COMPARED_PRINTS].T)]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, (key.ravel().astype(np.int32), *each))), names=["key", "size", *(f"f{n}" for n in range(COMPARED_PRINTS))])
 
 
 def _nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, n: int) -> np.ndarray:
@@ -300,74 +303,159 @@ def _nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, n: int) -> np.ndar
     return order[np.concatenate(taken)] if taken else left
 
 
+def _candidates(bits: np.ndarray, sizes: np.ndarray, one: np.ndarray | int, others: np.ndarray) -> np.ndarray:
+    """Distances of rows; beyond CANDIDATE_BITS also where the sizes of the sets alone rule a link out."""
+    apart = _apart(bits[one], bits[others]) if isinstance(one, np.ndarray) else np.bitwise_count(bits[others] ^ bits[one]).sum(1, dtype=np.int16)
+    small, large = np.minimum(sizes[one], sizes[others]), np.maximum(sizes[one], sizes[others])
+    return np.where(100 * small >= int(SIMILARITY * 100) * large, apart, CANDIDATE_BITS + 1)
+
+
+def _tree(bits: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the least sum of distances: row by row, the nearest to those that have joined."""
+    left = np.arange(1, len(bits))
+    apart, parent = _candidates(bits, sizes, 0, left), np.zeros(len(left), np.int64)
+    a, b = [], []
+    while len(left):
+        i = int(np.argmin(apart))
+        at = int(left[i])
+        if apart[i] <= CANDIDATE_BITS:
+            a.append(at)
+            b.append(int(parent[i]))
+        left, apart, parent = np.delete(left, i), np.delete(apart, i), np.delete(parent, i)
+        now = _candidates(bits, sizes, at, left)
+        nearer = now < apart
+        apart, parent = np.where(nearer, now, apart), np.where(nearer, at, parent)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates under each variant: a spanning forest by the shortest distances, so that a pair which isn't linked has a path
-    of nearer ones; then others of what is left, as similarities differ from what distances say."""
-    for key, *cols in _whole_variants(batches, ["key"]):
+    """Candidates under each variant: a spanning forest by the shortest distances, so that a pair which isn't linked has a path of nearer ones."""
+    for key, sizes, *cols in _whole_variants(batches, ["key"]):
         fps = np.stack(cols, 1)
         bits = fps.view(np.uint64)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.append(starts, len(key)))
-        left = np.repeat(np.where(sizes <= COMPARED, starts + sizes, 0), sizes)
+        count = np.diff(np.append(starts, len(key)))
+        left = np.repeat(np.where(count <= COMPARED, starts + count, 0), count)
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         at = np.arange(len(key))
         for step in range(1, COMPARED):
             at = at[at + step < left[at]]
             if not len(at):
                 break
-            hit = at[_apart(bits[at], bits[at + step]) <= CANDIDATE_BITS]
+            hit = at[_candidates(bits, sizes, at, at + step) <= CANDIDATE_BITS]
             a.append(hit)
             b.append(hit + step)
-        for start, size in zip(starts[sizes > COMPARED].tolist(), sizes[sizes > COMPARED].tolist(), strict=True):
-            with np.errstate(over="ignore"):  # an order of its own for each variant, so that trees have different centers
-                order = start + np.argsort(bits[start : start + size, 0] * np.uint64(2 * int(key[start]) + 1))
-            x, y = _grown(bits[order], CANDIDATE_BITS)
-            a.append(order[x])
-            b.append(order[y])
-        both = np.unique(np.sort(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=1), axis=0)
-        apart = _apart(bits[both[:, 0]], bits[both[:, 1]])
-        for _ in range(FORESTS):
-            own = _nearest(both[:, 0], both[:, 1], apart, len(key))
-            if not len(own):
-                break
-            ends = [pa.FixedSizeListArray.from_arrays(pa.array(fps[x].ravel()), PRINTS).cast(pa.list_(pa.int64())) for x in both[own].T]
-            yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
-            both, apart = np.delete(both, own, 0), np.delete(apart, own)
+        for start, n in zip(starts[count > COMPARED].tolist(), count[count > COMPARED].tolist(), strict=True):
+            x, y = _tree(bits[start : start + n], sizes[start : start + n])
+            a.append(start + x)
+            b.append(start + y)
+        a, b = np.concatenate(a), np.concatenate(b)
+        apart = _apart(bits[a], bits[b])
+        own = _nearest(a, b, apart, len(key))
+        ends = [pa.FixedSizeListArray.from_arrays(pa.array(fps[x[own]].ravel()), COMPARED_PRINTS).cast(pa.list_(pa.int64())) for x in (a, b)]
+        yield pa.RecordBatch.from_arrays([*ends, pa.array(apart[own].astype(np.int32))], names=["a", "b", "apart"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         found = [np.unique(shingle_hashes(t, SIMILAR_WORDS)) for t in texts_of(batch).to_pylist()]
-        prints = pa.array([[fingerprint(h, n) for n in range(PRINTS)] for h in found], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([prints, pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], names=["fps", "shingles"])
+        prints = pa.array([[fingerprint(h, n) for n in range(COMPARED_PRINTS)] for h in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([prints, pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+
+def _set_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        found, sizes = [], []
+        for text in texts_of(batch).to_pylist():
+            hashes = np.unique(shingle_hashes(text, SIMILAR_WORDS))
+            found.append([fingerprint(hashes, n) for n in range(PRINTS)])
+            sizes.append(len(hashes))
+        prints = np.array(found, np.int64).reshape(-1, PRINTS)
+        node = pa.FixedSizeListArray.from_arrays(pa.array(prints[:, :COMPARED_PRINTS].ravel()), COMPARED_PRINTS).cast(pa.list_(pa.int64()))
+        cols = [batch.column("doc_id"), node, pa.array(sizes, pa.int32()), *(pa.array(x) for x in prints.T)]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "size", *(f"f{n}" for n in range(PRINTS))])
+
+
+def similar_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of all rows, where a node stands for texts with the same first fingerprints; and the links (a, b) of nodes."""
+    tune(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = "size int, " + ", ".join(f"f{n} bigint" for n in range(PRINTS))
+    rows = materialize(texts.mapInArrow(_set_prints, f"doc_id bigint, node array<bigint>, {own}"))
+    names = [f"f{n}" for n in range(COMPARED_PRINTS)]
+    prints = rows.groupBy(*names).agg(F.min(F.struct("size", *(f"f{n}" for n in range(COMPARED_PRINTS, PRINTS)))).alias("x")).select(*names, "x.*")
+    kept = prints.mapInArrow(_wide_variants, "key int, size int, " + ", ".join(f"{n} bigint" for n in names))
+    dealt = kept.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", *names)
+    pairs = dealt.mapInArrow(_wide_links, "a array<bigint>, b array<bigint>, apart int")
+    pairs = materialize(pairs.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.min("apart").alias("apart")))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    # Of the rows of one node one stands for all; only texts of candidates are read again.
+    stands = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
+    again = texts.join(stands, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
+    sets = materialize(again.mapInArrow(_sets, "node array<bigint>, shingles array<bigint>").groupBy("node").agg(F.min("shingles").alias("shingles")))
+    return rows.select("doc_id", "node"), _verified(pairs, sets)
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(a, label): the least node within two steps. Equal labels mean one component; a component of a node and its neighbours has one label."""
+    both = links.union(links.select("b", "a"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"))
+    return both.join(least.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.least(F.min("label"), F.col("a")).alias("label"))
+
+
+def _hubs(links: DataFrame) -> DataFrame:
+    """(a, hub): of the nodes linked with a, or a itself, the one with the most links."""
+    both = links.union(links.select("b", "a"))
+    many = both.groupBy("a").agg(F.count("*").alias("n"))
+    most = F.max(F.struct(F.col("n"), F.col("b").alias("hub")))
+    near = both.union(many.select("a", F.col("a").alias("b"))).join(many.withColumnRenamed("a", "b"), "b")
+    return near.groupBy("a").agg(most["hub"].alias("hub"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(a, b, apart) that join what their sets of shingles link.
+
+    A round verifies each node's nearest pairs; pairs that links already join within a few steps, or verified before, are left
+    out of the next. With each round a node may look farther, in the last as far as its pairs go, so every pair is verified
+    or lies within a component. Where a node meets another component, the hub of the node that it meets is a candidate, too:
+    copies of one text may be less similar to each other than to that text. That's one for each node and component.
+    """
+    links, open_ = None, pairs
+    for n, slack in enumerate(SLACK):
+        reach = open_.select("a", "apart").union(open_.select("b", "apart")).groupBy("a").agg((F.min("apart") + slack).alias("reach"))
+        near = open_.join(reach, "a").join(reach.select(F.col("a").alias("b"), F.col("reach").alias("reach_b")), "b")
+        near = materialize(near.select("a", "b", "apart", (F.col("apart") <= F.greatest("reach", "reach_b")).alias("now")))
+        sides = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab"]
+        both = near.where("now").select("a", "b").join(sides[0], "a").join(sides[1], "b").withColumn("n", F.size(F.array_intersect("a_set", "b_set")))
+        # n / (|a| + |b| - n) >= 0.8 in whole numbers
+        found = both.where(F.col("n") * 100 >= int(SIMILARITY * 100) * (F.size("a_set") + F.size("b_set") - F.col("n"))).select("a", "b")
+        links = materialize(found if links is None else links.union(found), instead_of=links)
+        if n + 1 == len(SLACK):
+            return links
+        of = _labels(links).join(_hubs(links), "a")
+        own = [of.select(F.col("a").alias(c), F.col("label").alias(f"{c}_label"), F.col("hub").alias(f"{c}_hub")) for c in "ab"]
+        placed = near.join(own[0], "a", "left").join(own[1], "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
+        placed = materialize(placed)
+        met = placed.select("a", F.col("b_label").alias("label"), F.col("b_hub").alias("b"), "apart").union(placed.select("b", "a_label", "a_hub", "apart"))
+        met = met.where("b IS NOT NULL").groupBy("a", "label").agg(F.min_by("b", "apart").alias("b")).where("a != b")
+        met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(0).alias("apart"))
+        rest = placed.where(~F.col("now")).select("a", "b", "apart").union(met)
+        open_ = materialize(rest.groupBy("a", "b").agg(F.min("apart").alias("apart")))
+        if open_.isEmpty():
+            return links
+    return links
 
 
 def similar_dedup(docs: DataFrame) -> DataFrame:
-    """A row for each row of docs: doc_id, fps (four signed fingerprints), component_id.
+    """A row for each row of docs: doc_id, node (two signed fingerprints), component_id.
 
     Texts are linked if the Jaccard similarity of their five-word shingles (of the words of near_dedup; XXH64 stands for a
-    shingle) is 0.8 or more. Candidates share a variant and differ in at most CANDIDATE_BITS bits, so that some links aren't
-    seen; no link is less similar. Texts with the same 256 bits are copies, texts without words and nulls too.
+    shingle) is 0.8 or more. Candidates share a variant and differ in at most CANDIDATE_BITS of 128 bits, so that some links
+    aren't seen; no link is less similar. Texts with the same 128 bits are copies, texts without words and nulls too.
     component_id, repeated rows, nulls and empty tables are as in near_dedup.
     """
-    rows = materialize(fingerprints(docs, SIMILAR_WORDS, PRINTS, distinct=True))
-    names = [f"f{n}" for n in range(PRINTS)]
-    prints = rows.select("fps").distinct().select(*(F.col("fps")[n].alias(f"f{n}") for n in range(PRINTS)))
-    kept = prints.mapInArrow(_wide_variants, "key int, " + ", ".join(f"{n} bigint" for n in names))
-    dealt = kept.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", *names)
-    pairs = dealt.mapInArrow(_wide_links, "a array<bigint>, b array<bigint>").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = materialize(pairs.distinct())
-    ends = pairs.select(F.col("a").alias("fps")).union(pairs.select("b")).distinct()
-    # Of the rows with the same bits one stands for all; only texts of candidates are read again.
-    stands = rows.join(ends, "fps", "left_semi").groupBy("fps").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = texts.join(stands, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
-    sets = materialize(own.mapInArrow(_sets, "fps array<bigint>, shingles array<bigint>").groupBy("fps").agg(F.min("shingles").alias("shingles")))
-    sides = [sets.select(F.col("fps").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("n", F.size(F.array_intersect("a_set", "b_set")))
-    # n / (|a| + |b| - n) >= 0.8 in whole numbers
-    links = both.where(F.col("n") * 100 >= int(SIMILARITY * 100) * (F.size("a_set") + F.size("b_set") - F.col("n"))).select("a", "b")
-    return _components(rows, links, "fps")
+    rows, links = similar_links(docs)
+    return _components(rows, links, "node")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

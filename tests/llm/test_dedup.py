@@ -180,6 +180,45 @@ def test_similar_texts_in_hot_variants(spark):
     assert gone >= 250 and found >= 0.98 * gone
 
 
+def exact_links(docs):
+    """All pairs (later, earlier) of distinct sets of shingles at 0.8 or more: such pairs share one of their rarest shingles."""
+    import collections
+
+    sets, seen, times = {}, set(), collections.Counter()
+    for doc_id, text in sorted(docs):
+        own = frozenset(shingle_set(text))
+        if own not in seen:
+            seen.add(own)
+            sets[doc_id] = own
+            times.update(own)
+    index, links = collections.defaultdict(list), []
+    for doc_id, own in sets.items():
+        rare = sorted(own, key=lambda x: (times[x], x))[: len(own) - -(-4 * len(own) // 5) + 1]
+        for other in {e for x in rare for e in index[x]}:
+            if 5 * len(own & sets[other]) >= 4 * len(own | sets[other]):
+                links.append((doc_id, other))
+        for x in rare:
+            index[x].append(doc_id)
+    return links
+
+
+def test_recall_of_similar_texts(spark):
+    """Over all documents of the largest table: at least 0.95 of the links and of the later texts, and no text joined that the links don't join."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.component_id for r in simhash.similar_dedup(docs).select("doc_id", "component_id").collect()}
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    links = exact_links(texts)
+    assert len(links) >= 40
+    assert sum(got[a] == got[b] for a, b in links) >= 0.95 * len(links)
+    later = {a for a, _ in links}
+    assert sum(got[a] != a for a in later) >= 0.95 * len(later)
+    linked = later | {b for _, b in links}
+    by_set = {}
+    for doc_id, text in sorted(texts):
+        first = by_set.setdefault(frozenset(shingle_set(text)), doc_id)
+        assert first in linked or got[doc_id] == first
+
+
 def test_similar_empty(spark):
     assert simhash.similar_dedup(frame(spark, []).limit(0)).count() == 0
 
