@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import materialize, partitions, slices, texts_of, tune, words_of
+from inkfold.llm.common import gathered, materialize, partitions, texts_of, tune, words_of
 
 LONGEST = 4
 OCCURRENCES = 30
@@ -30,7 +30,7 @@ SCALE = 2_000_000
 #: A candidate goes if a longer one with so many hundredths of its occurrences holds it.
 HELD = 80
 #: Bytes of text in a slice, about.
-SLICE = 8 << 20
+SLICE = 3 << 20
 #: Parts that a language's phrases are ranked in before they meet.
 SALTS = 64
 UNKNOWN = "und"
@@ -40,28 +40,10 @@ _SLICES = "slice bigint, langs array<string>, ends array<int>, n_words array<big
 _PRINTS = "bucket int, slice bigint, prints binary, counts binary"
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Batches of about `most` bytes of text, of smaller ones put together or larger ones cut."""
-    held, size = [], 0
-
-    def together() -> Iterator[pa.RecordBatch]:
-        return iter(pa.Table.from_batches(held).combine_chunks().to_batches())
-
-    for batch in slices(batches, "text", most):
-        own = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
-        if held and size + own > most:
-            yield from together()
-            held, size = [], 0
-        held.append(batch)
-        size += own
-    if held:
-        yield from together()
-
-
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each slice's words by code from 1 on, and 0 at the ends of pieces; texts by language, which end at `ends`."""
+    """Each slice's words by code from 1 on (2 or 4 bytes each), and 0 at the ends of pieces; texts by language, which end at `ends`."""
     part = TaskContext.get().partitionId()
-    for number, batch in enumerate(_gathered(batches, SLICE)):
+    for number, batch in enumerate(gathered(batches, "text", SLICE)):
         langs = pc.fill_null(batch.column("lang").cast(pa.string()), UNKNOWN).dictionary_encode()
         lang = langs.indices.to_numpy()
         order = np.argsort(lang, kind="stable")
@@ -76,7 +58,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = swapped[codes]
         ends = bounds[np.searchsorted(lang[order], np.arange(len(langs.dictionary)), side="right")]
         counted = np.diff(np.concatenate([[0], np.cumsum(codes > 0)])[np.concatenate([[0], ends])])
-        row = [[part << 20 | number], [langs.dictionary.to_pylist()], [ends.tolist()], [counted.tolist()], [names[1:]], [codes.astype("<i4").tobytes()]]
+        row = [[part << 20 | number], [langs.dictionary.to_pylist()], [ends.tolist()], [counted.tolist()], [names[1:]], [codes.astype("<u2" if len(names) <= 1 << 16 else "<u4").tobytes()]]
         kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["slice", "langs", "ends", "n_words", "words", "codes"])
 
@@ -90,13 +72,14 @@ class Slice:
     """A slice's words and the fingerprints of its n-grams."""
 
     def __init__(self, langs: list[str], ends: list[int], words: list[str], codes: bytes):
-        self.words, self.codes, self.langs = words, np.frombuffer(codes, "<i4"), langs
+        self.words, self.langs = words, langs
+        self.codes = np.frombuffer(codes, f"<u{len(codes) // ends[-1]}" if ends and ends[-1] else "<u2").astype(np.int32)
         digest = xxhash.xxh64_intdigest
         self.hashes = np.array([0, *(digest(w.encode()) for w in words)], np.uint64)
         self.seeds = np.array([digest(x.encode(), 1) | 1 for x in langs], np.uint64)
-        self.lang = np.repeat(np.arange(len(langs)), np.diff([0, *ends]))
-        stops = np.flatnonzero(self.codes == 0)
-        at = np.arange(len(self.codes))
+        self.lang = np.repeat(np.arange(len(langs), dtype=np.int32), np.diff([0, *ends]))
+        stops = np.flatnonzero(self.codes == 0).astype(np.int32)
+        at = np.arange(len(self.codes), dtype=np.int32)
         self.room = stops[np.searchsorted(stops, at)] - at if len(stops) else at  # words up to the piece's end
         m = len(self.codes)
         power = np.full(m, _BASE, np.uint64)

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from inkfold.tables import materialize
 
-__all__ = ["materialize", "partitions", "slices", "sums", "texts_of", "tune", "words_of"]
+__all__ = ["gathered", "materialize", "partitions", "slices", "sums", "texts_of", "tune", "words_of"]
 
 #: Rows of one Arrow batch between the JVM and Python. Documents can be long, so it's well below Spark's own default.
 BATCH_ROWS = 2000
@@ -42,6 +42,21 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             at = to
 
 
+def gathered(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Like slices, but small batches are also put together, to about `most` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in slices(batches, text, most):
+        own = pc.sum(pc.binary_length(batch.column(text))).as_py() or 0
+        if held and size + own > most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """A text column, nulls as empty."""
     return pc.fill_null(batch.column(name).cast(pa.string()), "")

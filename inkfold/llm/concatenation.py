@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,24 +19,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import materialize, slices, texts_of, tune
+from inkfold.llm.common import gathered, materialize, texts_of, tune
 from inkfold.llm.tokens import TOKEN_SLICE, encode_texts, library_encoder
 
 SIZE = 1024
 END = 0
 #: Partitions whose totals are summed up in one block.
 BLOCK = 1024
+#: Chunks whose ids a worker remembers, over all the tasks that it runs.
+REMEMBERED = 1_000_000
 
 _OUT = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str):
+    """A worker's own, from task to task; what it remembers changes no ids."""
+    return library_encoder(path, REMEMBERED)
+
+
 def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """First pass: doc_id, its ids and the end id (little-endian, 2 or 4 bytes each), how many (n), its partition (part), the ids before it there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, special = library_encoder(path)
+        encode, special = _encoder(path)
         part, seen = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text", TOKEN_SLICE):
+        for batch in gathered(batches, "text", TOKEN_SLICE):
             flat, bounds = encode_texts(texts_of(batch), encode, special)
             flat = np.insert(flat, bounds[1:], end)
             bounds = bounds + np.arange(len(bounds))

@@ -70,11 +70,11 @@ def encode_texts(texts: pa.Array, encode: Encoder, special: tuple[str, ...] = ()
     return ids, np.concatenate([[0], ends])[bounds]
 
 
-def library_encoder(path: str) -> tuple[Encoder, tuple[str, ...]]:
+def library_encoder(path: str, remembered_chunks: int | None = None) -> tuple[Encoder, tuple[str, ...]]:
     """The tokenizers library with a byte-level vocabulary in its format, truncation and padding off; and its added tokens.
 
     Chunks that begin with a space are encoded many to a string, as no token spans the place where one begins; the bytes
-    of the tokens tell which are whose.
+    of the tokens tell which are whose. The ids of so many chunks are remembered; None: REMEMBERED.
     """
     import os
 
@@ -106,7 +106,7 @@ def library_encoder(path: str) -> tuple[Encoder, tuple[str, ...]]:
     def remembered(together: list[str]) -> tuple[np.ndarray, np.ndarray]:
         nonlocal kept, kept_bounds
         new = [x for x in together if x not in known]
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) + len(new) > (REMEMBERED if remembered_chunks is None else remembered_chunks):
             known.clear()
             kept, kept_bounds, new = kept[:0], kept_bounds[:1], together
         if new:
