@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SVG_PREFIX = "data:image/svg+xml;base64,"
@@ -44,10 +47,90 @@ def publishable(nodes: DataFrame, *gates: DataFrame) -> DataFrame:
     return nodes
 
 
-def publish(nodes: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write node JSON in a bounded number of folders, those of the boards at hand anew."""
-    rows = node_json(nodes).withColumn("bucket", F.pmod(F.xxhash64("board_id"), F.lit(buckets)))
-    rows.repartition("bucket").sortWithinPartitions("board_id", "node_seq").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+_PUBLISHED = "board_id string, node_seq bigint, json string"
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
+    """The number of the last promoted manifest (0: none), and the version that holds each bucket; under -1, the number of buckets."""
+    folder, files = _file_system(spark, f"{path}/manifests")
+    numbers = [int(x.getPath().getName()) for x in files.listStatus(folder) if x.getPath().getName().isdigit()] if files.exists(folder) else []
+    if not numbers:
+        return 0, {}
+    rows = spark.read.text(f"{path}/manifests/{max(numbers)}").collect()
+    return max(numbers), {int(k): v for k, v in json.loads(rows[0].value).items()}
+
+
+def _promote(spark: SparkSession, path: str, number: int, versions: dict[int, str]) -> None:
+    """Write a manifest beside the others and rename it to its number, which is one step and fails if another has taken it."""
+    staged, files = _file_system(spark, f"{path}/manifests/staged-{uuid.uuid4().hex}")
+    out = files.create(staged, False)
+    out.write(bytearray(json.dumps(versions).encode()))
+    out.close()
+    if not (free := not files.exists(at := _file_system(spark, f"{path}/manifests/{number}")[0])) or not files.rename(staged, at):
+        files.delete(staged, False)
+        raise RuntimeError(f"{path} was published by another job meanwhile" if not free else f"manifest {number} of {path} can't be written")
+
+
+def published(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame:
+    """board_id, node_seq, json of all published boards, or of those in some buckets."""
+    _, versions = _manifest(spark, path)
+    folders = [f"{path}/data/{version}/bucket={k}" for k, version in sorted(versions.items()) if k >= 0 and (buckets is None or k in buckets)]
+    return spark.read.schema(_PUBLISHED).parquet(*folders) if folders else spark.createDataFrame([], _PUBLISHED)
+
+
+def publish(nodes: DataFrame, path: str, buckets: int = 64, boards: DataFrame | None = None) -> None:
+    """Publish the node JSON of the boards at hand anew; all other boards stay.
+
+    Buckets that hold any of these boards are merged with their other boards into a new version, which no reader sees until
+    a manifest names it: a job that dies before leaves the old state, and what it has written is removed by vacuum. boards:
+    board_id of those to replace, for boards that have no node any more. The manifest has a line for each bucket; `buckets`
+    is fixed by the first publication.
+    """
+    spark = nodes.sparkSession
+    number, versions = _manifest(spark, path)
+    count = int(versions.pop(-1, buckets))
+    bucket = F.pmod(F.xxhash64("board_id"), F.lit(count)).cast("int").alias("bucket")
+    rows = node_json(nodes).withColumn("board_id", F.col("board_id").cast("string"))
+    at_hand = rows.select("board_id")
+    if boards is not None:
+        at_hand = at_hand.union(boards.select(F.col("board_id").cast("string")))
+    at_hand = at_hand.distinct()
+    touched = [r.bucket for r in at_hand.select(bucket).distinct().collect()]
+    kept = published(spark, path, touched).join(at_hand, "board_id", "left_anti")
+    version = uuid.uuid4().hex
+    merged = rows.select("board_id", "node_seq", "json").union(kept).select("*", bucket)
+    merged.repartition("bucket").sortWithinPartitions("board_id", "node_seq").write.partitionBy("bucket").parquet(f"{path}/data/{version}")
+    for k in touched:
+        if _exists(spark, f"{path}/data/{version}/bucket={k}"):
+            versions[k] = version
+        else:
+            versions.pop(k, None)
+    _promote(spark, path, number + 1, versions | {-1: str(count)})
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at, files = _file_system(spark, path)
+    return files.exists(at)
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Remove the versions that the last manifest doesn't name, and older manifests; how many versions went. Not while another job publishes or reads."""
+    number, versions = _manifest(spark, path)
+    gone = 0
+    folder, files = _file_system(spark, f"{path}/data")
+    for x in files.listStatus(folder) if files.exists(folder) else []:
+        if x.getPath().getName() not in versions.values():
+            gone += files.delete(x.getPath(), True)
+    folder, files = _file_system(spark, f"{path}/manifests")
+    for x in files.listStatus(folder) if files.exists(folder) else []:
+        if x.getPath().getName() != str(number):
+            files.delete(x.getPath(), False)
+    return gone
 
 
 def evaluation_report(scales: DataFrame, totals: DataFrame, details: DataFrame) -> DataFrame:

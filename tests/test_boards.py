@@ -245,15 +245,72 @@ def test_page_size_and_order(spark):
     assert [r.name for r in sinks.by_name(names).collect()] == ["Z", "é", "Im10", "Im2"]
 
 
-def test_publish_leaves_other_boards(spark, tmp_path):
-    def write(boards):
-        rows = spark.createDataFrame([(b, i, "link") for b in boards for i in (2, 1)], "board_id string, node_seq bigint, kind string")
-        sinks.publish(rows, f"file://{tmp_path}/out", buckets=1000)
-
-    write(["a", "b"])
-    write(["b", "c"])
-    got = spark.read.parquet(f"file://{tmp_path}/out").groupBy("board_id").count().collect()
-    assert {r.board_id: r["count"] for r in got} == {"a": 2, "b": 2, "c": 2}
+NODES = "board_id string, node_seq bigint, kind string"
+
+
+def made_nodes(spark, boards, kind="link"):
+    return spark.createDataFrame([(b, i, kind) for b in boards for i in (2, 1)], NODES)
+
+
+def boards_of(spark, path):
+    return {r.board_id: (r.n, r.kinds) for r in sinks.published(spark, path).groupBy("board_id").agg(F.count("*").alias("n"), F.max(F.get_json_object("json", "$.kind")).alias("kinds")).collect()}
+
+
+@pytest.mark.parametrize("buckets", [1, 4, 1000])
+def test_publish_leaves_other_boards(spark, tmp_path, buckets):
+    path, names = f"file://{tmp_path}/out", [f"b{i}" for i in range(20)]
+    assert sinks.published(spark, path).count() == 0
+    sinks.publish(made_nodes(spark, names), path, buckets)
+    sinks.publish(made_nodes(spark, ["b7"], "image"), path, 3)  # the number of buckets is the first one's
+    assert boards_of(spark, path) == {b: (2, "image" if b == "b7" else "link") for b in names}
+    sinks.publish(made_nodes(spark, ["b3", "new"], "path"), path)
+    want = {b: (2, {"b7": "image", "b3": "path", "new": "path"}.get(b, "link")) for b in [*names, "new"]}
+    assert boards_of(spark, path) == want
+    sinks.publish(made_nodes(spark, []), path)
+    assert boards_of(spark, path) == want
+    gone = sinks.vacuum(spark, path)
+    assert gone >= 1 and boards_of(spark, path) == want and sinks.vacuum(spark, path) == 0
+
+
+def test_publish_boards_without_nodes(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    sinks.publish(made_nodes(spark, ["a", "b"]), path, 1)
+    both = spark.createDataFrame([("a",), ("b",)], "board_id string")
+    sinks.publish(made_nodes(spark, ["a"], "image"), path, boards=both)
+    assert boards_of(spark, path) == {"a": (2, "image")}
+    sinks.publish(made_nodes(spark, []), path, boards=both)
+    assert boards_of(spark, path) == {}
+
+
+def test_a_job_that_dies_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/out"
+    sinks.publish(made_nodes(spark, ["a", "b"]), path, 4)
+
+    def dies(*args):
+        raise OSError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_promote", dies)
+        with pytest.raises(OSError):
+            sinks.publish(made_nodes(spark, ["b", "c"], "image"), path)
+    assert boards_of(spark, path) == {"a": (2, "link"), "b": (2, "link")}
+    broken = made_nodes(spark, ["b"], "image").withColumn("node_seq", F.expr("CAST(raise_error('x') AS bigint)"))
+    with pytest.raises(Exception, match="x"):
+        sinks.publish(broken, path)
+    assert boards_of(spark, path) == {"a": (2, "link"), "b": (2, "link")}
+    assert sinks.vacuum(spark, path) >= 1
+    assert boards_of(spark, path) == {"a": (2, "link"), "b": (2, "link")}
+
+
+def test_two_jobs_at_once(spark, tmp_path):
+    """The second to promote fails and says so; what the first wrote stays."""
+    path = f"file://{tmp_path}/out"
+    sinks.publish(made_nodes(spark, ["a"]), path, 2)
+    number, versions = sinks._manifest(spark, path)
+    sinks.publish(made_nodes(spark, ["b"]), path)
+    with pytest.raises(RuntimeError, match="meanwhile"):
+        sinks._promote(spark, path, number + 1, versions)
+    assert set(boards_of(spark, path)) == {"a", "b"}
 
 
 def test_stitch(spark):
