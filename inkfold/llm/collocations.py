@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkfold.llm.common import gathered, materialize, partitions, texts_of, tune, words_of
@@ -30,7 +30,11 @@ SCALE = 2_000_000
 #: A candidate goes if a longer one with so many hundredths of its occurrences holds it.
 HELD = 80
 #: Bytes of text in a slice, about.
-SLICE = 3 << 20
+SLICE = 2 << 20
+#: Bytes of an Arrow batch.
+BATCH = 4 << 20
+#: Parts that a range of fingerprints is counted in, one after another.
+PARTS = 8
 #: Parts that a language's phrases are ranked in before they meet.
 SALTS = 64
 UNKNOWN = "und"
@@ -51,16 +55,17 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = pc.binary_join_element_wise(pc.replace_substring_regex(texts, "[.,;:!?\\n\\v\\f\\r]+", " . "), " .", "")
         codes, bounds, words = words_of(cut)
         stop = pc.index(words, pa.scalar(".", words.type)).as_py()
-        names = words.to_pylist()
-        names[stop], names[0] = names[0], names[stop]
-        swapped = np.arange(len(names), dtype=np.int32)
+        swapped = np.arange(len(words), dtype=np.int32)
         swapped[[0, stop]] = stop, 0
+        names = words.take(pa.array(swapped))[1:]
         codes = swapped[codes]
         ends = bounds[np.searchsorted(lang[order], np.arange(len(langs.dictionary)), side="right")]
         counted = np.diff(np.concatenate([[0], np.cumsum(codes > 0)])[np.concatenate([[0], ends])])
-        row = [[part << 20 | number], [langs.dictionary.to_pylist()], [ends.tolist()], [counted.tolist()], [names[1:]], [codes.astype("<u2" if len(names) <= 1 << 16 else "<u4").tobytes()]]
-        kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["slice", "langs", "ends", "n_words", "words", "codes"])
+        row = [[part << 20 | number], [langs.dictionary.to_pylist()], [ends.tolist()], [counted.tolist()], [codes.astype("<u2" if len(words) <= 1 << 16 else "<u4").tobytes()]]
+        kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
+        cols = [pa.array(x, k) for x, k in zip(row, kinds, strict=True)]
+        cols.insert(4, pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names))
+        yield pa.RecordBatch.from_arrays(cols, names=["slice", "langs", "ends", "n_words", "words", "codes"])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -71,11 +76,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Slice:
     """A slice's words and the fingerprints of its n-grams."""
 
-    def __init__(self, langs: list[str], ends: list[int], words: list[str], codes: bytes):
+    def __init__(self, langs: list[str], ends: list[int], words: pa.Array, codes: pa.Buffer):
         self.words, self.langs = words, langs
-        self.codes = np.frombuffer(codes, f"<u{len(codes) // ends[-1]}" if ends and ends[-1] else "<u2").astype(np.int32)
+        self.codes = np.frombuffer(codes, f"<u{codes.size // ends[-1]}" if ends and ends[-1] else "<u2").astype(np.int32)
         digest = xxhash.xxh64_intdigest
-        self.hashes = np.array([0, *(digest(w.encode()) for w in words)], np.uint64)
+        spelt = words.cast(pa.large_binary())
+        at, raw = np.frombuffer(spelt.buffers()[1], np.int64)[spelt.offset : spelt.offset + len(words) + 1].tolist(), memoryview(spelt.buffers()[2] or b"")
+        self.hashes = np.zeros(len(words) + 1, np.uint64)
+        self.hashes[1:] = np.fromiter((digest(raw[a:b]) for a, b in zip(at, at[1:], strict=False)), np.uint64, len(words))
         self.seeds = np.array([digest(x.encode(), 1) | 1 for x in langs], np.uint64)
         self.lang = np.repeat(np.arange(len(langs), dtype=np.int32), np.diff([0, *ends]))
         stops = np.flatnonzero(self.codes == 0).astype(np.int32)
@@ -122,6 +130,15 @@ class Slice:
         return stands, times
 
 
+def packed(prints: np.ndarray) -> bytes:
+    """Sorted fingerprints as their differences, byte by byte, so that the bytes which are all zero compress to nothing."""
+    return np.diff(prints, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: pa.Buffer) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+
+
 def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which of the values are in `known`, which is sorted."""
     if not len(known):
@@ -130,7 +147,7 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _slice_of(batch: pa.RecordBatch, i: int) -> Slice:
-    return Slice(*(batch.column(c)[i].as_py() for c in ("langs", "ends", "words", "codes")))
+    return Slice(batch.column("langs")[i].as_py(), batch.column("ends")[i].as_py(), batch.column("words")[i].values, batch.column("codes")[i].as_buffer())
 
 
 def _dealt(number: int, found: list[np.ndarray], n_buckets: int) -> pa.RecordBatch:
@@ -138,11 +155,12 @@ def _dealt(number: int, found: list[np.ndarray], n_buckets: int) -> pa.RecordBat
     prints, counts = np.unique(np.concatenate(found), return_counts=True)
     bucket = ((prints >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(prints)]]) if len(prints) else np.zeros(1, np.int64)
-    raw, sizes = memoryview(prints.astype("<u8").tobytes()), memoryview(counts.astype("<u4").tobytes())
+    own = list(zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
     cols = [
         pa.array(bucket[cuts[:-1]], pa.int32()),
         pa.array(np.full(len(cuts) - 1, number)),
-        *(pa.array([x[w * a : w * b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)], pa.binary()) for x, w in ((raw, 8), (sizes, 4))),
+        pa.array([packed(prints[a:b]) for a, b in own], pa.binary()),
+        pa.array([counts[a:b].astype("<u4").tobytes() for a, b in own], pa.binary()),
     ]
     return pa.RecordBatch.from_arrays(cols, names=["bucket", "slice", "prints", "counts"])
 
@@ -154,15 +172,24 @@ def _frequent(least: int):
         numbers, prints, counts = [], [], []
         for batch in batches:
             numbers += batch.column("slice").to_pylist()
-            prints += [np.frombuffer(x, "<u8") for x in batch.column("prints").to_pylist()]
-            counts += [np.frombuffer(x, "<u4") for x in batch.column("counts").to_pylist()]
+            prints += [unpacked(x.as_buffer()) for x in batch.column("prints")]
+            counts += [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("counts")]
         if not numbers:
             return
-        _, group = np.unique(np.concatenate(prints), return_inverse=True)
-        enough = np.bincount(group, weights=np.concatenate(counts)) >= least  # sums of counts are exact in doubles up to 2^53
-        kept = enough[group]
-        ends = np.cumsum([len(p) for p in prints]).tolist()
-        rows = [(k, own.tobytes()) for k, p, a, b in zip(numbers, prints, [0, *ends], ends, strict=False) if len(own := p[kept[a:b]])]
+        low, high = min(int(p[0]) for p in prints), max(int(p[-1]) for p in prints) + 1
+        edges = np.array([low + (high - low) * i // PARTS for i in range(PARTS)], np.uint64)
+        cuts = [np.append(np.searchsorted(p, edges), len(p)) for p in prints]
+        kept: list[list[np.ndarray]] = [[] for _ in prints]
+        for i in range(PARTS):
+            own = [p[c[i] : c[i + 1]] for p, c in zip(prints, cuts, strict=True)]
+            _, group = np.unique(np.concatenate(own), return_inverse=True)
+            times = np.concatenate([n[c[i] : c[i + 1]] for n, c in zip(counts, cuts, strict=True)])
+            enough = np.bincount(group, weights=times)[group] >= least  # sums of counts are exact in doubles up to 2^53
+            at = 0
+            for p, found in zip(own, kept, strict=True):
+                found.append(p[enough[at : at + len(p)]])
+                at += len(p)
+        rows = [(k, packed(own)) for k, found in zip(numbers, kept, strict=True) if len(own := np.concatenate(found))]
         cols = list(zip(*rows, strict=True)) if rows else [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], names=["slice", "prints"])
 
@@ -185,7 +212,7 @@ def _met(table: DataFrame, kept: DataFrame, work: Callable[[int, Slice, np.ndarr
                 if k != number:
                     number, own = k, []
                 if prints is not None:
-                    own.append(np.frombuffer(prints, "<u8"))
+                    own.append(unpacked(pa.py_buffer(prints)))
                 else:
                     yield from work(k, _slice_of(batch, i), np.sort(np.concatenate([np.empty(0, np.uint64), *own])))
 
@@ -195,10 +222,19 @@ def _met(table: DataFrame, kept: DataFrame, work: Callable[[int, Slice, np.ndarr
     return both.repartitionById(n, place).sortWithinPartitions("slice", F.col("prints").isNull()).mapInArrow(run, schema)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Rows are as large as a slice, so Arrow batches are bounded by bytes; a smaller setting of the user's stays."""
+    tune(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = str(spark.conf.get(key)).lower().removesuffix("b")
+    if not held.isdigit() or not 0 < int(held) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def frequent_phrases(docs: DataFrame, least: int = OCCURRENCES, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n_words, f) of all phrases of up to `longest` words with f >= least; and (lang, n), all its words."""
     spark = docs.sparkSession
-    tune(spark)
+    _small_batches(spark)
     n_buckets = partitions(spark)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     table = materialize(rows.mapInArrow(_slices, _SLICES))
@@ -216,10 +252,10 @@ def frequent_phrases(docs: DataFrame, least: int = OCCURRENCES, longest: int = L
         for n in range(1, longest + 1):
             at = own.starts(n) if n < 3 else own.possible(n, frequent)
             stands, times = own.phrases(at[among(own.prints(at, n), frequent)], n)
-            spelt = [[own.words[c - 1] for c in own.codes[stands + j].tolist()] for j in range(n)]
-            phrases = list(map(" ".join, zip(*spelt, strict=True)))
+            spelt = [own.words.take(pa.array(own.codes[stands + j] - 1)) for j in range(n)]
+            phrases = pc.binary_join_element_wise(*spelt, " ")
             lang = pa.array(own.langs, pa.string()).take(pa.array(own.lang[stands]))
-            cols = [lang, pa.array(phrases, pa.string()), pa.array(np.full(len(phrases), n, np.int32)), pa.array(times.astype(np.int64))]
+            cols = [lang, phrases, pa.array(np.full(len(phrases), n, np.int32)), pa.array(times.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(cols, names=["lang", "phrase", "n_words", "f"])
 
     kept = materialize(_may_be_frequent(table.select("slice", "langs", "ends", "words", "codes").mapInArrow(short, _PRINTS), least))

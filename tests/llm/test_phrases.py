@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -180,7 +181,7 @@ def test_equal_fingerprints_are_told_apart(spark, hashes):
     try:
         r = random.Random(1)
         words = [r.choices("abcd", k=40) for _ in range(30)]
-        slice_ = Weak(["en"], [30 * 41], ["a", "b", "c", "d"], np.array([c for w in words for c in [*(ord(x) - 96 for x in w), 0]], "<u2").tobytes())
+        slice_ = Weak(["en"], [30 * 41], pa.array(["a", "b", "c", "d"]), pa.py_buffer(np.array([c for w in words for c in [*(ord(x) - 96 for x in w), 0]], "<u2").tobytes()))
         for n in range(1, 5):
             stands, times = slice_.phrases(slice_.starts(n), n)
             got = {tuple(slice_.codes[s : s + n].tolist()): int(k) for s, k in zip(stands, times, strict=True)}
