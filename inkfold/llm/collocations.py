@@ -37,6 +37,8 @@ BATCH = 4 << 20
 PARTS = 8
 #: Parts that a language's phrases are ranked in before they meet.
 SALTS = 64
+#: Scores are ranked in bands so wide, each on its own; how many rows the bands above have gives the rank.
+BAND = 5000
 UNKNOWN = "und"
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
@@ -312,5 +314,10 @@ def collocations(docs: DataFrame, least: int = OCCURRENCES, longest: int = LONGE
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     salted = kept.withColumn("salt", F.pmod(F.hash("phrase"), F.lit(SALTS)))
     some = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    some = materialize(some.drop("rank", "salt").withColumn("band", F.floor(F.col("score") / BAND)))
+    bands = some.groupBy("lang", "band").agg(F.count("*").alias("n"))
+    above = F.sum("n").over(Window.partitionBy("lang").orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    bands = bands.select("lang", "band", F.coalesce(above, F.lit(0)).alias("above"))
+    place = F.row_number().over(Window.partitionBy("lang", "band").orderBy(*order))
+    ranked = some.withColumn("place", place).join(bands, ["lang", "band"]).withColumn("rank", F.col("above") + F.col("place")).where(F.col("rank") <= top)
     return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
