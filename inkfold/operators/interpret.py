@@ -1,18 +1,27 @@
 """Drawing operators to scene nodes.
 
-operators(board_id, seq, op, nums, name, dash). Look-ups are joins before the fold. The fold streams each board's operators
-in order through one small state, so a board may have any number; a board stops at its first error, others go on.
+operators(board_id, seq, op, nums, name, dash). Look-ups are joins before the fold. A board stops at its first error, others
+go on. A long board is more than a task should do, so its stream is cut into slices of `SLICE` positions that are folded apart:
+
+1. Each slice keeps its live operators, those that still matter at its end: no `q` with its `Q` and what's between, no path
+   that is painted, of colors, widths and the like only the last at each depth. Mostly that's next to nothing.
+2. A board's live operators, in order, give the state that each of its slices starts in. They are the same steps on the same
+   numbers as in one fold of the whole board, so states are equal to the last bit; products of matrices wouldn't be.
+3. Each slice is folded from its state. Of a board's errors the first by position counts: all before it is right, and what
+   a slice makes of a state after it isn't used.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from types import SimpleNamespace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -35,28 +44,51 @@ NUMBERS = {
 NAMED = {"Do": "Do expected an image resource name", "gs": "gs expected a graphics-state name", "CS": "color-space operator expected a name", "cs": "color-space operator expected a name"}
 #: Painting: does it close the path first, fill, stroke, and by which rule.
 PAINTS = {"S": (0, 0, 1, "nonzero"), "s": (1, 0, 1, "nonzero"), "f": (0, 1, 0, "nonzero"), "F": (0, 1, 0, "nonzero"), "f*": (0, 1, 0, "evenodd"), "B": (0, 1, 1, "nonzero"), "B*": (0, 1, 1, "evenodd"), "b": (1, 1, 1, "nonzero"), "b*": (1, 1, 1, "evenodd")}
+#: What an operator sets anew, whatever was before; only the last of a kind matters.
+SETS = {"w": "width", "M": "miter", "d": "dash", "gs": "opacity", "g": "fill", "rg": "fill", "k": "fill", "cs": "fill", "G": "stroke", "RG": "stroke", "K": "stroke", "CS": "stroke"}
+CLIPPING = frozenset({"W", "W*"})
+PATHS = frozenset({"m", "l", "c", "v", "y", "h", "re"})
+#: Positions of a board's stream that are folded together.
+SLICE = 50_000
 DEVICES = {"DeviceGray": "gray", "DeviceRGB": "rgb", "DeviceCMYK": "cmyk"}
 EMPTY_STACK = "Q tried to restore an empty graphics-state stack"
 OPEN_STACK = "content stream ended before every q had a matching Q"
 TEXT = "PDF text requires font decoding and metrics"
 
 
-def check_streams(operators: DataFrame) -> DataFrame:
-    """board_id, error: balance of q and Q, and operators that are unknown, by windows alone. First by position."""
+def _slice(size: int) -> Column:
+    return F.floor(F.col("seq") / size)
+
+
+def _running(rows: DataFrame, value: str, to: int) -> DataFrame:
+    """rows(board_id, seq, slice_no) with `before`, the board's sum of value up to `to` rows from each.
+
+    Each slice's own running sum, and the sum of the slices before it. So a window holds a slice, or a row for each slice.
+    """
+    key = ["board_id", "slice_no"]
+    sums = rows.groupBy(*key).agg(F.sum(value).alias("own"))
+    earlier = F.coalesce(F.sum("own").over(Window.partitionBy("board_id").orderBy("slice_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(F.col("board_id").alias("b"), F.col("slice_no").alias("s"), earlier.alias("earlier"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, to)), F.lit(0))
+    met = rows.withColumn("own", own).join(starts, F.col("board_id").eqNullSafe(F.col("b")) & F.col("slice_no").eqNullSafe(F.col("s")))
+    return met.withColumn("before", F.col("earlier") + F.col("own")).drop("b", "s", "earlier", "own")
+
+
+def check_streams(operators: DataFrame, size: int = SLICE) -> DataFrame:
+    """board_id, error: balance of q and Q, and operators that are unknown, by windows of slices. First by position."""
     delta = F.when(F.col("op") == "q", 1).when(F.col("op") == "Q", -1).otherwise(0)
-    depth = F.sum(delta).over(Window.partitionBy("board_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     rule = F.broadcast(operators.sparkSession.createDataFrame([(op,) for op in NUMBERS], "op string").withColumn("known", F.lit(True)))
-    rows = operators.select("board_id", "seq", "op").withColumn("depth", depth).join(rule, "op", "left")
+    deep = _running(operators.select("board_id", "seq", "op", _slice(size).alias("slice_no"), delta.alias("delta")), "delta", 0)
+    rows = deep.withColumnRenamed("before", "depth").join(rule, "op", "left")
     error = F.when(F.col("depth") < 0, EMPTY_STACK).when(F.col("op") == "BT", TEXT).when(F.col("known").isNull(), F.concat(F.lit("unsupported operator "), "op"))
-    found = rows.withColumn("error", error).groupBy("board_id").agg(F.min(F.when(F.col("error").isNotNull(), F.struct("seq", "error"))).alias("first"), F.max_by("depth", "seq").alias("left"))
+    found = rows.withColumn("error", error).groupBy("board_id").agg(F.min(F.when(F.col("error").isNotNull(), F.struct("seq", "error"))).alias("first"), F.sum("delta").alias("left"))
     return found.select("board_id", F.coalesce(F.col("first.error"), F.when(F.col("left") != 0, OPEN_STACK)).alias("error"))
 
 
-def path_numbers(operators: DataFrame) -> DataFrame:
+def path_numbers(operators: DataFrame, size: int = SLICE) -> DataFrame:
     """Each path operator with the number of the path it belongs to: how many paints came before it on its board."""
-    ends = F.col("op").isin(*PAINTS, "n").cast("int")
-    before = F.sum(ends).over(Window.partitionBy("board_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    return operators.withColumn("path_no", F.coalesce(before, F.lit(0)))
+    ends = operators.withColumns({"slice_no": _slice(size), "ends": F.coalesce(F.col("op").isin(*PAINTS, "n").cast("int"), F.lit(0))})
+    return _running(ends, "ends", -1).withColumnRenamed("before", "path_no").drop("slice_no", "ends")
 
 
 def resolve(operators: DataFrame, resources: DataFrame, alphas: DataFrame, colorspaces: DataFrame) -> DataFrame:
@@ -258,7 +290,7 @@ def step(board: Board, row) -> list[dict]:
         for kind, p in (("move", (x, y)), ("line", (x + w, y)), ("line", (x + w, y + h)), ("line", (x, y + h))):
             _put(board, kind, at(*p))
         _put(board, "close")
-    elif op in ("W", "W*"):
+    elif op in CLIPPING:
         board.clip = "nonzero" if op == "W" else "evenodd"
     elif op in PAINTS or op == "n":
         node = _paint(board, op)
@@ -268,45 +300,202 @@ def step(board: Board, row) -> list[dict]:
     return []
 
 
-_OUT = f"board_id string, op_seq bigint, sub_seq int, kind string, asset_id string, matrix {MATRIX}, opacity double, clips {CLIPS}, commands {COMMANDS}, style {STYLE}, href string, error_kind string, error_message string"
+class Live:
+    """The operators of a slice that still matter at its end, by their places, in order.
+
+    A `q` goes with its `Q` and all between them, unless a path is begun there and not ended, or ended there and not begun.
+    A path goes when it's painted; one that clips stays, until the `Q` of its clip. What the slice's first paint ends may have begun
+    before the slice, so it stays. Of what sets the same anew at one depth, the last stays. Time is in proportion to the slice.
+    """
+
+    def __init__(self):
+        self.kept: list = []
+        #: Where in `kept` each open `q` is; what lies before them begins at `base`.
+        self.opened: list[int] = []
+        self.base = 0
+        self.last: list[dict[str, int]] = [{}]
+        #: Places in `kept` of the present path, and of each paint that stays with where its path begins (-1: before the slice).
+        self.path: list[int] = []
+        self.clips = False
+        self.paints: list[tuple[int, int]] = []
+
+    def _keep(self, place) -> int:
+        self.kept.append(place)
+        return len(self.kept) - 1
+
+    def _drop(self, begin: int) -> bool:
+        """Drop all from begin on, if each path that is in it begins and ends in it."""
+        at = bisect.bisect_left(self.paints, (begin, -1))
+        if (self.path and self.path[-1] >= begin) or (at < len(self.paints) and self.paints[at][1] < begin):
+            return False
+        del self.kept[begin:], self.paints[at:]
+        return True
+
+    def add(self, place, op: str) -> None:
+        if op == "q":
+            self.opened.append(self._keep(place))
+            self.last.append({})
+        elif op == "Q":
+            if self.opened:
+                self.last.pop()
+                if not self._drop(self.opened.pop()):
+                    self._keep(place)
+            else:
+                self._drop(self.base)
+                self._keep(place)
+                self.base, self.last = len(self.kept), [{}]
+        elif op in PATHS or op in CLIPPING:
+            self.clips |= op in CLIPPING
+            self.path.append(self._keep(place))
+        elif op in PAINTS or op == "n":
+            if not self.begun:
+                self.paints.append((self._keep(place), -1))
+                if not self.opened:
+                    self.base = len(self.kept)
+            elif self.clips:
+                self.paints.append((self._keep(place), self.path[0]))
+            else:
+                for at in self.path:
+                    self.kept[at] = None
+            self.path, self.clips, self.begun = [], False, True
+        elif op in SETS or op.lower() == "sc":
+            # sc takes the space that another has set, so it takes the place of an earlier sc only.
+            last, kind = self.last[-1], SETS.get(op, op)
+            for earlier in {kind} if kind == op else {kind, {"fill": "sc", "stroke": "SC"}.get(kind, kind)}:
+                if earlier in last:
+                    self.kept[last.pop(earlier)] = None
+            last[kind] = self._keep(place)
+        elif op == "cm":
+            self._keep(place)
+
+    #: Whether a paint was met, so that it's known where the present path begins.
+    begun = False
+
+
+_STATE = "board_id string, slice_no bigint, first_seq bigint, state binary"
+_OUT = f"board_id string, op_seq bigint, sub_seq int, kind string, asset_id string, matrix {MATRIX}, opacity double, clips {CLIPS}, commands {COMMANDS}, style {STYLE}, href string, error_seq bigint, error_kind string, error_message string"
+#: An open q is an error after all others of its board.
+_LAST = (1 << 63) - 1
+
+
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by board, slice and position. Each slice gives a row without an operator, and its live operators after it."""
+    last, live, held = None, Live(), {}
+
+    def done() -> Iterator[pa.RecordBatch]:
+        places: dict[int, list[int]] = {}
+        for number, at in filter(None, live.kept):
+            places.setdefault(number, []).append(at)
+        for number, at in places.items():
+            yield made(held[number].take(pa.array(at, pa.int64())).columns, pa.nulls(len(at), pa.int64()))
+
+    def made(columns: list[pa.Array], first: pa.Array) -> pa.RecordBatch:
+        """Without marks of columns that hold no null, which differ between rows that begin a slice and others."""
+        fields = [pa.field(f.name, f.type) for f in batch.schema]
+        return pa.RecordBatch.from_arrays([*columns, first], schema=pa.schema([*fields, ("first_seq", pa.int64())]))
+
+    def begins(at: int) -> pa.RecordBatch:
+        columns = [batch.column(f.name).slice(at, 1) if f.name in ("board_id", "slice_no", "height") else pa.nulls(1, f.type) for f in batch.schema]
+        return made(columns, batch.column("seq").slice(at, 1).cast(pa.int64()))
+
+    for number, batch in enumerate(batches):
+        # Batches of the slice at hand alone are held.
+        held[number] = batch
+        for at, (board, part, op) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("board_id", "slice_no", "op")), strict=True)):
+            if (board, part) != last:
+                yield from done()
+                last, live, held = (board, part), Live(), {number: batch}
+                yield begins(at)
+            if op is not None:
+                live.add((number, at), op)
+    yield from done()
+
+
+def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Live operators come by board, slice and position, a row without one before each slice: the state each slice starts in."""
+    key, board, first = object(), None, True
+    for batch in batches:
+        out = []
+        for row in map(lambda r: SimpleNamespace(**r), batch.to_pylist()):
+            if row.board_id != key:
+                key, board, first = row.board_id, Board(float(row.height)), True
+            if row.op is None:
+                # After an error it doesn't matter what the other slices make of the board.
+                if not first and not board.error:
+                    out.append({"board_id": key, "slice_no": row.slice_no, "first_seq": row.first_seq, "state": pickle.dumps(board)})
+                first = False
+            elif not board.error:
+                try:
+                    step(board, row)
+                except Rejected as e:
+                    board.error = (e.kind, e.message)
+        yield pa.RecordBatch.from_pylist(out, _STATES)
+
+
+_STATES = pa.schema([("board_id", pa.string()), ("slice_no", pa.int64()), ("first_seq", pa.int64()), ("state", pa.binary())])
+
 
 def _folded(schema: pa.Schema):
+    """Rows come by board, slice and position. The first of a slice has its state; without one, it's as a board begins."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, board = object(), None
+        last, board, ends = None, None, False
 
         def end() -> list[dict]:
-            return [{"board_id": key, "error_kind": "graphics_state", "error_message": OPEN_STACK}] if board and board.stack and not board.error else []
+            return [_error(last[0], _LAST, "graphics_state", OPEN_STACK)] if board and ends and board.stack and not board.error else []
 
         for batch in batches:
             out: list[dict] = []
             for row in map(lambda r: SimpleNamespace(**r), batch.to_pylist()):
-                if row.board_id != key:
+                if (row.board_id, row.slice_no) != last:
                     out += end()
-                    key, board = row.board_id, Board(float(row.height))
+                    last, ends = (row.board_id, row.slice_no), row.slice_no == row.last_slice
+                    board = pickle.loads(row.state) if row.state is not None else Board(float(row.height))
                 if board.error or row.op is None:
                     continue
                 try:
-                    out += [{"board_id": key, "op_seq": row.seq, "sub_seq": i, **node} for i, node in enumerate(step(board, row))]
+                    out += [{"board_id": row.board_id, "op_seq": row.seq, "sub_seq": i, **node} for i, node in enumerate(step(board, row))]
                 except Rejected as e:
                     board.error = (e.kind, e.message)
-                    out.append({"board_id": key, "error_kind": e.kind, "error_message": e.message})
+                    out.append(_error(row.board_id, row.seq, e.kind, e.message))
             yield pa.RecordBatch.from_pylist(out, schema)
         yield pa.RecordBatch.from_pylist(end(), schema)
 
     return run
 
 
-def interpret(operators: DataFrame, boards: DataFrame, resources: DataFrame, alphas: DataFrame, colorspaces: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _error(board: str, seq: int, kind: str, message: str) -> dict:
+    return {"board_id": board, "error_seq": seq, "error_kind": kind, "error_message": message}
+
+
+def _starts(rows: DataFrame, n: int) -> DataFrame:
+    """board_id, slice_no, first_seq, state of each slice but the first, of boards with more than one."""
+    many = rows.where("first_slice < last_slice").select("board_id", "slice_no", "seq", "op", "nums", "name", "dash", "r_kind", "r_asset", "alpha", "space", "has_space", "height")
+    given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in many.schema)
+    live = many.repartition(n, "board_id", "slice_no").sortWithinPartitions("board_id", "slice_no", "seq").mapInArrow(_live, f"{given}, first_seq bigint")
+    return live.repartition(n, "board_id").sortWithinPartitions("board_id", "slice_no", F.col("op").isNotNull(), "seq").mapInArrow(_states, _STATE)
+
+
+def interpret(operators: DataFrame, boards: DataFrame, resources: DataFrame, alphas: DataFrame, colorspaces: DataFrame, size: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """(nodes, errors). nodes: board_id, op_seq, sub_seq and payloads; a traced artwork's href names its resource.
 
-    A board with an error has no nodes.
+    A board with an error has no nodes. A board of more than `size` positions is folded in several tasks, with equal results.
     """
-    rows = resolve(operators, resources, alphas, colorspaces).join(boards.select("board_id", "height"), "board_id")
+    # Without a position a row comes first, as in one fold.
+    part = F.coalesce(_slice(size), F.lit(-(1 << 62)))
+    ends = operators.groupBy("board_id").agg(F.min(part).alias("first_slice"), F.max(part).alias("last_slice"))
+    whole = boards.select("board_id", "height").join(ends, "board_id")
+    rows = resolve(operators, resources, alphas, colorspaces).withColumn("slice_no", part).join(whole, "board_id")
     n = int(operators.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = _starts(rows, n).select("slice_no", "state", F.col("board_id").alias("b"), F.col("slice_no").alias("s"), "first_seq").drop("slice_no")
+    # A slice's state goes to its first row alone.
+    met = (F.col("board_id") == F.col("b")) & (F.col("slice_no") == F.col("s")) & F.col("seq").eqNullSafe(F.col("first_seq"))
     schema = to_arrow_schema(operators.sparkSession.createDataFrame([], _OUT).schema)
-    folded = rows.repartition(n, "board_id").sortWithinPartitions("board_id", "seq").mapInArrow(_folded(schema), _OUT)
-    errors = folded.where("error_kind IS NOT NULL").select("board_id", "error_kind", "error_message")
-    nodes = folded.where("error_kind IS NULL").drop("error_kind", "error_message").join(errors, "board_id", "left_anti")
+    dealt = rows.repartition(n, "board_id", "slice_no").join(starts, met, "left").drop("b", "s", "first_seq")
+    folded = dealt.sortWithinPartitions("board_id", "slice_no", "seq").mapInArrow(_folded(schema), _OUT)
+    first = F.min(F.struct("error_seq", "error_kind", "error_message"))
+    errors = folded.where("error_kind IS NOT NULL").groupBy("board_id").agg(first.alias("e")).select("board_id", "e.error_kind", "e.error_message")
+    nodes = folded.where("error_kind IS NULL").drop("error_seq", "error_kind", "error_message").join(errors, "board_id", "left_anti")
     return nodes, errors
 
 

@@ -1,5 +1,7 @@
 """Streams, scenes, links, markup, renderings and sources on small cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +74,72 @@ def test_interpreter(spark):
     }
 
 
+def drawn(spark, streams, size):
+    """Nodes and errors of boards, folded in slices of size positions."""
+    floats = lambda v: None if v is None else [float(x) for x in v]
+    rows = [(b, i, o[0], floats(o[1]), o[2], floats(o[3])) for b, ops in streams.items() for i, o in enumerate((*x, *[None] * (4 - len(x))) for x in ops)]
+    boards = spark.createDataFrame([(b, 100.0) for b in streams], "board_id string, height double")
+    resources = spark.createDataFrame([(b, "X", "mixed", "X") for b in streams], "board_id string, name string, kind string, asset_id string")
+    alphas = spark.createDataFrame([(b, f"G{i}", i / 8) for b in streams for i in range(4)], "board_id string, name string, opacity double")
+    spaces = spark.createDataFrame([(b, "C", "cmyk") for b in streams], "board_id string, name string, space string")
+    nodes, errors = interpret.interpret(spark.createDataFrame(rows, OPS), boards, resources, alphas, spaces, size)
+    return sorted(map(repr, nodes.collect())), sorted(map(tuple, errors.collect()))
+
+
+def any_stream(r, n, faults):
+    """A stream of n operators: paths over q and Q, clips, colors in spaces, and, if asked for, faults."""
+    out, depth = [], 0
+    for _ in range(n):
+        op = r.choice(["q", "q", "Q", "Q", "cm", "w", "d", "gs", "cs", "sc", "g", "RG", "m", "l", "v", "re", "W", "W*", "n", "S", "f", "b", "Do", "BDC"])
+        if op == "Q" and not depth and not faults:
+            continue
+        depth += (op == "q") - (op == "Q")
+        x = [r.randint(-9, 9) / 8 for _ in range(6)]
+        more = {"cm": [x[0] or 1, x[1], -x[1], x[0] or 1, x[4], x[5]], "w": [abs(x[0])], "d": [x[0]], "g": [abs(x[0])], "RG": x[:3], "m": x[:2], "l": x[:2], "v": x[:4], "re": x[:4]}.get(op, [])
+        if op == "sc":
+            more = [abs(v) / 2 for v in x[: r.choice([1, 3, 4]) if faults else 1]]
+        name = {"gs": f"G{r.randint(0, 3)}", "cs": "DeviceGray" if not faults else r.choice(["DeviceGray", "C"]), "Do": "X"}.get(op)
+        out.append((op, more, name, [1.0, abs(x[1])] if op == "d" else None))
+    return out + [("Q", [])] * max(depth, 0)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 40])
+def test_sliced_streams_are_folded_as_whole_ones(spark, size):
+    r = random.Random(size)
+    streams = {f"s{i}": any_stream(r, 120, False) for i in range(30)} | {f"f{i}": any_stream(r, 25, True) for i in range(20)}
+    # A path and a clip over the edges of slices and over q and Q, and an open q.
+    streams["over"] = [("m", [0, 0]), ("q", []), ("cm", [2, 0, 0, 2, 1, 1]), ("l", [3, 4]), ("W", []), ("Q", []), ("l", [1, 1]), ("q", []), ("n", []), ("Do", [], "X"), ("Q", []), ("Do", [], "X"), ("re", [0, 0, 1, 1]), ("f", [])]
+    streams["open"] = [("q", []), *LINE, ("f", [])] * 9
+    whole = drawn(spark, streams, 1 << 20)
+    assert len(whole[0]) > 200 and len(whole[1]) > 5
+    assert drawn(spark, streams, size) == whole
+
+
+def test_live_operators():
+    def live(ops):
+        found = interpret.Live()
+        for i, op in enumerate(ops.split()):
+            found.add(i, op)
+        return [i for i in found.kept if i is not None]
+
+    assert live("n " + "q cm Do Q " * 1000 + "m l S " * 1000) == [0]
+    assert live("n g g sc sc rg w w") == [0, 5, 7]
+    assert live("n q cm m Q l") == [0, 1, 2, 3, 4, 5] and live("n q cm m f Q") == [0]
+    assert live("n m W n q re W n Q") == [0, 1, 2, 3]
+    assert live("n w cm Q cm") == [0, 3, 4]
+    assert live("q m f Q") == [0, 1, 2, 3], "the first paint may end an earlier slice's path"
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_checks_and_path_numbers_of_slices(spark, size):
+    ops = ["q", "m", "f", "Q", "m", "W", "n", "q", "Do", "Q", "m", "S"]
+    streams = {"good": ops, "deep": [*ops, "Q", "zz"], "odd": [*ops, "zz", "Q"], "open": [*ops, "q"]}
+    rows = spark.createDataFrame([(b, i, op) for b, s in streams.items() for i, op in enumerate(s)], "board_id string, seq int, op string")
+    assert {r.board_id: r.error for r in interpret.check_streams(rows, size).collect()} == {"good": None, "deep": interpret.EMPTY_STACK, "odd": "unsupported operator zz", "open": interpret.OPEN_STACK}
+    numbers = interpret.path_numbers(rows, size).where("board_id = 'good'").orderBy("seq").collect()
+    assert [r.path_no for r in numbers] == [0, 0, 0, 1, 1, 1, 1, 2, 2, 2, 2, 2]
+
+
 def test_matrices(spark):
     row = spark.range(1).select(
         geometry.board_matrix(geometry.matrix(*map(F.lit, (1, 0, 0, 1, 10, 20))), F.lit(100.0)).alias("board"),
