@@ -16,9 +16,9 @@ from __future__ import annotations
 import bisect
 import math
 import pickle
+from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from types import SimpleNamespace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -300,6 +300,12 @@ def step(board: Board, row) -> list[dict]:
     return []
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator:
+    """The rows by name, read a column at a time."""
+    row = namedtuple("Operator", batch.schema.names)
+    return map(row._make, zip(*(c.to_pylist() for c in batch.columns), strict=True))
+
+
 class Live:
     """The operators of a slice that still matter at its end, by their places, in order.
 
@@ -416,7 +422,7 @@ def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, board, first = object(), None, True
     for batch in batches:
         out = []
-        for row in map(lambda r: SimpleNamespace(**r), batch.to_pylist()):
+        for row in _rows(batch):
             if row.board_id != key:
                 key, board, first = row.board_id, Board(float(row.height)), True
             if row.op is None:
@@ -446,7 +452,7 @@ def _folded(schema: pa.Schema):
 
         for batch in batches:
             out: list[dict] = []
-            for row in map(lambda r: SimpleNamespace(**r), batch.to_pylist()):
+            for row in _rows(batch):
                 if (row.board_id, row.slice_no) != last:
                     out += end()
                     last, ends = (row.board_id, row.slice_no), row.slice_no == row.last_slice
@@ -491,7 +497,7 @@ def interpret(operators: DataFrame, boards: DataFrame, resources: DataFrame, alp
     # A slice's state goes to its first row alone.
     met = (F.col("board_id") == F.col("b")) & (F.col("slice_no") == F.col("s")) & F.col("seq").eqNullSafe(F.col("first_seq"))
     schema = to_arrow_schema(operators.sparkSession.createDataFrame([], _OUT).schema)
-    dealt = rows.repartition(n, "board_id", "slice_no").join(starts, met, "left").drop("b", "s", "first_seq")
+    dealt = rows.drop("first_slice").repartition(n, "board_id", "slice_no").join(starts, met, "left").drop("b", "s", "first_seq")
     folded = dealt.sortWithinPartitions("board_id", "slice_no", "seq").mapInArrow(_folded(schema), _OUT)
     first = F.min(F.struct("error_seq", "error_kind", "error_message"))
     errors = folded.where("error_kind IS NOT NULL").groupBy("board_id").agg(first.alias("e")).select("board_id", "e.error_kind", "e.error_message")
