@@ -29,15 +29,19 @@ from inkfold.llm.common import materialize, partitions, slices, texts_of, tune
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head".split())
 VOID = frozenset("area base basefont br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-# Choices: the elements, roles and name parts whose content isn't article text.
-OUTSIDE = frozenset("nav header footer aside form head dialog menu noscript template svg math button select object audio video canvas map fieldset".split())
+#: Elements whose content is dropped without ending a block: scripts' stand-ins and controls of forms. Without an end tag they hold nothing.
+SKIPPED = frozenset("noscript template button select".split())
+# Choices: the blocks, roles and names whose content isn't article text.
+OUTSIDE = frozenset("nav header footer aside form head dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead "
     "comment comments disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup share sharing social related recommended "
     "widget pagination pager toolbar login search".split()
 )
-#: Name parts that an article's own head may have.
+#: Words that a name may have beside those: `site-footer` and `ad-box` name what `footer` and `ad` do; `related-work` doesn't.
+HOLDERS = frozenset("site page main global top bottom left right inner outer primary secondary box bar block wrap wrapper container content area section list item items link links button buttons icons panel row col column unit slot zone form policy post posts articles stories media js".split())
+#: Names that an article's own head may have.
 HEADS = frozenset({"header", "banner", "masthead"})
 #: What an open element of the first kind is closed by, up to the nearest of the second.
 ENDS = {
@@ -52,8 +56,9 @@ ENDS = {
 PARTS = 64
 #: Lists of siblings with more pairs than this are halved to be aligned; both ways find a longest common subsequence.
 COMPARED = 40_000
-#: Percent of a host's pages that have a slot with one text, from which it is the host's.
+#: Percent of a host's pages that have a slot with one text, from which it is the host's, and from how many different pages.
 NEARLY_ALL = 90
+EVIDENCE = 5
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)(>?)")
 #: The end of a tag, or its next attribute. A quote that never closes isn't one; only a page's last can be such.
@@ -94,11 +99,21 @@ def _attributes(text: str, at: int) -> tuple[dict[str, str], int]:
     return values, -1
 
 
+def _names(values: dict[str, str]) -> set[str]:
+    """The words of those classes and ids that are names as a whole, or names with words that say where or in what."""
+    found: set[str] = set()
+    for name in f"{values.get('class', '')} {values.get('id', '')}".split():
+        parts = {p.lower() for p in _PARTS.findall(name)}
+        if parts <= NAMES | HOLDERS:
+            found |= parts & NAMES
+    return found
+
+
 def _label(tag: str, values: dict[str, str]) -> str:
-    """Tag and class; `!` marks what isn't article text, `?` what isn't unless it's in an article, `*` an article's body."""
+    """A block's tag and class; `!` marks what isn't article text, `?` what isn't unless it's in an article, `*` an article's body."""
     if not values and tag not in OUTSIDE:
         return tag
-    named = {p.lower() for key in ("class", "id") for p in _PARTS.findall(values.get(key, ""))}
+    named = _names(values)
     role = values.get("role", "").lower()
     mark = ""
     if tag in ("header",) or role == "banner" or named & HEADS:
@@ -112,7 +127,7 @@ def _label(tag: str, values: dict[str, str]) -> str:
     return f"{tag}.{re.sub(r'\\d+', '0', values.get('class', '').strip())}{mark}" if values.get("class") or mark else tag
 
 
-_RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
+_RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW | SKIPPED}
 
 
 class _Open:
@@ -139,12 +154,9 @@ class _Open:
             del self.stack[at:]
 
     def close_paragraph(self) -> None:
-        """A paragraph that no other block is in ends before a block."""
-        for tag, _ in reversed(self.stack):
-            if tag in BLOCKS:
-                if tag == "p":
-                    self.close({"p"})
-                return
+        """A paragraph that no other block is in ends before a block. Blocks alone are held, so it's the last."""
+        if self.stack[-1][0] == "p":
+            self.close({"p"})
 
 
 def parse(text: str) -> tuple[Node, list[tuple[Node, str]]]:
@@ -153,6 +165,7 @@ def parse(text: str) -> tuple[Node, list[tuple[Node, str]]]:
     opened = _Open(root)
     texts: list[tuple[Node, str]] = []
     held: list[str] = []
+    endless: set[str] = set()
 
     def flush() -> None:
         words = "".join(held).split()
@@ -206,20 +219,22 @@ def parse(text: str) -> tuple[Node, list[tuple[Node, str]]]:
             closing = text.find(">", over.start()) if over else -1
             at = size if closing < 0 else closing + 1
             continue
-        label = _label(tag, values)
-        if tag in BLOCKS or label[-1] in "!?*":
+        if tag in SKIPPED:
+            over = None if tag in endless else _RAW_END[tag].search(text, at)
+            closing = text.find(">", over.start()) if over else -1
+            if closing < 0:
+                endless.add(tag)  # nor will a later one end
+            else:
+                at = closing + 1
+            continue
+        if tag in BLOCKS:
+            flush()
             if tag in VOID:
-                if tag in BLOCKS:
-                    flush()
                 continue
-            flush()
-            if tag in BLOCKS:
-                opened.close_paragraph()
+            opened.close_paragraph()
             if tag in ENDS:
                 opened.close(*ENDS[tag])
-            if text[at - 2] == "/" and tag in ("svg", "math"):
-                continue
-            opened.push(tag, Node(label))
+            opened.push(tag, Node(_label(tag, values)))
     flush()
     fold(root)
     return root, texts
@@ -400,7 +415,8 @@ def article_slots(stream: Node, wrapper: Node, pages: int) -> list[int]:
 
     That is an article's text or, where a page marks none, what is in no part marked as something else. Aligned nodes have
     equal labels, so these are the same parts of the wrapper. Of them, slots go whose place in the wrapper has one text on
-    nearly all of the host's several pages; a page of which that leaves nothing keeps all. pages are those with texts.
+    nearly all of the host's pages, of which five or more differ; a page of which that leaves nothing keeps all. pages are
+    those with texts, equal ones counted once.
     """
     own = slots(stream)
     merge(wrapper, stream)
@@ -414,11 +430,11 @@ def article_slots(stream: Node, wrapper: Node, pages: int) -> list[int]:
 
 
 def _constant(slot: Node, pages: int) -> bool:
-    return pages > 1 and slot.low == slot.high and 100 * slot.pages >= NEARLY_ALL * pages
+    return pages >= EVIDENCE and slot.low == slot.high and 100 * slot.pages >= NEARLY_ALL * pages
 
 
-_STREAM = "host string, stream bigint, tree string, low array<bigint>, high array<bigint>, pages bigint"
-_STREAM_TYPES = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
+_STREAM = "host string, stream bigint, said bigint, tree string, texts array<bigint>"
+_STREAM_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
 
 
 def _key(tree: str) -> int:
@@ -431,16 +447,31 @@ def _rows(out: list[tuple], names: list[str], kinds: tuple) -> pa.RecordBatch:
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct streams of a batch by host, with the least and the greatest hash of each slot's texts."""
+    """The different pages of a batch by host: stream, a hash of all texts, and the least and greatest hash of each slot's texts."""
     for batch in slices(batches, "html"):
-        found: dict[tuple[str, int], list] = {}
+        found: dict[tuple[str, int, int], list] = {}
         for host, text in zip(batch.column("host").to_pylist(), texts_of(batch, "html").to_pylist(), strict=True):
-            root, _ = parse(text)
-            tree, own = dump(root), slots(root)
-            low, high = [x.low for x in own], [x.high for x in own]
-            row = found.setdefault((host, _key(tree)), [tree, low, high, 0])
-            row[1:] = [list(map(min, row[1], low)), list(map(max, row[2], high)), row[3] + 1]
-        yield _rows([(*k, *v) for k, v in found.items()], ["host", "stream", "tree", "low", "high", "pages"], _STREAM_TYPES)
+            root, texts = parse(text)
+            tree = dump(root)
+            said = xxhash.xxh64_intdigest("\0".join(block for _, block in texts)) - (1 << 63)
+            found.setdefault((host, _key(tree), said), [tree, [x for slot in slots(root) for x in (slot.low, slot.high)]])
+        yield _rows([(*k, *v) for k, v in found.items()], ["host", "stream", "said", "tree", "texts"], _STREAM_TYPES)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages come by host, part, stream and texts; equal ones are counted once. A row for each stream of each batch."""
+    last = None
+    for batch in batches:
+        found: dict[tuple, list] = {}
+        for row in batch.to_pylist():
+            page = (row["host"], row["part"], row["stream"], row["said"])
+            if page == last:
+                continue
+            last, low, high = page, np.array(row["texts"][::2], np.int64), np.array(row["texts"][1::2], np.int64)
+            held = found.setdefault(page[:3], [row["tree"], low, high, 0])
+            held[1:] = [np.minimum(held[1], low), np.maximum(held[2], high), held[3] + 1]
+        out = [(host, part, tree, low, high, [n] * len(low), n if len(low) else 0) for (host, part, _), (tree, low, high, n) in found.items()]
+        yield _rows(out, ["host", "part", "wrapper", "w_low", "w_high", "w_count", "w_pages"], (pa.string(), pa.int64(), pa.string(), *[pa.list_(pa.int64())] * 3, pa.int64()))
 
 
 _WRAPPER = "host string, wrapper string, w_low array<bigint>, w_high array<bigint>, w_count array<bigint>, w_pages bigint"
@@ -458,7 +489,7 @@ def _merged(key: tuple[str, ...]):
             own = slots(wrapper)
             return [(host, dump(wrapper), [x.low for x in own], [x.high for x in own], [x.pages for x in own], pages)]
 
-        names, kinds = ["host", "wrapper", "w_low", "w_high", "w_count", "w_pages"], (_STREAM_TYPES[0], *_STREAM_TYPES[2:5], *_STREAM_TYPES[4:])
+        names, kinds = ["host", "wrapper", "w_low", "w_high", "w_count", "w_pages"], (pa.string(), pa.string(), *[pa.list_(pa.int64())] * 3, pa.int64())
         for batch in batches:
             out: list[tuple] = []
             for row in batch.to_pylist():
@@ -479,7 +510,7 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for x in batch.to_pylist():
-            stream, wrapper = load(x["tree"], x["low"], x["high"]), load(x["wrapper"], x["w_low"], x["w_high"], x["w_count"])
+            stream, wrapper = load(x["tree"], x["texts"][::2], x["texts"][1::2]), load(x["wrapper"], x["w_low"], x["w_high"], x["w_count"])
             out.append((x["host"], x["stream"], article_slots(stream, wrapper, x["w_pages"])))
         yield _rows(out, ["host", "stream", "kept"], (pa.string(), pa.int64(), pa.list_(pa.int64())))
 
@@ -497,13 +528,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(streams, wrappers): the distinct streams of each host and the host's wrapper, a union-free expression as JSON."""
+    """(streams, wrappers): the distinct pages of each host and the host's wrapper, a union-free expression as JSON."""
     n = partitions(pages.sparkSession)
     # Few rows, used twice: written, so that the pages aren't parsed again for them.
     streams = materialize(_hosted(pages).select("host", "html").mapInArrow(_streams, _STREAM))
-    counted = F.transform("low", lambda _: F.col("pages"))
-    rows = streams.select("host", "stream", F.col("tree").alias("wrapper"), F.col("low").alias("w_low"), F.col("high").alias("w_high"), counted.alias("w_count"), F.when(F.size("low") > 0, F.col("pages")).otherwise(0).alias("w_pages"))
-    parts = rows.withColumn("part", F.pmod("stream", F.lit(PARTS))).repartition(n, "host", "part").sortWithinPartitions("host", "part", "stream").mapInArrow(_merged(("host", "part")), _WRAPPER)
+    # Equal pages are of one part, so that each is counted once.
+    dealt = streams.withColumn("part", F.pmod("said", F.lit(PARTS))).repartition(n, "host", "part").sortWithinPartitions("host", "part", "stream", "said")
+    parts = dealt.mapInArrow(_counted, _WRAPPER.replace("host string", "host string, part bigint")).mapInArrow(_merged(("host", "part")), _WRAPPER)
     whole = parts.repartition(n, "host").sortWithinPartitions("host", "wrapper").mapInArrow(_merged(("host",)), _WRAPPER)
     return streams, whole
 
@@ -522,7 +553,7 @@ def extract(pages: DataFrame) -> DataFrame:
     with each other. Repeated rows and null ids stay; other columns are ignored; an empty table gives no rows.
     """
     streams, found = wrappers(pages)
-    once = streams.dropDuplicates(["host", "stream"])  # the low and high of a stream don't matter for its own alignment
+    once = streams.dropDuplicates(["host", "stream"])  # texts don't matter for a stream's own alignment
     told = once.join(found, "host").mapInArrow(_told, "host string, stream bigint, kept array<bigint>")
     rows = _hosted(pages).mapInArrow(_blocks, "page_id bigint, url string, host string, stream bigint, blocks array<struct<slot:bigint,text:string>>")
     kept = F.filter("blocks", lambda b: F.array_contains("kept", b["slot"]))

@@ -153,7 +153,7 @@ def page(body):
 
 def test_html(spark):
     rows = [(i, f"http://U@Host{i % 2}.org:80/{i}?q", page(ARTICLE.format(i))) for i in range(8)]
-    rows += [(20 + i, "http://div.org/", page(f"<div id='content'><p>varies {i}</p><h4>same everywhere</h4><div class='cookie-notice'>no</div></div>")) for i in range(3)]
+    rows += [(20 + i, "http://div.org/", page(f"<div id='content'><p>varies {i}</p><h4>same everywhere</h4><div class='cookie-notice'>no</div></div>")) for i in range(6)]
     rows += [(30, "http://lone.org/", page("<p>alone</p>")), (31, None, None), (32, "", ""), (33, "x", "plain &lt;b&gt; text"), (34, "http://m.org/", "<main role=main><p>body</p></main><p>after</p>"), (None, "http://n.org", "<p>null id</p>"), (3, "http://Host1.org/", page(ARTICLE.format(3)))]
     rows += [(40, "http://deep.org/", "<div>" * 2000 + "deep" + "</div>" * 2000), (41, "http://long.org/", "".join(f"<p>w{i}</p>" for i in range(3000))), (42, "http://cut.org/", page(ARTICLE.format(1))[:200])]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id bigint, url string, html string, host string")
@@ -161,7 +161,7 @@ def test_html(spark):
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     by = {r.page_id: r.text for r in got}
     assert all(by[i] == WANT.format(i) for i in range(8))
-    assert [by[20 + i] for i in range(3)] == [f"varies {i}" for i in range(3)]
+    assert [by[20 + i] for i in range(6)] == [f"varies {i}" for i in range(6)]
     assert by[30] == "alone" and by[31] == by[32] == "" and by[33] == "plain <b> text" and by[34] == "body" and by[None] == "null id"
     assert by[40] == "deep" and by[41] == "\n\n".join(f"w{i}" for i in range(3000))
     assert html_extraction.extract(pages.limit(0)).count() == 0
@@ -177,9 +177,38 @@ def test_html_wrapper_decides_inside_articles(spark):
     body = "<article><h1>title {0}</h1><p>text {0}</p><section class='zz'><b>Read our guide</b></section></article>".format
     alone = "title 0\n\ntext 0\n\nRead our guide"
     assert html_of(spark, [body(0)])[0] == html_of(spark, [body(0)] * 3)[0] == alone
-    assert html_of(spark, [body(i) for i in range(4)]) == {i: f"title {i}\n\ntext {i}" for i in range(4)}
-    other = [body(i).replace("guide", f"guide {i}") if i else body(i) for i in range(4)]
+    assert html_of(spark, [body(i) for i in range(6)]) == {i: f"title {i}\n\ntext {i}" for i in range(6)}
+    other = [body(i).replace("guide", f"guide {i}") if i else body(i) for i in range(6)]
     assert html_of(spark, other)[0] == alone
+    # Four different pages are too few to tell, also if one comes often.
+    assert html_of(spark, [body(i) for i in range(4)])[0] == html_of(spark, [body(i) for i in (0, 0, 0, 0, 1, 2, 3)])[0] == alone
+
+
+def test_html_shared_quotation_stays(spark):
+    body = "<article><h1>t{0}</h1><blockquote>shared</blockquote><p>p{0}</p></article>".format
+    assert html_of(spark, [body(i) for i in range(2)]) == {i: f"t{i}\n\nshared\n\np{i}" for i in range(2)}
+
+
+def test_html_withheld_wrapper_changes_most_pages():
+    """Of pages that nothing names, the wrapper alone tells what is the host's."""
+    r = random.Random(4)
+    pages = ["<div><p>Welcome to us</p></div><div>" + "".join(f"<p>w{i} {j}</p>" for j in range(r.randint(1, 4))) + "</div>" + "<div><i>All rights reserved</i></div>" * (i % 15 != 7) for i in range(30)]
+    wrapper, seen = html_extraction.Node(""), []
+    for text in pages:
+        root, _ = html_extraction.parse(text)
+        for x in html_extraction.slots(root):
+            x.pages = 1
+        seen.append(html_extraction.dump(root))
+        html_extraction.merge(wrapper, root) if wrapper.children else setattr(wrapper, "children", root.children)
+    changed = 0
+    for tree in seen:
+        alone = html_extraction._load(html_extraction.json.loads(tree))
+        every = html_extraction.article_slots(alone, html_extraction._load(html_extraction.json.loads(tree)), 1)
+        own = html_extraction._load(html_extraction.json.loads(tree))
+        for x in html_extraction.slots(own):
+            x.low, x.high = 1 << 62, 0  # texts of the page are in the wrapper already
+        changed += html_extraction.article_slots(own, wrapper, len(pages)) != every
+    assert changed > 20
 
 
 def test_html_keeps_rare_optional_slots(spark):
@@ -208,6 +237,8 @@ def test_html_hostile_pages_take_linear_time():
         "ends": ("<p>x" + "</q>" * n, ["x"]),
         "less": ("<" * n, None),
         "scripts": ("<script>" * n, []),
+        "spans": ('<span class="ad">' * n + "<p>x</p>" * n, None),
+        "buttons": ("<button>" * n + "x", ["x"]),
     }
     for name, (text, want) in pages.items():
         began = time.time()
@@ -236,6 +267,23 @@ def test_html_tags_and_attributes():
     assert text(deep) == ["in"]
 
 
+def test_html_drops_nothing_else():
+    def text(body):
+        root, texts = html_extraction.parse(f"<article>{body}</article>")
+        kept = set(html_extraction.article_slots(html_extraction._load(html_extraction._dump(root)), html_extraction._load(html_extraction._dump(root)), 1))
+        number = {id(x): i for i, x in enumerate(html_extraction.slots(root))}
+        return [t for slot, t in texts if number[id(slot.found())] in kept]
+
+    for own in ('<section id="related-work"><p>in</p></section>', '<section class="social-history"><p>in</p></section>', '<section id="respond-rates">in</section>', '<p class="alert-level">in</p>', '<div class="commentary">in</div>', '<div class="header-text">in</div>'):
+        assert text(own) == ["in"], own
+    for other in ('<div class="site-footer">x</div>', '<div class="x ad-box">x</div>', '<section id="comments-area">x</section>', '<div class="socialShare">x</div>', '<div class="cookieNotice">x</div>', '<ul class="nav-links"><li>x</ul>'):
+        assert text(other) == [], other
+    assert text('<p>We <span class="search">in</span> on</p>') == ["We in on"]
+    assert text("<p>Let <math><mi>x</mi></math> be <svg><text>y</text></svg>.</p>") == ["Let x be y."]
+    assert text("<p>a <button>b</button>c<noscript><p>d</p></noscript> <select><option>e</select>f</p>") == ["a c f"]
+    assert text("<p>a <button>b<p>c") == ["a b", "c"]
+
+
 def test_html_wrapper_of_many_streams(spark):
     """Every page of a host has a structure of its own; the parts of the host meet in one wrapper."""
     bodies = ["<article>" + "<p>t</p><ul><li>u</li></ul>" * (i % 7) + f"<h2>v{i}</h2>" * (1 + i // 7) + "<b>Follow us</b></article>" for i in range(70)]
