@@ -40,8 +40,10 @@ PRINTS = 6
 COMPARED_PRINTS = 2
 #: Candidates differ in at most so many of the 128 bits compared; of a similarity of 0.8, 19 are expected, 36 exceeded by 1 in 30,000.
 CANDIDATE_BITS = 36
-#: How much farther than its nearest candidate a text's candidates are that a round verifies; the last round takes all.
-SLACK = (0, 8, 64 * COMPARED_PRINTS)
+#: Rounds of verification: all but the last take each text's nearest candidate and that one's hub, the last all that are left and all their hubs.
+ROUNDS = 4
+#: Steps by which components are told apart between rounds; the whole components come from the links in the end.
+LABEL_STEPS = 3
 #: Beyond so many fingerprints under one variant, rows are no longer compared in step; links are the same.
 COMPARED = 64
 #: Up to so many sets of differing bits, neighbours are looked up by them; beyond, components are grown row by row.
@@ -397,10 +399,18 @@ def similar_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _labels(links: DataFrame) -> DataFrame:
-    """(a, label): the least node within two steps. Equal labels mean one component; a component of a node and its neighbours has one label."""
+    """(a, label): the least node within some steps. Equal labels mean one component; a component of a node and its neighbours has one label.
+
+    A step takes the label of the label, then the least label of the node and its neighbours.
+    """
     both = links.union(links.select("b", "a"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"))
-    return both.join(least.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.least(F.min("label"), F.col("a")).alias("label"))
+    own = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"))
+    around = both.union(own.select("a", F.col("a").alias("b")))
+    for _ in range(LABEL_STEPS):
+        further = own.select(F.col("a").alias("label"), F.col("label").alias("further"))
+        jumped = own.join(further, "label").select(F.col("a").alias("b"), F.col("further").alias("label"))
+        own = around.join(jumped, "b").groupBy("a").agg(F.min("label").alias("label"))
+    return own
 
 
 def _hubs(links: DataFrame) -> DataFrame:
@@ -412,37 +422,48 @@ def _hubs(links: DataFrame) -> DataFrame:
     return near.groupBy("a").agg(most["hub"].alias("hub"))
 
 
+def _placed(open_: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Candidates whose ends links don't join within a few steps, with the label and the hub of each end's component."""
+    if links is None:
+        return open_.select("*", *(F.lit(None).cast("array<bigint>").alias(c) for c in ("a_label", "a_hub", "b_label", "b_hub")))
+    of = materialize(_labels(links).join(_hubs(links), "a"))
+    own = [of.select(F.col("a").alias(c), F.col("label").alias(f"{c}_label"), F.col("hub").alias(f"{c}_hub")) for c in "ab"]
+    return materialize(open_.join(own[0], "a", "left").join(own[1], "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")))
+
+
+def _chosen(placed: DataFrame, last: bool) -> DataFrame:
+    """(a, b): each node's nearest candidate and the hub that it meets there; in the last round all, and each hub met."""
+    ways = [placed.select(F.col(x).alias("node"), F.col(y).alias("other"), F.col(f"{y}_hub").alias("hub"), "apart") for x, y in ("ab", "ba")]
+    near = F.min(F.struct("apart", "other", "hub")).alias("n")
+    best = ways[0].union(ways[1]).groupBy("node", *["hub"] * last).agg(near)
+    hubs = best.select("node", F.col("n.hub").alias("other")).where("other != node")
+    found = (placed.select(F.col("a").alias("node"), F.col("b").alias("other")) if last else best.select("node", "n.other")).union(hubs)
+    return found.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b, apart) that join what their sets of shingles link.
 
-    A round verifies each node's nearest pairs; pairs that links already join within a few steps, or verified before, are left
-    out of the next. With each round a node may look farther, in the last as far as its pairs go, so every pair is verified
-    or lies within a component. Where a node meets another component, the hub of the node that it meets is a candidate, too:
-    copies of one text may be less similar to each other than to that text. That's one for each node and component.
+    A round verifies each node's nearest pair; pairs that links already join within a few steps, or verified before, are left
+    out of the next. The last round takes all that are left, so every pair is verified or lies within a component. Where a
+    node meets another component, the hub of the node that it meets is a candidate, too: copies of one text may be less
+    similar to each other than to that text. In the last round these are the hubs of all nodes that it meets.
     """
-    links, open_ = None, pairs
-    for n, slack in enumerate(SLACK):
-        reach = open_.select("a", "apart").union(open_.select("b", "apart")).groupBy("a").agg((F.min("apart") + slack).alias("reach"))
-        near = open_.join(reach, "a").join(reach.select(F.col("a").alias("b"), F.col("reach").alias("reach_b")), "b")
-        near = materialize(near.select("a", "b", "apart", (F.col("apart") <= F.greatest("reach", "reach_b")).alias("now")))
+    links, tried, open_ = None, None, pairs
+    for n in range(ROUNDS):
+        placed = _placed(open_, links)
+        now = _chosen(placed, n + 1 == ROUNDS)
+        now = materialize(now if tried is None else now.join(tried, ["a", "b"], "left_anti"))
         sides = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab"]
-        both = near.where("now").select("a", "b").join(sides[0], "a").join(sides[1], "b").withColumn("n", F.size(F.array_intersect("a_set", "b_set")))
+        both = now.join(sides[0], "a").join(sides[1], "b").withColumn("n", F.size(F.array_intersect("a_set", "b_set")))
         # n / (|a| + |b| - n) >= 0.8 in whole numbers
         found = both.where(F.col("n") * 100 >= int(SIMILARITY * 100) * (F.size("a_set") + F.size("b_set") - F.col("n"))).select("a", "b")
         links = materialize(found if links is None else links.union(found), instead_of=links)
-        if n + 1 == len(SLACK):
-            return links
-        of = _labels(links).join(_hubs(links), "a")
-        own = [of.select(F.col("a").alias(c), F.col("label").alias(f"{c}_label"), F.col("hub").alias(f"{c}_hub")) for c in "ab"]
-        placed = near.join(own[0], "a", "left").join(own[1], "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
-        placed = materialize(placed)
-        met = placed.select("a", F.col("b_label").alias("label"), F.col("b_hub").alias("b"), "apart").union(placed.select("b", "a_label", "a_hub", "apart"))
-        met = met.where("b IS NOT NULL").groupBy("a", "label").agg(F.min_by("b", "apart").alias("b")).where("a != b")
-        met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(0).alias("apart"))
-        rest = placed.where(~F.col("now")).select("a", "b", "apart").union(met)
-        open_ = materialize(rest.groupBy("a", "b").agg(F.min("apart").alias("apart")))
-        if open_.isEmpty():
-            return links
+        if n + 1 < ROUNDS:
+            tried = now if tried is None else tried.union(now)
+            open_ = materialize(placed.select("a", "b", "apart").join(now, ["a", "b"], "left_anti"))
+            if open_.isEmpty():
+                break
     return links
 
 
