@@ -158,7 +158,7 @@ def covers_board(nodes: DataFrame, margin: float = 1e-6) -> DataFrame:
 def violations(boards: DataFrame, assets: DataFrame, nodes: DataFrame) -> DataFrame:
     """board_id, rule (from 1), n: every check that fails, with how often.
 
-    Each table is counted before it meets another: assets and image references by asset, nodes by board.
+    Assets and image references are counted by asset together, in one exchange.
     """
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
 
@@ -171,10 +171,12 @@ def violations(boards: DataFrame, assets: DataFrame, nodes: DataFrame) -> DataFr
 
     sizes = told(boards, r1=bad("width"), r2=bad("height"))
     images = nodes.where("kind = 'image'")
-    held = assets.groupBy("board_id", "asset_id").agg(F.count("*").alias("held"), F.count_if((F.col("width") <= 0) | (F.col("height") <= 0)).alias("flat"))
-    used = images.groupBy("board_id", "asset_id").agg(F.count("*").alias("used"))
-    double = F.when(F.col("held") > 1, one)
-    by_asset = told(held.join(used, ["board_id", "asset_id"], "full"), r3=double, r4=F.col("flat"), r5=F.when(F.col("held").isNull(), F.col("used")), r6=F.when(F.col("used").isNull(), F.col("held")))
+    flat = F.when((F.col("width") <= 0) | (F.col("height") <= 0), one)
+    sides = assets.select("board_id", "asset_id", one.alias("held"), flat.alias("flat")).unionByName(images.select("board_id", "asset_id", one.alias("used")), allowMissingColumns=True)
+    met = sides.groupBy("board_id", "asset_id").agg(*(F.sum(c).alias(c) for c in ("held", "flat", "used")))
+    # A null name is nobody's: it neither holds nor uses.
+    nameless = F.col("board_id").isNull() | F.col("asset_id").isNull()
+    by_asset = told(met, r3=F.when(F.col("held") > 1, one), r4=F.col("flat"), r5=F.when(F.col("held").isNull() | nameless, F.col("used")), r6=F.when(F.col("used").isNull() | nameless, F.col("held")))
     ranges = told(nodes, r7=F.when(~node_is_finite(), one), r8=F.when(~node_is_valid(), one))
     placed = images.select("board_id", "matrix").join(boards.select("board_id", F.col("width").alias("bw"), F.col("height").alias("bh")), "board_id")
     full = covers_board(placed).select("board_id", F.lit(9).alias("rule"), one.alias("n"))

@@ -384,3 +384,13 @@ def test_two_jobs_at_once(spark, tmp_path):
 def test_stitch(spark):
     rows = spark.createDataFrame([("b", 0, 0, 1, 2), ("b", 8, 4, 1, 2)], "board_id string, tile_x int, tile_y int, x int, y int")
     assert sorted((r.x, r.y) for r in evaluate.stitch(rows).collect()) == [(1, 2), (9, 6)]
+
+
+def test_assets_and_references_meet_once(spark):
+    """Missing, unused, doubled and flat assets, those without a name too, counted in one exchange by asset."""
+    boards = spark.createDataFrame([("b", 1.0, 1.0)], "board_id string, width double, height double")
+    assets = spark.createDataFrame([("b", n, "f", w, 1) for n, w in (("one", 1), ("two", 1), ("two", 0), ("unused", 1), (None, 1))], "board_id string, asset_id string, file string, width int, height int")
+    nodes = spark.createDataFrame([("b", i, "image", n, 1.0) for i, n in enumerate(("one", "one", "two", "missing", "missing", None))], "board_id string, node_seq bigint, kind string, asset_id string, opacity double")
+    nodes = spark.createDataFrame([], validate.NODES).unionByName(nodes, allowMissingColumns=True)
+    found = {r.rule: r.n for r in validate.violations(boards, assets, nodes).collect()}
+    assert found == {3: 1, 4: 1, 5: 3, 6: 2}
