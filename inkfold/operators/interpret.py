@@ -1,7 +1,8 @@
 """Drawing operators to scene nodes.
 
-operators(board_id, seq, op, nums, name, dash). Look-ups are joins before the fold. A board stops at its first error, others
-go on. A long board is more than a task should do, so its stream is cut into slices of `SLICE` positions that are folded apart:
+operators(board_id, seq, op, nums, name, dash), each with a position of its own. What names stand for comes ahead of a board's
+operators, so that these are dealt out once and joined with nothing. The fold runs once: its rows are written, and a clip is one
+row there, which names the clip under it; whole lists of clips are made only for those who read them. A board stops at its first error, others go on. A long board is more than a task should do, so its stream is cut into slices of `SLICE` positions that are folded apart:
 
 1. Each slice keeps its live operators, those that still matter at its end: no `q` with its `Q` and what's between, no path
    that is painted, of colors, widths and the like only the last at each depth. Mostly that's next to nothing.
@@ -16,10 +17,11 @@ from __future__ import annotations
 import bisect
 import math
 import pickle
-from collections import namedtuple
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from inkfold.constants import SIMILARITY_TOLERANCE
 from inkfold.functions import geometry
 from inkfold.operators.validate import CLIPS, COMMANDS, MATRIX, STYLE
+from inkfold.tables import materialize
 
 # The operators of a board, a fixed table: name -> how many numbers it takes (None: any), and what it says if they're wrong.
 NUMBERS = {
@@ -91,20 +94,36 @@ def path_numbers(operators: DataFrame, size: int = SLICE) -> DataFrame:
     return _running(ends, "ends", -1).withColumnRenamed("before", "path_no").drop("slice_no", "ends")
 
 
-def resolve(operators: DataFrame, resources: DataFrame, alphas: DataFrame, colorspaces: DataFrame) -> DataFrame:
-    """Operators with what their names stand for on their board: r_kind, r_asset, alpha, space (a device's wins), has_space."""
+#: What comes ahead of a slice's operators: a row of its board, then a row for each name.
+_HEAD = "struct<height:double,last_slice:bigint,state:binary,use:string,r_kind:string,r_asset:string,alpha:double,space:string>"
+
+
+def _names(resources: DataFrame, alphas: DataFrame, colorspaces: DataFrame) -> DataFrame:
+    """board_id, name and what it stands for, by its use."""
     r = resources.select("board_id", "name", F.lit("Do").alias("use"), F.col("kind").alias("r_kind"), F.col("asset_id").alias("r_asset"))
-    a = alphas.select("board_id", "name", F.lit("gs").alias("use"), F.col("opacity").alias("alpha"))
-    s = colorspaces.select("board_id", "name", F.lit("cs").alias("use"), F.col("space"), F.lit(True).alias("has_space"))
-    own = operators.withColumn("use", F.lower("op")).withColumn("use", F.when(F.col("op") == "Do", "Do").otherwise(F.col("use")))
-    key = ["board_id", "name", "use"]
-    return own.join(r, key, "left").join(a, key, "left").join(s, key, "left").drop("use")
+    a = alphas.select("board_id", "name", F.lit("gs").alias("use"), F.col("opacity").cast("double").alias("alpha"))
+    s = colorspaces.select("board_id", "name", F.lit("cs").alias("use"), "space")
+    return r.unionByName(a, allowMissingColumns=True).unionByName(s, allowMissingColumns=True)
+
+
+def _led(operators: DataFrame, slices: DataFrame, names: DataFrame) -> DataFrame:
+    """operators and, ahead of them in each of slices(board_id, slice_no, height, last_slice, state), what they need: place 0 and 1."""
 
+    def head(rows: DataFrame, place: int) -> DataFrame:
+        own = {f.split(":")[0]: f.split(":")[1] for f in _HEAD[7:-1].split(",")}
+        held = F.struct(*((F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in own.items()))
+        return rows.select("board_id", "slice_no", F.lit(place).alias("place"), *([F.col("name")] if place else []), held.alias("head"))
 
-@dataclass(frozen=True)
-class Graphics:
+    at = slices.select("board_id", "slice_no")
+    rows = operators.select("board_id", "slice_no", F.lit(2).alias("place"), F.col("seq").cast("long").alias("seq"), "op", F.col("nums").cast("array<double>").alias("nums"), "name", F.col("dash").cast("array<double>").alias("dash"), F.lit(None).cast(_HEAD).alias("head"))
+    return rows.unionByName(head(slices, 0), allowMissingColumns=True).unionByName(head(names.join(at, "board_id"), 1), allowMissingColumns=True)
+
+
+class Graphics(NamedTuple):
     matrix: tuple = geometry.IDENTITY
-    clips: tuple = ()
+    #: The position of the paint that made the last clip, and whether it and all clips under it are finite.
+    clip: int | None = None
+    clips_finite: bool = True
     opacity: float = 1.0
     fill: tuple = (0.0, 0.0, 0.0)
     stroke: tuple = (0.0, 0.0, 0.0)
@@ -128,6 +147,8 @@ class Board:
     at: tuple | None = None
     clip: str | None = None
     error: tuple | None = None
+    #: By use and name: kind and asset of a resource, the alpha, or the space.
+    names: dict = field(default_factory=dict)
 
 
 class Rejected(Exception):
@@ -155,16 +176,12 @@ def _scale(m: tuple) -> float:
     raise Rejected("unsupported_operator", "stroked paths require a non-singular similarity transform")
 
 
-def _xy(p: tuple | None) -> dict | None:
-    return None if p is None else {"x": p[0], "y": p[1]}
-
-
 def _rgb(c: tuple | None) -> dict | None:
     return None if c is None else dict(zip("rgb", c, strict=True))
 
 
 def _put(board: Board, kind: str, end: tuple | None = None, first: tuple | None = None, second: tuple | None = None) -> None:
-    board.path.append({"kind": kind, "first": _xy(first), "second": _xy(second), "end": _xy(end)})
+    board.path.append((kind, first, second, end))
     if kind == "move":
         board.start = end
     board.at = end if kind != "close" else board.start
@@ -186,9 +203,13 @@ def _color(space: str, nums: list[float]) -> tuple:
     return tuple(1 - min(1, v + nums[3]) for v in nums[:3])
 
 
-def _paint(board: Board, op: str) -> dict | None:
+def _finite(path: list) -> bool:
+    return all(math.isfinite(v) for _, *points in path for p in points if p is not None for v in p)
+
+
+def _paint(board: Board, op: str, seq: int | None) -> list[dict]:
     """End the path: a node if it's painted and not empty; then the pending clip joins the clips."""
-    node, now = None, board.now
+    found, now = [], board.now
     if op in PAINTS:
         closes, fills, strokes, rule = PAINTS[op]
         if closes:
@@ -199,29 +220,30 @@ def _paint(board: Board, op: str) -> dict | None:
                 "fill": _rgb(now.fill if fills else None), "fill_rule": rule if fills else None, "stroke": _rgb(now.stroke if strokes else None), "line_width": by * now.width,
                 "miter_limit": now.miter, "dash": [by * v for v in now.dash], "dash_phase": by * now.phase, "opacity": now.opacity,
             }
-            node = {"kind": "path", "commands": board.path, "style": style, "clips": list(now.clips)}
+            found.append({"kind": "path", "commands": board.path, "style": style, "clip": now.clip, "clips_finite": now.clips_finite})
     if board.clip:
-        board.now = replace(now, clips=(*now.clips, {"rule": board.clip, "commands": board.path}))
+        found.append({"kind": "clip", "rule": board.clip, "commands": board.path, "clip": now.clip})
+        board.now = now._replace(clip=seq, clips_finite=now.clips_finite and _finite(board.path))
     board.path, board.start, board.at, board.clip = [], None, None, None
-    return node
+    return found
 
 
-def _images(board: Board, row) -> list[dict]:
-    if not row.name:
+def _images(board: Board, name: str | None) -> list[dict]:
+    if not name:
         raise _bad(NAMED["Do"])
-    if row.r_kind is None:
-        raise _bad(f"missing image resource {row.name}")
+    kind, asset = board.names.get(("Do", name), (None, None))
+    if kind is None:
+        raise _bad(f"missing image resource {name}")
     a, b, c, d, e, f = board.now.matrix
     matrix = dict(zip("abcdef", (a, -b, c, -d, e, board.height - f), strict=True))
     placed = {"a": matrix["a"], "b": matrix["b"], "c": -matrix["c"], "d": -matrix["d"], "e": matrix["e"] + matrix["c"], "f": matrix["f"] + matrix["d"]}
-    common = {"matrix": placed, "opacity": board.now.opacity, "clips": list(board.now.clips)}
-    art, raster = {"kind": "vector-artwork", "href": row.name, **common}, {"kind": "image", "asset_id": row.r_asset, **common}
-    return {"vector": [art], "raster": [raster], "mixed": [art, raster]}[row.r_kind]
+    common = {"matrix": placed, "opacity": board.now.opacity, "clip": board.now.clip, "clips_finite": board.now.clips_finite}
+    art, raster = {"kind": "vector-artwork", "href": name, **common}, {"kind": "image", "asset_id": asset, **common}
+    return {"vector": [art], "raster": [raster], "mixed": [art, raster]}[kind]
 
 
-def step(board: Board, row) -> list[dict]:
-    """One operator: its nodes. row has op, nums, name, dash, and the look-ups."""
-    op, nums = row.op, [float(v) for v in (row.nums if row.nums is not None else ())]
+def step(board: Board, seq: int | None, op: str, nums: list[float], name: str | None, dash: list | None) -> list[dict]:
+    """One operator: its nodes, and the clip that it makes, as a node of its own kind."""
     if op == "BT":
         raise Rejected("unsupported_operator", TEXT)
     if op not in NUMBERS:
@@ -241,40 +263,40 @@ def step(board: Board, row) -> list[dict]:
             raise Rejected("graphics_state", EMPTY_STACK)
         board.now = board.stack.pop()
     elif op == "cm":
-        board.now = replace(now, matrix=_times(tuple(nums), m))
+        board.now = now._replace(matrix=_times(tuple(nums), m))
     elif op == "w":
-        board.now = replace(now, width=nums[0])
+        board.now = now._replace(width=nums[0])
     elif op == "M":
         if nums[0] < 1:
             raise _bad("miter limit must be at least 1")
-        board.now = replace(now, miter=nums[0])
+        board.now = now._replace(miter=nums[0])
     elif op == "d":
-        if row.dash is None:
+        if dash is None:
             raise _bad("dash pattern expected an array")
-        dash = tuple(float(v) for v in row.dash)
+        dash = tuple(float(v) for v in dash)
         if any(v < 0 for v in dash):
             raise _bad("dash array values must be nonnegative")
         if dash and not any(dash):
             raise _bad("dash array must not contain only zeros")
-        board.now = replace(now, dash=dash, phase=nums[0])
+        board.now = now._replace(dash=dash, phase=nums[0])
     elif op == "gs":
-        if not row.name:
+        if not name:
             raise _bad(NAMED["gs"])
-        if row.alpha is None:
-            raise _bad(f"missing ExtGState resource {row.name}")
-        board.now = replace(now, opacity=float(row.alpha))
+        if (alpha := board.names.get(("gs", name))) is None:
+            raise _bad(f"missing ExtGState resource {name}")
+        board.now = now._replace(opacity=alpha)
     elif op in ("CS", "cs"):
-        if not row.name:
+        if not name:
             raise _bad(NAMED[op])
-        space = DEVICES.get(row.name, row.space)
+        space = DEVICES.get(name, board.names.get(("cs", name)))
         if space is None:
-            raise Rejected("unsupported_operator", f"unsupported named color space: {row.name}") if row.has_space is True else _bad(f"missing color-space resource {row.name}")
-        board.now = replace(now, **({"fill_space": space, "fill": (0.0,) * 3} if op == "cs" else {"stroke_space": space, "stroke": (0.0,) * 3}))
+            raise Rejected("unsupported_operator", f"unsupported named color space: {name}") if ("cs", name) in board.names else _bad(f"missing color-space resource {name}")
+        board.now = now._replace(**({"fill_space": space, "fill": (0.0,) * 3} if op == "cs" else {"stroke_space": space, "stroke": (0.0,) * 3}))
     elif op in ("SC", "sc", "g", "G", "rg", "RG", "k", "K"):
         fills = op.islower()
         space = {"g": "gray", "rg": "rgb", "k": "cmyk"}.get(op.lower()) or (now.fill_space if fills else now.stroke_space)
         color = _color(space, nums)
-        board.now = replace(now, **({"fill": color, "fill_space": space} if fills else {"stroke": color, "stroke_space": space}))
+        board.now = now._replace(**({"fill": color, "fill_space": space} if fills else {"stroke": color, "stroke_space": space}))
     elif op in ("m", "l"):
         _put(board, "move" if op == "m" else "line", at(*nums))
     elif op == "c":
@@ -293,17 +315,34 @@ def step(board: Board, row) -> list[dict]:
     elif op in CLIPPING:
         board.clip = "nonzero" if op == "W" else "evenodd"
     elif op in PAINTS or op == "n":
-        node = _paint(board, op)
-        return [node] if node else []
+        return _paint(board, op, seq)
     elif op == "Do":
-        return _images(board, row)
+        return _images(board, name)
     return []
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator:
-    """The rows by name, read a column at a time."""
-    row = namedtuple("Operator", batch.schema.names)
-    return map(row._make, zip(*(c.to_pylist() for c in batch.columns), strict=True))
+def _lists(column: pa.ListArray) -> list[list | None]:
+    """Lists by rows, from their values taken as one."""
+    bounds, values = column.offsets.to_pylist(), column.values
+    flat = values.to_pylist() if values.null_count else values.to_numpy().tolist()
+    valid = column.is_valid().to_pylist() if column.null_count else [True] * len(column)
+    return [flat[a:b] if held else None for a, b, held in zip(bounds, bounds[1:], valid, strict=False)]
+
+
+def _lead(board: Board, name: str | None, head: dict) -> None:
+    """A row ahead of the operators: what a name stands for."""
+    use = head["use"]
+    board.names[use, name] = (head["r_kind"], head["r_asset"]) if use == "Do" else head["alpha"] if use == "gs" else head["space"]
+
+
+def _operators(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """board_id, slice_no, place, seq, op, nums, name, dash, head of each row, read a column at a time."""
+    plain = ("board_id", "slice_no", "place", "seq", "op")
+    columns = [batch.column(c).to_pylist() for c in plain]
+    dashes = batch.column("dash")
+    dashes = _lists(dashes) if dashes.null_count < len(dashes) else [None] * len(dashes)
+    nums = [x or [] for x in _lists(batch.column("nums"))]
+    return zip(*columns, nums, batch.column("name").to_pylist(), dashes, batch.column("head").to_pylist(), strict=True)
 
 
 class Live:
@@ -378,10 +417,11 @@ class Live:
     begun = False
 
 
-_STATE = "board_id string, slice_no bigint, first_seq bigint, state binary"
-_OUT = f"board_id string, op_seq bigint, sub_seq int, kind string, asset_id string, matrix {MATRIX}, opacity double, clips {CLIPS}, commands {COMMANDS}, style {STYLE}, href string, error_seq bigint, error_kind string, error_message string"
+_STATE = "board_id string, slice_no bigint, state binary"
+_OUT = f"board_id string, op_seq bigint, sub_seq int, kind string, asset_id string, matrix {MATRIX}, opacity double, commands {COMMANDS}, style {STYLE}, href string, clip bigint, clips_finite boolean, rule string, error_seq bigint, error_kind string, error_message string"
 #: An open q is an error after all others of its board.
 _LAST = (1 << 63) - 1
+_LIVE = ("board_id", "slice_no", "seq", "op", "nums", "name", "dash")
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,16 +433,14 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, at in filter(None, live.kept):
             places.setdefault(number, []).append(at)
         for number, at in places.items():
-            yield made(held[number].take(pa.array(at, pa.int64())).columns, pa.nulls(len(at), pa.int64()))
+            yield made(held[number].take(pa.array(at, pa.int64())).columns)
 
-    def made(columns: list[pa.Array], first: pa.Array) -> pa.RecordBatch:
+    def made(columns: list[pa.Array]) -> pa.RecordBatch:
         """Without marks of columns that hold no null, which differ between rows that begin a slice and others."""
-        fields = [pa.field(f.name, f.type) for f in batch.schema]
-        return pa.RecordBatch.from_arrays([*columns, first], schema=pa.schema([*fields, ("first_seq", pa.int64())]))
+        return pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, f.type) for f in batch.schema]))
 
     def begins(at: int) -> pa.RecordBatch:
-        columns = [batch.column(f.name).slice(at, 1) if f.name in ("board_id", "slice_no", "height") else pa.nulls(1, f.type) for f in batch.schema]
-        return made(columns, batch.column("seq").slice(at, 1).cast(pa.int64()))
+        return made([batch.column(f.name).slice(at, 1) if f.name in ("board_id", "slice_no") else pa.nulls(1, f.type) for f in batch.schema])
 
     for number, batch in enumerate(batches):
         # Batches of the slice at hand alone are held.
@@ -418,31 +456,54 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Live operators come by board, slice and position, a row without one before each slice: the state each slice starts in."""
-    key, board, first = object(), None, True
+    """What leads a board, then its live operators by slice and position, a row without one before each slice: the state each slice starts in."""
+    board, first = None, True
     for batch in batches:
         out = []
-        for row in _rows(batch):
-            if row.board_id != key:
-                key, board, first = row.board_id, Board(float(row.height)), True
-            if row.op is None:
+        for key, part, place, seq, op, nums, name, dash, head in _operators(batch):
+            if place == 0:
+                board, first = Board(float(head["height"])), True
+            elif place == 1:
+                _lead(board, name, head)
+            elif op is None:
                 # After an error it doesn't matter what the other slices make of the board.
                 if not first and not board.error:
-                    out.append({"board_id": key, "slice_no": row.slice_no, "first_seq": row.first_seq, "state": pickle.dumps(board)})
+                    names, board.names = board.names, {}
+                    out.append({"board_id": key, "slice_no": part, "state": pickle.dumps(board)})
+                    board.names = names
                 first = False
             elif not board.error:
                 try:
-                    step(board, row)
+                    step(board, seq, op, nums, name, dash)
                 except Rejected as e:
                     board.error = (e.kind, e.message)
         yield pa.RecordBatch.from_pylist(out, _STATES)
 
 
-_STATES = pa.schema([("board_id", pa.string()), ("slice_no", pa.int64()), ("first_seq", pa.int64()), ("state", pa.binary())])
+_STATES = pa.schema([("board_id", pa.string()), ("slice_no", pa.int64()), ("state", pa.binary())])
+
+
+def _commands(paths: list[list[tuple] | None], kind: pa.DataType) -> pa.Array:
+    """Paths as lists of structs, made a column at a time."""
+    flat = [c for path in paths if path for c in path]
+    bounds = np.concatenate([[0], np.cumsum([len(p) if p else 0 for p in paths])]).astype(np.int32)
+    points = []
+    for i in (1, 2, 3):
+        own = [c[i] for c in flat]
+        xy = [pa.array([p[j] if p is not None else 0.0 for p in own], pa.float64()) for j in (0, 1)]
+        points.append(pa.StructArray.from_arrays(xy, fields=list(kind.value_type.field(i).type), mask=pa.array([p is None for p in own], pa.bool_())))
+    rows = pa.StructArray.from_arrays([pa.array([c[0] for c in flat], pa.string()), *points], fields=list(kind.value_type))
+    none = pa.array([p is None for p in paths], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(bounds), rows, type=kind, mask=none)
+
+
+def _made(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [[r.get(f.name) for r in rows] for f in schema]
+    return pa.RecordBatch.from_arrays([_commands(c, f.type) if f.name == "commands" else pa.array(c, f.type) for f, c in zip(schema, columns, strict=True)], schema=schema)
 
 
 def _folded(schema: pa.Schema):
-    """Rows come by board, slice and position. The first of a slice has its state; without one, it's as a board begins."""
+    """Rows come by board and slice, what leads a slice first: its state, or none where a board begins, and its names; then by position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, board, ends = None, None, False
@@ -452,20 +513,26 @@ def _folded(schema: pa.Schema):
 
         for batch in batches:
             out: list[dict] = []
-            for row in _rows(batch):
-                if (row.board_id, row.slice_no) != last:
+            for key, part, place, seq, op, nums, name, dash, head in _operators(batch):
+                if place == 2:
+                    # Without what leads it, it's on no board.
+                    if board is None or op is None or board.error or last != (key, part):
+                        continue
+                    try:
+                        for i, node in enumerate(step(board, seq, op, nums, name, dash)):
+                            node["board_id"], node["op_seq"], node["sub_seq"] = key, seq, i
+                            out.append(node)
+                    except Rejected as e:
+                        board.error = (e.kind, e.message)
+                        out.append(_error(key, seq, e.kind, e.message))
+                elif place == 0:
                     out += end()
-                    last, ends = (row.board_id, row.slice_no), row.slice_no == row.last_slice
-                    board = pickle.loads(row.state) if row.state is not None else Board(float(row.height))
-                if board.error or row.op is None:
-                    continue
-                try:
-                    out += [{"board_id": row.board_id, "op_seq": row.seq, "sub_seq": i, **node} for i, node in enumerate(step(board, row))]
-                except Rejected as e:
-                    board.error = (e.kind, e.message)
-                    out.append(_error(row.board_id, row.seq, e.kind, e.message))
-            yield pa.RecordBatch.from_pylist(out, schema)
-        yield pa.RecordBatch.from_pylist(end(), schema)
+                    last, ends = (key, part), part == head["last_slice"]
+                    board = pickle.loads(head["state"]) if head["state"] is not None else Board(float(head["height"]))
+                elif last == (key, part):
+                    _lead(board, name, head)
+            yield _made(out, schema)
+        yield _made(end(), schema)
 
     return run
 
@@ -474,35 +541,65 @@ def _error(board: str, seq: int, kind: str, message: str) -> dict:
     return {"board_id": board, "error_seq": seq, "error_kind": kind, "error_message": message}
 
 
-def _starts(rows: DataFrame, n: int) -> DataFrame:
-    """board_id, slice_no, first_seq, state of each slice but the first, of boards with more than one."""
-    many = rows.where("first_slice < last_slice").select("board_id", "slice_no", "seq", "op", "nums", "name", "dash", "r_kind", "r_asset", "alpha", "space", "has_space", "height")
-    given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in many.schema)
-    live = many.repartition(n, "board_id", "slice_no").sortWithinPartitions("board_id", "slice_no", "seq").mapInArrow(_live, f"{given}, first_seq bigint")
-    return live.repartition(n, "board_id").sortWithinPartitions("board_id", "slice_no", F.col("op").isNotNull(), "seq").mapInArrow(_states, _STATE)
+def _starts(operators: DataFrame, slices: DataFrame, names: DataFrame, n: int) -> DataFrame:
+    """board_id, slice_no, state of each slice but the first, of boards with more than one."""
+    many = slices.where("first_slice < last_slice").select("board_id", "height").distinct()
+    rows = operators.select(*_LIVE).join(many, "board_id", "left_semi")
+    given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    live = rows.repartition(n, "board_id", "slice_no").sortWithinPartitions("board_id", "slice_no", "seq").mapInArrow(_live, given)
+    led = _led(live, many.withColumn("slice_no", F.lit(None).cast("long")), names)
+    return led.repartition(n, "board_id").sortWithinPartitions("board_id", "place", "slice_no", F.col("op").isNotNull(), "seq").mapInArrow(_states, _STATE)
+
+
+def _chains(schema: pa.Schema):
+    """Clips come by board and position: each with all that lie under it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["board_id"] != last:
+                    last, held = row["board_id"], {}
+                held[row["op_seq"]] = (row["clip"], {"rule": row["rule"], "commands": row["commands"]})
+                clips, at = [], row["op_seq"]
+                while at is not None:
+                    at, clip = held[at]
+                    clips.append(clip)
+                yield pa.RecordBatch.from_pylist([{"board_id": last, "clip": row["op_seq"], "clips": clips[::-1]}], schema)
+
+    return run
 
 
 def interpret(operators: DataFrame, boards: DataFrame, resources: DataFrame, alphas: DataFrame, colorspaces: DataFrame, size: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """(nodes, errors). nodes: board_id, op_seq, sub_seq and payloads; a traced artwork's href names its resource.
 
     A board with an error has no nodes. A board of more than `size` positions is folded in several tasks, with equal results.
+    clips_finite says of a node's clips what validate checks, so that they need not be made for it.
     """
+    spark = operators.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Without a position a row comes first, as in one fold.
-    part = F.coalesce(_slice(size), F.lit(-(1 << 62)))
-    ends = operators.groupBy("board_id").agg(F.min(part).alias("first_slice"), F.max(part).alias("last_slice"))
-    whole = boards.select("board_id", "height").join(ends, "board_id")
-    rows = resolve(operators, resources, alphas, colorspaces).withColumn("slice_no", part).join(whole, "board_id")
-    n = int(operators.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    starts = _starts(rows, n).select("slice_no", "state", F.col("board_id").alias("b"), F.col("slice_no").alias("s"), "first_seq").drop("slice_no")
-    # A slice's state goes to its first row alone.
-    met = (F.col("board_id") == F.col("b")) & (F.col("slice_no") == F.col("s")) & F.col("seq").eqNullSafe(F.col("first_seq"))
-    schema = to_arrow_schema(operators.sparkSession.createDataFrame([], _OUT).schema)
-    dealt = rows.drop("first_slice").repartition(n, "board_id", "slice_no").join(starts, met, "left").drop("b", "s", "first_seq")
-    folded = dealt.sortWithinPartitions("board_id", "slice_no", "seq").mapInArrow(_folded(schema), _OUT)
+    rows = operators.withColumn("slice_no", F.coalesce(_slice(size), F.lit(-(1 << 62))))
+    of_board = Window.partitionBy("board_id")
+    parts = rows.select("board_id", "slice_no").distinct().join(boards.select("board_id", "height"), "board_id")
+    slices = materialize(parts.withColumns({"first_slice": F.min("slice_no").over(of_board), "last_slice": F.max("slice_no").over(of_board)}))
+    names = _names(resources, alphas, colorspaces)
+    starts = spark.createDataFrame([], _STATE) if slices.where("first_slice < last_slice").isEmpty() else _starts(rows, slices, names, n)
+    led = _led(rows, slices.join(starts, ["board_id", "slice_no"], "left"), names)
+    schema = to_arrow_schema(spark.createDataFrame([], _OUT).schema)
+    dealt = led.repartition(n, "board_id", "slice_no").sortWithinPartitions("board_id", "slice_no", "place", "seq")
+    folded = materialize(dealt.mapInArrow(_folded(schema), _OUT))
     first = F.min(F.struct("error_seq", "error_kind", "error_message"))
     errors = folded.where("error_kind IS NOT NULL").groupBy("board_id").agg(first.alias("e")).select("board_id", "e.error_kind", "e.error_message")
-    nodes = folded.where("error_kind IS NULL").drop("error_seq", "error_kind", "error_message").join(errors, "board_id", "left_anti")
-    return nodes, errors
+    drawn = folded.where("error_kind IS NULL").join(errors, "board_id", "left_anti")
+    clips = drawn.where("kind = 'clip'").select("board_id", "op_seq", "clip", "rule", "commands")
+    whole = f"board_id string, clip bigint, clips {CLIPS}"
+    chains = clips.repartition(n, "board_id").sortWithinPartitions("board_id", "op_seq").mapInArrow(_chains(to_arrow_schema(spark.createDataFrame([], whole).schema)), whole)
+    # One row for each clip, said in a way that lets the join go where clips aren't read.
+    chains = chains.groupBy("board_id", "clip").agg(F.first("clips").alias("clips"))
+    nodes = drawn.where("kind <> 'clip'").join(chains, ["board_id", "clip"], "left")
+    listed = F.coalesce("clips", F.array().cast(CLIPS)).alias("clips")
+    return nodes.select("board_id", "op_seq", "sub_seq", "kind", "asset_id", "matrix", "opacity", listed, "clips_finite", "commands", "style", "href"), errors
 
 
 def place_shapes(nodes: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -523,4 +620,5 @@ def scene_nodes(content: DataFrame, links: DataFrame) -> DataFrame:
     both = a.drop("op_seq", "sub_seq").unionByName(b, allowMissingColumns=True)
     empty = content.sparkSession.createDataFrame([], NODES)
     art = F.col("kind") == "vector-artwork"
-    return empty.unionByName(both, allowMissingColumns=True).withColumns({"matrix": F.when(~art, F.col("matrix")), "href": F.when(~art, F.col("href"))}).select(*empty.columns)
+    told = [c for c in ("clips_finite",) if c in content.columns]
+    return empty.unionByName(both, allowMissingColumns=True).withColumns({"matrix": F.when(~art, F.col("matrix")), "href": F.when(~art, F.col("href"))}).select(*empty.columns, *told)

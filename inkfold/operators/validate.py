@@ -1,7 +1,8 @@
 """Scene validation: checks in order, the first that fails names a board's error.
 
 boards(board_id, width, height); assets(board_id, asset_id, file, width, height); nodes(board_id, node_seq, kind, asset_id,
-matrix, opacity, clips, commands, style, shapes, text, target, bounds, href), payloads null by kind.
+matrix, opacity, clips, commands, style, shapes, text, target, bounds, href), payloads null by kind. Where nodes have a column
+clips_finite, it stands for the check of clips, which then aren't read.
 """
 
 from __future__ import annotations
@@ -64,13 +65,15 @@ def _commands_finite(commands: Column) -> Column:
     return F.coalesce(F.forall(commands, lambda c: _all([_fields(c[p], "x y") for p in ("first", "second", "end")])), F.lit(True))
 
 
-def node_is_finite() -> Column:
+def node_is_finite(told: bool = False) -> Column:
+    """told: clips_finite says it of the clips."""
     col = F.col
     style = col("style")
+    clips = col("clips_finite") if told else F.forall("clips", lambda c: _commands_finite(c["commands"]))
     return _all([
         _fields(col("matrix"), "a b c d e f"),
         finite(col("opacity")),
-        F.coalesce(F.forall("clips", lambda c: _commands_finite(c["commands"])), F.lit(True)),
+        F.coalesce(clips, F.lit(True)),
         _commands_finite(col("commands")),
         _fields(style, "line_width miter_limit dash_phase opacity"),
         F.coalesce(F.forall(style["dash"], finite), F.lit(True)),
@@ -177,7 +180,7 @@ def violations(boards: DataFrame, assets: DataFrame, nodes: DataFrame) -> DataFr
     # A null name is nobody's: it neither holds nor uses.
     nameless = F.col("board_id").isNull() | F.col("asset_id").isNull()
     by_asset = told(met, r3=F.when(F.col("held") > 1, one), r4=F.col("flat"), r5=F.when(F.col("held").isNull() | nameless, F.col("used")), r6=F.when(F.col("used").isNull() | nameless, F.col("held")))
-    ranges = told(nodes, r7=F.when(~node_is_finite(), one), r8=F.when(~node_is_valid(), one))
+    ranges = told(nodes, r7=F.when(~node_is_finite("clips_finite" in nodes.columns), one), r8=F.when(~node_is_valid(), one))
     placed = images.select("board_id", "matrix").join(boards.select("board_id", F.col("width").alias("bw"), F.col("height").alias("bh")), "board_id")
     full = covers_board(placed).select("board_id", F.lit(9).alias("rule"), one.alias("n"))
     found = sizes.unionByName(by_asset).unionByName(ranges).unionByName(full)

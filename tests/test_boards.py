@@ -115,6 +115,26 @@ def test_sliced_streams_are_folded_as_whole_ones(spark, size):
     assert drawn(spark, streams, size) == whole
 
 
+def test_one_fold_and_a_row_for_each_clip(spark):
+    clip = [("re", [0, 0, 1, 1]), ("W", []), ("n", [])]
+    ops = [x for i in range(40) for x in (*clip, *LINE, ("f", []))] + [("re", [float("inf"), 0, 1, 1]), ("W*", []), ("n", []), ("Do", [], "X")]
+    rows = [("b", i, o[0], [float(v) for v in o[1]], o[2] if len(o) > 2 else None, None) for i, o in enumerate(ops)]
+    boards = spark.createDataFrame([("b", 100.0, 100.0)], "board_id string, width double, height double")
+    resources = spark.createDataFrame([("b", "X", "raster", "X")], "board_id string, name string, kind string, asset_id string")
+    none = [spark.createDataFrame([], f"board_id string, name string, {c}") for c in ("opacity double", "space string")]
+    nodes, errors = interpret.interpret(spark.createDataFrame(rows, OPS), boards, resources, *none)
+    # Without clips nothing is folded or joined to them again.
+    plan = nodes.drop("clips")._jdf.queryExecution().optimizedPlan().toString() + errors._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
+    found = nodes.orderBy("op_seq").collect()
+    assert [len(r.clips) for r in found] == [*range(1, 41), 41] and found[-1].clips[-1].rule == "evenodd"
+    assert [r.clips_finite for r in found] == [True] * 40 + [False]
+    scene = interpret.scene_nodes(interpret.place_shapes(nodes, spark.createDataFrame([], "board_id string, resource string, shape_seq int, path array<string>, color string, opacity double").select("board_id", "resource", "shape_seq", F.lit(None).cast("array<struct<start:struct<x:double,y:double>,segments:array<struct<first:struct<x:double,y:double>,second:struct<x:double,y:double>,end:struct<x:double,y:double>>>>>").alias("path"), F.lit(None).cast("struct<r:double,g:double,b:double>").alias("color"), "opacity")), spark.createDataFrame([], "board_id string, annot_seq long, target struct<kind:string,video_id:string,url:string>, bounds struct<x:double,y:double,width:double,height:double>"))
+    assets = spark.createDataFrame([("b", "X", "x.png", 8, 8)], "board_id string, asset_id string, file string, width int, height int")
+    told, read = ({(r.rule, r.n) for r in validate.violations(boards, assets, x).collect()} for x in (scene.drop("clips"), scene.drop("clips_finite")))
+    assert told == read == {(7, 1)}
+
+
 def test_live_operators():
     def live(ops):
         found = interpret.Live()
