@@ -504,7 +504,8 @@ def build_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     boards, resources, alphas, spaces = inputs.stream_inputs(spark, sf_dir)
     nodes, errors = interpret.interpret(inputs.operator_streams(spark, sf_dir), boards, resources, alphas, spaces)
     ends, _ = link_nodes.extract_links(_annotations(spark, sf_dir), boards, RULE)
-    scene = interpret.scene_nodes(interpret.place_shapes(nodes, _unit_shapes(resources)), ends)
+    # Validated, counted and summed up from one table; clips are told finite or not by the fold and read by none of these.
+    scene = components.cut(interpret.scene_nodes(interpret.place_shapes(nodes, _unit_shapes(resources)), ends).drop("clips"))
     assets = resources.where("asset_id IS NOT NULL").select("board_id", "asset_id", F.concat(F.lit("assets/"), "asset_id", F.lit(".png")).alias("file"), F.lit(8).alias("width"), F.lit(8).alias("height"))
     used = sinks.used_assets(assets, scene)
     status = validate.validate_scenes(boards, used, scene)
