@@ -11,7 +11,7 @@ forest, not by all its pairs: a variant adds fewer links than it has rows, howev
 Fingerprints of 64 bits find copies with small changes. For a similarity of 0.8, similar_dedup takes several fingerprints
 of independent hashes, each in three segments, indexes each segment under variants without two neighbouring bits, and
 verifies candidates by the Jaccard similarity of the texts' shingles: in rounds, each text its nearest ones that still lie
-in another component, until no candidate joins two components.
+in another component, by forests of the variants; then, in a sweep, each pair under a variant that still lies in two components.
 """
 
 from __future__ import annotations
@@ -284,8 +284,9 @@ def _wide_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         fps = np.stack([batch.column(f"f{n}").to_numpy() for n in range(PRINTS)], 1)
         bits = fps.view(np.uint64)
         key = np.stack([(bits[:, n] >> np.uint64(low) & np.uint64(mask)).astype(np.int32) | i << 22 for i, (n, low, mask) in enumerate(keys)], 1)
-        each = [np.repeat(x, len(keys)) for x in (batch.column("size").to_numpy(), *fps[:, :COMPARED_PRINTS].T)]
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, (key.ravel().astype(np.int32), *each))), names=["key", "size", *(f"f{n}" for n in range(COMPARED_PRINTS))])
+        own = ["size", *(["label"] if "label" in batch.schema.names else [])]
+        each = [np.repeat(x, len(keys)) for x in (*(batch.column(c).to_numpy() for c in own), *fps[:, :COMPARED_PRINTS].T)]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, (key.ravel().astype(np.int32), *each))), names=["key", *own, *(f"f{n}" for n in range(COMPARED_PRINTS))])
 
 
 def _nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, n: int) -> np.ndarray:
@@ -358,6 +359,43 @@ def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*ends, pa.array(apart[own].astype(np.int32))], names=["a", "b", "apart"])
 
 
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All candidates under each variant that lie in two components. label: the number of a row's component, 0 for one of its own."""
+    for key, sizes, label, *cols in _whole_variants(batches, ["key"]):
+        fps = np.stack(cols, 1)
+        bits = fps.view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.append(starts, len(key)))
+
+        def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            ends = [pa.FixedSizeListArray.from_arrays(pa.array(fps[x].ravel()), COMPARED_PRINTS).cast(pa.list_(pa.int64())) for x in (a, b)]  # noqa: B023
+            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+        def met(one: np.ndarray | int, others: np.ndarray) -> np.ndarray:
+            two = (label[one] != label[others]) | (label[others] == 0)  # noqa: B023
+            return two & (_candidates(bits, sizes, one, others) <= CANDIDATE_BITS)  # noqa: B023
+
+        left = np.repeat(np.where(count <= COMPARED, starts + count, 0), count)
+        at = np.arange(len(key))
+        for step in range(1, COMPARED):
+            at = at[at + step < left[at]]
+            if not len(at):
+                break
+            hit = at[met(at, at + step)]
+            if len(hit):
+                yield pairs(hit, hit + step)
+        for start, n in zip(starts[count > COMPARED].tolist(), count[count > COMPARED].tolist(), strict=True):
+            own = label[start : start + n]
+            if own[0] and (own == own[0]).all():
+                continue
+            for one in range(start, start + n - 1):
+                rest = np.arange(one + 1, start + n)
+                rest = rest[(label[rest] != label[one]) | (label[rest] == 0)]
+                hit = rest[met(one, rest)]
+                if len(hit):
+                    yield pairs(np.full(len(hit), one), hit)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         found = [np.unique(shingle_hashes(t, SIMILAR_WORDS)) for t in texts_of(batch).to_pylist()]
@@ -395,7 +433,33 @@ def similar_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stands = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
     again = texts.join(stands, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
     sets = materialize(again.mapInArrow(_sets, "node array<bigint>, shingles array<bigint>").groupBy("node").agg(F.min("shingles").alias("shingles")))
-    return rows.select("doc_id", "node"), _verified(pairs, sets)
+    links = _verified(pairs, sets)
+    return rows.select("doc_id", "node"), links.union(materialize(_meeting(_swept(prints, links), sets)))
+
+
+def _swept(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): each pair of prints that shares a variant and is near enough, but isn't joined by links.
+
+    A forest has a path of nearer pairs for each that it leaves out, but these needn't be similar enough when it is. What is
+    dealt out again is the fingerprints with a number for the component; ends of components alone make pairs.
+    """
+    names = [f"f{n}" for n in range(COMPARED_PRINTS)]
+    placed = materialize(roots(links))
+    number = materialize(placed.select("root").distinct().withColumn("label", F.monotonically_increasing_id() + 1))
+    labels = placed.join(number, "root").select("node", "label").union(number.select(F.col("root").alias("node"), "label"))
+    own = prints.withColumn("node", F.array(*names)).join(labels, "node", "left").drop("node").fillna(0, ["label"])
+    kept = own.mapInArrow(_wide_variants, "key int, size int, label bigint, " + ", ".join(f"{n} bigint" for n in names))
+    dealt = kept.repartition(partitions(prints.sparkSession), "key").sortWithinPartitions("key", *names)
+    found = dealt.mapInArrow(_across, "a array<bigint>, b array<bigint>")
+    return materialize(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
+def _meeting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose sets of shingles are similar."""
+    sides = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("n", F.size(F.array_intersect("a_set", "b_set")))
+    # n / (|a| + |b| - n) >= 0.8 in whole numbers
+    return both.where(F.col("n") * 100 >= int(SIMILARITY * 100) * (F.size("a_set") + F.size("b_set") - F.col("n"))).select("a", "b")
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -422,48 +486,54 @@ def _hubs(links: DataFrame) -> DataFrame:
     return near.groupBy("a").agg(most["hub"].alias("hub"))
 
 
-def _placed(open_: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Candidates whose ends links don't join within a few steps, with the label and the hub of each end's component."""
-    if links is None:
-        return open_.select("*", *(F.lit(None).cast("array<bigint>").alias(c) for c in ("a_label", "a_hub", "b_label", "b_hub")))
-    of = materialize(_labels(links).join(_hubs(links), "a"))
-    own = [of.select(F.col("a").alias(c), F.col("label").alias(f"{c}_label"), F.col("hub").alias(f"{c}_hub")) for c in "ab"]
+_TRIED = "struct<apart:int,other:array<bigint>>"
+
+
+def _placed(open_: DataFrame, links: DataFrame | None, tried: DataFrame | None) -> DataFrame:
+    """Candidates whose ends links don't join within a few steps, with the label and the hub of each end's component, and what it has tried."""
+    if links is None or tried is None:
+        none = {"label": "array<bigint>", "hub": "array<bigint>", "tried": _TRIED}
+        return open_.select("*", *(F.lit(None).cast(t).alias(f"{c}_{n}") for c in "ab" for n, t in none.items()))
+    of = materialize(_labels(links).join(_hubs(links), "a").join(tried.withColumnRenamed("node", "a"), "a", "full_outer"))
+    own = [of.select(F.col("a").alias(c), *(F.col(n).alias(f"{c}_{n}") for n in ("label", "hub", "tried"))) for c in "ab"]
     return materialize(open_.join(own[0], "a", "left").join(own[1], "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")))
 
 
-def _chosen(placed: DataFrame, last: bool) -> DataFrame:
-    """(a, b): each node's nearest candidate and the hub that it meets there; in the last round all, and each hub met."""
-    ways = [placed.select(F.col(x).alias("node"), F.col(y).alias("other"), F.col(f"{y}_hub").alias("hub"), "apart") for x, y in ("ab", "ba")]
+def _chosen(placed: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """(a, b): each node's nearest candidate and the hub that it meets there; in the last round all, and each hub met. (node, tried): the nearest.
+
+    A node takes its candidates in the order of their distances, so that those up to the last that it tried are tried, or joined.
+    """
+    ways = [placed.select(F.col(x).alias("node"), F.col(y).alias("other"), F.col(f"{y}_hub").alias("hub"), "apart", F.col(f"{x}_tried").alias("tried")) for x, y in ("ab", "ba")]
+    further = F.col("tried").isNull() | (F.struct("apart", "other") > F.col("tried"))
     near = F.min(F.struct("apart", "other", "hub")).alias("n")
-    best = ways[0].union(ways[1]).groupBy("node", *["hub"] * last).agg(near)
+    best = ways[0].union(ways[1]).where(further).groupBy("node", *["hub"] * last).agg(near)
+    best = best if last else materialize(best)
     hubs = best.select("node", F.col("n.hub").alias("other")).where("other != node")
-    found = (placed.select(F.col("a").alias("node"), F.col("b").alias("other")) if last else best.select("node", "n.other")).union(hubs)
-    return found.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    left = placed
+    for x, y in ("ab", "ba"):
+        left = left.where(F.col(f"{x}_tried").isNull() | (F.struct("apart", F.col(y).alias("other")) > F.col(f"{x}_tried")))
+    found = (left.select(F.col("a").alias("node"), F.col("b").alias("other")) if last else best.select("node", "n.other")).union(hubs)
+    return found.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), best.select("node", F.struct("n.apart", "n.other").alias("tried"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b, apart) that join what their sets of shingles link.
 
-    A round verifies each node's nearest pair; pairs that links already join within a few steps, or verified before, are left
+    A round verifies each node's nearest pair that it hasn't tried; pairs that links already join within a few steps are left
     out of the next. The last round takes all that are left, so every pair is verified or lies within a component. Where a
     node meets another component, the hub of the node that it meets is a candidate, too: copies of one text may be less
     similar to each other than to that text. In the last round these are the hubs of all nodes that it meets.
     """
     links, tried, open_ = None, None, pairs
     for n in range(ROUNDS):
-        placed = _placed(open_, links)
-        now = _chosen(placed, n + 1 == ROUNDS)
-        now = materialize(now if tried is None else now.join(tried, ["a", "b"], "left_anti"))
-        sides = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab"]
-        both = now.join(sides[0], "a").join(sides[1], "b").withColumn("n", F.size(F.array_intersect("a_set", "b_set")))
-        # n / (|a| + |b| - n) >= 0.8 in whole numbers
-        found = both.where(F.col("n") * 100 >= int(SIMILARITY * 100) * (F.size("a_set") + F.size("b_set") - F.col("n"))).select("a", "b")
+        open_ = _placed(open_, links, tried)
+        now, nearest = _chosen(open_, n + 1 == ROUNDS)
+        found = _meeting(materialize(now), sets)
         links = materialize(found if links is None else links.union(found), instead_of=links)
         if n + 1 < ROUNDS:
-            tried = now if tried is None else tried.union(now)
-            open_ = materialize(placed.select("a", "b", "apart").join(now, ["a", "b"], "left_anti"))
-            if open_.isEmpty():
-                break
+            tried = nearest if tried is None else tried.union(nearest).groupBy("node").agg(F.max("tried").alias("tried"))
+            open_ = open_.select("a", "b", "apart")
     return links
 
 
@@ -472,7 +542,7 @@ def similar_dedup(docs: DataFrame) -> DataFrame:
 
     Texts are linked if the Jaccard similarity of their five-word shingles (of the words of near_dedup; XXH64 stands for a
     shingle) is 0.8 or more. Candidates share a variant and differ in at most CANDIDATE_BITS of 128 bits, so that some links
-    aren't seen; no link is less similar. Texts with the same 128 bits are copies, texts without words and nulls too.
+    aren't seen; of the candidates none is left out, and no link is less similar. Texts with the same 128 bits are copies, texts without words and nulls too.
     component_id, repeated rows, nulls and empty tables are as in near_dedup.
     """
     rows, links = similar_links(docs)

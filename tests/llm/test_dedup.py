@@ -180,6 +180,29 @@ def test_similar_texts_in_hot_variants(spark):
     assert gone >= 250 and found >= 0.98 * gone
 
 
+def test_candidates_that_a_forest_leaves_out(spark):
+    """Rows of one variant in three: the ends are candidates, but a forest has only their links with the nearer one between."""
+    import numpy as np
+    import pyarrow as pa
+
+    fps = np.array([[0, 0], [(1 << 10) - 1, 0], [(1 << 20) - 1, 0]], np.int64)
+    own = lambda label: pa.RecordBatch.from_arrays([pa.array([7] * 3, pa.int32()), pa.array([50] * 3, pa.int32()), pa.array(label, pa.int64()), *map(pa.array, fps.T)], names=["key", "size", "label", "f0", "f1"])
+    pairs = lambda label: sorted(sorted((tuple(x["a"]), tuple(x["b"]))) for b in simhash._across(iter([own(label)])) for x in b.to_pylist())
+    low, mid, high = map(tuple, fps.tolist())
+    forest = [x for b in simhash._wide_links(iter([own([0] * 3).drop_columns(["label"])])) for x in b.to_pylist()]
+    assert len(forest) == 2 and [low, high] not in [sorted((tuple(x["a"]), tuple(x["b"]))) for x in forest]
+    assert pairs([0, 0, 0]) == [[low, mid], [low, high], [mid, high]] and pairs([0, 4, 0]) == pairs([0, 0, 0])
+    assert pairs([4, 4, 0]) == [[low, high], [mid, high]] and pairs([4, 4, 4]) == []
+    # The nearer one is another text: the ends are linked by the sweep alone.
+    node = lambda f: list(f)
+    sets = spark.createDataFrame([(node(low), [*range(100)]), (node(mid), [*range(500, 600)]), (node(high), [*range(95)])], "node array<bigint>, shingles array<bigint>")
+    prints = spark.createDataFrame([(*map(int, f), 100, 0, 0, 0, 0) for f in (low, mid, high)], "f0 bigint, f1 bigint, size int, f2 bigint, f3 bigint, f4 bigint, f5 bigint")
+    chosen = spark.createDataFrame([(x["a"], x["b"], x["apart"]) for x in forest], "a array<bigint>, b array<bigint>, apart int")
+    links = simhash._verified(chosen, sets)
+    assert links.count() == 0
+    assert [tuple(r) for r in simhash._meeting(simhash._swept(prints, links), sets).collect()] == [(node(high), node(low))]
+
+
 def exact_links(docs):
     """All pairs (later, earlier) of distinct sets of shingles at 0.8 or more: such pairs share one of their rarest shingles."""
     import collections
