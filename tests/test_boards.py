@@ -414,3 +414,13 @@ def test_assets_and_references_meet_once(spark):
     nodes = spark.createDataFrame([], validate.NODES).unionByName(nodes, allowMissingColumns=True)
     found = {r.rule: r.n for r in validate.violations(boards, assets, nodes).collect()}
     assert found == {3: 1, 4: 1, 5: 3, 6: 2}
+
+
+def test_boards_are_validated_once_for_both_publications(spark, monkeypatch):
+    from inkfold.plans import queries
+
+    plans = []
+    monkeypatch.setattr(queries.sinks, "publish", lambda nodes, path, **more: plans.append(nodes._jdf.queryExecution().optimizedPlan().toString()))
+    monkeypatch.setattr(queries.sinks, "published", lambda spark, path: spark.createDataFrame([], "board_id string, node_seq bigint, json string"))
+    queries.published_nodes(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2 and "Window" not in plans[0] and "MapInArrow" not in plans[0] + plans[1]
