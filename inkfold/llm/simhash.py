@@ -10,15 +10,16 @@ forest, not by all its pairs: a variant adds fewer links than it has rows, howev
 
 Fingerprints of 64 bits find copies with small changes. For a similarity of 0.8, similar_dedup takes several fingerprints
 of independent hashes, each in three segments, indexes each segment under variants without two neighbouring bits, and
-verifies candidates by the Jaccard similarity of the texts' shingles: in rounds, each text its nearest ones that still lie
-in another component, by forests of the variants; then, in a sweep, each pair under a variant that still lies in two components.
+verifies them by the Jaccard similarity of the texts' shingles. Each variant gives a forest of its candidates; what all forests
+join is a cluster, in which every candidate has both its ends. A cluster's sets of shingles meet in blocks of bounded size, so
+that all its pairs are compared, but none is a row.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,13 @@ PRINTS = 6
 COMPARED_PRINTS = 2
 #: Candidates differ in at most so many of the 128 bits compared; of a similarity of 0.8, 19 are expected, 36 exceeded by 1 in 30,000.
 CANDIDATE_BITS = 36
-#: Rounds of verification: all but the last take each text's nearest candidate and that one's hub, the last all that are left and all their hubs.
+#: Rounds of verification pair by pair: all but the last take each text's nearest candidate and that one's hub, the last all that are left and all their hubs.
 ROUNDS = 4
 #: Steps by which components are told apart between rounds; the whole components come from the links in the end.
 LABEL_STEPS = 3
+#: A block of a cluster has about so many texts and shingles at most; a task holds two blocks.
+BLOCK_TEXTS = 2048
+BLOCK_SHINGLES = 1 << 20
 #: Beyond so many fingerprints under one variant, rows are no longer compared in step; links are the same.
 COMPARED = 64
 #: Up to so many sets of differing bits, neighbours are looked up by them; beyond, components are grown row by row.
@@ -396,6 +400,66 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pairs(np.full(len(hit), one), hit)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows group by group, each held as a whole."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        own = np.stack([batch.column(k).to_numpy() for k in keys], 1)
+        cuts = np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1
+        for lo, hi in pairwise([0, *cuts.tolist(), batch.num_rows]):
+            if lo == hi:
+                continue
+            now = tuple(own[lo].tolist())
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _similar(shingles: np.ndarray, sizes: np.ndarray, one_side: np.ndarray, other_side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the sets that are similar, one of each side; what has joined isn't compared again."""
+    codes = np.unique(shingles, return_inverse=True)[1]
+    starts, tree = np.cumsum(sizes) - sizes, np.arange(len(sizes))
+    held = np.zeros(int(codes.max(initial=-1)) + 1, bool)
+    percent = int(SIMILARITY * 100)
+    a, b = [], []
+    for one in one_side.tolist():
+        small, large = np.minimum(sizes[other_side], sizes[one]), np.maximum(sizes[other_side], sizes[one])
+        others = other_side[(tree[other_side] != tree[one]) & (100 * small >= percent * large) & (small > 0)]
+        if not len(others):
+            continue
+        ends = np.cumsum(sizes[others])
+        before = ends - sizes[others]
+        own = codes[starts[one] : starts[one] + sizes[one]]
+        held[own] = True
+        n = np.add.reduceat(held[codes[np.arange(ends[-1]) + np.repeat(starts[others] - before, sizes[others])]], before, dtype=np.int64)
+        held[own] = False
+        # n / (|a| + |b| - n) >= 0.8 in whole numbers
+        hit = others[100 * n >= percent * (sizes[one] + sizes[others] - n)]
+        if len(hit):
+            joined, first = np.unique(tree[hit], return_index=True)
+            a += [one] * len(first)
+            b += hit[first].tolist()
+            tree[np.isin(tree, joined)] = tree[one]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in _groups(batches, ["cluster", "i", "j"]):
+        lists = group.column("shingles").combine_chunks()
+        nodes = group.column("node").combine_chunks()
+        block, within = group.column("block").to_numpy(), group.column("i")[0] == group.column("j")[0]
+        every = np.arange(len(block))
+        one_side = every if within else np.flatnonzero(block == group.column("i")[0].as_py())
+        other_side = every if within else np.flatnonzero(block != group.column("i")[0].as_py())
+        a, b = _similar(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), one_side, other_side)
+        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b))], names=["a", "b"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         found = [np.unique(shingle_hashes(t, SIMILAR_WORDS)) for t in texts_of(batch).to_pylist()]
@@ -433,8 +497,42 @@ def similar_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stands = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
     again = texts.join(stands, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
     sets = materialize(again.mapInArrow(_sets, "node array<bigint>, shingles array<bigint>").groupBy("node").agg(F.min("shingles").alias("shingles")))
-    links = _verified(pairs, sets)
-    return rows.select("doc_id", "node"), links.union(materialize(_meeting(_swept(prints, links), sets)))
+    return rows.select("doc_id", "node"), materialize(_clustered(pairs, sets))
+
+
+def _contracted_roots(pairs: DataFrame) -> DataFrame:
+    """(node, root) like roots, for far more links than nodes: trees of each node and its least neighbour come first, the other links join these."""
+    least = pairs.select("a", "b").union(pairs.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
+    trees = roots(least)
+    a, b = (trees.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    rest = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    far = roots(rest.where("a <> b"))
+    moved = trees.join(far.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
+    return moved.select("node", F.coalesce("last", "root").alias("root")).union(far)
+
+
+def _clustered(pairs: DataFrame, sets: DataFrame, texts: int = BLOCK_TEXTS, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(a, b) that join all similar sets within each cluster of nodes that the pairs join.
+
+    A cluster is cut into blocks, each of which meets each in one group: a set is a row for each block of its cluster, most
+    often one, never a row for each pair. All pairs of a cluster are compared, whether they are candidates or not.
+    """
+    placed = materialize(_contracted_roots(pairs))
+    # Clusters whose hashes are equal are compared as one.
+    clusters = placed.union(placed.select("root", "root").distinct()).select("node", F.xxhash64("root").alias("cluster"))
+    own = materialize(sets.join(clusters, "node"))
+    many = F.ceil(F.greatest(F.count("*") / texts, F.sum(F.size("shingles")) / shingles))
+    large = own.groupBy("cluster").agg(many.alias("blocks")).where("blocks > 1")
+    cut = own.join(large, "cluster", "left").fillna(1, ["blocks"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    met = cut.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = met.select("cluster", F.least("block", "met").alias("i"), F.greatest("block", "met").alias("j"), "block", "node", "shingles")
+    key = ["cluster", "i", "j"]
+    dealt = dealt.repartition(partitions(sets.sparkSession), *key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(_block_links, "a array<bigint>, b array<bigint>")
+
+
+# Pairs one by one, in rounds by forests and then in a sweep. Rows grow with the pairs of a dense group, so that operators don't use it; tests
+# compare clusters with it.
 
 
 def _swept(prints: DataFrame, links: DataFrame) -> DataFrame:

@@ -242,6 +242,45 @@ def test_recall_of_similar_texts(spark):
         assert first in linked or got[doc_id] == first
 
 
+@pytest.mark.parametrize("texts", [3, 1000])
+def test_clusters_join_all_similar_sets(spark, texts):
+    """A chain of candidates in blocks of 3 or in one: sets are joined as by brute force, whether they are candidates or not, and no others."""
+    r = random.Random(6)
+    sets = [sorted(r.sample(range(60), 40)) for _ in range(15)]
+    sets += [sorted({*s[:37], 100 + i}) for i, s in enumerate(sets[:10])] + [sorted(s[i % 3 :]) for i, s in enumerate(sets[:12])] + [[], [7]]
+    n = len(sets)
+    pairs = spark.createDataFrame([([i + 1, 0], [i, 0]) for i in range(n - 1)], "a array<bigint>, b array<bigint>")
+    rows = spark.createDataFrame([([i, 0], s) for i, s in enumerate(sets)], "node array<bigint>, shingles array<bigint>")
+    got = [(x["a"][0], x["b"][0]) for x in simhash._clustered(pairs, rows, texts=texts).collect()]
+    similar = [(i, j) for i in range(n) for j in range(i) if 5 * len({*sets[i]} & {*sets[j]}) >= 4 * len({*sets[i]} | {*sets[j]})]
+
+    def joined(links):
+        least = list(range(n))
+        for _ in range(n):
+            for i, j in links:
+                least[i] = least[j] = min(least[i], least[j])
+        return least
+
+    assert joined(got) == joined(similar) != list(range(n))
+    assert all((max(x), min(x)) in similar for x in got) and len(got) <= 3 * n
+
+
+def test_contracted_roots(spark):
+    r = random.Random(7)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(260)]
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    assert sorted(simhash._contracted_roots(df).collect()) == sorted(simhash.roots(df).collect())
+
+
+def test_similar_makes_no_rows_of_pairs(spark, monkeypatch):
+    """Verification by pairs, in rounds or a sweep, isn't used."""
+    for name in ("_verified", "_swept", "_meeting"):
+        monkeypatch.setattr(simhash, name, None)
+    base = [f"w{n}" for n in range(100)]
+    rows = [(i, " ".join([*base[:i], "x", *base[i:]])) for i in range(0, 100, 9)]
+    assert {x.component_id for x in simhash.similar_dedup(frame(spark, rows)).collect()} == {0}
+
+
 def test_similar_empty(spark):
     assert simhash.similar_dedup(frame(spark, []).limit(0)).count() == 0
 
