@@ -6,6 +6,8 @@ is always computed from the left or upper sample, so that neighboring tiles find
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,14 +43,14 @@ def _ordered(px, py, qx, qy):
 
 
 def _edge_frame(parts: list[tuple], images: list, names: list[int]) -> pd.DataFrame:
-    """parts: (group, style, label or None, px, py, qx, qy) arrays; images and labels by group."""
+    """parts: (group, px, py, qx, qy) arrays; images and labels by group."""
     if not parts:
         return pd.DataFrame(columns=["image_id", "label", "style", "px", "py", "qx", "qy"])
-    sizes = [len(p[3]) for p in parts]
-    label = np.concatenate([p[2] if p[2] is not None else np.full(n, names[p[0]]) for p, n in zip(parts, sizes, strict=True)])
+    sizes = [len(p[1]) for p in parts]
+    label = np.repeat([names[p[0]] for p in parts], sizes)
     image = np.repeat(np.array([images[p[0]] for p in parts], object), sizes)
-    ends = {c: np.concatenate([p[i] for p in parts]) for i, c in ((3, "px"), (4, "py"), (5, "qx"), (6, "qy"))}
-    return pd.DataFrame({"image_id": image, "label": label, "style": np.repeat([p[1] for p in parts], sizes), **ends})
+    ends = {c: np.concatenate([p[i] for p in parts]) for i, c in ((1, "px"), (2, "py"), (3, "qx"), (4, "qy"))}
+    return pd.DataFrame({"image_id": image, "label": label, "style": 0, **ends})
 
 
 def _by_group(work, *arguments):
@@ -67,56 +69,87 @@ def _by_group(work, *arguments):
     return run
 
 
-def _pixel_edges(own: dict, tile: int) -> list[tuple]:
-    """Edges of the cells whose upper left sample is in the tile, or outside the image next to it."""
-    tx, ty, width, height = (int(own[c][0]) for c in ("tx", "ty", "width", "height"))
-    x0, y0 = (tx * tile if tx else -1), (ty * tile if ty else -1)
-    w, h = (tx + 1) * tile - x0 + 1, (ty + 1) * tile - y0 + 1
-    w, h = min(w, width - x0 + 1), min(h, height - y0 + 1)  # a small image doesn't need a whole tile
-    rgba = np.zeros((h, w, 4), np.int64)
-    label = np.zeros((h, w), np.int64)
-    rows, columns = own["y"] - y0, own["x"] - x0
-    for i, c in enumerate("rgba"):
-        rgba[rows, columns, i] = own[c]
-    label[rows, columns] = own["label"]
-    alpha = rgba[:, :, 3].astype(float)
-    step = np.minimum(255, (rgba[:, :, :3] + 16) // 32 * 32)
-    color = step[:, :, 0] * 65536 + step[:, :, 1] * 256 + step[:, :, 2]
-    opacity = np.where(alpha < TRACEABLE_ALPHA, FAINT_OPACITY, 255)
-    style = np.where(alpha >= VECTOR_FLOOR_ALPHA, color * 256 + opacity, -1)
-
-    def level(s):
-        return np.where(s % 256 == FAINT_OPACITY, VECTOR_FLOOR_ALPHA, TRACEABLE_ALPHA) - 0.5
-
-    cell_label = np.maximum(np.maximum(label[:-1, :-1], label[:-1, 1:]), np.maximum(label[1:, :-1], label[1:, 1:]))
-    steps = {0: (0, 0, 0, 1), 1: (0, 1, 1, 1), 2: (1, 0, 1, 1), 3: (0, 0, 1, 0)}
-    found = []
-    for drawn in np.unique(style[style >= 0]).tolist():
+#: The corners of a cell: top left, top right, bottom right, bottom left; and those that each side joins.
+_CORNERS = ((0, 0), (0, 1), (1, 1), (1, 0))
+_SIDES = {0: (0, 1), 1: (1, 2), 2: (3, 2), 3: (0, 3)}
+
+
+def _level(style: np.ndarray) -> np.ndarray:
+    return np.where(style % 256 == FAINT_OPACITY, VECTOR_FLOOR_ALPHA, TRACEABLE_ALPHA) - 0.5
+
+
+def _pixel_edges(tile: int):
+    """Edges of the cells whose upper left sample is in the tile, or outside the image next to it; all tiles of a frame at once.
+
+    A style is looked at only in the cells that its own samples touch, so that the work grows with the samples, not with
+    samples times styles.
+    """
+
+    def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        own = {c: pdf[c].to_numpy() for c in pdf.columns}
+        group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        tx, ty, width, height = (own[c][starts[:-1]].astype(np.int64) for c in ("tx", "ty", "width", "height"))
+        x0, y0 = np.where(tx > 0, tx * tile, -1), np.where(ty > 0, ty * tile, -1)
+        w, h = (np.minimum((t + 1) * tile, size) - o + 1 for t, size, o in ((tx, width, x0), (ty, height, y0)))
+        x, y = own["x"] - x0[group], own["y"] - y0[group]
+        across, down = int(w.max(initial=1)), int(h.max(initial=1))
+        code = (group * down + y) * across + x
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        # The last row stands for samples that aren't there.
+        r, g, b, a, label = (np.append(own[c][order].astype(np.int64), 0) for c in ("r", "g", "b", "a", "label"))
+        step = np.minimum(255, (np.stack([r, g, b]) + 16) // 32 * 32)
+        color = step[0] * 65536 + step[1] * 256 + step[2]
+        alpha = a.astype(float)
+        drawn_as = color * 256 + np.where(alpha < TRACEABLE_ALPHA, FAINT_OPACITY, 255)
+        style = np.where(alpha >= VECTOR_FLOOR_ALPHA, drawn_as, -1)
+
+        styles, number = np.unique(style[:-1], return_inverse=True)
+        seen = np.flatnonzero(style[:-1] >= 0)
+        gs, ys, xs = group[order][seen], y[order][seen], x[order][seen]
+        keys = []
+        for dy, dx in _CORNERS:
+            row, column = ys - dy, xs - dx
+            fits = (row >= 0) & (column >= 0) & (row < h[gs] - 1) & (column < w[gs] - 1)
+            keys.append((((gs * down + row) * across + column) * len(styles) + number[seen])[fits])
+        key = np.unique(np.concatenate(keys))
+        cell, drawn = key // max(1, len(styles)), styles[key % max(1, len(styles))]
+        place = cell // across
+        columns, rows, gs = cell % across, place % down, place // down
+
+        corner = []
+        for dy, dx in _CORNERS:
+            wanted = cell + dy * across + dx
+            at = np.searchsorted(code, wanted, side="right") - 1
+            corner.append(np.where((at >= 0) & (code[at] == wanted), at, len(code)))
+        level = _level(drawn)
         # Faint samples of the same color keep their alpha, whatever their opacity.
-        same = (color * 256 + opacity == drawn) | ((alpha < VECTOR_FLOOR_ALPHA) & (color == drawn // 256))
-        value, at = np.where(same, alpha, 0.0), float(level(drawn))
-        inside = (value >= at).astype(int)
-        touched = (style == drawn).astype(int)
-        touched = touched[:-1, :-1] | touched[:-1, 1:] | touched[1:, 1:] | touched[1:, :-1]
-        masks = (inside[:-1, :-1] + 2 * inside[:-1, 1:] + 4 * inside[1:, 1:] + 8 * inside[1:, :-1]) * touched
-
-        def crossing(side, rows, columns, value=value, at=at):
-            dy, dx, ey, ex = steps[side]
-            a, b = (rows + dy, columns + dx), (rows + ey, columns + ex)
-            s, e = style[a], style[b]
+        value = [np.where((drawn_as[i] == drawn) | ((alpha[i] < VECTOR_FLOOR_ALPHA) & (color[i] == drawn // 256)), alpha[i], 0.0) for i in corner]
+        masks = sum(((v >= level).astype(int) << n for n, v in enumerate(value)), np.zeros(len(cell), int))
+        cell_label = np.maximum.reduce([label[i] for i in corner])
+
+        def crossing(side: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            one, two = _SIDES[side]
+            i, j = corner[one][at], corner[two][at]
+            s, e = style[i], style[j]
             border = (s >= 0) & (e >= 0) & (s != e)
             alike = border & (s // 256 == e // 256)
-            low = np.where(alike, np.maximum(level(s), level(e)) - alpha[a], at - value[a])
-            span = np.where(alike, alpha[b] - alpha[a], value[b] - value[a])
+            low = np.where(alike, np.maximum(_level(s), _level(e)) - alpha[i], level[at] - value[one][at])
+            span = np.where(alike, alpha[j] - alpha[i], value[two][at] - value[one][at])
             part = np.where(border & ~alike, 0.5, low / np.where(span == 0, 1.0, span))
-            ax, ay = columns + dx + x0 + 0.5, rows + dy + y0 + 0.5
-            bx, by = columns + ex + x0 + 0.5, rows + ey + y0 + 0.5
-            return np.clip(ax + part * (bx - ax), 0, width), np.clip(ay + part * (by - ay), 0, height)
+            (ay, ax), (by, bx) = (((rows[at] + dy + y0[gs[at]]) + 0.5, (columns[at] + dx + x0[gs[at]]) + 0.5) for dy, dx in (_CORNERS[one], _CORNERS[two]))
+            return np.clip(ax + part * (bx - ax), 0, width[gs[at]]), np.clip(ay + part * (by - ay), 0, height[gs[at]])
+
+        found = []
+        for mask, segments in contours.SEGMENTS.items():
+            at = np.flatnonzero(masks == mask)
+            for one, two in segments if len(at) else ():
+                ends, real = _ordered(*crossing(one, at), *crossing(two, at))
+                found.append((at[real], *(v[real] for v in ends)))
+        at, px, py, qx, qy = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.empty(0, int), *[np.empty(0)] * 4)
+        return pd.DataFrame({"image_id": own["image_id"][starts[:-1]][gs[at]], "label": cell_label[at], "style": drawn[at] - (1 << 31), "px": px, "py": py, "qx": qx, "qy": qy})
 
-        for rows, columns, px, py, qx, qy in _edge_rows(masks, crossing):
-            (px, py, qx, qy), real = _ordered(px, py, qx, qy)
-            found.append((drawn - (1 << 31), cell_label[rows, columns][real], px[real], py[real], qx[real], qy[real]))
-    return found
+    return run
 
 
 def pixel_edges(labeled: DataFrame, sizes: DataFrame, tile: int = TILE) -> DataFrame:
@@ -129,7 +162,7 @@ def pixel_edges(labeled: DataFrame, sizes: DataFrame, tile: int = TILE) -> DataF
     # A sample on a tile's left or upper border also belongs to the halo of the tiles before.
     spread = labeled.withColumn("tx", F.explode(tiles("x"))).withColumn("ty", F.explode(tiles("y")))
     sized = spread.join(sizes.select("image_id", "width", "height"), "image_id")
-    return map_groups(sized, ["image_id", "tx", "ty"], _by_group(_pixel_edges, tile), EDGES).dropDuplicates()
+    return map_groups(sized, ["image_id", "tx", "ty"], _pixel_edges(tile), EDGES).dropDuplicates()
 
 
 def _weight(distance: np.ndarray) -> np.ndarray:
@@ -137,27 +170,33 @@ def _weight(distance: np.ndarray) -> np.ndarray:
     return np.where(d <= 1, (1.5 * d - 2.5) * d * d + 1, np.where(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2, 0.0))
 
 
+@cache
+def _terms(radius: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(weights, rows, columns of the samples) of each term of a tile's field, the same for all tiles."""
+    u = (np.arange(FIELD_TILE * SUPERSAMPLING + 1 + 2 * radius) - radius + 0.5) / SUPERSAMPLING - 0.5  # relative to the tile's first sample
+    base, pad = np.floor(u).astype(int), FIELD_MARGIN + 2
+    near = [(_weight(u - (base + d)), base + d + pad) for d in range(-1, 3)]
+    return [(wx[None, :] * wy[:, None], rows[:, None], columns[None, :]) for wy, rows in near for wx, columns in near]
+
+
 def _field(own: dict, radius: int) -> np.ndarray:
     """The bicubic field of one component in one tile, with a margin of samples; each sample's terms in one order."""
     tx, ty = int(own["tx"][0]), int(own["ty"][0])
     pad = FIELD_MARGIN + 2
     alpha = np.zeros((FIELD_TILE + 2 * pad, FIELD_TILE + 2 * pad))
     alpha[own["y"] - ty * FIELD_TILE + pad, own["x"] - tx * FIELD_TILE + pad] = own["a"]
-    side = FIELD_TILE * SUPERSAMPLING + 1 + 2 * radius
-    u = (np.arange(side) - radius + 0.5) / SUPERSAMPLING - 0.5  # relative to the tile's first sample
-    base = np.floor(u).astype(int)
-    out = np.zeros((side, side))
-    for dy in range(-1, 3):
-        for dx in range(-1, 3):
-            w = _weight(u - (base + dx))[None, :] * _weight(u - (base + dy))[:, None]
-            out += w * alpha[(base + dy + pad)[:, None], (base + dx + pad)[None, :]]
+    terms = _terms(radius)
+    out = np.zeros(terms[0][0].shape)
+    for w, rows, columns in terms:
+        out += w * alpha[rows, columns]
     return out
 
 
 def _normalized(own: dict) -> np.ndarray:
     r = NORMALIZATION_RADIUS
     field = np.maximum(0, _field(own, r))
-    windows = np.lib.stride_tricks.sliding_window_view(field, (2 * r + 1, 2 * r + 1)).max(axis=(2, 3))
+    windows = np.lib.stride_tricks.sliding_window_view(field, 2 * r + 1, axis=0).max(axis=-1)
+    windows = np.lib.stride_tricks.sliding_window_view(windows, 2 * r + 1, axis=1).max(axis=-1)
     inner = field[r:-r, r:-r]
     return np.where(windows < NORMALIZED_FLOOR, 0.0, inner / np.where(windows == 0, 1.0, windows))
 
@@ -193,7 +232,7 @@ def _field_edges(own: dict, normalized: bool) -> list[tuple]:
     found = []
     for _, _, px, py, qx, qy in _edge_rows(masks, crossing):
         (px, py, qx, qy), real = _ordered(px, py, qx, qy)
-        found.append((0, None, px[real], py[real], qx[real], qy[real]))
+        found.append((px[real], py[real], qx[real], qy[real]))
     return found
 
 

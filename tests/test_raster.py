@@ -1,6 +1,7 @@
 """Images by their alpha, components, and traced contours with known decimals."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +186,37 @@ def test_quantized_style(spark):
 
     row = spark.range(1).select(colors.quantize(F.lit(15)).alias("a"), colors.quantize(F.lit(16)).alias("b"), colors.quantize(F.lit(250)).alias("c")).first()
     assert tuple(row) == (0, 32, 255)
+
+
+def test_pixel_edges_do_not_take_each_style_over_a_whole_tile():
+    """A tile of 256 x 256 with hundreds of styles: work grows with samples, not with samples times styles; all 16 masks occur."""
+    import time
+
+    r = np.random.default_rng(3)
+    n = 256
+    y, x = (v.ravel() for v in np.mgrid[0:n, 0:n])
+    rgb = [r.integers(0, 256, n * n) for _ in "rgb"]
+    tile = pd.DataFrame({"image_id": "i", "tx": 0, "ty": 0, "width": n, "height": n, "x": x, "y": y, "label": 1, **dict(zip("rgb", rgb, strict=True)), "a": r.integers(0, 256, n * n)})
+    began = time.process_time()
+    edges = tracing._pixel_edges(256)(tile, np.array([0, n * n]))
+    assert time.process_time() - began < 4
+    # A contour is closed: at each point, edges of one style meet in pairs.
+    ends = pd.concat([edges[["style", "px", "py"]].set_axis(["s", "x", "y"], axis=1), edges[["style", "qx", "qy"]].set_axis(["s", "x", "y"], axis=1)])
+    assert len(edges) > n * n and (ends.groupby(["s", "x", "y"]).size() % 2 == 0).mean() > 0.99
+
+
+def test_pixel_edges_of_many_tiles_at_once_are_those_of_each():
+    r = np.random.default_rng(4)
+    frames = []
+    for i in range(40):
+        w, h = r.integers(1, 9, 2).tolist()
+        y, x = (v.ravel() for v in np.mgrid[0:h, 0:w])
+        kept = r.random(w * h) < 0.8
+        kept[0] = True
+        one = pd.DataFrame({"image_id": str(i), "tx": 0, "ty": 0, "width": w, "height": h, "x": x, "y": y, "label": i + 1, **{c: r.choice([0, 90, 200], w * h) for c in "rgb"}, "a": r.choice([1, 60, 90, 95, 97, 255], w * h)})
+        frames.append(one[kept])
+    starts = np.append(0, np.cumsum([len(f) for f in frames]))
+    work = tracing._pixel_edges(16)
+    rows = lambda df: sorted(map(tuple, df.astype({"style": int, "label": int}).itertuples(index=False)))
+    each = [row for f in frames for row in rows(work(f.reset_index(drop=True), np.array([0, len(f)])))]
+    assert rows(work(pd.concat(frames, ignore_index=True), starts)) == sorted(each) and len(each) > 100
