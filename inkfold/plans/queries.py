@@ -699,7 +699,9 @@ def _svgs(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Spark joins adjacent literals, so a quote in one is written as a backslash and a quote.
     body = _BODY.replace("''", "\\'")
     whole = _SVG.format(w="concat(CAST(p_size AS STRING), 'pt')", body=body)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.encode(F.expr(whole), "UTF-8").alias("content"))
+    # Parts are a few bytes each: a file that Spark reads in one task gives far more markup than a task should have.
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return parts.select(F.col("p_partkey").cast("string").alias("doc_id"), F.encode(F.expr(whole), "UTF-8").alias("content"))
 
 
 _SAYS = "CASE CAST(doc_id AS BIGINT) % 12 " + " ".join(f"WHEN {i} THEN '{m}'" for i, (_, m) in enumerate(_BODIES) if m) + " END"

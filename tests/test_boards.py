@@ -424,3 +424,12 @@ def test_boards_are_validated_once_for_both_publications(spark, monkeypatch):
     monkeypatch.setattr(queries.sinks, "published", lambda spark, path: spark.createDataFrame([], "board_id string, node_seq bigint, json string"))
     queries.published_nodes(spark, "/root/testdata/sf0.001")
     assert len(plans) == 2 and "Window" not in plans[0] and "MapInArrow" not in plans[0] + plans[1]
+
+
+def test_violations_apply_the_rules_once(spark):
+    """The plan has the rules in the projection below the explode alone, not again in filters."""
+    docs = spark.createDataFrame([("a", b"<svg/>"), ("b", b"<g>")], "doc_id string, content binary")
+    found = markup.rule_counts(markup.tokenize_markup(docs)).where("kind = 'unsupported_svg'")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if line.lstrip(" :+-").startswith("Filter") and "SVG" in line]
+    assert {(r.doc_id, r.kind) for r in markup.violations(markup.tokenize_markup(docs)).collect()} == {("a", "invalid_svg"), ("b", "invalid_svg")}
