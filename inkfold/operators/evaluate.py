@@ -6,6 +6,9 @@ don't depend on how rows are spread.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,43 +16,83 @@ from inkfold.constants import DETAIL_DPIS, INK_LIMITS, MEAN_LIMIT, PIXEL_TOLERAN
 from inkfold.functions import colors, geometry
 
 KEY = ["board_id", "dpi", "x", "y"]
+REGION = ["board_id", "dpi", "tx", "ty"]
 CHANNELS = ("r", "g", "b")
 SIZES_DIFFER = "reference and generated screenshots have different dimensions"
+REPEATED = "a screenshot has several samples of one pixel"
+
+
+def overlaid(reference: DataFrame, generated: DataFrame) -> DataFrame:
+    """A row for each place that a side has: its region's corner tx, ty; held and gheld, how many rows each side has there; r, g, b
+    and, of the generated side, gr, gg, gb. Of several rows of a side at one place the greatest values count.
+
+    Both sides are dealt out by region, which is at most REGION_SIDE squared places. Whatever is counted by place or region
+    after that stays where it is.
+    """
+    corner = [(F.floor(F.col(c) / REGION_SIDE) * REGION_SIDE).cast("int").alias(f"t{c}") for c in ("x", "y")]
+    rows = [side.select(*KEY, *corner, *CHANNELS, F.lit(name).alias("generated")) for side, name in ((reference, False), (generated, True))]
+    by_region = rows[0].unionAll(rows[1]).repartition(*REGION)
+    sides = (("", ~F.col("generated")), ("g", F.col("generated")))
+    held = [F.count_if(of).alias(f"{p}held") for p, of in sides]
+    return by_region.groupBy(*KEY, "tx", "ty").agg(*held, *(F.max(F.when(of, F.col(c))).alias(f"{p}{c}") for p, of in sides for c in CHANNELS))
+
+
+def _known() -> Column:
+    return reduce(and_, (F.col(c).isNotNull() for c in KEY))
+
+
+def _paired() -> Column:
+    """Whether both sides have a place; none that is not known."""
+    return (F.col("held") > 0) & (F.col("gheld") > 0) & _known()
 
 
 def paired(reference: DataFrame, generated: DataFrame) -> DataFrame:
-    """Pixels at the same place, generated ones as gr, gg, gb."""
-    other = generated.select(*KEY, *(F.col(c).alias(f"g{c}") for c in CHANNELS))
-    return reference.select(*KEY, *CHANNELS).join(other, KEY)
+    """Pixels at the same place, generated ones as gr, gg, gb; and the corner of their region."""
+    return overlaid(reference, generated).where(_paired()).drop("held", "gheld")
 
 
 def _gap(channel: str) -> Column:
     return F.abs(F.col(channel).cast("int") - F.col(f"g{channel}").cast("int"))
 
 
-def metrics(pairs: DataFrame, tolerance: int = PIXEL_TOLERANCE) -> DataFrame:
-    """board_id, dpi, mean_error, within_tolerance, ink_ratio, passed."""
-    gaps = [_gap(c) for c in CHANNELS]
-    ink = [sum((255 - F.col(f"{p}{c}").cast("long") for c in CHANNELS), F.lit(0)) for p in ("", "g")]
-    sums = pairs.groupBy("board_id", "dpi").agg(F.count("*").alias("n"), F.sum(sum(gaps, F.lit(0))).alias("gap"), F.count_if(F.greatest(*gaps) <= tolerance).alias("near"), F.sum(ink[0]).alias("ink"), F.sum(ink[1]).alias("other_ink"))
-    ratio = F.when(F.col("ink") != 0, F.col("other_ink") / F.nullif(F.col("ink"), F.lit(0))).when(F.col("other_ink") == 0, 1.0).otherwise(0.0)
-    found = sums.select("board_id", "dpi", (F.col("gap") / (F.col("n") * 765)).alias("mean_error"), (F.col("near") / F.col("n")).alias("within_tolerance"), ratio.alias("ink_ratio"))
-    return found.withColumn("passed", (F.col("mean_error") <= MEAN_LIMIT) & (F.col("within_tolerance") >= WITHIN_LIMIT) & F.col("ink_ratio").between(*INK_LIMITS))
+def _ranked_by(pair: Column) -> list[Column]:
+    """What worst_regions ranks a region by, from its pixels: its score from those with neutral reference ink, its size from all."""
+    neutral = pair & (F.col("r") < 255) & (F.col("r") == F.col("g")) & (F.col("r") == F.col("b"))
+    gap = sum((_gap(c) for c in CHANNELS), F.lit(0))
+    return [F.count_if(neutral).alias("neutral"), F.sum(F.when(neutral, gap)).alias("score"), *(F.max(F.when(pair, F.col(c))).alias(f"m{c}") for c in ("x", "y"))]
 
 
-def sizes(side: DataFrame) -> DataFrame:
-    return side.groupBy("board_id", "dpi").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+def regions(reference: DataFrame, generated: DataFrame, tolerance: int = PIXEL_TOLERANCE) -> DataFrame:
+    """A row for each region of each board and scale, with all that scales and worst_regions need, from one exchange of pixels.
+
+    n, gap, near, ink, other_ink: counts and sums over pairs; neutral, score, mx, my: what regions are ranked by; width, height,
+    g_width, g_height: how far each side reaches; repeated: whether a side has a place more than once.
+    """
+    pair, gaps = _paired(), [_gap(c) for c in CHANNELS]
+    ink = [sum((255 - F.col(f"{p}{c}").cast("long") for c in CHANNELS), F.lit(0)) for p in ("", "g")]
+    sums = [F.sum(F.when(pair, v)).alias(name) for name, v in (("gap", sum(gaps, F.lit(0))), ("ink", ink[0]), ("other_ink", ink[1]))]
+    counts = [F.count_if(pair).alias("n"), F.count_if(pair & (F.greatest(*gaps) <= tolerance)).alias("near")]
+    reach = [(F.max(F.when(F.col(f"{p}held") > 0, F.col(c))) + 1).alias(f"{side}{name}") for p, side in (("", ""), ("g", "g_")) for c, name in (("x", "width"), ("y", "height"))]
+    repeated = F.bool_or((F.greatest("held", "gheld") > 1) & _known()).alias("repeated")
+    return overlaid(reference, generated).groupBy(*REGION).agg(*counts, *sums, *_ranked_by(pair), *reach, repeated)
+
+
+def scales(found: DataFrame) -> DataFrame:
+    """regions(...) -> the metrics of each board and scale, or an error, as compare gives them."""
+    whole = found.groupBy("board_id", "dpi").agg(*(F.sum(c).alias(c) for c in ("n", "gap", "near", "ink", "other_ink")), *(F.max(c).alias(c) for c in ("width", "height", "g_width", "g_height")), F.bool_or("repeated").alias("repeated"))
+    same = F.col("width").eqNullSafe(F.col("g_width")) & F.col("height").eqNullSafe(F.col("g_height")) & F.col("board_id").isNotNull() & F.col("dpi").isNotNull()
+    error = F.when(~same, SIZES_DIFFER).when(F.col("repeated"), REPEATED)
+    n = F.nullif(F.col("n"), F.lit(0))
+    ratio = F.when(F.col("ink") != 0, F.col("other_ink") / F.nullif(F.col("ink"), F.lit(0))).when(F.col("other_ink") == 0, 1.0).otherwise(0.0)
+    judged = whole.select("board_id", "dpi", (F.col("gap") / (n * 765)).alias("mean_error"), (F.col("near") / n).alias("within_tolerance"), F.when(n.isNotNull(), ratio).alias("ink_ratio"), error.alias("error"))
+    passed = (F.col("mean_error") <= MEAN_LIMIT) & (F.col("within_tolerance") >= WITHIN_LIMIT) & F.col("ink_ratio").between(*INK_LIMITS)
+    good = F.col("error").isNull()
+    return judged.select("board_id", "dpi", *(F.when(good, F.col(c)).alias(c) for c in ("mean_error", "within_tolerance", "ink_ratio")), F.coalesce(passed & good, F.lit(False)).alias("passed"), "error")
 
 
 def compare(reference: DataFrame, generated: DataFrame, tolerance: int = PIXEL_TOLERANCE) -> DataFrame:
-    """The metrics of each board and scale, or an error where the two sides' sizes differ or one is missing."""
-    both = sizes(reference).join(sizes(generated).withColumnsRenamed({"width": "g_width", "height": "g_height"}), ["board_id", "dpi"], "full_outer")
-    same = F.col("width").eqNullSafe(F.col("g_width")) & F.col("height").eqNullSafe(F.col("g_height"))
-    status = both.select("board_id", "dpi", F.when(~same, SIZES_DIFFER).alias("error"))
-    found = metrics(paired(reference, generated), tolerance)
-    joined = status.join(found, ["board_id", "dpi"], "left")
-    good = F.col("error").isNull()
-    return joined.select("board_id", "dpi", *(F.when(good, F.col(c)).alias(c) for c in ("mean_error", "within_tolerance", "ink_ratio")), F.coalesce(F.col("passed") & good, F.lit(False)).alias("passed"), "error")
+    """The metrics of each board and scale, or an error where the two sides' sizes differ, one is missing or has a place more than once."""
+    return scales(regions(reference, generated, tolerance))
 
 
 def aggregate_scales(found: DataFrame, order: tuple[int, ...] = SCALE_DPIS) -> DataFrame:
@@ -63,19 +106,18 @@ def difference_image(pairs: DataFrame) -> DataFrame:
     return pairs.select(*KEY, *(colors.difference(F.col(c), F.col(f"g{c}")).alias(c) for c in CHANNELS))
 
 
-def detail_regions(pairs: DataFrame, dpi: int = SCALE_DPIS[0], most: int = REGIONS) -> DataFrame:
-    """board_id, number, x, y, width, height, score: regions with neutral reference ink that differ most; ties by row."""
-    gap = sum((_gap(c) for c in CHANNELS), F.lit(0))
-    neutral = (F.col("r") < 255) & (F.col("r") == F.col("g")) & (F.col("r") == F.col("b"))
-    at = pairs.where(F.col("dpi") == dpi)
-    cell = [(F.floor(F.col(c) / REGION_SIDE) * REGION_SIDE).cast("int").alias(f"t{c}") for c in ("x", "y")]
-    # A region's size is known from all its pixels, its score from the neutral ones.
-    tiles = at.groupBy("board_id", *cell).agg(F.count_if(neutral).alias("ink"), F.sum(F.when(neutral, gap)).alias("score"), F.max("x").alias("mx"), F.max("y").alias("my"))
+def worst_regions(found: DataFrame, dpi: int = SCALE_DPIS[0], most: int = REGIONS) -> DataFrame:
+    """regions(...) -> board_id, number, x, y, width, height, score: regions with neutral reference ink that differ most; ties by row."""
     best = Window.partitionBy("board_id").orderBy(F.desc("score"), "ty", "tx")
-    ranked = tiles.where("ink > 0").withColumn("number", F.row_number().over(best)).where(F.col("number") <= most)
+    ranked = found.where((F.col("dpi") == dpi) & (F.col("neutral") > 0)).withColumn("number", F.row_number().over(best)).where(F.col("number") <= most)
     return ranked.select("board_id", "number", F.col("tx").alias("x"), F.col("ty").alias("y"), (F.col("mx") - F.col("tx") + 1).alias("width"), (F.col("my") - F.col("ty") + 1).alias("height"), "score")
 
 
+def detail_regions(pairs: DataFrame, dpi: int = SCALE_DPIS[0], most: int = REGIONS) -> DataFrame:
+    """worst_regions from paired(...), where no metrics are needed."""
+    return worst_regions(pairs.where(F.col("dpi") == dpi).groupBy(*REGION).agg(*_ranked_by(F.lit(True))), dpi, most)
+
+
 def detail_plan(regions: DataFrame, base: int = SCALE_DPIS[0], dpis: tuple[int, ...] = DETAIL_DPIS) -> DataFrame:
     """Each region at each detail scale, with the suffix of its files."""
     scaled = regions.withColumn("dpi", F.explode(F.array(*map(F.lit, dpis)))).withColumn("f", (F.col("dpi") / base).cast("int"))

@@ -14,7 +14,7 @@ from inkfold.operators import links as link_nodes
 from inkfold.plans import inputs
 from inkfold.plans.inputs import PIXELS_SQL, RENDERINGS_SQL, SCENES_SQL, STREAMS_SQL, table
 from inkfold.sources import discovery, images
-from inkfold.tables import new_path
+from inkfold.tables import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,9 +86,10 @@ def difference_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref, gen = inputs.renderings(spark, sf_dir)
-    scales = evaluate.compare(ref, gen)
-    return sinks.evaluation_report(scales, evaluate.aggregate_scales(scales), evaluate.detail_plan(evaluate.detail_regions(evaluate.paired(ref, gen))))
+    """The pixels meet once; scales, totals and details are all made of the table of their regions."""
+    regions = materialize(evaluate.regions(*inputs.renderings(spark, sf_dir)))
+    scales = evaluate.scales(regions)
+    return sinks.evaluation_report(scales, evaluate.aggregate_scales(scales), evaluate.detail_plan(evaluate.worst_regions(regions)))
 
 
 @query("""WITH b AS (SELECT CAST(o_orderkey AS VARCHAR) AS board_id, CAST(floor(o_totalprice) AS INTEGER) % 30000 - 100 AS width, CAST(o_custkey AS INTEGER) * 7 % 15000 AS height FROM orders)
