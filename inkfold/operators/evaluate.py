@@ -24,17 +24,19 @@ REPEATED = "a screenshot has several samples of one pixel"
 
 def overlaid(reference: DataFrame, generated: DataFrame) -> DataFrame:
     """A row for each place that a side has: its region's corner tx, ty; held and gheld, how many rows each side has there; r, g, b
-    and, of the generated side, gr, gg, gb. Of several rows of a side at one place the greatest values count.
+    and, of the generated side, gr, gg, gb. Of several rows of a side at one place the greatest counts.
 
     Both sides are dealt out by region, which is at most REGION_SIDE squared places. Whatever is counted by place or region
-    after that stays where it is.
+    after that stays where it is. The greatest is that of a struct, so places are grouped by sorting: hash tables of all pixels of
+    a partition take more memory and spill more.
     """
     corner = [(F.floor(F.col(c) / REGION_SIDE) * REGION_SIDE).cast("int").alias(f"t{c}") for c in ("x", "y")]
     rows = [side.select(*KEY, *corner, *CHANNELS, F.lit(name).alias("generated")) for side, name in ((reference, False), (generated, True))]
     by_region = rows[0].unionAll(rows[1]).repartition(*REGION)
     sides = (("", ~F.col("generated")), ("g", F.col("generated")))
-    held = [F.count_if(of).alias(f"{p}held") for p, of in sides]
-    return by_region.groupBy(*KEY, "tx", "ty").agg(*held, *(F.max(F.when(of, F.col(c))).alias(f"{p}{c}") for p, of in sides for c in CHANNELS))
+    found = [c for p, of in sides for c in (F.count_if(of).alias(f"{p}held"), F.max(F.when(of, F.struct(*CHANNELS))).alias(f"{p}color"))]
+    places = by_region.groupBy(*REGION, "x", "y").agg(*found)
+    return places.select(*REGION, "x", "y", "held", "gheld", *(F.col(f"{p}color.{c}").alias(f"{p}{c}") for p, _ in sides for c in CHANNELS))
 
 
 def _known() -> Column:
